@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from strandel.llm import exact_dedup
+from strandel.llm import exact_dedup, quality_rules
 
 QUERIES = {
+    "op3_quality_rules": quality_rules.query,
     "op5_exact_dedup": exact_dedup.query,
 }
 ORACLES = {
