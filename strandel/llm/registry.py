@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from strandel.llm import exact_dedup, quality_rules
+from strandel.llm import exact_dedup, language_id, quality_classifier, quality_rules
 
 QUERIES = {
+    "op1_quality_classifier": quality_classifier.query,
+    "op10_language_id": language_id.query,
     "op3_quality_rules": quality_rules.query,
     "op5_exact_dedup": exact_dedup.query,
 }
