@@ -27,6 +27,8 @@ from strandel.llm import fuse_filter
 from strandel.llm.common import ascii_lower, cut, salted_lookup, table
 
 ROWS_PER_BUCKET = 16_384
+#: A group's members are compared in shares of about this many rows.
+MEMBERS_PER_SHARE = 1_000
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -88,9 +90,10 @@ def merged_groups(snapshot: DataFrame, batch: DataFrame) -> DataFrame:
 def byte_mismatches(docs: DataFrame, members: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, variant of members whose normalised text differs from that of the row that stays."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    with_text = texts.join(members.select("doc_id", "keep_id").distinct().hint("shuffle_hash"), "doc_id")
-    kept = with_text.filter("doc_id = keep_id").select("keep_id", F.col("text").alias("kept_text"))
-    pairs = salted_lookup(with_text.filter("doc_id <> keep_id"), kept, ["keep_id"], F.col("doc_id"), "inner")
+    with_text = cut(texts.join(members.select("doc_id", "keep_id", "n").distinct().hint("shuffle_hash"), "doc_id"))
+    shares = F.ceil(F.col("n") / MEMBERS_PER_SHARE).cast("int")
+    kept = with_text.filter("doc_id = keep_id").select("keep_id", F.explode(F.sequence(F.lit(0), shares - 1)).alias("share"), F.col("text").alias("kept_text"))
+    pairs = with_text.filter("doc_id <> keep_id").withColumn("share", F.pmod(F.xxhash64("doc_id"), shares)).join(kept, ["keep_id", "share"])
     same = (F.col("text") == F.col("kept_text")) | (ascii_lower(F.col("text")) == ascii_lower(F.col("kept_text")))
     return pairs.filter(~same).select("doc_id", F.sha2(ascii_lower(F.col("text")), 512).alias("variant"))
 
