@@ -20,7 +20,7 @@ from strandel.llm.common import table
 from strandel.llm.subword import Model, held_out, scores, train, training_bags
 
 #: Most rows that the model is fitted on, all languages together.
-TRAIN_ROWS = 4_000
+TRAIN_ROWS = 3_000
 #: A calibrated probability under this marks the prediction as rejected.
 REJECT_UNDER = 0.5
 UNKNOWN = "und"

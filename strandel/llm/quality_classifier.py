@@ -21,7 +21,7 @@ from strandel.llm.common import table
 from strandel.llm.subword import Model, held_out, scores, train, training_bags
 
 #: Most labelled rows that the model is fitted on, both labels together.
-TRAIN_ROWS = 4_000
+TRAIN_ROWS = 3_000
 CUTOFF = 0.3
 
 

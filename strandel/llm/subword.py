@@ -1,14 +1,17 @@
 """Supervised subword embeddings: hashed word and character n-gram vectors averaged per text.
 
-Each feature (a word, or a run of 2 to 4 characters) hashes to one of BUCKETS learned vectors; a
-text is the weighted mean of its features' vectors, and a linear softmax turns it into class
-probabilities. Training is mini-batch stochastic gradient descent in numpy on a bounded sample
+Each feature (a word, a pair of neighbouring words, or a run of 2 to 4 characters) hashes to one
+of BUCKETS learned vectors. A pair hashes by the difference of its words' hashes, so that all pairs
+of a word and itself share one vector. A text is the mean of its features' vectors, shrunk by PRIOR
+vectors of zero so that a text of few features stays near the bias, and a linear softmax turns it
+into class probabilities. Training is mini-batch stochastic gradient descent in numpy on a bounded sample
 of labelled rows. As the output is linear in the mean, scoring folds vectors and output weights
 into one table of logits a bucket, so a whole text costs one look-up a feature.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,6 +26,7 @@ from strandel.llm.words import SPACE, groups, mix
 BUCKETS = 1 << 15
 SIZES = (2, 3, 4)
 SLICE = 1 << 19
+PRIOR = 24.0
 _SHIFT = np.uint64(64 - 15)
 _STEP = np.uint32(0x01000193)
 
@@ -109,7 +113,15 @@ def features(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndar
                 words = np.add.reduceat(value, s - s[0])
             else:
                 words = np.zeros(0, np.uint64)
-            yield rows, np.searchsorted(s, bounds, "left"), _bucket(words, 9)
+            first = np.searchsorted(s, bounds, "left")
+            yield rows, first, _bucket(words, 9)
+            with np.errstate(over="ignore"):
+                step = words[1:] - words[:-1]
+            linked = np.ones(max(0, len(words) - 1), bool)
+            at = first[1:-1] - 1
+            linked[at[(at >= 0) & (at < len(linked))]] = False
+            kept = np.concatenate(([0], np.cumsum(linked)))
+            yield rows, kept[np.minimum(first, len(linked))], _bucket(step[linked], 10)
 
 
 def scores(model: Model, texts: list[str]) -> np.ndarray:
@@ -122,7 +134,7 @@ def scores(model: Model, texts: list[str]) -> np.ndarray:
         for c in range(k):
             sums = np.concatenate(([0.0], np.cumsum(table[c][buckets], dtype=np.float64)))
             total[rows, c] += np.diff(sums[starts])
-    z = (total / np.maximum(count, 1)[:, None] + model.bias) / model.temperature
+    z = (total / (count + PRIOR)[:, None] + model.bias) / model.temperature
     z = np.exp(z - z.max(1, keepdims=True))
     return z / z.sum(1, keepdims=True)
 
@@ -139,7 +151,7 @@ def bags(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         for x, n in parts:
             total[x] += n
         at = np.flatnonzero(total)
-        out.append((at.astype(np.int32), total[at] / max(1.0, total.sum())))
+        out.append((at.astype(np.int32), total[at] / np.float32(PRIOR + total.sum())))
     return out
 
 
@@ -160,20 +172,20 @@ def training_bags(docs: DataFrame, labels: DataFrame, most_rows: int) -> pd.Data
     rows = labels.sparkSession.createDataFrame([(k, min(1.0, each / n)) for k, n in n_of.items()], labels.select("label", F.lit(1.0).alias("share")).schema)
     chance = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
     drawn = labels.join(F.broadcast(rows), "label").filter(chance < F.col("share")).select("doc_id", "label")
-    schema = "label string, buckets array<int>, shares array<float>"
+    schema = "label string, buckets binary, shares binary"  # packed: the driver holds 6 bytes a distinct feature
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = bags([x or "" for x in b.column(1).to_pylist()])
-            yield pa.record_batch([b.column(0), pa.array([x for x, _ in got], pa.list_(pa.int32())), pa.array([y for _, y in got], pa.list_(pa.float32()))], names=["label", "buckets", "shares"])
+            yield pa.record_batch([b.column(0), pa.array([x.astype("<u2").tobytes() for x, _ in got], pa.binary()), pa.array([y.astype("<f4").tobytes() for _, y in got], pa.binary())], names=["label", "buckets", "shares"])
 
     got = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select(F.col("label").cast("string"), "text").mapInArrow(run, schema).toPandas()
     total = sum(n_of.values())
     share = {str(k): n / total for k, n in n_of.items()}
     seen = got.label.value_counts()
     got["weight"] = [share[x] * len(got) / seen[x] for x in got.label]
-    order = pd.util.hash_pandas_object(got.buckets.map(lambda x: hash(bytes(np.asarray(x, np.int32)))), index=False)
-    return got.assign(_o=order).sort_values(["_o", "label"], kind="stable").drop(columns="_o").reset_index(drop=True)
+    got["order"] = [zlib.crc32(x + y) for x, y in zip(got.buckets, got.shares, strict=True)]
+    return got.sort_values(["order", "label"], kind="stable", ignore_index=True).drop(columns="order")
 
 
 def train(rows: pd.DataFrame, width: int = 12, epochs: int = 12, rate: float = 1.0, batch: int = 16, seed: int = 7) -> Model:
@@ -182,7 +194,7 @@ def train(rows: pd.DataFrame, width: int = 12, epochs: int = 12, rate: float = 1
     k, rng = len(classes), np.random.default_rng(seed)
     y = np.array([classes.index(x) for x in rows.label], int)
     weight = np.array(rows.weight, float)
-    bags_ = [(np.asarray(a, np.int64), np.asarray(s, np.float32)) for a, s in zip(rows.buckets, rows.shares, strict=True)]
+    bags_ = [(np.frombuffer(a, "<u2"), np.frombuffer(s, "<f4")) for a, s in zip(rows.buckets, rows.shares, strict=True)]
     vectors = rng.normal(0, 0.3, (BUCKETS, width)).astype(np.float32)
     out, bias = np.zeros((width, k), np.float32), np.zeros(k, np.float32)
     aside = np.arange(len(y)) % 10 == 3 if len(y) >= 200 else np.zeros(len(y), bool)
@@ -193,7 +205,7 @@ def train(rows: pd.DataFrame, width: int = 12, epochs: int = 12, rate: float = 1
         for a in range(0, len(fit), batch):
             pick = fit[a : a + batch]
             lengths = [len(bags_[i][0]) for i in pick]
-            at = np.concatenate([bags_[i][0] for i in pick]) if sum(lengths) else np.zeros(0, np.int64)
+            at = np.concatenate([bags_[i][0] for i in pick]).astype(np.int64) if sum(lengths) else np.zeros(0, np.int64)
             share = np.concatenate([bags_[i][1] for i in pick]) if len(at) else np.zeros(0, np.float32)
             doc = np.repeat(np.arange(len(pick)), lengths)
             mean = np.zeros((len(pick), width), np.float32)
