@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from strandel.llm import exact_dedup, language_id, quality_classifier, quality_rules
+from strandel.llm import exact_dedup, language_id, packing, quality_classifier, quality_rules
 
 QUERIES = {
+    "op9_packing": packing.query,
     "op1_quality_classifier": quality_classifier.query,
     "op10_language_id": language_id.query,
     "op3_quality_rules": quality_rules.query,
