@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from strandel.llm import exact_dedup, html_extract, language_id, packing, quality_classifier, quality_rules
+from strandel.llm import exact_dedup, html_extract, language_id, minhash_dedup, packing, quality_classifier, quality_rules
 
 QUERIES = {
+    "op4_minhash_dedup": minhash_dedup.query,
     "op8_html_extract": html_extract.query,
     "op9_packing": packing.query,
     "op1_quality_classifier": quality_classifier.query,
