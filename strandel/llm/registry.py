@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from strandel.llm import exact_dedup, html_extract, language_id, minhash_dedup, packing, quality_classifier, quality_rules
+from strandel.llm import exact_dedup, html_extract, language_id, line_dedup, minhash_dedup, packing, quality_classifier, quality_rules, secret_scan
 
 QUERIES = {
+    "op2_secret_scan": secret_scan.query,
+    "op7_line_dedup": line_dedup.query,
     "op4_minhash_dedup": minhash_dedup.query,
     "op8_html_extract": html_extract.query,
     "op9_packing": packing.query,
@@ -14,5 +16,6 @@ QUERIES = {
     "op5_exact_dedup": exact_dedup.query,
 }
 ORACLES = {
+    "op7_line_dedup": line_dedup.ORACLE,
     "op5_exact_dedup": exact_dedup.ORACLE,
 }
