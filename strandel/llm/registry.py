@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from strandel.llm import exact_dedup, html_extract, language_id, line_dedup, minhash_dedup, packing, quality_classifier, quality_rules, secret_scan
+from strandel.llm import exact_dedup, html_extract, language_id, line_dedup, minhash_dedup, mixing, packing, quality_classifier, quality_rules, secret_scan
 
 QUERIES = {
+    "op6_mixing": mixing.query,
     "op2_secret_scan": secret_scan.query,
     "op7_line_dedup": line_dedup.query,
     "op4_minhash_dedup": minhash_dedup.query,
