@@ -36,6 +36,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_small(df: DataFrame, rows: int = 100_000, parts: int | None = None) -> DataFrame:
+    """`cut` for results far smaller than the input: about `rows` rows a partition, so that rounds over
+    few rows start few tasks and leave few files.
+
+    The checkpoint itself is written by `parts` tasks, by default four for every core of the cluster.
+    """
+    done = cut(df.coalesce(parts or 4 * df.sparkSession.sparkContext.defaultParallelism))
+    return done.coalesce(max(1, -(-done.count() // rows)))
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z and nothing else; texts of single-byte characters take the fast path."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
@@ -49,3 +59,13 @@ def salted_lookup(left: DataFrame, right: DataFrame, on: list[str], spread: Colu
     """
     many = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).join(many, [*on, "_salt"], how).drop("_salt")
+
+
+#: Most ids that are broadcast to pick rows of a table (8 bytes each); beyond that the join shuffles.
+BROADCAST_IDS = 200_000
+
+
+def rows_of(df: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """The rows of `df` whose `id_col` is in `ids` (one column of that name, distinct values)."""
+    small = ids.count() <= BROADCAST_IDS
+    return df.join(F.broadcast(ids) if small else ids.hint("shuffle_hash"), id_col, "left_semi")

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strandel.llm.common import cut, salted_lookup, table
+from strandel.llm.common import cut, cut_small, salted_lookup, table
 from strandel.llm.exprs import let, word_count
 
 WEIGHTS = (5, 2, 1)
@@ -112,15 +112,19 @@ def split_quotas(quotas: DataFrame, levels: int) -> DataFrame:
         both = F.array(F.struct((2 * F.col("node")).alias("node"), F.col("left").alias("own")), F.struct((2 * F.col("node") + 1).alias("node"), right.alias("own")))
         nodes = tagged.select(F.explode(both).alias("b")).select("b.node", F.filter("b.own", lambda s: s["n"] > 0).alias("own"))
         if level % 4 == 3:
-            nodes = cut(nodes.repartition("node"))
+            nodes = cut_small(nodes.repartition("node"))
     return nodes.select(F.col("node").alias("shard"), F.explode("own").alias("s")).select("s.src", "shard", F.col("s.n").alias("draws"))
 
 
 def draws(rows: DataFrame, aims: DataFrame) -> DataFrame:
     """row, doc_id, size, words, shard, local_order: one row a document drawn, as often as it is."""
     count = F.least(F.lit(MOST_BLOCKS), F.ceil(F.col("docs") / BLOCK_DOCS)).cast("long")
-    aims = cut(aims.withColumn("blocks", count).withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)).withColumn("rest", F.greatest(F.lit(0).cast("long"), F.round(F.col("target") - F.col("passes") * F.col("source_size")).cast("long"))))
-    blocked = cut(salted_lookup(rows, aims.select("src", "blocks"), ["src"], F.col("row")).withColumn("block", F.pmod(F.xxhash64(F.lit(SEED), "doc_id", "row"), F.col("blocks"))).drop("blocks"))
+    aims = (
+        aims.withColumn("blocks", count)
+        .withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
+        .withColumn("rest", F.greatest(F.lit(0).cast("long"), F.round(F.col("target") - F.col("passes") * F.col("source_size")).cast("long")))
+    )
+    blocked = cut_small(salted_lookup(rows, aims.select("src", "blocks"), ["src"], F.col("row")).withColumn("block", F.pmod(F.xxhash64(F.lit(SEED), "doc_id", "row"), F.col("blocks"))).drop("blocks"))
     blocks = blocked.groupBy("src", "block").agg(F.sum("size").alias("words"))
     permuted = Window.partitionBy("src").orderBy(F.xxhash64(F.lit(SEED), F.lit("order"), "src", "block"), "block")
     lined = blocks.join(aims.select("src", "passes", "rest"), "src").withColumn("ends", F.sum("words").over(permuted.rowsBetween(Window.unboundedPreceding, 0)))
@@ -128,8 +132,8 @@ def draws(rows: DataFrame, aims: DataFrame) -> DataFrame:
     last = F.when(room > 0, F.struct(F.col("passes").cast("int").alias("pass"), F.when(room < F.col("words"), room).alias("room")))
     whole = F.when(F.col("passes") > 0, F.transform(F.sequence(F.lit(1).cast("int"), F.greatest(F.lit(1), F.col("passes").cast("int"))), lambda k: F.struct((k - 1).alias("pass"), F.lit(None).cast("long").alias("room")))).otherwise(F.array().cast("array<struct<pass:int,room:bigint>>"))
     taken = lined.select("src", "block", F.explode(F.concat(whole, F.when(last.isNotNull(), F.array(last)).otherwise(F.array().cast("array<struct<pass:int,room:bigint>>")))).alias("d")).select("src", "block", "d.pass", "d.room")
-    numbered = cut(taken.withColumn("place", F.row_number().over(Window.partitionBy("src").orderBy("pass", F.xxhash64(F.lit(SEED), "pass", "src", "block"), "block")) - 1))
-    quotas = cut(numbered.groupBy("src").agg(F.count(F.lit(1)).alias("n")))
+    numbered = cut_small(taken.withColumn("place", F.row_number().over(Window.partitionBy("src").orderBy("pass", F.xxhash64(F.lit(SEED), "pass", "src", "block"), "block")) - 1))
+    quotas = cut_small(numbered.groupBy("src").agg(F.count(F.lit(1)).alias("n")), parts=1)
     total = quotas.agg(F.sum("n")).first()[0] or 0
     levels = max(3, (max(1, total) // SHARD_DRAWS).bit_length())
     starts = F.sum("draws").over(Window.partitionBy("src").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)) - F.col("draws")
@@ -146,7 +150,7 @@ def draws(rows: DataFrame, aims: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, cap: float = CAP, **columns: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The sized rows, the sources' targets and the draws."""
     rows = cut(sized(docs, **columns))
-    aims = cut(targets(rows, weights, cap))
+    aims = cut_small(targets(rows, weights, cap), parts=1)
     return rows, aims, draws(rows, aims)
 
 
