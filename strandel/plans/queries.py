@@ -2,5 +2,468 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from strandel.functions.geometry import combine_channels, decide, decision_threshold, floored_feature
+from strandel.operators import agreement, encoding, frames, graphs, pixels, robust, sequence, spatial
+from strandel.plans import tables as T
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+#: Shipped weights of joins across gaps and at crossings.
+GAP = {"w_direct": 0.2, "w_turn": 1.0, "w_len": 0.15, "len_scale": 60.0, "chord_floor": 3.0, "w_kappa": 0.5, "kappa_scale": 30.0}
+JUNCTION = {"w_direct": 0.6, "w_turn": 1.2, "w_len": 0.0, "len_scale": 60.0, "chord_floor": 4.0, "w_kappa": 1.0, "kappa_scale": 30.0}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _r(c: str, places: int = 6):
+    return (F.round(F.col(c), places) + 0.0).alias(c)
+
+
+def _s(c: str, places: int = 6, name: str | None = None) -> str:
+    return f"round({c}, {places}) + 0.0 AS {name or c}"
+
+
+_ASSIGN_SQL = """
+a AS (SELECT 'embeddings' AS scene, vec_id AS item, CAST(nullif(label, 0) AS VARCHAR) AS t, CAST(vec_id % 10 AS VARCHAR) AS f FROM embeddings
+      UNION ALL SELECT 'documents', doc_id, lang, source FROM documents),
+n AS (SELECT scene, t, f, coalesce('g' || t, 't' || item) AS gt, coalesce('g' || f, 'f' || item) AS gf FROM a)
+"""
+
+
+def assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = T.table(spark, sf_dir, "embeddings").select(F.lit("embeddings").alias("scene"), F.col("vec_id").alias("item"), F.nullif(F.col("label"), F.lit(0)).cast("string").alias("t"), (F.col("vec_id") % 10).cast("string").alias("f"))
+    d = T.table(spark, sf_dir, "documents").select(F.lit("documents").alias("scene"), F.col("doc_id").alias("item"), F.col("lang").alias("t"), F.col("source").alias("f"))
+    return e.unionByName(d)
+
+
+@query(f"""
+WITH {_ASSIGN_SQL},
+c AS (SELECT scene, gt, gf, count(*) AS k FROM n GROUP BY ALL), r AS (SELECT scene, gt, sum(k) AS k FROM c GROUP BY ALL), q AS (SELECT scene, gf, sum(k) AS k FROM c GROUP BY ALL),
+s AS (SELECT scene, CAST(sum(k) AS DOUBLE) AS n, sum(k * (k - 1) / 2.0) AS tp, sum(k * log2(k)) AS hj FROM c GROUP BY scene),
+sr AS (SELECT scene, sum(k * (k - 1) / 2.0) AS st, sum(k * log2(k)) AS ht FROM r GROUP BY scene), sf AS (SELECT scene, sum(k * (k - 1) / 2.0) AS sf, sum(k * log2(k)) AS hf FROM q GROUP BY scene),
+g AS (SELECT scene, count(DISTINCT t) AS nt, count(DISTINCT f) AS nf FROM n GROUP BY scene)
+SELECT scene, CAST(n AS BIGINT) AS n, nt AS n_truth, nf AS n_found, CAST(tp AS DOUBLE) AS tp, CAST(sf - tp AS DOUBLE) AS fp, CAST(st - tp AS DOUBLE) AS fn,
+  round(tp / sf, 6) + 0.0 AS precision, round(tp / st, 6) + 0.0 AS recall, round(2 * (tp / sf) * (tp / st) / (tp / sf + tp / st), 6) + 0.0 AS f1,
+  round((tp - st * sf / (n * (n - 1) / 2)) / (0.5 * (st + sf) - st * sf / (n * (n - 1) / 2)), 6) + 0.0 AS ari,
+  round((ht - hj) / n, 6) + 0.0 AS vi_split, round((hf - hj) / n, 6) + 0.0 AS vi_merge
+FROM s JOIN sr USING (scene) JOIN sf USING (scene) JOIN g USING (scene)
+""")
+def q_pairwise_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = agreement.pairwise_agreement(assignments(spark, sf_dir), ["scene"], "item", "t", "f")
+    return found.select("scene", "n", "n_truth", "n_found", "tp", "fp", "fn", *[_r(c) for c in ("precision", "recall", "f1", "ari", "vi_split", "vi_merge")])
+
+
+@query(f"WITH {_ASSIGN_SQL} SELECT scene, CAST(sum(k * (k - 1) / 2.0) AS DOUBLE) AS n_pairs FROM (SELECT scene, t, count(*) AS k FROM a WHERE t IS NOT NULL GROUP BY ALL) GROUP BY scene")
+def q_positive_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return agreement.positive_pairs(assignments(spark, sf_dir), ["scene"], "t")
+
+
+@query(f"""
+WITH m AS (SELECT user_id, value, median(value) OVER (PARTITION BY user_id) AS md FROM events)
+SELECT user_id, count(value) AS n, CASE WHEN count(value) >= 2 THEN round(1.4826 * median(abs(value - md)), 9) + 0.0 END AS sigma FROM m GROUP BY user_id
+""")
+def q_robust_sigma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return robust.robust_sigma(T.table(spark, sf_dir, "events"), ["user_id"], "value").select("user_id", "n", _r("sigma", 9))
+
+
+@query("""
+WITH m AS (SELECT user_id, value, median(value) OVER (PARTITION BY user_id) AS md FROM events),
+g AS (SELECT user_id, count(value) AS n, median(value) AS median, 1.4826 * median(abs(value - md)) AS mad, quantile_cont(value, 0.16) AS p16, quantile_cont(value, 0.84) AS p84, quantile_cont(value, 0.9) AS p90 FROM m GROUP BY user_id)
+SELECT user_id, n, round(median, 6) + 0.0 AS median, round(mad, 9) + 0.0 AS mad, round(p16, 6) + 0.0 AS p16, round(p84, 6) + 0.0 AS p84, round(p90, 6) + 0.0 AS p90,
+  CASE WHEN median IS NULL THEN 'none' WHEN n < 12 OR mad > 0.6 * median THEN 'weak' ELSE 'good' END AS quality FROM g
+""")
+def q_bundle_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = robust.spread(T.table(spark, sf_dir, "events"), ["user_id"], "value")
+    return g.select("user_id", "n", *[_r(c, 9 if c == "mad" else 6) for c in ("median", "mad", "p16", "p84", "p90")], robust.quality_label("n", "median", "mad").alias("quality"))
+
+
+@query(f"""
+WITH {T.TRACK_SQL}, d AS (SELECT user_id, seq, y - avg(y) OVER (PARTITION BY user_id) AS d FROM track),
+v AS (SELECT user_id, count(*) AS n, sum(d * d) AS v FROM d GROUP BY user_id),
+l AS (SELECT a.user_id, b.seq - a.seq AS k, sum(a.d * b.d) AS c FROM d a JOIN d b ON a.user_id = b.user_id AND b.seq - a.seq BETWEEN 1 AND 40 GROUP BY ALL),
+u AS (SELECT l.user_id, k, c / v AS c, min(CASE WHEN c / v <= 0 THEN k END) OVER (PARTITION BY l.user_id) AS stop FROM l JOIN v USING (user_id) WHERE k <= least(n // 2, 40)),
+t AS (SELECT user_id, sum(c) AS s FROM u WHERE stop IS NULL OR k < stop GROUP BY user_id)
+SELECT v.user_id, n, CASE WHEN n < 8 OR v <= 0 THEN CAST(n AS DOUBLE) ELSE round(greatest(1.0, n / greatest(1.0, 1 + 2 * coalesce(s, 0))), 4) + 0.0 END AS n_eff FROM v LEFT JOIN t USING (user_id)
+""")
+def q_n_eff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequence.effective_size(T.tracks(spark, sf_dir), ["user_id"], "y").select("user_id", "n", _r("n_eff", 4))
+
+
+@query(f"""
+WITH {T.TRACK_SQL}, d AS (SELECT user_id, y, CASE WHEN x - lag(x) OVER w <= 12.0 THEN y - lag(y) OVER w END AS d FROM track WINDOW w AS (PARTITION BY user_id ORDER BY seq)),
+m AS (SELECT *, median(d) OVER (PARTITION BY user_id) AS md, median(y) OVER (PARTITION BY user_id) AS my FROM d),
+g AS (SELECT user_id, count(*) AS n, count(d) AS k, 1.4826 * median(abs(d - md)) / sqrt(2.0) AS nd, 1.4826 * median(abs(y - my)) AS ny FROM m GROUP BY user_id)
+SELECT user_id, n, CASE WHEN n >= 8 AND k >= 6 THEN round(nd, 6) + 0.0 END AS sigma_noise, CASE WHEN n >= 8 AND k >= 6 THEN round(sqrt(greatest(0.0, ny * ny - nd * nd)), 6) + 0.0 END AS sigma_real FROM g
+""")
+def q_noise_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sequence.noise_split(T.tracks(spark, sf_dir), ["user_id"], "x", "y", most_gap=12.0)
+    return found.select("user_id", "n", _r("sigma_noise"), _r("sigma_real"))
+
+
+_ROLL = ", ".join(f"abs(median(y) OVER (PARTITION BY user_id ORDER BY seq ROWS BETWEEN {w // 2} PRECEDING AND {w // 2} FOLLOWING) - level) / greatest(1.2533 * 5.0 / sqrt({w}.0), 1e-6) AS z{w}" for w in sequence.EXCURSION_WINDOWS)
+_PICK = " UNION ALL ".join(f"SELECT user_id, seq, {w} AS w, round(z{w}, 6) AS z FROM z WHERE n >= {w} AND seq >= {w // 2} AND seq < n - {w // 2}" for w in sequence.EXCURSION_WINDOWS)
+
+
+@query(f"""
+WITH {T.TRACK_SQL}, b AS (SELECT *, median(y) OVER (PARTITION BY user_id) AS level, count(*) OVER (PARTITION BY user_id) AS n FROM track),
+z AS (SELECT user_id, seq, n, {_ROLL} FROM b), p AS ({_PICK})
+SELECT user_id, max(z) + 0.0 AS z FROM p WHERE z > 0 AND user_id IN (SELECT user_id FROM b WHERE n >= 6) GROUP BY user_id
+""")
+def q_excursion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = T.tracks(spark, sf_dir).withColumn("sigma", F.lit(5.0))
+    return sequence.excursion(t, ["user_id"], "y", "sigma").select("user_id", _r("z"))
+
+
+@query(f"""
+WITH {T.TRACK_SQL}, b AS (SELECT *, count(*) OVER (PARTITION BY user_id) AS n, median(y) OVER (PARTITION BY user_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m0,
+  median(y) OVER (PARTITION BY user_id ORDER BY seq ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS m1 FROM track)
+SELECT user_id, round(max(abs(m0 - m1)), 6) + 0.0 AS step FROM b WHERE n >= 8 AND seq >= 4 AND seq <= n - 4 GROUP BY user_id
+""")
+def q_largest_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequence.largest_step(T.tracks(spark, sf_dir), ["user_id"], "x", "y").select("user_id", _r("step"))
+
+
+@query(f"""
+WITH {T.TRACK_SQL}, d AS (SELECT *, coalesce(sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2)), 0) AS d FROM track WINDOW w AS (PARTITION BY user_id ORDER BY seq))
+SELECT user_id, seq, round(sum(d) OVER (PARTITION BY user_id ORDER BY seq), 4) + 0.0 AS s FROM d
+""")
+def q_arclength(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequence.arclength(T.tracks(spark, sf_dir), ["user_id"]).select("user_id", "seq", _r("s", 4))
+
+
+@query(f"""
+WITH {T.TRACK_SQL}, g AS (SELECT user_id, seq,
+  CASE WHEN lag(x) OVER w IS NULL AND lead(x) OVER w IS NULL THEN 0 WHEN lag(x) OVER w IS NULL THEN lead(x) OVER w - x WHEN lead(x) OVER w IS NULL THEN x - lag(x) OVER w ELSE (lead(x) OVER w - lag(x) OVER w) / 2 END AS dx,
+  CASE WHEN lag(y) OVER w IS NULL AND lead(y) OVER w IS NULL THEN 0 WHEN lag(y) OVER w IS NULL THEN lead(y) OVER w - y WHEN lead(y) OVER w IS NULL THEN y - lag(y) OVER w ELSE (lead(y) OVER w - lag(y) OVER w) / 2 END AS dy
+  FROM track WINDOW w AS (PARTITION BY user_id ORDER BY seq))
+SELECT user_id, seq, CASE WHEN sqrt(dx * dx + dy * dy) < 1e-9 THEN 0.0 ELSE round(-dy / sqrt(dx * dx + dy * dy), 6) + 0.0 END AS nx, CASE WHEN sqrt(dx * dx + dy * dy) < 1e-9 THEN 0.0 ELSE round(dx / sqrt(dx * dx + dy * dy), 6) + 0.0 END AS ny FROM g
+""")
+def q_normals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequence.unit_normals(T.tracks(spark, sf_dir), ["user_id"]).select("user_id", "seq", _r("nx"), _r("ny"))
+
+
+@query(f"""
+WITH {T.TRACK_SQL}, d AS (SELECT *, CASE WHEN sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2)) > 60.0 THEN 1 ELSE 0 END AS j FROM track WINDOW w AS (PARTITION BY user_id ORDER BY seq))
+SELECT user_id, seq, CAST(sum(j) OVER (PARTITION BY user_id ORDER BY seq) AS INTEGER) AS run FROM d
+""")
+def q_split_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequence.split_runs(T.tracks(spark, sf_dir), ["user_id"], 60.0).select("user_id", "seq", "run")
+
+
+@query(f"""
+WITH {T.TRACK_SQL}, b AS (SELECT *, count(*) OVER (PARTITION BY user_id) AS n, first_value(y) OVER w AS y0, last_value(y) OVER w AS y1 FROM track WINDOW w AS (PARTITION BY user_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+s AS (SELECT *, sum(y) OVER (PARTITION BY user_id ORDER BY seq ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING) AS t FROM b)
+SELECT user_id, seq, CASE WHEN n < 3 OR seq = 0 OR seq = n - 1 THEN round(y, 6) + 0.0 ELSE round((t + greatest(0, 4 - seq) * y0 + greatest(0, 4 - (n - 1 - seq)) * y1) / 9, 6) + 0.0 END AS y FROM s
+""")
+def q_smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequence.smooth(T.tracks(spark, sf_dir), ["user_id"], 9).select("user_id", "seq", _r("y"))
+
+
+@query(f"""
+WITH {T.TRACK_SQL}, d AS (SELECT *, coalesce(sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2)), 0) AS d FROM track WINDOW w AS (PARTITION BY user_id ORDER BY seq)),
+s AS (SELECT *, sum(d) OVER (PARTITION BY user_id ORDER BY seq) AS s FROM d), t AS (SELECT user_id, max(s) AS total, count(*) AS k FROM s GROUP BY user_id)
+SELECT user_id, CAST(CASE WHEN k < 2 OR total < 20.0 THEN k ELSE greatest(2, ceil(total / 20.0) + 1) END AS BIGINT) AS n_points FROM t
+""")
+def q_densify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequence.densify(T.tracks(spark, sf_dir), ["user_id"], 20.0).groupBy("user_id").agg(F.count(F.lit(1)).alias("n_points"))
+
+
+@query(f"""
+WITH {T.TRACK_SQL}, d AS (SELECT *, coalesce(sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2)), 0) AS d FROM track WINDOW w AS (PARTITION BY user_id ORDER BY seq)),
+s AS (SELECT *, sum(d) OVER (PARTITION BY user_id ORDER BY seq) AS s FROM d),
+g AS (SELECT user_id, count(*) AS n, regr_slope(x, s) AS sx, regr_slope(y, s) AS sy FROM s WHERE s <= 40.0 OR seq <= 1 GROUP BY user_id)
+SELECT user_id, CAST(n AS INTEGER) AS support, round(coalesce(-sx / sqrt(sx * sx + sy * sy), 0), 5) + 0.0 AS tan_x, round(coalesce(-sy / sqrt(sx * sx + sy * sy), 0), 5) + 0.0 AS tan_y FROM g
+""")
+def q_frame_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = frames.fit_frames(T.tracks(spark, sf_dir), ["user_id"], window=40.0, least_quadratic=1e9)
+    return f.select("user_id", "support", _r("tan_x", 5), _r("tan_y", 5))
+
+
+_ENDS_SQL = f"""
+{T.SCENE_TRACK_SQL}, ends AS (
+  SELECT scene, iid, a.x AS px, a.y AS py, (a.x - b.x) / sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS tx, (a.y - b.y) / sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS ty
+  FROM (SELECT * FROM strack WHERE seq = 0) a JOIN (SELECT * FROM strack WHERE seq = 1) b USING (scene, iid) WHERE sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) >= 1e-9)
+"""
+
+
+def _ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of the first two points of each track of a scene: straight, so without curvature."""
+    t = T.scene_tracks(spark, sf_dir).filter("seq <= 1")
+    f = frames.fit_frames(t, ["scene", "iid"], window=1e9, least_quadratic=1e12).filter("tan_x <> 0 or tan_y <> 0")
+    return f.select("scene", F.col("iid").alias("sid"), F.col("iid").alias("aid"), F.lit(None).cast("int").alias("node"), "tip_x", "tip_y", "tan_x", "tan_y", "kappa", F.lit(True).alias("reliable"))
+
+
+_COST_SQL = """
+ SELECT a.scene, a.iid AS sid_a, b.iid AS sid_b, sqrt(pow(b.px - a.px, 2) + pow(b.py - a.py, 2)) AS len, acos(greatest(least(-(a.tx * b.tx + a.ty * b.ty), 1.0), -1.0)) AS theta,
+  CASE WHEN sqrt(pow(b.px - a.px, 2) + pow(b.py - a.py, 2)) < 1e-6 THEN 0 ELSE acos(greatest(least((a.tx * (b.px - a.px) + a.ty * (b.py - a.py)) / sqrt(pow(b.px - a.px, 2) + pow(b.py - a.py, 2)), 1.0), -1.0)) END AS pa,
+  CASE WHEN sqrt(pow(b.px - a.px, 2) + pow(b.py - a.py, 2)) < 1e-6 THEN 0 ELSE acos(greatest(least(-(b.tx * (b.px - a.px) + b.ty * (b.py - a.py)) / sqrt(pow(b.px - a.px, 2) + pow(b.py - a.py, 2)), 1.0), -1.0)) END AS pb
+ FROM ends a JOIN ends b ON a.scene = b.scene AND a.iid < b.iid"""
+
+
+@query(f"""
+WITH {_ENDS_SQL}, c AS ({_COST_SQL}) SELECT scene, sid_a, sid_b, round(0.6 * theta + 1.2 * least(1.0, len / 4.0) * (pa + pb), 5) + 0.0 AS cost FROM c
+""")
+def q_link_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = frames.within_node_pairs(_ends(spark, sf_dir).withColumn("node", F.lit(1)), ["scene"])
+    return frames.costed(pairs, **JUNCTION).select("scene", "sid_a", "sid_b", _r("cost", 5))
+
+
+@query(f"""
+WITH {_ENDS_SQL}, c AS ({_COST_SQL}) SELECT scene, sid_a, sid_b, round(0.2 * theta + least(1.0, len / 3.0) * (pa + pb) + 0.15 * len / 60.0, 5) + 0.0 AS cost
+FROM c WHERE len <= 30.0 AND theta <= 2.4 AND greatest(pa, pb) <= 2.28
+""")
+def q_gap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frames.gap_pairs(_ends(spark, sf_dir), ["scene"], 30.0, 2.4, 2.28, **GAP).select("scene", "sid_a", "sid_b", _r("cost", 5))
+
+
+@query(f"""
+WITH {T.SCENE_TRACK_SQL}, g AS (SELECT scene, iid, seq AS k, x AS x0, y AS y0, lead(x) OVER w AS x1, lead(y) OVER w AS y1 FROM strack WINDOW w AS (PARTITION BY scene, iid ORDER BY seq)),
+p AS (SELECT a.scene, a.iid AS i, b.iid AS j, a.k AS ki, b.k AS kj, a.x0, a.y0, a.x1 - a.x0 AS rx, a.y1 - a.y0 AS ry, b.x1 - b.x0 AS sx, b.y1 - b.y0 AS sy, b.x0 - a.x0 AS qx, b.y0 - a.y0 AS qy
+  FROM g a JOIN g b ON a.scene = b.scene AND a.iid < b.iid WHERE a.x1 IS NOT NULL AND b.x1 IS NOT NULL),
+t AS (SELECT *, (qx * sy - qy * sx) / (rx * sy - ry * sx) AS t, (qx * ry - qy * rx) / (rx * sy - ry * sx) AS u FROM p WHERE abs(rx * sy - ry * sx) >= 1e-12)
+SELECT scene, i, j, ki, kj, round(x0 + t * rx, 5) + 0.0 AS x, round(y0 + t * ry, 5) + 0.0 AS y FROM t WHERE t BETWEEN 0 AND 1 AND u BETWEEN 0 AND 1
+""")
+def q_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    steps = spatial.segments(T.scene_tracks(spark, sf_dir), ["scene"], "iid")
+    return spatial.crossing_segments(steps, ["scene"], "iid", 12.0).select("scene", "i", "j", "ki", "kj", _r("x", 5), _r("y", 5))
+
+
+@query(f"""
+WITH {T.SCENE_TRACK_SQL}, r AS (SELECT scene, iid, 1.0 + iid % 4 AS radius FROM strack GROUP BY ALL),
+p AS (SELECT a.scene, a.iid AS i, b.iid AS j, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS d, 1.0 + a.iid % 4 + 1.0 + b.iid % 4 AS need FROM strack a JOIN strack b ON a.scene = b.scene AND a.iid < b.iid)
+SELECT scene, i, j, round(min(d), 6) + 0.0 AS distance FROM p WHERE d < need GROUP BY scene, i, j
+""")
+def q_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = T.scene_tracks(spark, sf_dir)
+    radii = t.select("scene", "iid").distinct().withColumn("radius", 1.0 + F.col("iid") % 4)
+    return spatial.closest_contacts(t.select("scene", "iid", "x", "y"), radii, ["scene"], "iid", widest=4.0).select("scene", "i", "j", _r("distance"))
+
+
+@query("""
+WITH c AS (SELECT l_partkey, l_suppkey, count(*) AS k FROM lineitem GROUP BY ALL), r AS (SELECT *, sum(k) OVER (PARTITION BY l_partkey) AS n, row_number() OVER (PARTITION BY l_partkey ORDER BY k DESC, l_suppkey) AS rn FROM c)
+SELECT l_partkey, CAST(n AS BIGINT) AS n, k AS votes, CASE WHEN k >= 0.05 * n THEN l_suppkey END AS assigned FROM r WHERE rn = 1
+""")
+def q_vote_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return agreement.vote(T.table(spark, sf_dir, "lineitem"), ["l_partkey"], "l_suppkey", 0.05)
+
+
+_RODS_SQL = """
+rods AS (SELECT user_id, event_type AS rod, value FROM events WHERE event_type IN ('click', 'view')), m AS (SELECT *, value - median(value) OVER (PARTITION BY user_id, rod) AS res FROM rods),
+s AS (SELECT user_id, count(*) AS n, CASE WHEN count(*) >= 2 THEN 1.4826 * median(abs(res)) END AS sigma FROM m GROUP BY user_id)
+"""
+
+
+@query(f"WITH {_RODS_SQL} SELECT user_id, n, round(sigma, 9) + 0.0 AS sigma FROM s")
+def q_flank_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rods = T.table(spark, sf_dir, "events").filter(F.col("event_type").isin("click", "view"))
+    return robust.pooled_noise(rods, ["user_id"], "event_type", "value").select("user_id", "n", _r("sigma", 9))
+
+
+@query(f"""
+WITH {_RODS_SQL}, f AS (SELECT user_id, median(value) FILTER (WHERE event_type = 'purchase') AS c, median(value) FILTER (WHERE event_type = 'click') AS i, median(value) FILTER (WHERE event_type = 'view') AS j FROM events GROUP BY user_id),
+g AS (SELECT user_id, 2.0 * (abs(c - j) - abs(c - i)) / greatest(abs(i - j), 2 * sigma, 1e-12) AS score FROM f JOIN s USING (user_id) WHERE c IS NOT NULL AND i IS NOT NULL AND j IS NOT NULL AND sigma IS NOT NULL)
+SELECT user_id, round(score, 6) + 0.0 AS score, CASE WHEN abs(score) >= 0.4 THEN CASE WHEN score > 0 THEN 'click' ELSE 'view' END END AS over FROM g
+""")
+def q_floored_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = T.table(spark, sf_dir, "events")
+    mid = lambda t, a: F.median(F.when(F.col("event_type") == t, F.col("value"))).alias(a)
+    flanks = e.groupBy("user_id").agg(mid("purchase", "c"), mid("click", "i"), mid("view", "j"))
+    noise = robust.pooled_noise(e.filter(F.col("event_type").isin("click", "view")), ["user_id"], "event_type", "value")
+    feature = floored_feature(F.col("c"), F.col("i"), F.col("j"), F.col("sigma"))
+    scored = flanks.join(noise, "user_id").filter("c is not null and i is not null and j is not null and sigma is not null").withColumn("score", combine_channels(F.lit(0.0), F.lit(0.0), feature))
+    return scored.select("user_id", _r("score"), decide(F.col("score"), F.lit("click"), F.lit("view"), decision_threshold()).alias("over"))
+
+
+@query("""
+WITH RECURSIVE e AS (SELECT DISTINCT o_custkey % 997 AS u, o_orderkey % 997 AS v FROM orders WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 400000), b AS (SELECT u, v FROM e UNION SELECT v, u FROM e),
+n AS (SELECT u AS node FROM b UNION SELECT v FROM b), r(node, root) AS (SELECT node, node FROM n UNION SELECT b.v, r.root FROM r JOIN b ON b.u = r.node)
+SELECT node, min(root) AS component FROM r GROUP BY node
+""")
+def q_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = T.table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT' and o_totalprice > 400000")
+    e = o.select(F.lit(1).alias("k"), (F.col("o_custkey") % 997).alias("u"), (F.col("o_orderkey") % 997).alias("v")).distinct()
+    nodes = e.select("k", F.col("u").alias("node")).union(e.select("k", "v")).distinct()
+    return graphs.connected_components(nodes, e, ["k"]).select("node", "component")
+
+
+_UP = """
+WITH RECURSIVE {dag}, n AS (SELECT scene, lo AS node FROM dag UNION SELECT scene, hi FROM dag), w AS (SELECT scene, lo, hi, {need} AS need FROM dag),
+r(scene, node, level) AS (SELECT scene, node, CAST(0 AS DOUBLE) FROM n UNION SELECT r.scene, w.hi, r.level + w.need FROM r JOIN w ON w.scene = r.scene AND w.lo = r.node)
+"""
+
+
+@query(_UP.format(dag=T.DAG_SQL, need="1.0") + "SELECT scene, node, max(level) AS level FROM r GROUP BY scene, node")
+def q_longest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = T.dag(spark, sf_dir)
+    nodes = d.select("scene", F.col("lo").alias("node")).union(d.select("scene", "hi")).distinct()
+    return graphs.longest_path(nodes, d, ["scene"])
+
+
+@query(_UP.format(dag=T.DAG_SQL, need="(1 + lo % 3) + (1 + hi % 3)") + "SELECT scene, node, max(level) AS z FROM r GROUP BY scene, node")
+def q_metric_z(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = T.dag(spark, sf_dir)
+    nodes = d.select("scene", F.col("lo").alias("node")).union(d.select("scene", "hi")).distinct().withColumn("radius", 1.0 + F.col("node") % 3)
+    return graphs.stacked_heights(nodes, d, ["scene"])
+
+
+_DIGRAPH = "SELECT DISTINCT l_linestatus AS scene, l_partkey % 40 AS u, l_suppkey % 40 AS v FROM lineitem WHERE l_partkey % 40 <> l_suppkey % 40 AND l_discount = 0.1 AND l_tax = 0.08 AND l_quantity <= 8"
+
+
+@query(f"""
+WITH RECURSIVE e AS ({_DIGRAPH}), n AS (SELECT scene, u AS node FROM e UNION SELECT scene, v FROM e),
+r(scene, a, b) AS (SELECT scene, node, node FROM n UNION SELECT r.scene, r.a, e.v FROM r JOIN e ON e.scene = r.scene AND e.u = r.b)
+SELECT x.scene, x.a AS node, min(x.b) AS component FROM r x JOIN r y ON x.scene = y.scene AND x.a = y.b AND x.b = y.a GROUP BY x.scene, x.a
+""")
+def q_scc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = T.table(spark, sf_dir, "lineitem").filter("l_partkey % 40 <> l_suppkey % 40 and l_discount = 0.1 and l_tax = 0.08 and l_quantity <= 8")
+    e = li.select(F.col("l_linestatus").alias("scene"), (F.col("l_partkey") % 40).alias("u"), (F.col("l_suppkey") % 40).alias("v")).distinct()
+    nodes = e.select("scene", F.col("u").alias("node")).union(e.select("scene", "v")).distinct()
+    return graphs.strong_components(nodes, e, ["scene"])
+
+
+@query(f"""
+WITH {T.PIXEL_SQL} SELECT a.scene, a.r, a.c, count(b.r) AS degree FROM pixel a LEFT JOIN pixel b ON a.scene = b.scene AND abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1 AND (a.r <> b.r OR a.c <> b.c) GROUP BY a.scene, a.r, a.c
+""")
+def q_degree_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pixels.degree(T.pixels(spark, sf_dir), ["scene"])
+
+
+@query(f"""
+WITH RECURSIVE {T.PIXEL_SQL}, w(scene, r, c, root) AS (SELECT scene, r, c, r * 1000 + c FROM pixel UNION SELECT p.scene, p.r, p.c, w.root FROM w JOIN pixel p ON p.scene = w.scene AND abs(p.r - w.r) <= 1 AND abs(p.c - w.c) <= 1),
+m AS (SELECT scene, r, c, min(root) AS root FROM w GROUP BY scene, r, c)
+SELECT scene, r, c, CAST(dense_rank() OVER (PARTITION BY scene ORDER BY root) AS INTEGER) AS label FROM m
+""")
+def q_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pixels.label(T.pixels(spark, sf_dir), ["scene"]).select("scene", "r", "c", F.col("label").cast("int").alias("label"))
+
+
+@query(f"""
+WITH {T.PIXEL_SQL}, d AS (SELECT DISTINCT scene, r + i AS r, c + j AS c FROM pixel, (SELECT unnest([-1, 0, 1]) AS i), (SELECT unnest([-1, 0, 1]) AS j)) SELECT scene, count(*) AS n, CAST(sum(r * 64 + c) AS BIGINT) AS total FROM d GROUP BY scene
+""")
+def q_dilate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pixels.dilate(T.pixels(spark, sf_dir), ["scene"]).groupBy("scene").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("r") * 64 + F.col("c")).alias("total"))
+
+
+@query("""
+WITH f AS (SELECT DISTINCT CAST(l_orderkey % 7 AS VARCHAR) AS scene_id, CAST(l_suppkey % 10 + 1 AS INTEGER) AS iid, (l_partkey % 64) * 64 + l_suppkey * 7 % 64 AS pos FROM lineitem),
+o AS (SELECT scene_id, iid, count(*) AS n, list(pos ORDER BY pos) AS own FROM f GROUP BY ALL), s AS (SELECT *, sum(n) OVER (PARTITION BY scene_id ORDER BY iid) AS e FROM o)
+SELECT scene_id, array_to_string(list(iid ORDER BY iid), ',') AS ids, '0,' || array_to_string(list(CAST(e AS BIGINT) ORDER BY iid), ',') AS indptr, array_to_string(flatten(list(own ORDER BY iid)), ',') AS indices FROM s GROUP BY scene_id
+""")
+def q_csr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = T.table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 7).cast("string").alias("scene_id"), (F.col("l_suppkey") % 10 + 1).cast("int").alias("iid"), (F.col("l_partkey") % 64).cast("int").alias("r"), (F.col("l_suppkey") * 7 % 64).cast("int").alias("c"))
+    scenes = spark.range(7).select(F.col("id").cast("string").alias("scene_id"), F.lit(64).alias("height"), F.lit(64).alias("width"))
+    e = encoding.encode(li, scenes)
+    text = lambda c: F.array_join(F.transform(c, lambda v: v.cast("string")), ",").alias(c)
+    return e.select("scene_id", text("ids"), text("indptr"), text("indices"))
+
+
+@query(f"""
+WITH {T.PIXEL_SQL}, b AS (SELECT i, floor(i * 64 / 3.0) AS a, floor((i + 1) * 64 / 3.0) AS z FROM (SELECT unnest([0, 1, 2]) AS i))
+SELECT scene AS scene_id, CAST(y.i AS INTEGER) AS tile_r, CAST(x.i AS INTEGER) AS tile_c, count(*) AS n, CAST(sum(r - y.a) AS BIGINT) AS sum_r FROM pixel JOIN b y ON r >= y.a AND r < y.z JOIN b x ON c >= x.a AND c < x.z GROUP BY ALL HAVING count(*) >= 20
+""")
+def q_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = T.pixels(spark, sf_dir).withColumnRenamed("scene", "scene_id")
+    scenes = spark.range(3).select(F.col("id").cast("int").alias("scene_id"), F.lit(64).alias("height"), F.lit(64).alias("width"))
+    return pixels.tile(p, scenes, (3, 3)).groupBy("scene_id", "tile_r", "tile_c").agg(F.count(F.lit(1)).alias("n"), F.sum("r").alias("sum_r")).filter("n >= 20")
+
+
+@query("""
+WITH f AS (SELECT url AS path, regexp_extract(url, '^(https?://[^/]+)', 1) AS folder FROM pages), p AS (SELECT *, CASE WHEN path LIKE '%.html%' THEN 0 WHEN path LIKE '%/' THEN 1 WHEN path LIKE '%?%' THEN 2 ELSE 3 END AS rank FROM f)
+SELECT folder, path FROM (SELECT *, row_number() OVER (PARTITION BY folder ORDER BY rank, path) AS k FROM p) WHERE k = 1
+""")
+def q_discover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandel.sources.discovery import best_match
+
+    files = T.table(spark, sf_dir, "pages").select(F.col("url").alias("path"), F.regexp_extract("url", "^(https?://[^/]+)", 1).alias("folder"))
+    return best_match(files, ["%.html%", "%/", "%?%", "%"])
+
+
+@query("""
+WITH t AS (SELECT l_suppkey AS trial, CAST(count(*) FILTER (WHERE l_returnflag = 'N') AS DOUBLE) AS tp, CAST(count(*) FILTER (WHERE l_returnflag = 'R') AS DOUBLE) AS fp, CAST(count(*) FILTER (WHERE l_returnflag = 'A') AS DOUBLE) AS fn FROM lineitem GROUP BY l_suppkey)
+SELECT trial, round(2 * tp / (2 * tp + fp + fn), 9) + 0.0 AS f1, CAST(row_number() OVER (ORDER BY 2 * tp / (2 * tp + fp + fn) DESC, trial) AS INTEGER) AS rank FROM t ORDER BY rank LIMIT 8
+""")
+def q_topk_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flag = lambda f, a: F.when(F.col("l_returnflag") == f, 1.0).otherwise(0.0).alias(a)
+    rows = T.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("trial"), flag("N", "tp"), flag("R", "fp"), flag("A", "fn"))
+    return agreement.best_trials(agreement.micro_f1(rows, ["trial"]), "f1", "trial", 8).select("trial", _r("f1", 9), "rank")
+
+
+@query("SELECT lang, avg(n_chars) AS mean_chars, count(*) AS n FROM documents GROUP BY ROLLUP (lang)".replace("avg(n_chars)", "round(avg(n_chars), 6) + 0.0"))
+def q_rollup_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.table(spark, sf_dir, "documents").rollup("lang").agg((F.round(F.avg("n_chars"), 6) + 0.0).alias("mean_chars"), F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""
+WITH {T.DAG_SQL}, z AS (SELECT scene, node, CAST(node % 11 AS DOUBLE) AS z, 1.0 + node % 3 AS radius FROM (SELECT scene, lo AS node FROM dag UNION SELECT scene, hi FROM dag))
+SELECT d.scene, lo AS i, hi AS j, abs(a.z - b.z) AS separation, CAST(a.radius + b.radius AS DOUBLE) AS required FROM dag d JOIN z a ON a.scene = d.scene AND a.node = lo JOIN z b ON b.scene = d.scene AND b.node = hi WHERE abs(a.z - b.z) < a.radius + b.radius - 1e-6
+""")
+def q_clearance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = T.dag(spark, sf_dir)
+    nodes = d.select("scene", F.col("lo").alias("iid")).union(d.select("scene", "hi")).distinct()
+    heights = nodes.withColumn("z", (F.col("iid") % 11).cast("double")).withColumn("radius", 1.0 + F.col("iid") % 3)
+    return spatial.clearance_violations(d.select("scene", F.col("lo").alias("i"), F.col("hi").alias("j")), heights, ["scene"])
+
+
+@query("""
+SELECT c_nationkey AS scene, c_custkey AS iid, coalesce(CASE WHEN c_acctbal > 0 THEN c_acctbal END, median(CASE WHEN c_acctbal > 0 THEN c_acctbal END) OVER (PARTITION BY c_nationkey), 5.0) AS radius, c_acctbal <= 0 AS imputed FROM customer
+""")
+def q_impute_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = T.table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("scene"), F.col("c_custkey").alias("iid"), F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")).alias("radius"))
+    return robust.impute_by_median(rows, ["scene"], "radius", 5.0).select("scene", "iid", "radius", "imputed")
+
+
+@query("""
+WITH m AS (SELECT event_type, user_id, event_id, value, median(value) OVER (PARTITION BY event_type) AS md, count(*) OVER (PARTITION BY event_type) AS n FROM events)
+SELECT event_type, count(*) AS n, count(*) FILTER (WHERE n >= 20 AND value > 2 * md) AS refused FROM m GROUP BY event_type
+""")
+def q_width_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = robust.under_cap(T.table(spark, sf_dir, "events"), ["event_type"], "value")
+    return marked.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_if("over_cap").alias("refused"))
+
+
+@query("""
+WITH h AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL) SELECT user_id, string_agg(event_type || '=' || n, ',' ORDER BY event_type) AS refusals FROM h GROUP BY user_id
+""")
+def q_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = T.table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
+    return h.groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_type", "n"))), lambda x: F.concat_ws("=", x["event_type"], x["n"].cast("string"))), ",").alias("refusals"))
+
+
+@query("""
+WITH p AS (SELECT DISTINCT l_orderkey, l_suppkey % 5 AS iid, l_linenumber FROM lineitem), a AS (SELECT l_orderkey, iid, count(*) AS area FROM p GROUP BY ALL)
+SELECT l_orderkey, iid, area, row_number() OVER (PARTITION BY l_orderkey ORDER BY area DESC, iid) AS place FROM a
+""")
+def q_area_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    areas = T.table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_suppkey") % 5).alias("iid"), "l_linenumber").distinct().groupBy("l_orderkey", "iid").agg(F.count(F.lit(1)).alias("area"))
+    return areas.withColumn("place", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(F.desc("area"), "iid")).cast("long"))
+
+
+@query(f"""
+WITH {T.SCENE_TRACK_SQL} SELECT scene, count(*) AS kept FROM strack a WHERE NOT EXISTS (SELECT 1 FROM strack m WHERE m.scene = a.scene AND m.iid % 50 = 0 AND sqrt(pow(a.x - m.x, 2) + pow(a.y - m.y, 2)) <= 15.0) GROUP BY scene
+""")
+def q_away_from_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = T.scene_tracks(spark, sf_dir)
+    marks = t.filter("iid % 50 = 0").select("scene", F.col("x").alias("mx"), F.col("y").alias("my"))
+    return spatial.away_from(t, marks, ["scene"], 15.0).groupBy("scene").agg(F.count(F.lit(1)).alias("kept"))
+
+
+@query("""
+WITH s AS (SELECT user_id, min(ts) AS t0, max(ts) AS t1, count(*) AS n, CAST(sum(value) AS DOUBLE) AS v FROM (SELECT *, sum(j) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sess FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= INTERVAL 6 HOUR THEN 1 ELSE 0 END AS j FROM events)) GROUP BY user_id, sess)
+SELECT user_id, count(*) AS sessions, max(n) AS longest FROM s GROUP BY user_id
+""")
+def q_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = T.table(spark, sf_dir, "events")
+    s = e.groupBy("user_id", F.session_window("ts", "6 hours")).agg(F.count(F.lit(1)).alias("n"))
+    return s.groupBy("user_id").agg(F.count(F.lit(1)).alias("sessions"), F.max("n").alias("longest"))
