@@ -171,7 +171,7 @@ def excursion(df: DataFrame, keys: list[str], value: str, sigma: str, order: str
         inside = (F.col("_n") >= width) & (F.col("_i") >= half) & (F.col("_i") < F.col("_n") - half)
         cells.append(F.struct(F.when(inside, F.abs(roll - F.col("_level")) / se).alias("z"), F.lit(-width).alias("w"), (-F.col("_i")).alias("i")))
     ok = (F.col("_n") >= 6) & (F.col(sigma) > 1e-6)
-    best = base.select(*keys, ok.alias("_ok"), F.explode(F.array(*cells)).alias("c")).filter("_ok and c.z > 0").groupBy(*keys).agg(F.max("c").alias("c"))
+    best = base.select(*keys, ok.alias("_ok"), F.array(*cells).alias("_cells")).select(*keys, "_ok", F.explode("_cells").alias("c")).filter("_ok and c.z > 0").groupBy(*keys).agg(F.max("c").alias("c"))
     return best.select(*keys, F.col("c.z").alias("z"), (-F.col("c.i")).cast("int").alias("place"), (-F.col("c.w")).cast("int").alias("width"))
 
 
