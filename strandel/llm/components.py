@@ -1,27 +1,61 @@
-"""Connected components of an edge table, by label propagation with pointer jumping."""
+"""Connected components of an edge table: contraction inside tasks, then label propagation."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandel.llm.common import cut
+from strandel.llm.common import cut_small
+
+#: Edges that one task contracts by itself.
+EDGES_A_TASK = 200_000
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Union-find over one partition's edges: each node with the smallest node of its part."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        top = x
+        while parent.setdefault(top, top) != top:
+            top = parent[top]
+        while parent[x] != top:
+            parent[x], x = top, parent[x]
+        return top
+
+    for b in batches:
+        for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            p, q = root(u), root(v)
+            if p != q:
+                parent[max(p, q)] = min(p, q)
+    nodes = np.fromiter(parent, np.int64, len(parent))
+    yield pa.record_batch([pa.array(nodes), pa.array([root(x) for x in nodes.tolist()], pa.int64())], names=["a", "b"])
 
 
 def components(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
     """node, component (the smallest node reachable) of every node of `edges` (a, b: long).
 
-    Each round takes the smallest label among a node and its neighbours (combined map-side, so a hub
-    is not gathered), then follows labels of labels, which halves what is left of long chains. Rounds
-    are cut by a checkpoint. Running out of rounds raises.
+    Each task contracts its own edges, a bounded number, into stars. Where one task holds all, that is
+    the result. Else each round takes the smallest label among a node and its neighbours (combined
+    map-side, so a hub is not gathered), then follows labels of labels, which halves what is left of
+    long chains. Rounds are cut by a checkpoint. Running out of rounds raises.
     """
-    both = cut(edges.select("a", "b").union(edges.select("b", "a")).filter("a <> b").distinct())
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("component")))
+    lines = cut_small(edges.select("a", "b").filter("a <> b"), EDGES_A_TASK)
+    parts = lines.rdd.getNumPartitions()
+    stars = cut_small(lines.mapInArrow(_stars, "a long, b long"), EDGES_A_TASK, parts)
+    if parts == 1:
+        return stars.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    both = cut_small(stars.union(stars.select("b", "a")).filter("a <> b").distinct(), parts=parts)
+    labels = cut_small(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("component")), parts=parts)
     for _ in range(most_rounds):
         near = both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
         stepped = labels.join(near, "node", "left").select("node", "component", F.least("component", F.coalesce("near", "component")).alias("step"))
         roots = stepped.select(F.col("node").alias("root"), F.col("step").alias("jump"))
-        moved = cut(stepped.join(roots, F.col("step") == F.col("root"), "left").select("node", F.col("component").alias("old"), F.least("step", F.coalesce("jump", "step")).alias("component")))
+        moved = cut_small(stepped.join(roots, F.col("step") == F.col("root"), "left").select("node", F.col("component").alias("old"), F.least("step", F.coalesce("jump", "step")).alias("component")), parts=parts)
         labels = moved.select("node", "component")
         if moved.filter("old <> component").isEmpty():
             return labels

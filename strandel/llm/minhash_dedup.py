@@ -5,12 +5,14 @@
    bucket's least value is stored as a leading-zero count and MANTISSA bits. Empty buckets
    borrow from others in a fixed order, so short texts band as well.
 2. Texts with equal sets become one class, before any pairing.
-3. Bands of ROWS registers put classes into buckets. Every class is compared to one leader a
-   bucket, never to all of it. A collision-corrected estimate from the registers drops pairs that
-   are surely under the threshold; the rest are checked on the full sets.
-4. Buckets that still hold more than one component are searched whole, in square blocks of
-   bounded size, for pairs across components; those too are checked on the full sets. So no link
-   that shares a band is lost to the choice of leaders.
+3. Bands of registers put classes into buckets. Every class is compared to one leader a bucket (the
+   class that shares most), never to all of it. A collision-corrected estimate from the registers
+   drops pairs that are surely under the threshold; the rest are checked on the full sets.
+4. Buckets that still hold more than one component are searched in square blocks of bounded size:
+   first each class's nearest partners in other components, then whatever pairs across components
+   are left, checked on the full sets inside the block, which gives back links only. So no link
+   that shares a band is lost to the choice of leaders, and pairs within a component, or pairs that
+   do not link, are never listed.
 5. Components of the links; the smallest doc_id of each stays.
 
 Defined results: no words (or null) gives an empty set, size 0, linked with nothing; fewer words than
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandel.llm.common import cut, salted_lookup, table
+from strandel.llm.common import cut, cut_small, rows_of, salted_lookup, table
 from strandel.llm.components import components
 from strandel.llm.words import groups, mix, text_bytes, window_hashes, word_spans
 
@@ -41,6 +43,12 @@ ERRORS = 4.0
 ALWAYS_CHECK = 100
 #: Classes of a bucket that are searched in one block, and pairs checked in one share of a hub.
 BLOCK, SHARE = 1_024, 1_000
+#: Bytes of full sets in one block.
+BLOCK_BYTES = 16 << 20
+#: Full sets a partition.
+SET_ROWS = 10_000
+#: Partners of the highest estimate that each class of an open bucket is checked against first.
+NEAREST = 3
 _BITS = 64 - 7
 _PROBES = np.random.default_rng(20240229).permuted(np.tile(np.arange(REGISTERS), (REGISTERS, 1)), axis=1)
 
@@ -159,80 +167,143 @@ def likely(pairs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
             est = estimate(_matrix(b.column(3).to_pylist()), _matrix(b.column(5).to_pylist()), n_a, n_b)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(_passes(est, n_a, n_b, rule.percent)))
 
-    side = lambda x: classes.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("regs").alias(f"r_{x}"))
-    joined = _on_hub(pairs.join(side("a"), "a"), side("b"), "b", "a")
-    return joined.select("a", "b", "n_a", "r_a", "n_b", "r_b").mapInArrow(run, "a long, b long")
+    return _with_both(pairs, classes.select(F.col("rep").alias("node"), "n", "regs"), ["n", "regs"]).select("a", "b", "n_a", "regs_a", "n_b", "regs_b").mapInArrow(run, "a long, b long")
 
 
-def _on_hub(pairs: DataFrame, nodes: DataFrame, hub: str, other: str) -> DataFrame:
-    """pairs ⋈ nodes on `hub`, where one hub may stand in many pairs: its pairs are dealt into shares."""
-    shares = pairs.groupBy(hub).agg(F.ceil(F.count(F.lit(1)) / SHARE).cast("int").alias("shares")).filter("shares > 1")
-    dealt = nodes.join(shares, hub, "left").withColumn("share", F.explode(F.sequence(F.lit(0), F.coalesce("shares", F.lit(1)) - 1))).drop("shares")
-    keyed = salted_lookup(pairs, shares, [hub], F.col(other)).withColumn("share", F.pmod(F.xxhash64(other), F.coalesce("shares", F.lit(1))).cast("int")).drop("shares")
-    return keyed.join(dealt, [hub, "share"]).drop("share")
+def _with_both(pairs: DataFrame, nodes: DataFrame, columns: list[str]) -> DataFrame:
+    """pairs with the columns of both nodes; a hub `b` that stands in many pairs is dealt into shares."""
+    side = lambda x: nodes.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in columns])
+    shares = cut_small(pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / SHARE).cast("int").alias("shares")).filter("shares > 1"))
+    keyed = salted_lookup(pairs, shares, ["b"], F.col("a")).select("a", "b", F.pmod(F.xxhash64("a"), F.coalesce("shares", F.lit(1))).cast("int").alias("share"))
+    dealt = side("b").join(shares, "b", "left").withColumn("share", F.explode(F.sequence(F.lit(0), F.coalesce("shares", F.lit(1)) - 1))).drop("shares")
+    return keyed.join(side("a"), "a").join(dealt, ["b", "share"]).drop("share")
 
 
-def verified(docs: DataFrame, pairs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The pairs that link, by the full sets of both texts."""
+def sets_of(docs: DataFrame, nodes: DataFrame, rule: Rule, id_col: str, text_col: str) -> DataFrame:
+    """node, set (sorted shingle hashes) of the texts whose doc_id is among `nodes`."""
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.record_batch([b.column(0), pa.array([s.tobytes() for s in shingle_sets(b.column(1), rule.width)], pa.binary())], names=["node", "set"])
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text"))
+    return cut_small(rows_of(texts, cut_small(nodes.distinct()), "node").mapInArrow(run, "node long, set binary").dropDuplicates(["node"]), SET_ROWS)
+
+
+def _linked(x: np.ndarray, y: np.ndarray, rule: Rule) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= rule.percent * (len(x) + len(y) - both)
+
+
+def verified(docs: DataFrame, pairs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The pairs that link, by the full sets of both texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ok = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                ok.append(100 * both >= rule.percent * (len(p) + len(q) - both))
+            ok = [_linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), rule) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text"))
-    found = cut(texts.join(nodes.hint("shuffle_hash"), "node").mapInArrow(sets, "node long, set binary").dropDuplicates(["node"]))
-    with_a = pairs.join(found.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a")
-    both = _on_hub(pairs, found.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b", "a").join(with_a.select("a", "b", "set_a"), ["a", "b"])
-    return both.select("a", "b", "set_a", "set_b").mapInArrow(check, "a long, b long")
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node")))
+    found = sets_of(docs, nodes, rule, id_col, text_col)
+    return cut_small(_with_both(pairs, found, ["set"]).select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long"))
+
 
+def open_rows(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of buckets of three classes or more that hold more than one component."""
+    marked = shared.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    mixed = marked.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).filter("size > 2 and low <> high").select("key")
+    return salted_lookup(marked.select("rep", "key", "band", "component"), mixed, ["key"], F.col("rep"), "inner")
 
-def rest_of_buckets(bands: DataFrame, classes: DataFrame, labels: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs across components that share a bucket, are not a leader's and may link by the estimate."""
-    marked = bands.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    open_ = marked.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).filter("size > 2 and low <> high").select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    rows = salted_lookup(marked, open_, ["key"], F.col("rep"), "inner").join(classes.select("rep", "n", "regs"), "rep")
+
+def _in_blocks(rows: DataFrame, weight) -> DataFrame:
+    """`rows` of buckets dealt into square blocks (x, y) of bounded weight, so that each pair of a bucket meets in one."""
+    blocks = rows.groupBy("key").agg(F.ceil(F.sum(weight)).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "rep", "component", "n", "regs")
+    dealt = salted_lookup(rows, blocks, ["key"], F.col("rep"), "inner").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other")).drop("other", "blocks")
+
+
+def _partners(part: pd.DataFrame, same_block: bool, rule: Rule, most: int | None) -> Iterator[tuple[int, np.ndarray]]:
+    """For each row of a block the rows of other components that may link to it by the estimate.
+
+    most: only so many of the highest estimate; None gives all of smaller `rep` whose first shared
+    band is this one.
+    """
+    regs, n, comp, rep, own = _matrix(part.regs), part.n.to_numpy(), part.component.to_numpy(), part.rep.to_numpy(), part.own.to_numpy()
+    before = regs[:, : rule.rows * int(part.band.iloc[0])].reshape(len(part), -1, rule.rows)
+    for i in range(len(part)):
+        j = np.flatnonzero((comp != comp[i]) & ((own != own[i]) | same_block) & ((rep < rep[i]) | (most is not None)))
+        if not len(j):
+            continue
+        est = estimate(regs[j], regs[i], n[j], np.full(len(j), n[i]))
+        ok = _passes(est, n[j], n[i], rule.percent)
+        j, est = j[ok], est[ok]
+        if most is not None:
+            j = j[np.argsort(-est, kind="stable")[:most]]
+        elif before.shape[1]:
+            j = j[~(before[j] == before[i]).all(-1).any(-1)]
+        if len(j):
+            yield i, j
+
+
+def nearest_pairs(rows: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
+    """Pairs (a > b) of each class and its NEAREST partners in other components of a bucket."""
 
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("rep", ignore_index=True)
-        regs, n, comp, rep, own = _matrix(part.regs), part.n.to_numpy(), part.component.to_numpy(), part.rep.to_numpy(), part.own.to_numpy()
-        out = []
-        for i in range(len(part)):
-            j = i + 1 + np.flatnonzero((comp[i + 1 :] != comp[i]) & ((own[i + 1 :] != own[i]) | (key[1] == key[2])))
-            if len(j):
-                j = j[_passes(estimate(regs[j], regs[i], n[j], np.full(len(j), n[i])), n[j], n[i], rule.percent)]
-                out.append(pd.DataFrame({"a": rep[j], "b": rep[i]}))
-        return pd.concat(out) if out else pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+        rep = part.rep.to_numpy()
+        out = [(max(rep[i], rep[k]), min(rep[i], rep[k])) for i, j in _partners(part, key[1] == key[2], rule, NEAREST) for k in j]
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
+    dealt = _in_blocks(rows.join(classes.select("rep", "n", "regs"), "rep"), F.lit(1.0 / BLOCK))
     return dealt.groupBy("key", "x", "y").applyInPandas(run, "a long, b long").distinct()
 
 
+def remaining_links(docs: DataFrame, rows: DataFrame, classes: DataFrame, rule: Rule, id_col: str, text_col: str) -> DataFrame:
+    """All links (a > b) across components of open buckets, checked on the full sets inside the blocks.
+
+    A first round finds the rows that have a possible partner at all; only those carry their sets.
+    """
+
+    def possible(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        hit = {k for i, j in _partners(part, key[1] == key[2], rule, None) for k in (i, *j)}
+        return part.iloc[sorted(hit)][["rep", "key", "band", "component"]]
+
+    def check(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        sets, rep = [np.frombuffer(x, np.uint64) for x in part.set], part.rep.to_numpy()
+        out = [(rep[i], rep[k]) for i, j in _partners(part, key[1] == key[2], rule, None) for k in j if _linked(sets[i], sets[k], rule)]
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    known = classes.select("rep", "n", "regs")
+    likely_rows = _in_blocks(rows.join(known, "rep"), F.lit(1.0 / BLOCK)).groupBy("key", "x", "y").applyInPandas(possible, "rep long, key long, band int, component long")
+    likely_rows = cut_small(likely_rows.distinct())
+    found = sets_of(docs, likely_rows.select(F.col("rep").alias("node")), rule, id_col, text_col)
+    weighed = likely_rows.join(known, "rep")
+    dealt = _in_blocks(weighed, F.greatest(F.lit(1.0 / BLOCK), F.col("n") * 8.0 / BLOCK_BYTES))
+    return cut_small(dealt.join(found.select(F.col("node").alias("rep"), "set"), "rep").groupBy("key", "x", "y").applyInPandas(check, "a long, b long").distinct())
+
+
 def near_components(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of `docs`."""
     sig = cut(signatures(docs, rule, id_col, text_col))
     classes = cut(sig.filter("n_shingles > 0").groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "regs")).alias("least"), F.max("n_shingles").alias("n"), F.count(F.lit(1)).alias("rows")).select("k1", "k2", "n", "rows", F.col("least.doc_id").alias("rep"), F.col("least.regs").alias("regs")))
     slices = F.array(*[F.xxhash64(F.lit(k), F.substring("regs", 2 * rule.rows * k + 1, 2 * rule.rows)) for k in range(rule.bands)])
-    bands = classes.select("rep", F.explode(slices).alias("key"))
-    leaders = bands.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", "key").alias("h"), "rep")).alias("lead"), F.count(F.lit(1)).alias("size")).filter("size > 1").select("key", F.col("lead.rep").alias("leader"))
-    shared = cut(bands.join(leaders, "key").select("rep", "key", "leader"))
-    stars = shared.filter("rep <> leader").select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct()
-    links = cut(verified(docs, cut(likely(stars, classes, rule)), rule, id_col, text_col))
+    bands = classes.select("rep", F.posexplode(slices).alias("band", "key"))
+    sizes = bands.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    shared = cut_small(bands.join(sizes, "key").select("rep", "band", "key", "size"))
+    near = shared.groupBy("rep").agg(F.sum("size").alias("near"))  # the middle of a family shares the most
+    leaders = shared.join(near, "rep").groupBy("key").agg(F.max(F.struct("near", F.xxhash64("rep", "key").alias("h"), "rep")).alias("lead")).select("key", F.col("lead.rep").alias("leader"))
+    stars = shared.join(leaders, "key").filter("rep <> leader").select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct()
+    first = cut_small(likely(stars, classes, rule))
+    tried = first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    links = verified(docs, first, rule, id_col, text_col)
     labels = components(links)
-    more = cut(rest_of_buckets(shared.select("rep", "key"), classes, labels, rule).join(stars, ["a", "b"], "left_anti").join(stars.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"))
+    more = cut_small(nearest_pairs(open_rows(shared, labels), classes, rule).join(tried, ["a", "b"], "left_anti"))
     if not more.isEmpty():
         links = links.unionByName(verified(docs, more, rule, id_col, text_col))
         labels = components(links)
+    last = remaining_links(docs, open_rows(shared, labels), classes, rule, id_col, text_col)
+    if not last.isEmpty():
+        labels = components(links.unionByName(last))
     named = classes.join(labels, F.col("rep") == F.col("node"), "left").withColumn("component_id", F.coalesce("component", "rep")).filter("rows > 1 or component_id <> rep").select("k1", "k2", "component_id")
     out = salted_lookup(sig.select("doc_id", "n_shingles", "k1", "k2"), named, ["k1", "k2"], F.col("doc_id"))
     mine = F.when(F.col("n_shingles") > 0, F.col("component_id"))
