@@ -24,11 +24,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandel.llm import fuse_filter
-from strandel.llm.common import ascii_lower, cut, salted_lookup, table
+from strandel.llm.common import ascii_lower, cut, cut_small, salted_lookup, table
 
 ROWS_PER_BUCKET = 16_384
 #: A group's members are compared in shares of about this many rows.
 MEMBERS_PER_SHARE = 1_000
+#: Texts a partition of those that are compared.
+TEXT_ROWS = 5_000
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -76,11 +78,11 @@ def screen(batch: DataFrame, filters: DataFrame, buckets: int) -> DataFrame:
 
 def merged_groups(snapshot: DataFrame, batch: DataFrame) -> DataFrame:
     """digest, keep_id, n of every group of two rows or more over both sides."""
-    exact, new = cut(_grouped(snapshot)), cut(_grouped(batch))
+    exact, new = cut_small(_grouped(snapshot)), cut_small(_grouped(batch))
     buckets = max(1, -(-max(exact.count(), new.count()) // ROWS_PER_BUCKET))
-    seen = cut(screen(new, snapshot_filters(exact, buckets), buckets))
+    seen = cut_small(screen(new, snapshot_filters(exact, buckets), buckets))
     old = exact.select("digest", F.col("keep_id").alias("old_id"), F.col("n").alias("old_n"))
-    positives = cut(seen.filter("maybe").join(old, "digest", "left"))
+    positives = cut_small(seen.filter("maybe").join(old, "digest", "left"))
     both = positives.filter(F.col("old_n").isNotNull()).select("digest", F.greatest("keep_id", "old_id").alias("keep_id"), (F.col("n") + F.col("old_n")).alias("n"))
     fresh = positives.filter(F.col("old_n").isNull()).select("digest", "keep_id", "n").unionByName(seen.filter(~F.col("maybe")).select("digest", "keep_id", "n"))
     only_old = exact.filter("n > 1").join(both, "digest", "left_anti").select("digest", "keep_id", "n")
@@ -90,7 +92,7 @@ def merged_groups(snapshot: DataFrame, batch: DataFrame) -> DataFrame:
 def byte_mismatches(docs: DataFrame, members: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, variant of members whose normalised text differs from that of the row that stays."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    with_text = cut(texts.join(members.select("doc_id", "keep_id", "n").distinct().hint("shuffle_hash"), "doc_id"))
+    with_text = cut_small(texts.join(members.select("doc_id", "keep_id", "n").distinct().hint("shuffle_hash"), "doc_id"), TEXT_ROWS)
     shares = F.ceil(F.col("n") / MEMBERS_PER_SHARE).cast("int")
     kept = with_text.filter("doc_id = keep_id").select("keep_id", F.explode(F.sequence(F.lit(0), shares - 1)).alias("share"), F.col("text").alias("kept_text"))
     pairs = with_text.filter("doc_id <> keep_id").withColumn("share", F.pmod(F.xxhash64("doc_id"), shares)).join(kept, ["keep_id", "share"])
@@ -107,8 +109,8 @@ def exact_dedup(docs: DataFrame, snapshot_rows=None, id_col: str = "doc_id", tex
     old = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0 if snapshot_rows is None else snapshot_rows
     rows = cut(digests(docs, id_col, text_col).withColumn("old", F.coalesce(old, F.lit(False))))
     groups = merged_groups(rows.filter("old"), rows.filter("not old"))
-    joined = cut(salted_lookup(rows.select("doc_id", "digest"), groups, ["digest"], F.col("doc_id")))
-    odd = cut(byte_mismatches(docs, joined.filter("n > 1"), id_col, text_col))
+    joined = cut_small(salted_lookup(rows.select("doc_id", "digest"), groups, ["digest"], F.col("doc_id")))
+    odd = cut_small(byte_mismatches(docs, joined.filter("n > 1"), id_col, text_col))
     if odd.count():  # equal digests of unequal bytes: group those rows by their bytes' wider digest
         split = joined.join(odd.dropDuplicates(["doc_id"]), "doc_id", "left").withColumn("variant", F.coalesce("variant", F.lit("")))
         again = split.groupBy("digest", "variant").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
