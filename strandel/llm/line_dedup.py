@@ -18,7 +18,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandel.llm.common import ascii_lower, cut, salted_lookup, table
+from strandel.llm.common import ascii_lower, cut_small, salted_lookup, table
 from strandel.llm.exprs import BLANKS, let
 
 BATCHES = 4
@@ -99,11 +99,11 @@ def hot_hashes(docs: DataFrame, hashes: Column, min_docs: int, batches: int = BA
     batch = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(batches))
     lines = docs.select(batch.alias("batch"), F.explode(F.array_distinct(F.filter(hashes, lambda h: h.isNotNull()))).alias("hash"))
     in_batch = [F.sum(F.when(F.col("batch") == k, 1).otherwise(0)).alias(f"n{k}") for k in range(batches)]
-    counted = cut(lines.groupBy("hash").agg(*in_batch))
+    counted = cut_small(lines.groupBy("hash").agg(*in_batch), 250_000)
     runs = LineRuns(docs.sparkSession)
     for k in range(batches):
         runs.add(counted.filter(F.col(f"n{k}") > 0).select("hash", F.col(f"n{k}").alias("n")))
-    hot = cut(runs.counts().filter(F.col("n") >= min_docs).select("hash"))
+    hot = cut_small(runs.counts().filter(F.col("n") >= min_docs).select("hash"))
     runs.drop()
     return hot
 
