@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandel.llm.common import cut, salted_lookup, table
+from strandel.llm.common import cut, cut_small, salted_lookup, table
 from strandel.llm.words import SPACE, groups, text_bytes, window_hashes, word_spans
 
 #: measure: (side, least width of a quartile range, widths allowed beyond the quartile)
@@ -132,7 +132,7 @@ def apply_rules(measures: DataFrame, limits: DataFrame) -> DataFrame:
 
 def quality_rules(docs: DataFrame, **columns: str) -> DataFrame:
     measures = cut(measure(docs, **columns))
-    return apply_rules(measures, cut(thresholds(sketches(measures))))
+    return apply_rules(measures, cut_small(thresholds(sketches(measures))))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
