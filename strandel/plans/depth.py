@@ -139,3 +139,67 @@ def stacked(found: DataFrame, shapes: DataFrame, rule: DepthRule = DepthRule())
         return pd.DataFrame([(key[0], x, place[x], layer[x], levels[x], z[x], radii.get(x, rule.default_radius_px)) for x in ids], columns=["scene_id", "iid", "position", "layer", "stack_level", "z", "radius"])
 
     return shapes.groupBy("scene_id").cogroup(found.groupBy("scene_id")).applyInPandas(run, SOLVED)
+
+
+def measured_radii(centrelines: DataFrame, greys: DataFrame, found: DataFrame, rule: DepthRule = DepthRule(), step: float = 3.0, margin: float = 4.0, least: int = 5) -> DataFrame:
+    """scene_id, iid, radius, n_cuts, quality, imputed: half the median width of cuts away from crossings.
+
+    Instances with fewer than `least` cuts take the scene's median, or the default."""
+    from strandel.kernels import profile, raster
+    from strandel.operators import robust
+
+    axis = sequence.unit_normals(sequence.densify(centrelines, ["scene_id", "iid"], step), ["scene_id", "iid"])
+    marks = found.select("scene_id", F.explode(F.array("i", "j")).alias("iid"), F.col("x").alias("mx"), F.col("y").alias("my"))
+    clear = spatial.away_from(axis, marks, ["scene_id", "iid"], 2.2 * rule.default_radius_px + margin)
+
+    def run(key: tuple, part: pd.DataFrame, scene: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        if len(part) and len(scene):
+            h, w = int(scene.height.iloc[0]), int(scene.width.iloc[0])
+            image = np.asarray(scene.grey.iloc[0], float).reshape(h, w)
+            level, sure, noise = raster.background(image)
+            for p in part.itertuples():
+                r, c = int(round(p.y)), int(round(p.x))
+                if 0 <= r < h and 0 <= c < w:
+                    cut = profile.measure(image, float(level[r, c]), noise, (p.y, p.x), (p.ny, p.nx), trusted=bool(sure[r, c]))
+                    if cut.ok:
+                        rows.append((key[0], p.iid, cut.width))
+        return pd.DataFrame(rows, columns=["scene_id", "iid", "width"])
+
+    cuts = clear.groupBy("scene_id").cogroup(greys.groupBy("scene_id")).applyInPandas(run, "scene_id string, iid int, width double")
+    stats = robust.spread(cuts, ["scene_id", "iid"], "width", least)
+    known = centrelines.select("scene_id", "iid").distinct().join(stats.select("scene_id", "iid", F.col("n").alias("n_cuts"), "median", "mad"), ["scene_id", "iid"], "left")
+    quality = F.when(F.col("median").isNull(), "none").when((F.col("n_cuts") >= 12) & (F.col("mad") < 0.25 * F.col("median")), "good").otherwise("weak")
+    sized = known.withColumn("quality", quality).withColumn("radius", F.greatest(F.col("median"), F.lit(0.5)) / 2 if rule.radius_mode == "measured" else F.lit(rule.default_radius_px))
+    out = robust.impute_by_median(sized, ["scene_id"], "radius", rule.default_radius_px) if rule.radius_fallback == "median" else sized.withColumn("imputed", F.col("radius").isNull()).fillna({"radius": rule.default_radius_px})
+    return out.select("scene_id", "iid", "radius", "n_cuts", "quality", "imputed")
+
+
+def run_scenes(centrelines: DataFrame, greys: DataFrame, rule: DepthRule = DepthRule(), radii: DataFrame | None = None) -> dict[str, DataFrame]:
+    """crossings, instances, violations and a report of every scene.
+
+    Contacts (strokes that overlap without crossing) constrain heights where clear_grazing_overlaps is
+    set, or where grazing_evidence decides them."""
+    found = crossings(centrelines, rule)
+    shapes = measured_radii(centrelines, greys, found, rule) if radii is None else radii
+    seen = with_evidence(found, centrelines, greys, rule).withColumn("grazing", F.lit(False))
+    dense = sequence.densify(centrelines, ["scene_id", "iid"], 2.0).select("scene_id", "iid", "x", "y")
+    widest = shapes.agg(F.max("radius")).first()[0] or rule.default_radius_px  # one number
+    near = spatial.closest_contacts(dense, shapes.select("scene_id", "iid", "radius"), ["scene_id"], "iid", widest, rule.z_gap_px, rule.default_radius_px, found.select("scene_id", "i", "j").distinct())
+    contacts = near.select("scene_id", F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), "x", "y")
+    if rule.grazing_evidence:
+        touched = with_evidence(contacts, centrelines, greys, rule)
+    else:
+        blank = [x.split() for x in EVIDENCE.split(", ")[5:]]
+        touched = contacts.select("*", *[F.lit(3 if n == "reason" else None).cast(t).alias(n) for n, t in blank])
+    touched = touched.withColumn("grazing", F.lit(True))
+    bound = seen.unionByName(touched if rule.clear_grazing_overlaps else touched.filter("raw_over is not null"))
+    solved = stacked(bound.drop("grazing"), shapes.select("scene_id", "iid", "radius"), rule)
+    place = lambda t: solved.select("scene_id", F.col("iid").alias(t), F.col("position").alias(f"_p{t}"))
+    final = bound.join(place("i"), ["scene_id", "i"]).join(place("j"), ["scene_id", "j"])
+    over = F.when(F.col("raw_over").isNotNull(), F.when(F.col("_pi") < F.col("_pj"), F.col("i")).otherwise(F.col("j")))
+    final = final.withColumn("over", over).withColumn("flipped", F.coalesce(F.col("over") != F.col("raw_over"), F.lit(False))).drop("_pi", "_pj")
+    pairs = seen.select("scene_id", "i", "j").union(contacts.select("scene_id", "i", "j")).distinct()
+    broken = spatial.clearance_violations(pairs, solved.select("scene_id", "iid", "z", "radius"), ["scene_id"], rule.z_gap_px, default_radius=rule.default_radius_px)
+    report = final.groupBy("scene_id").agg(F.count(F.lit(1)).alias("n_pairs"), F.count_if(F.col("raw_over").isNull()).alias("n_abstained"), F.count_if("flipped").alias("n_flipped")).join(broken.groupBy("scene_id").agg(F.count(F.lit(1)).alias("n_interpenetrating")), "scene_id", "left").fillna({"n_interpenetrating": 0})
+    return {"crossings": final, "instances": solved, "violations": broken, "report": report}
