@@ -1,7 +1,7 @@
 """Iterative graph operators: components, longest paths, strong components, clearance heights.
 
-Each is a loop of joins and aggregations over edge tables keyed by scene, so all scenes converge
-together in one loop. Rounds are cut by reliable checkpoints; hubs are combined map-side.
+Bounded scenes are solved inside tasks; larger ones by a loop of joins and aggregations over edge
+tables keyed by scene, in which all of them converge together. Rounds are cut by reliable checkpoints; hubs are combined map-side.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandel.kernels.ordering import strong_parts
 from strandel.session import cut
 
 
@@ -68,15 +69,67 @@ def connected_components(nodes: DataFrame, edges: DataFrame, keys: list[str], mo
     raise RuntimeError("components did not settle")
 
 
-def longest_path(nodes: DataFrame, edges: DataFrame, keys: list[str], weight: str | None = None, most_rounds: int = 10_000) -> DataFrame:
+def _by_size(nodes: DataFrame, edges: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes with their out-edges as one row a scene, for scenes of at most EDGES_A_TASK edges; nodes and edges of the others."""
+    sizes = edges.groupBy(*keys).agg(F.count(F.lit(1)).alias("_m"))
+    large = sizes.filter(F.col("_m") > EDGES_A_TASK).select(*keys)
+    lines = edges.join(large, keys, "left_anti").groupBy(*keys).agg(F.collect_list(F.struct(*[c for c in edges.columns if c not in keys])).alias("_lines"))
+    own = nodes.join(large, keys, "left_anti").groupBy(*keys).agg(F.collect_set("node").alias("_nodes"))
+    return own.join(lines, keys, "left"), nodes.join(large, keys, "left_semi"), edges.join(large, keys, "left_semi")
+
+
+def _in_tasks(small: DataFrame, keys: list[str], solve, out: str) -> DataFrame:
+    kinds = {f.name: f.dataType.simpleString() for f in small.schema}
+    names = [*keys, "node", out.split()[0]]
+
+    def run(parts):
+        for part in parts:
+            rows = []
+            for row in part.to_dict("records"):
+                held = row["_lines"]
+                found = solve([int(x) for x in row["_nodes"]], [] if held is None else list(held))
+                rows += [(*(row[k] for k in keys), n, v) for n, v in found.items()]
+            yield pd.DataFrame(rows, columns=names)
+
+    return small.mapInPandas(run, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + f", node long, {out}")
+
+
+def _levels(nodes: list[int], lines: list) -> dict[int, float]:
+    """Heaviest paths from below, in topological order."""
+    up, left = {n: [] for n in nodes}, dict.fromkeys(nodes, 0)
+    for e in lines:
+        up.setdefault(e["lo"], []).append((e["hi"], e["w"]))
+        left[e["hi"]] = left.get(e["hi"], 0) + 1
+    level, ready = dict.fromkeys({*nodes, *up, *left}, 0.0), [n for n in {*nodes, *up, *left} if not left.get(n)]
+    done = 0
+    while ready:
+        x = ready.pop()
+        done += 1
+        for y, w in up.get(x, ()):
+            level[y] = max(level[y], level[x] + w)
+            left[y] -= 1
+            if not left[y]:
+                ready.append(y)
+    if done < len(level):
+        raise ValueError("the edges hold a cycle")
+    return {n: level[n] for n in nodes}
+
+
+def longest_path(nodes: DataFrame, edges: DataFrame, keys: list[str], weight: str | None = None) -> DataFrame:
     """keys, node, level: the heaviest path from below, over edges (lo, hi); every edge weighs 1 or `weight`.
 
-    Needs acyclic edges; a cycle keeps rising and raises once the rounds exceed the number of nodes.
+    Scenes of a bounded number of edges are swept in topological order, many a task; larger ones rise
+    in rounds over the whole table. A cycle raises.
     """
     lines = cut(edges.select(*keys, "lo", "hi", (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w")).groupBy(*keys, "lo", "hi").agg(F.max("w").alias("w")))
-    levels = cut(nodes.select(*keys, "node").distinct().withColumn("level", F.lit(0.0)))
-    most = min(most_rounds, levels.count() + 1)
-    for _ in range(most):
+    small, most_nodes, most_lines = _by_size(nodes.select(*keys, F.col("node").cast("long").alias("node")).distinct(), lines, keys)
+    swept = _in_tasks(small, keys, _levels, "level double")
+    return swept if most_lines.isEmpty() else swept.unionByName(_rising(most_nodes, most_lines, keys))
+
+
+def _rising(nodes: DataFrame, lines: DataFrame, keys: list[str]) -> DataFrame:
+    levels = cut(nodes.withColumn("level", F.lit(0.0)))
+    for _ in range(levels.count() + 1):
         up = lines.join(levels.withColumnRenamed("node", "lo"), [*keys, "lo"]).groupBy(*keys, F.col("hi").alias("node")).agg(F.max(F.col("level") + F.col("w")).alias("_up"))
         moved = cut(levels.join(up, [*keys, "node"], "left").select(*keys, "node", F.col("level").alias("_old"), F.greatest("level", F.coalesce("_up", "level")).alias("level")))
         levels = moved.select(*keys, "node", "level")
@@ -85,14 +138,32 @@ def longest_path(nodes: DataFrame, edges: DataFrame, keys: list[str], weight: st
     raise ValueError("the edges hold a cycle")
 
 
-def strong_components(nodes: DataFrame, edges: DataFrame, keys: list[str], most_rounds: int = 1_000) -> DataFrame:
+def _strong(nodes: list[int], lines: list) -> dict[int, int]:
+    down: dict[int, list[int]] = {}
+    for e in lines:
+        down.setdefault(int(e["u"]), []).append(int(e["v"]))
+    return {n: part[0] for part in strong_parts(sorted(nodes), down) for n in part}
+
+
+def strong_components(nodes: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
     """keys, node, component: the smallest node with paths both ways, over directed edges (u, v).
 
+    Scenes of a bounded number of edges are searched depth first, many a task; larger ones are coloured
+    in rounds over the whole table.
+    """
+    lines = cut(edges.select(*keys, F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).filter("u <> v").distinct())
+    small, most_nodes, most_lines = _by_size(nodes.select(*keys, F.col("node").cast("long").alias("node")).distinct(), lines, keys)
+    found = _in_tasks(small, keys, _strong, "component long")
+    return found if most_lines.isEmpty() else found.unionByName(_coloured(most_nodes, most_lines, keys))
+
+
+def _coloured(nodes: DataFrame, lines: DataFrame, keys: list[str], most_rounds: int = 1_000) -> DataFrame:
+    """Strong components of large scenes.
+
     Forward-backward colouring: labels sink along edges to each node's smallest ancestor; the nodes of a
     colour that reach its root are one component and leave; the others are coloured again.
     """
-    left = cut(nodes.select(*keys, "node").distinct())
-    lines = cut(edges.select(*keys, "u", "v").filter("u <> v").distinct())
+    left = cut(nodes)
     done = None
     for _ in range(most_rounds):
         colour = _spread(left.withColumn("label", F.col("node")), lines, keys, "u", "v", most_rounds)

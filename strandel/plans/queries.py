@@ -287,13 +287,13 @@ def q_floored_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH RECURSIVE e AS (SELECT DISTINCT o_custkey % 997 AS u, o_orderkey % 997 AS v FROM orders WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 400000), b AS (SELECT u, v FROM e UNION SELECT v, u FROM e),
+WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS u, 100000000 + CAST(floor(o_totalprice) AS BIGINT) AS v FROM orders), b AS (SELECT u, v FROM e UNION SELECT v, u FROM e),
 n AS (SELECT u AS node FROM b UNION SELECT v FROM b), r(node, root) AS (SELECT node, node FROM n UNION SELECT b.v, r.root FROM r JOIN b ON b.u = r.node)
 SELECT node, min(root) AS component FROM r GROUP BY node
 """)
 def q_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = T.table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT' and o_totalprice > 400000")
-    e = o.select(F.lit(1).alias("k"), (F.col("o_custkey") % 997).alias("u"), (F.col("o_orderkey") % 997).alias("v")).distinct()
+    o = T.table(spark, sf_dir, "orders")
+    e = o.select(F.lit(1).alias("k"), F.col("o_custkey").alias("u"), (F.lit(100_000_000) + F.floor("o_totalprice")).alias("v")).distinct()
     nodes = e.select("k", F.col("u").alias("node")).union(e.select("k", "v")).distinct()
     return graphs.connected_components(nodes, e, ["k"]).select("node", "component")
 
@@ -318,42 +318,43 @@ def q_metric_z(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graphs.stacked_heights(nodes, d, ["scene"])
 
 
-_DIGRAPH = "SELECT DISTINCT l_linestatus AS scene, l_partkey % 40 AS u, l_suppkey % 40 AS v FROM lineitem WHERE l_partkey % 40 <> l_suppkey % 40 AND l_discount = 0.1 AND l_tax = 0.08 AND l_quantity <= 8"
-
-
 @query(f"""
-WITH RECURSIVE e AS ({_DIGRAPH}), n AS (SELECT scene, u AS node FROM e UNION SELECT scene, v FROM e),
-r(scene, a, b) AS (SELECT scene, node, node FROM n UNION SELECT r.scene, r.a, e.v FROM r JOIN e ON e.scene = r.scene AND e.u = r.b)
-SELECT x.scene, x.a AS node, min(x.b) AS component FROM r x JOIN r y ON x.scene = y.scene AND x.a = y.b AND x.b = y.a GROUP BY x.scene, x.a
+WITH RECURSIVE {T.STEP_SQL}, n AS (SELECT scene, u AS node FROM step UNION SELECT scene, v FROM step),
+r(scene, a, b) AS (SELECT scene, node, node FROM n UNION SELECT r.scene, r.a, e.v FROM r JOIN step e ON e.scene = r.scene AND e.u = r.b)
+SELECT x.scene, CAST(x.a AS INTEGER) AS node, CAST(min(x.b) AS INTEGER) AS component FROM r x JOIN r y ON x.scene = y.scene AND x.a = y.b AND x.b = y.a GROUP BY x.scene, x.a
 """)
 def q_scc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = T.table(spark, sf_dir, "lineitem").filter("l_partkey % 40 <> l_suppkey % 40 and l_discount = 0.1 and l_tax = 0.08 and l_quantity <= 8")
-    e = li.select(F.col("l_linestatus").alias("scene"), (F.col("l_partkey") % 40).alias("u"), (F.col("l_suppkey") % 40).alias("v")).distinct()
+    e = T.type_steps(spark, sf_dir)
     nodes = e.select("scene", F.col("u").alias("node")).union(e.select("scene", "v")).distinct()
-    return graphs.strong_components(nodes, e, ["scene"])
+    return graphs.strong_components(nodes, e, ["scene"]).select("scene", F.col("node").cast("int").alias("node"), F.col("component").cast("int").alias("component"))
+
+
+_OFF = "(SELECT unnest([-1, 0, 1]) AS i) oi, (SELECT unnest([-1, 0, 1]) AS j) oj"
 
 
 @query(f"""
-WITH {T.PIXEL_SQL} SELECT a.scene, a.r, a.c, count(b.r) AS degree FROM pixel a LEFT JOIN pixel b ON a.scene = b.scene AND abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1 AND (a.r <> b.r OR a.c <> b.c) GROUP BY a.scene, a.r, a.c
+WITH {T.PIXEL_SQL}, near AS (SELECT scene, r + i AS r, c + j AS c, count(*) AS k FROM pixel, {_OFF} WHERE i <> 0 OR j <> 0 GROUP BY ALL)
+SELECT a.scene, a.r, a.c, coalesce(k, 0) AS degree FROM pixel a LEFT JOIN near USING (scene, r, c)
 """)
 def q_degree_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pixels.degree(T.pixels(spark, sf_dir), ["scene"])
 
 
 @query(f"""
-WITH RECURSIVE {T.PIXEL_SQL}, w(scene, r, c, root) AS (SELECT scene, r, c, r * 1000 + c FROM pixel UNION SELECT p.scene, p.r, p.c, w.root FROM w JOIN pixel p ON p.scene = w.scene AND abs(p.r - w.r) <= 1 AND abs(p.c - w.c) <= 1),
-m AS (SELECT scene, r, c, min(root) AS root FROM w GROUP BY scene, r, c)
-SELECT scene, r, c, CAST(dense_rank() OVER (PARTITION BY scene ORDER BY root) AS INTEGER) AS label FROM m
+WITH RECURSIVE {T.PIXEL_SQL}, e AS (SELECT a.scene, a.r * 1000 + a.c AS u, p.r * 1000 + p.c AS v FROM (SELECT scene, r, c, r + i AS r2, c + j AS c2 FROM pixel, {_OFF}) a JOIN pixel p ON p.scene = a.scene AND p.r = a.r2 AND p.c = a.c2),
+w(scene, u, root) AS (SELECT scene, r * 1000 + c, r * 1000 + c FROM pixel UNION SELECT e.scene, e.v, w.root FROM w JOIN e ON e.scene = w.scene AND e.u = w.u),
+m AS (SELECT scene, u, min(root) AS root FROM w GROUP BY scene, u)
+SELECT scene, CAST(u // 1000 AS INTEGER) AS r, CAST(u % 1000 AS INTEGER) AS c, CAST(dense_rank() OVER (PARTITION BY scene ORDER BY root) AS INTEGER) AS label FROM m
 """)
 def q_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pixels.label(T.pixels(spark, sf_dir), ["scene"]).select("scene", "r", "c", F.col("label").cast("int").alias("label"))
 
 
 @query(f"""
-WITH {T.PIXEL_SQL}, d AS (SELECT DISTINCT scene, r + i AS r, c + j AS c FROM pixel, (SELECT unnest([-1, 0, 1]) AS i), (SELECT unnest([-1, 0, 1]) AS j)) SELECT scene, count(*) AS n, CAST(sum(r * 64 + c) AS BIGINT) AS total FROM d GROUP BY scene
+WITH {T.PIXEL_SQL}, d AS (SELECT DISTINCT scene, r + i AS r, c + j AS c FROM pixel, (SELECT unnest([-1, 0, 1]) AS i), (SELECT unnest([-1, 0, 1]) AS j)) SELECT scene, count(*) AS n, CAST(sum(r * 499 + c) AS BIGINT) AS total FROM d GROUP BY scene
 """)
 def q_dilate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pixels.dilate(T.pixels(spark, sf_dir), ["scene"]).groupBy("scene").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("r") * 64 + F.col("c")).alias("total"))
+    return pixels.dilate(T.pixels(spark, sf_dir), ["scene"]).groupBy("scene").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("r") * 499 + F.col("c")).alias("total"))
 
 
 @query("""
@@ -370,12 +371,12 @@ def q_csr(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {T.PIXEL_SQL}, b AS (SELECT i, floor(i * 64 / 3.0) AS a, floor((i + 1) * 64 / 3.0) AS z FROM (SELECT unnest([0, 1, 2]) AS i))
+WITH {T.PIXEL_SQL}, b AS (SELECT i, floor(i * 499 / 3.0) AS a, floor((i + 1) * 499 / 3.0) AS z FROM (SELECT unnest([0, 1, 2]) AS i))
 SELECT scene AS scene_id, CAST(y.i AS INTEGER) AS tile_r, CAST(x.i AS INTEGER) AS tile_c, count(*) AS n, CAST(sum(r - y.a) AS BIGINT) AS sum_r FROM pixel JOIN b y ON r >= y.a AND r < y.z JOIN b x ON c >= x.a AND c < x.z GROUP BY ALL HAVING count(*) >= 20
 """)
 def q_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = T.pixels(spark, sf_dir).withColumnRenamed("scene", "scene_id")
-    scenes = spark.range(3).select(F.col("id").cast("int").alias("scene_id"), F.lit(64).alias("height"), F.lit(64).alias("width"))
+    scenes = p.select("scene_id").distinct().withColumns({"height": F.lit(499), "width": F.lit(499)})
     return pixels.tile(p, scenes, (3, 3)).groupBy("scene_id", "tile_r", "tile_c").agg(F.count(F.lit(1)).alias("n"), F.sum("r").alias("sum_r")).filter("n >= 20")
 
 
@@ -451,12 +452,13 @@ def q_area_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {T.SCENE_TRACK_SQL} SELECT scene, count(*) AS kept FROM strack a WHERE NOT EXISTS (SELECT 1 FROM strack m WHERE m.scene = a.scene AND m.iid % 50 = 0 AND sqrt(pow(a.x - m.x, 2) + pow(a.y - m.y, 2)) <= 15.0) GROUP BY scene
+WITH {T.TRACK_SQL}, p AS (SELECT CAST(floor(x / 24) AS BIGINT) AS day, event_type, x, y FROM track)
+SELECT day, count(*) AS kept FROM p a WHERE event_type <> 'signup' AND NOT EXISTS (SELECT 1 FROM p m WHERE m.event_type = 'signup' AND m.day = a.day AND sqrt(pow(a.x - m.x, 2) + pow(a.y - m.y, 2)) <= 2.0) GROUP BY day
 """)
 def q_away_from_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = T.scene_tracks(spark, sf_dir)
-    marks = t.filter("iid % 50 = 0").select("scene", F.col("x").alias("mx"), F.col("y").alias("my"))
-    return spatial.away_from(t, marks, ["scene"], 15.0).groupBy("scene").agg(F.count(F.lit(1)).alias("kept"))
+    t = T.tracks(spark, sf_dir).withColumn("day", F.floor(F.col("x") / 24))
+    marks = t.filter("event_type = 'signup'").select("day", F.col("x").alias("mx"), F.col("y").alias("my"))
+    return spatial.away_from(t.filter("event_type <> 'signup'"), marks, ["day"], 2.0).groupBy("day").agg(F.count(F.lit(1)).alias("kept"))
 
 
 @query("""

@@ -22,10 +22,14 @@ strack AS (
   FROM events)
 """
 PIXEL_SQL = """
-pixel AS (SELECT DISTINCT CAST(l_quantity AS INTEGER) % 3 AS scene, CAST(l_partkey % 64 AS INTEGER) AS r, CAST(l_suppkey * 7 % 64 AS INTEGER) AS c FROM lineitem WHERE (l_orderkey * 31 + l_linenumber * 17) % 97 < 9)
+pixel AS (SELECT DISTINCT l_returnflag AS scene, CAST(l_partkey % 499 AS INTEGER) AS r, CAST(l_orderkey % 499 AS INTEGER) AS c FROM lineitem)
 """
 DAG_SQL = """
-dag AS (SELECT DISTINCT l_returnflag AS scene, least(l_partkey % 50, l_suppkey % 50) AS lo, greatest(l_partkey % 50, l_suppkey % 50) AS hi FROM lineitem WHERE l_partkey % 50 <> l_suppkey % 50 AND l_discount >= 0.09)
+dag AS (SELECT DISTINCT l_returnflag AS scene, least(l_partkey % 50, l_suppkey % 50) AS lo, greatest(l_partkey % 50, l_suppkey % 50) AS hi FROM lineitem WHERE l_partkey % 50 <> l_suppkey % 50)
+"""
+#: Steps between event types within a user's day: a small directed graph a scene.
+STEP_SQL = """
+step AS (SELECT DISTINCT scene, u, v FROM (SELECT user_id || '/' || CAST(CAST(ts AS DATE) AS VARCHAR) AS scene, ascii(event_type) AS u, lead(ascii(event_type)) OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) AS v FROM events) WHERE v IS NOT NULL)
 """
 
 
@@ -51,12 +55,20 @@ def scene_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """scene, r, c: a sparse 64 x 64 mask a scene, from a hash of the line keys."""
-    li = table(spark, sf_dir, "lineitem").filter((F.col("l_orderkey") * 31 + F.col("l_linenumber") * 17) % 97 < 9)
-    return li.select((F.col("l_quantity").cast("int") % 3).alias("scene"), (F.col("l_partkey") % 64).cast("int").alias("r"), (F.col("l_suppkey") * 7 % 64).cast("int").alias("c")).distinct()
+    """scene, r, c: a sparse 499 x 499 mask a return flag, from the line keys."""
+    li = table(spark, sf_dir, "lineitem")
+    return li.select(F.col("l_returnflag").alias("scene"), (F.col("l_partkey") % 499).cast("int").alias("r"), (F.col("l_orderkey") % 499).cast("int").alias("c")).distinct()
 
 
 def dag(spark: SparkSession, sf_dir: str) -> DataFrame:
     """scene, lo, hi: acyclic relations from the lower to the higher number."""
     a, b = F.col("l_partkey") % 50, F.col("l_suppkey") % 50
-    return table(spark, sf_dir, "lineitem").filter((a != b) & (F.col("l_discount") >= 0.09)).select(F.col("l_returnflag").alias("scene"), F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi")).distinct()
+    return table(spark, sf_dir, "lineitem").filter(a != b).select(F.col("l_returnflag").alias("scene"), F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi")).distinct()
+
+
+def type_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """scene, u, v: each step from one event type to the next within a user's day."""
+    day, kind = F.to_date("ts"), F.ascii("event_type")
+    w = Window.partitionBy("user_id", day).orderBy("ts", "event_id")
+    rows = table(spark, sf_dir, "events").select(F.concat_ws("/", F.col("user_id").cast("string"), day.cast("string")).alias("scene"), kind.alias("u"), F.lead(kind).over(w).alias("v"))
+    return rows.filter("v is not null").distinct()

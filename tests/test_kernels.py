@@ -101,3 +101,21 @@ def test_config_is_strict(tmp_path):
     (tmp_path / "twice.yaml").write_text("group: {a: {spur_px: 1}, b: {spur_px: 2}}")
     with pytest.raises(SystemExit):
         config.load(str(tmp_path / "twice.yaml"))
+
+
+def test_graph_loops_equal_the_task_kernels(spark, monkeypatch):
+    from strandel.operators import graphs
+
+    rng = random.Random(9)
+    rows = sorted({(s, rng.randint(0, 14), rng.randint(0, 14)) for s in ("a", "b") for _ in range(24)})
+    any_ = spark.createDataFrame([r for r in rows if r[1] != r[2]], "scene string, u long, v long")
+    down = spark.createDataFrame(sorted({(s, min(u, v), max(u, v), 1.0 + u % 3) for s, u, v in rows if u != v}), "scene string, lo long, hi long, w double")
+    nodes = spark.createDataFrame([(s, n) for s in ("a", "b") for n in range(16)], "scene string, node long")
+    key = lambda df: sorted(map(tuple, df.select("scene", "node", df.columns[-1]).collect()))
+    calls = (lambda: graphs.strong_components(nodes, any_, ["scene"]), lambda: graphs.longest_path(nodes, down, ["scene"], "w"), lambda: graphs.connected_components(nodes, any_, ["scene"]))
+    tasks = [key(f()) for f in calls]
+    monkeypatch.setattr(graphs, "EDGES_A_TASK", 5)
+    assert [key(f()) for f in calls] == tasks
+    with pytest.raises(Exception, match="cycle"):
+        graphs.longest_path(nodes, spark.createDataFrame([("a", 1, 2), ("a", 2, 1)], "scene string, lo long, hi long"), ["scene"]).collect()
+    assert graphs.cycle_groups(nodes, any_, ["scene"]).count() == sum(n > 1 for n in __import__("collections").Counter((s, c) for s, _, c in tasks[0]).values() for _ in range(n))
