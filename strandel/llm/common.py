@@ -40,9 +40,10 @@ def cut_small(df: DataFrame, rows: int = 100_000, parts: int | None = None) -> D
     """`cut` for results far smaller than the input: about `rows` rows a partition, so that rounds over
     few rows start few tasks and leave few files.
 
-    The checkpoint itself is written by `parts` tasks, by default four for every core of the cluster.
+    The checkpoint itself is written by `parts` tasks, by default four for every core of the cluster;
+    0 leaves them as they are, for rows that hold texts.
     """
-    done = cut(df.coalesce(parts or 4 * df.sparkSession.sparkContext.defaultParallelism))
+    done = cut(df if parts == 0 else df.coalesce(parts or 4 * df.sparkSession.sparkContext.defaultParallelism))
     return done.coalesce(max(1, -(-done.count() // rows)))
 
 
@@ -62,7 +63,7 @@ def salted_lookup(left: DataFrame, right: DataFrame, on: list[str], spread: Colu
 
 
 #: Most ids that are broadcast to pick rows of a table (8 bytes each); beyond that the join shuffles.
-BROADCAST_IDS = 200_000
+BROADCAST_IDS = 100_000
 
 
 def rows_of(df: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:

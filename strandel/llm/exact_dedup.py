@@ -92,7 +92,7 @@ def merged_groups(snapshot: DataFrame, batch: DataFrame) -> DataFrame:
 def byte_mismatches(docs: DataFrame, members: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, variant of members whose normalised text differs from that of the row that stays."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    with_text = cut_small(texts.join(members.select("doc_id", "keep_id", "n").distinct().hint("shuffle_hash"), "doc_id"), TEXT_ROWS)
+    with_text = cut_small(texts.join(members.select("doc_id", "keep_id", "n").distinct().hint("shuffle_hash"), "doc_id"), TEXT_ROWS, 0)
     shares = F.ceil(F.col("n") / MEMBERS_PER_SHARE).cast("int")
     kept = with_text.filter("doc_id = keep_id").select("keep_id", F.explode(F.sequence(F.lit(0), shares - 1)).alias("share"), F.col("text").alias("kept_text"))
     pairs = with_text.filter("doc_id <> keep_id").withColumn("share", F.pmod(F.xxhash64("doc_id"), shares)).join(kept, ["keep_id", "share"])
