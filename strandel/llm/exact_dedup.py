@@ -8,8 +8,8 @@ more is checked byte for byte on the normalised texts.
 
 Defined results: a null text equals the empty text; texts are equal when identical after
 lower-casing A-Z only; the largest doc_id of a group stays; rows that repeat a doc_id count as
-rows of their group and share its verdict; an empty table gives an empty result; any other
-columns of the input are ignored.
+rows of their group and share its verdict; an empty table gives an empty result; a row without a doc_id
+counts in its group and stays only where no row of it has one; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -116,7 +116,7 @@ def exact_dedup(docs: DataFrame, snapshot_rows=None, id_col: str = "doc_id", tex
         again = split.groupBy("digest", "variant").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
         joined = salted_lookup(split.drop("keep_id", "n"), again, ["digest", "variant"], F.col("doc_id"))
     keep = F.coalesce("keep_id", "doc_id")
-    return joined.select("doc_id", keep.alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"), (F.col("doc_id") == keep).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    return joined.select("doc_id", keep.alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

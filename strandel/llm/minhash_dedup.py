@@ -17,7 +17,7 @@
 
 Defined results: no words (or null) gives an empty set, size 0, linked with nothing; fewer words than
 the width are one shingle; repeated rows share a class; extra columns are ignored; an empty table
-gives no rows. Sets are held as 64-bit hashes of shingles.
+gives no rows; a row without a doc_id takes the component of its class, and stays only where that is null. Sets are held as 64-bit hashes of shingles.
 """
 
 from __future__ import annotations
@@ -179,15 +179,29 @@ def _with_both(pairs: DataFrame, nodes: DataFrame, columns: list[str]) -> DataFr
     return keyed.join(side("a"), "a").join(dealt, ["b", "share"]).drop("share")
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Batches cut short, so that few sets stand in memory at once."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
+def _parts(df: DataFrame, rows: int) -> int:
+    """Partitions for rows that hold sets: four a core, more where these would hold over SET_ROWS each."""
+    return max(4 * df.sparkSession.sparkContext.defaultParallelism, -(-rows // SET_ROWS))
+
+
 def sets_of(docs: DataFrame, nodes: DataFrame, rule: Rule, id_col: str, text_col: str) -> DataFrame:
     """node, set (sorted shingle hashes) of the texts whose doc_id is among `nodes`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             yield pa.record_batch([b.column(0), pa.array([s.tobytes() for s in shingle_sets(b.column(1), rule.width)], pa.binary())], names=["node", "set"])
 
+    ids = cut_small(nodes.distinct())
+    parts = _parts(docs, ids.count())
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text"))
-    return cut_small(rows_of(texts, cut_small(nodes.distinct()), "node").mapInArrow(run, "node long, set binary").dropDuplicates(["node"]), SET_ROWS)
+    return cut_small(rows_of(texts, ids, "node").mapInArrow(run, "node long, set binary").dropDuplicates(["node"]), SET_ROWS, parts)
 
 
 def _linked(x: np.ndarray, y: np.ndarray, rule: Rule) -> bool:
@@ -199,13 +213,13 @@ def verified(docs: DataFrame, pairs: DataFrame, rule: Rule, id_col: str = "doc_i
     """The pairs that link, by the full sets of both texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             ok = [_linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), rule) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node")))
     found = sets_of(docs, nodes, rule, id_col, text_col)
-    return cut_small(_with_both(pairs, found, ["set"]).select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long"))
+    return cut_small(_with_both(pairs, found, ["set"]).select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long"), parts=_parts(docs, pairs.count()))
 
 
 def open_rows(shared: DataFrame, labels: DataFrame) -> DataFrame:
@@ -285,7 +299,7 @@ def remaining_links(docs: DataFrame, rows: DataFrame, classes: DataFrame, rule:
 def near_components(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of `docs`."""
     sig = cut(signatures(docs, rule, id_col, text_col))
-    classes = cut(sig.filter("n_shingles > 0").groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "regs")).alias("least"), F.max("n_shingles").alias("n"), F.count(F.lit(1)).alias("rows")).select("k1", "k2", "n", "rows", F.col("least.doc_id").alias("rep"), F.col("least.regs").alias("regs")))
+    classes = cut(sig.filter("n_shingles > 0").groupBy("k1", "k2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "regs")).alias("least"), F.max("n_shingles").alias("n"), F.count(F.lit(1)).alias("rows")).select("k1", "k2", "n", "rows", F.col("least.doc_id").alias("rep"), F.col("least.regs").alias("regs")))
     slices = F.array(*[F.xxhash64(F.lit(k), F.substring("regs", 2 * rule.rows * k + 1, 2 * rule.rows)) for k in range(rule.bands)])
     bands = classes.select("rep", F.posexplode(slices).alias("band", "key"))
     sizes = bands.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
@@ -307,7 +321,7 @@ def near_components(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_co
     named = classes.join(labels, F.col("rep") == F.col("node"), "left").withColumn("component_id", F.coalesce("component", "rep")).filter("rows > 1 or component_id <> rep").select("k1", "k2", "component_id")
     out = salted_lookup(sig.select("doc_id", "n_shingles", "k1", "k2"), named, ["k1", "k2"], F.col("doc_id"))
     mine = F.when(F.col("n_shingles") > 0, F.col("component_id"))
-    return out.select("doc_id", "n_shingles", F.coalesce(mine, "doc_id").alias("component_id"), (F.coalesce(mine, "doc_id") == F.col("doc_id")).alias("kept"))
+    return out.select("doc_id", "n_shingles", F.coalesce(mine, "doc_id").alias("component_id"), F.coalesce(mine, "doc_id").eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -156,7 +156,7 @@ def bags(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def held_out(id_col: Column) -> Column:
-    return F.crc32(id_col.cast("string")) % 5 == 0
+    return F.coalesce(F.crc32(id_col.cast("string")) % 5 == 0, F.lit(False))
 
 
 def training_bags(docs: DataFrame, labels: DataFrame, most_rows: int) -> pd.DataFrame:

@@ -392,3 +392,16 @@ def test_pipeline(spark, odd):
             assert sorted(r.doc_id for r in out.collect()) == sorted(i for i, _, _, kept in near_truth(texts(docs), 5, 80) if kept)
         docs = out.cache()
     assert {"doc_id", "piece", "sequence_id", "offset"} <= set(docs.columns) and docs.count() > 0
+
+
+def test_rows_without_an_id(spark, odd):
+    null = spark.createDataFrame([(None, "a b c d e f"), (None, "A b c d e f"), (3, "a b c d e f"), (None, None), (None, "only here"), (None, "only here")], "doc_id long, text string").withColumn("lang", F.lit("en")).withColumn("source", F.lit("s"))
+    e = exact_dedup.exact_dedup(null).collect()
+    assert len(e) == 6 and sorted((r.doc_id or 0, r.keep_id or 0, r.group_size, r.kept) for r in e) == [(0, 0, 1, True), (0, 0, 2, True), (0, 0, 2, True), (0, 3, 3, False), (0, 3, 3, False), (3, 3, 3, True)]
+    n = minhash_dedup.near_components(null, minhash_dedup.Rule()).collect()
+    assert len(n) == 6 and sorted((r.component_id or 0, r.kept) for r in n) == [(0, True), (0, True), (0, True), (3, False), (3, False), (3, True)]
+    assert line_dedup.line_dedup(null, 2).count() == quality_rules.quality_rules(null).count() == packing.pack(null).count() == 6
+    assert secret_scan.digest(secret_scan.scan(null, F.col("source"), F.col("source"))).count() == 6
+    assert mixing.mix(null)[0].count() == 6
+    model = language_id.fit(null)
+    assert language_id.predict(null, model).count() == 6
