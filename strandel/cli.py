@@ -1,4 +1,4 @@
-"""Command line: group masks, measure widths, order depth, over a folder of scenes."""
+"""Command line: group masks, measure widths, order depth, draw tubes, tune, over a folder of scenes."""
 
 from __future__ import annotations
 
@@ -8,8 +8,9 @@ import dataclasses
 from pyspark.sql import functions as F
 
 from strandel import config
-from strandel.operators import encoding
-from strandel.plans import depth, group, measure
+from strandel.operators import encoding, meshes
+from strandel.operators.agreement import assign_fragments
+from strandel.plans import depth, group, joint, measure, tune
 from strandel.session import session
 from strandel.sources import files, images
 
@@ -21,11 +22,15 @@ def _rules(args: argparse.Namespace, section: str):
 
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="strandel")
-    parser.add_argument("stage", choices=["group", "measure", "depth"])
+    parser.add_argument("stage", choices=["group", "joint", "measure", "depth", "tune"])
     parser.add_argument("--scenes", required=True)
     parser.add_argument("--out", required=True)
     parser.add_argument("--mask", default="mask.png")
     parser.add_argument("--image", default="sem.png")
+    parser.add_argument("--truth", default="gt_multilabel.npz")
+    parser.add_argument("--tubes", action="store_true", help="with depth: also vertices and faces of tubes")
+    parser.add_argument("--budget", type=int, default=300)
+    parser.add_argument("--force", action="store_true", help="with tune: write the best settings even if they are no better")
     parser.add_argument("--tuned")
     parser.add_argument("--set", action="append", metavar="NAME=VALUE")
     args = parser.parse_args(argv)
@@ -40,15 +45,31 @@ def main(argv: list[str] | None = None) -> int:
     scenes, pixels = images.read_masks(spark, args.scenes, args.mask)
     if args.stage == "group":
         encoding.encode(group.instances(pixels, scenes, rule), scenes).write.mode("overwrite").parquet(args.out)
+    elif args.stage == "joint":
+        encoding.encode(joint.joint_instances(pixels, images.read_greys(spark, args.scenes, args.image), rule, _rules(args, "joint")), scenes).write.mode("overwrite").parquet(args.out)
+    elif args.stage == "tune":
+        truth, pieces = files.read_truth(spark, args.scenes, args.truth), group.fragments(pixels, scenes)
+        if scenes.count() == 1:  # a single scene is cut into tiles, which are the folds
+            pixels, scenes, truth = tune.tile_scenes(pixels, scenes, truth)
+            pieces = group.fragments(pixels, scenes)
+        votes = pieces.join(assign_fragments(pieces, truth).withColumnRenamed("iid", "gt"), ["scene_id", "frag_id"])
+        found = tune.tune(pixels, scenes, votes.cache(), tune.TuneRule(budget=args.budget), rule)
+        if found["accept"] or args.force:
+            config.write_tuned(args.out, dataclasses.replace(rule, **found["params"]), rule, {"val_base": found["val_base"], "val_best": found["val_best"]})
+        return 0 if found["accept"] or args.force else 1
     elif args.stage == "measure":
         found = measure.cuts(pixels, images.read_greys(spark, args.scenes, args.image), rule, _rules(args, "sample"), _rules(args, "cut"))
         files.write_table(measure.bundles(found, _rules(args, "sample")).withColumn("refusals", F.to_json("refusals")), args.out)
     else:
         how = _rules(args, "depth")
         lines = group.axes(pixels, scenes, rule).select("scene_id", "iid", "seq", F.col("c").alias("x"), F.col("r").alias("y"))
-        seen = depth.with_evidence(depth.crossings(lines, how), lines, images.read_greys(spark, args.scenes, args.image), how)
-        shapes = lines.select("scene_id", "iid").distinct().withColumn("radius", F.lit(how.default_radius_px))
-        files.depth_records(depth.stacked(seen, shapes, how), seen).write.mode("overwrite").parquet(args.out)
+        out = depth.run_scenes(lines, images.read_greys(spark, args.scenes, args.image), how)
+        files.depth_records(out["instances"], out["crossings"]).write.mode("overwrite").parquet(f"{args.out}/records")
+        out["report"].write.mode("overwrite").json(f"{args.out}/report")
+        if args.tubes:
+            vertices, faces = meshes.tubes(lines, out["instances"])
+            vertices.write.mode("overwrite").parquet(f"{args.out}/vertices")
+            faces.write.mode("overwrite").parquet(f"{args.out}/faces")
     return 0
 
 

@@ -45,6 +45,25 @@ def drawn(rng: np.random.Generator) -> dict[str, float]:
     return {n: _held(n, float(np.exp(rng.uniform(np.log(a), np.log(b)))) if a > 0 else float(rng.uniform(a, b))) for n, (a, b) in RANGES.items()}
 
 
+def tile_scenes(pixels: DataFrame, scenes: DataFrame, truth: DataFrame, grid: tuple[int, int] = (2, 2), least_px: int = 200, least_instances: int = 2, least_instance_px: int = 20) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """pixels, scenes and truth(scene_id, iid, r, c) of the tiles of a grid, as scenes of their own.
+
+    Tiles with too little foreground, or with too few instances of some size, are left out."""
+    from strandel.operators.pixels import tile
+
+    name = F.concat_ws("#", "scene_id", "tile_r", "tile_c")
+    cut_px = tile(pixels, scenes, grid).withColumn("scene_id", name).select("scene_id", "r", "c")
+    cut_gt = tile(truth, scenes, grid).withColumn("scene_id", name).select("scene_id", "iid", "r", "c")
+    full = cut_px.groupBy("scene_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least_px)
+    known = cut_gt.groupBy("scene_id", "iid").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least_instance_px).groupBy("scene_id").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") >= least_instances)
+    kept = full.join(known, "scene_id", "left_semi").select("scene_id")
+    part = lambda k: F.element_at(F.split("scene_id", "#"), k)
+    size = lambda k, n, s: (F.floor((part(k).cast("int") + 1) * F.col(s) / n) - F.floor(part(k).cast("int") * F.col(s) / n)).cast("int").alias(s)
+    whole = scenes.select(F.col("scene_id").alias("_of"), "height", "width")
+    cut_scenes = kept.join(whole, F.regexp_replace("scene_id", "#[0-9]+#[0-9]+$", "") == F.col("_of")).select("scene_id", size(-2, grid[0], "height"), size(-1, grid[1], "width"))
+    return cut_px.join(kept, "scene_id", "left_semi"), cut_scenes, cut_gt.join(kept, "scene_id", "left_semi")
+
+
 def trial_counts(pixels: DataFrame, scenes: DataFrame, votes: DataFrame, trials: list[dict]) -> DataFrame:
     """trial, scene_id, tp, fp, fn, failed: every trial on every scene, one task a pair.
 

@@ -79,3 +79,32 @@ def test_sql_functions(spark, scene):
     packed = encoding.encode(group.instances(px, scenes), scenes)
     packed.createOrReplaceTempView("packed")
     assert spark.sql("select d.* from packed p, lateral decode_instances(p.shape, p.ids, p.indptr, p.indices) d").count() == encoding.decode(packed).count()
+
+
+def test_command_line_tiles_and_reports(spark, tmp_path):
+    from strandel import cli
+    from strandel.plans import measure, report, tune
+    from strandel.sources import files, images
+
+    mask = np.zeros((120, 120), np.uint8)
+    mask[:, 26:34] = mask[:, 86:94] = mask[56:64, :] = 255
+    at = tmp_path / "in" / "one" / "v"
+    at.mkdir(parents=True)
+    (at / "mask.png").write_bytes(images.encode_png(mask))
+    (at / "sem.png").write_bytes(images.encode_png((mask // 2 + 20).astype(np.uint8)))
+    scenes, px = images.read_masks(spark, str(tmp_path / "in"))
+    truth = group.instances(px, scenes)
+    (at / "gt_multilabel.npz").write_bytes(next(r.content for r in files.write_npz(encoding.encode(truth, scenes)).collect()))
+    tiles, cut_scenes, cut_truth = tune.tile_scenes(px, scenes, truth)
+    assert cut_scenes.count() == 2 and {(r.height, r.width) for r in cut_scenes.collect()} == {(60, 60)}
+    assert 0 < tiles.count() < px.count() and cut_truth.agg({"r": "max"}).first()[0] < 60  # the bar's axis lies in the upper tiles
+    assert tune.tile_scenes(px, scenes, truth, least_px=10**6)[1].count() == 0
+    for stage in ("group", "joint", "measure", "depth"):
+        assert cli.main([stage, "--scenes", str(tmp_path / "in"), "--out", str(tmp_path / stage), *(["--tubes"] if stage == "depth" else [])]) == 0
+    assert spark.read.parquet(str(tmp_path / "depth" / "faces")).count() > 0
+    assert cli.main(["tune", "--scenes", str(tmp_path / "in"), "--out", str(tmp_path / "t.yaml"), "--budget", "6"]) in (0, 1)
+    with pytest.raises(SystemExit):
+        cli.main(["group", "--scenes", "x", "--out", "y", "--set", "no_such=1"])
+    b = measure.bundles(measure.cuts(px, images.read_greys(spark, str(tmp_path / "in"))))
+    assert report.overlay_table(b, 1).filter("labelled").count() == 1 and report.width_table(b).count() == 3
+    assert report.quality_counts(b).filter("scene_id is null").first().good == 3
