@@ -3,7 +3,9 @@ import sys
 
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+HOME = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+sys.path.insert(0, HOME)
+os.environ["PYTHONPATH"] = os.pathsep.join(p for p in (HOME, os.environ.get("PYTHONPATH")) if p)
 
 
 @pytest.fixture(scope="session")
