@@ -123,3 +123,14 @@ def test_streams(spark, cross, tmp_path):
     q = stream.instance_stream(stream.mask_stream(spark, str(tmp_path / "in"))).writeStream.format("memory").queryName("inst").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
     q.awaitTermination(60)
     assert spark.sql("select count(distinct iid) n from inst").first().n == 2
+
+
+def test_session_stream(spark, tmp_path):
+    from strandel.streaming import scenes as stream
+
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").selectExpr("user_id", "cast(ts as timestamp) ts", "value")
+    events.write.parquet(str(tmp_path / "ev"))
+    live = spark.readStream.schema(events.schema).parquet(str(tmp_path / "ev"))
+    q = stream.session_stream(live).writeStream.format("memory").queryName("sess").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.awaitTermination(60)
+    assert spark.sql("select sum(n) n from sess").first().n == events.count()
