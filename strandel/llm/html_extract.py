@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandel.llm.common import table
+from strandel.llm.words import slices
 
 #: Most labelled pages that the weights are counted on.
 TRAIN_PAGES = 2_000
@@ -173,7 +174,7 @@ def main_text(pages: DataFrame, weights: dict[str, float], html_col: str = "html
     """page_id, url, text, n_chars of every page."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             texts = [extract(p, weights) for p in b.column(2).to_pylist()]
             yield pa.record_batch([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 

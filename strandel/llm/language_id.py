@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from strandel.llm.common import table
 from strandel.llm.subword import Model, held_out, scores, train, training_bags
+from strandel.llm.words import slices
 
 #: Most rows that the model is fitted on, all languages together.
 TRAIN_ROWS = 3_000
@@ -37,7 +38,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for b in batches:
+        for b in slices(batches):
             texts = [x or "" for x in b.column(1).to_pylist()]
             p = scores(m, texts)
             letters = [any(map(str.isalpha, t)) and m.classes != ("",) for t in texts]

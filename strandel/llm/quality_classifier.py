@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from strandel.llm.common import table
 from strandel.llm.subword import Model, held_out, scores, train, training_bags
+from strandel.llm.words import slices
 
 #: Most labelled rows that the model is fitted on, both labels together.
 TRAIN_ROWS = 3_000
@@ -40,7 +41,7 @@ def score_column(docs: DataFrame, model: Model, name: str, text_col: str = "text
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             got = _one(shared.value, [x or "" for x in b.column(place).to_pylist()])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.float64())], names=[*b.schema.names, name])
 

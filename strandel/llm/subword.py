@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandel.llm.words import SPACE, groups, mix
+from strandel.llm.words import SPACE, groups, mix, slices
 
 BUCKETS = 1 << 15
 SIZES = (2, 3, 4)
@@ -175,7 +175,7 @@ def training_bags(docs: DataFrame, labels: DataFrame, most_rows: int) -> pd.Data
     schema = "label string, buckets binary, shares binary"  # packed: the driver holds 6 bytes a distinct feature
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 256):
             got = bags([x or "" for x in b.column(1).to_pylist()])
             yield pa.record_batch([b.column(0), pa.array([x.astype("<u2").tobytes() for x, _ in got], pa.binary()), pa.array([y.astype("<f4").tobytes() for _, y in got], pa.binary())], names=["label", "buckets", "shares"])
 

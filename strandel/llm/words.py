@@ -59,6 +59,13 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return every[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1_024) -> Iterator[pa.RecordBatch]:
+    """Batches cut short, so that few texts stand in Python's memory at once."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def _cuts(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int]]:
     """Pieces of about PIECE bytes that end at a text's end or at white space."""
     at, end = 0, len(data)
