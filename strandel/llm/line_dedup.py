@@ -101,11 +101,12 @@ def hot_hashes(docs: DataFrame, hashes: Column, min_docs: int, batches: int = BA
     in_batch = [F.sum(F.when(F.col("batch") == k, 1).otherwise(0)).alias(f"n{k}") for k in range(batches)]
     counted = cut_small(lines.groupBy("hash").agg(*in_batch), 250_000)
     runs = LineRuns(docs.sparkSession)
-    for k in range(batches):
-        runs.add(counted.filter(F.col(f"n{k}") > 0).select("hash", F.col(f"n{k}").alias("n")))
-    hot = cut_small(runs.counts().filter(F.col("n") >= min_docs).select("hash"))
-    runs.drop()
-    return hot
+    try:
+        for k in range(batches):
+            runs.add(counted.filter(F.col(f"n{k}") > 0).select("hash", F.col(f"n{k}").alias("n")))
+        return cut_small(runs.counts().filter(F.col("n") >= min_docs).select("hash"))
+    finally:
+        runs.drop()
 
 
 def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

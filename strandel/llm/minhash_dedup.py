@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from strandel.llm.common import cut, cut_small, rows_of, salted_lookup, table
 from strandel.llm.components import components
-from strandel.llm.words import groups, mix, text_bytes, window_hashes, word_spans
+from strandel.llm.words import groups, mix, slices, text_bytes, window_hashes, word_spans
 
 REGISTERS = 128
 MANTISSA = 10
@@ -141,14 +141,12 @@ def signatures(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: st
     """doc_id, n_shingles, the set's key (k1, k2) and registers of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
-                sets = list(shingle_sets(part.column(1), rule.width))
-                with np.errstate(over="ignore"):
-                    keys = np.array([(mix(s).sum(dtype=np.uint64), mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64)) for s in sets], np.uint64).reshape(-1, 2).view(np.int64)
-                regs = [r.tobytes() for r in registers(sets)]
-                yield pa.record_batch([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(regs, pa.binary())], names=names)
+        for part in slices(batches, 512):
+            sets = list(shingle_sets(part.column(1), rule.width))
+            with np.errstate(over="ignore"):
+                keys = np.array([(mix(s).sum(dtype=np.uint64), mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64)) for s in sets], np.uint64).reshape(-1, 2).view(np.int64)
+            regs = [r.tobytes() for r in registers(sets)]
+            yield pa.record_batch([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(regs, pa.binary())], names=names)
 
     names = ["doc_id", "n_shingles", "k1", "k2", "regs"]
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, regs binary")
@@ -179,13 +177,6 @@ def _with_both(pairs: DataFrame, nodes: DataFrame, columns: list[str]) -> DataFr
     return keyed.join(side("a"), "a").join(dealt, ["b", "share"]).drop("share")
 
 
-def _slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """Batches cut short, so that few sets stand in memory at once."""
-    for b in batches:
-        for at in range(0, b.num_rows, rows):
-            yield b.slice(at, rows)
-
-
 def _parts(df: DataFrame, rows: int) -> int:
     """Partitions for rows that hold sets: four a core, more where these would hold over SET_ROWS each."""
     return max(4 * df.sparkSession.sparkContext.defaultParallelism, -(-rows // SET_ROWS))
@@ -195,7 +186,7 @@ def sets_of(docs: DataFrame, nodes: DataFrame, rule: Rule, id_col: str, text_col
     """node, set (sorted shingle hashes) of the texts whose doc_id is among `nodes`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _slices(batches):
+        for b in slices(batches, 256):
             yield pa.record_batch([b.column(0), pa.array([s.tobytes() for s in shingle_sets(b.column(1), rule.width)], pa.binary())], names=["node", "set"])
 
     ids = cut_small(nodes.distinct())
@@ -213,7 +204,7 @@ def verified(docs: DataFrame, pairs: DataFrame, rule: Rule, id_col: str = "doc_i
     """The pairs that link, by the full sets of both texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _slices(batches):
+        for b in slices(batches, 256):
             ok = [_linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), rule) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
@@ -326,3 +317,19 @@ def near_components(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_co
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(table(spark, sf_dir, "documents"), Rule(width=3, percent=85))
+
+
+ORACLE = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS sh FROM w
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY ALL
+), e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)
+), l AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e
+), r(doc, root) AS (SELECT a, a FROM l UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.doc
+), c AS (SELECT doc, min(root) AS root FROM r GROUP BY doc)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(root, d.doc_id) AS component_id, coalesce(root, d.doc_id) = d.doc_id AS kept
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.doc = d.doc_id
+"""

@@ -17,6 +17,8 @@ QUERIES = {
     "op5_exact_dedup": exact_dedup.query,
 }
 ORACLES = {
+    "op2_secret_scan": secret_scan.ORACLE,
+    "op4_minhash_dedup": minhash_dedup.ORACLE,
     "op7_line_dedup": line_dedup.ORACLE,
     "op5_exact_dedup": exact_dedup.ORACLE,
 }

@@ -85,3 +85,29 @@ def digest(found: DataFrame) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return digest(scan(docs, F.concat_ws("/", "source", "lang"), F.col("source")))
+
+
+_SQL_ASSIGN = ASSIGN.replace("'", "''")
+ORACLE = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(source, chr(0)) AS owner FROM documents),
+m AS (
+  SELECT doc_id, owner, 0 AS kind, regexp_extract_all(t, '{_SQL_ASSIGN}', 0) AS f, string_split_regex(t, '{_SQL_ASSIGN}') AS p FROM d
+  UNION ALL SELECT doc_id, owner, 1, regexp_extract_all(t, '{ACCESS}', 0), string_split_regex(t, '{ACCESS}') FROM d
+  UNION ALL SELECT doc_id, owner, 2, regexp_extract_all(t, '{HEX}', 0), string_split_regex(t, '{HEX}') FROM d
+  UNION ALL SELECT doc_id, owner, 3, regexp_extract_all(t, '{CANDIDATE}', 0), string_split_regex(t, '{CANDIDATE}') FROM d
+), x AS (SELECT doc_id, owner, kind, f, p, unnest(f) AS v, generate_subscripts(f, 1) AS k FROM m WHERE len(f) > 0),
+y AS (
+  SELECT doc_id, owner, kind, v, CASE WHEN kind = 0 THEN regexp_extract(v, '{_SQL_ASSIGN}', 2) ELSE v END AS held,
+         CAST(list_sum(list_transform(p[1:k], lambda z: length(z))) + coalesce(list_sum(list_transform(f[1:k - 1], lambda z: length(z))), 0) AS BIGINT) AS s FROM x
+), b AS (SELECT * FROM y WHERE kind = 0 AND length(held) >= 8 OR kind = 1 AND length(v) >= 16 OR kind = 2),
+c AS (
+  SELECT * FROM y WHERE kind = 3 AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]') AND len(list_distinct(string_split(v, ''))) >= {MIN_DISTINCT_CHARS}
+    AND NOT EXISTS (SELECT 1 FROM b WHERE b.doc_id = y.doc_id AND b.s < y.s + length(y.v) AND y.s < b.s + length(b.v))
+), o AS (SELECT held FROM (SELECT held, owner FROM b UNION SELECT held, owner FROM c) GROUP BY held HAVING count(DISTINCT owner) >= {COPIED_OWNERS}),
+a AS (SELECT * FROM b UNION ALL SELECT * FROM c WHERE held NOT IN (SELECT held FROM o)),
+n AS (SELECT *, ['assign', 'access', 'hex', 'live'][kind + 1] || ':' || s || ':' || (s + length(v)) AS span, held IN (SELECT held FROM o) AS copied FROM a)
+SELECT d.doc_id, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access, count(*) FILTER (WHERE kind = 2) AS n_hex,
+       sha256(coalesce(string_agg(span, ',' ORDER BY s, kind) FILTER (WHERE kind < 3), '')) AS base_sha256, coalesce(string_agg(span, ',' ORDER BY s, kind), '') AS spans,
+       count(*) FILTER (WHERE kind = 3) AS n_live, count(*) FILTER (WHERE kind < 3 AND copied) AS n_copied_examples
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id
+"""
