@@ -4,7 +4,9 @@ A page becomes a row of words and tags. Words score positive by the element they
 negative by their name, with weights counted on labelled pages: pages that mark their own content
 (article or main) teach how often each kind of token lies inside it. One linear scan finds the
 contiguous region of the highest score; its blocks are the text. Scripts, styles, comments, forms
-and elements that name themselves menus, adverts, notices or the like are taken out beforehand.
+and elements hidden or by tag no content are taken out beforehand. An element whose class, id or role
+names it a menu, advert, notice or the like is scored by its own words, and is out at 0 or less; one
+that holds a heading h1, the marked content or, where none is marked, most of the words never is.
 
 Defined results: a null or empty page, or one without words, gives the empty text; markup that
 never closes is read as far as it goes; without labelled pages the weights are DEFAULT; repeated
@@ -33,19 +35,31 @@ TAG_COST = 0.02
 DEFAULT = {"word:p": 1.0, "tag:p": 0.0, "tag:br": 0.0, "tag:h1": 0.0, "tag:h2": 0.0, "tag:h3": 0.0, "tag:article": 0.0, "tag:main": 0.0}
 UNSEEN_WORD, UNSEEN_TAG = 0.6, 0.05
 
-RAW = "script|style|noscript|template|svg|textarea|select|iframe|object|math"
-DROPPED = {"nav", "footer", "aside", "form", "button", "dialog", "menu", "head"}
-#: Names in class, id or role by which an element says that it is not content.
+RAW = "script|style|noscript|template|svg|textarea|select|iframe|object"
+DROPPED = {"nav", "footer", "aside", "form", "button", "dialog", "menu", "head", "annotation", "annotation-xml"}
+#: Names in class, id or role by which an element may say that it is not content.
 HINTS = {
     "ad", "ads", "advert", "advertisement", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies",
     "disqus", "footer", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "pagination", "popup", "promo",
     "promotion", "related", "replies", "respond", "share", "sharing", "sidebar", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget",
 }
+#: Of these, the ones that content bears as well.
+SOFT = {"banner", "notice", "related", "social"}
+#: Words before a hint that make it tell what else the element holds or lacks.
+TELLS_OF = {"has", "have", "hide", "hides", "is", "no", "not", "show", "shows", "with", "without"}
+#: Words beside a hint that leave it the element's own name (ad-slot, but not share-price).
+SHAPES = {
+    "area", "bar", "block", "body", "bottom", "box", "button", "buttons", "container", "content", "form", "group", "head", "header", "icons", "inner", "items", "left", "link", "links", "list",
+    "main", "page", "panel", "popular", "posts", "right", "section", "signup", "site", "slot", "stories", "thread", "top", "unit", "wrap", "wrapper",
+}
+#: Words that an element outside marked content needs to outweigh a doubtful name.
+HINT_COST = 10
 BLOCK = {
     "address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "div", "dl", "dt", "fieldset", "figcaption", "figure",
     "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "html", "li", "main", "nav", "ol", "p", "pre", "section", "summary", "table",
     "tbody", "td", "tfoot", "th", "thead", "title", "tr", "ul",
 }
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 
 _TOKEN = re.compile(
@@ -57,13 +71,46 @@ _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+
 _HIDDEN = re.compile(r"\shidden(?=[\s=/]|\Z)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 
 
-def _aside(name: str, rest: str) -> bool:
-    if name in DROPPED:
-        return True
-    if not rest or name in ("html", "body", "article", "main"):
-        return False
-    named = {w for m in _NAMES.finditer(rest) for w in re.split(r"[^a-z]+", next(x for x in m.groups() if x is not None).lower())}
-    return bool(named & HINTS) or bool(_HIDDEN.search(rest))
+def _named(rest: str) -> int:
+    """2 where class, id or role say that the element is not content, 1 where they may, else 0."""
+    found = 0
+    for m in _NAMES.finditer(rest):
+        for name in next(x for x in m.groups() if x is not None).lower().split():
+            parts = [w for w in re.split(r"[^a-z]+", name) if w]
+            hits = [w for w in parts if w in HINTS]
+            if not hits or TELLS_OF & set(parts[: parts.index(hits[0])]):
+                continue
+            own = parts[-1] in HINTS or all(w in HINTS or w in SHAPES for w in parts)
+            found = max(found, 2 if own and not SOFT.issuperset(hits) else 1)
+    return found
+
+
+class _Held:
+    """What lies between two places of a page's raw tokens, from running sums."""
+
+    def __init__(self, raw: list[tuple[str, str, str]], ends: dict[int, int]):
+        words, links, marks, h1 = [0], [0], [0], [0]
+        gone = linked = -1
+        for i, (kind, value, rest) in enumerate(raw):
+            if kind == "tag" and value in DROPPED and value != "form":
+                gone = max(gone, ends.get(i, -1))
+            if kind == "tag" and value == "a":
+                linked = max(linked, ends.get(i, -1))
+            n = len(value.split()) if kind == "text" and i > gone else 0
+            words.append(words[-1] + n)
+            links.append(links[-1] + (n if i < linked else 0))
+            marks.append(marks[-1] + (kind == "tag" and i > gone and value in ("article", "main") and _named(rest) < 2))
+            h1.append(h1[-1] + (kind == "tag" and i > gone and value == "h1"))
+        self.words, self.links, self.marks, self.h1 = words, links, marks, h1
+
+    def content(self, a: int, b: int) -> bool:
+        """Whether it holds the marked content, a heading h1, or most words of a page that marks none."""
+        within = lambda x: x[b] - x[a]
+        return bool(within(self.marks) or within(self.h1) or not self.marks[-1] and 2 * within(self.words) > self.words[-1])
+
+    def score(self, a: int, b: int, named: int, cost: int) -> int:
+        words, links = self.words[b] - self.words[a], self.links[b] - self.links[a]
+        return words - 2 * links - (2 * words if named == 2 else 0) - cost
 
 
 def tokens(page: str) -> list[tuple[str, str]]:
@@ -81,13 +128,29 @@ def tokens(page: str) -> list[tuple[str, str]]:
             waiting.setdefault(name, []).append(i)
         elif kind == "/tag" and waiting.get(name):
             ends[waiting[name].pop()] = i
+    held: _Held | None = None
+
+    def aside(i: int, name: str, rest: str) -> bool:
+        nonlocal held
+        if name in DROPPED - {"form"}:
+            return True
+        hidden = bool(rest) and bool(_HIDDEN.search(rest))
+        named = _named(rest) if rest and name not in HEADINGS else 0
+        tagged = name == "form" or name == "header" and not content
+        if name in ("html", "body", "article", "main") or not (hidden or named or tagged):
+            return False
+        held = held or _Held(raw, ends)
+        if hidden:
+            return not held.marks[ends[i]] - held.marks[i] and (name in BLOCK or all(raw[k][:2] != ("tag", "math") for k in range(i, ends[i])))
+        return not held.content(i, ends[i]) and (tagged or held.score(i, ends[i], named, 0 if content else HINT_COST) <= 0)
+
     out, inside, i, content = [], ["html"], 0, 0
     while i < len(raw):
         kind, name, rest = raw[i]
         if kind == "text":
             out.append((inside[-1], name))
         elif kind == "tag":
-            if i in ends and (_aside(name, rest) or name == "header" and not content):
+            if i in ends and aside(i, name, rest):
                 i = ends[i] + 1
                 continue
             content += name in ("article", "main")

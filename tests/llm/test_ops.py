@@ -277,6 +277,25 @@ def test_html_query_against_the_marked_article(spark):
         assert r.text == "\n\n".join(b for b in blocks if b) and r.n_chars == len(r.text)
 
 
+LONG = " ".join(f"word{k}" for k in range(40))
+
+
+@pytest.mark.parametrize("wrapper", ['class="page has-sidebar"', 'id="content" class="with-comments"', 'class="sidebar-page"', 'class="widget"', 'role="banner"'])
+def test_html_wrappers_named_after_other_parts_stay(wrapper):
+    want = f"Title\n\n{LONG}"
+    for inner in (f"<article><h1>Title</h1><p>{LONG}</p></article>", f"<h1>Title</h1><p>{LONG}</p>", f"<main><p>Title</p><p>{LONG}</p></main>", f"<p>Title</p><p>{LONG}</p>"):
+        assert html_extract.extract(f"<body><div {wrapper}>{inner}</div><footer>Small print</footer></body>", html_extract.DEFAULT) == want
+    assert html_extract.extract(f'<body><form id="aspnet"><p>Title</p><p>{LONG}</p></form></body>', html_extract.DEFAULT) == want
+
+
+def test_html_parts_of_an_article_with_such_names_stay():
+    page = f"""<article><h2 id="related-work">Related work</h2><p class="notice">Mind the gap.</p><section class="social-policy"><p>{LONG} {LONG} {LONG}</p></section>
+<div class="banner"><h1>Title</h1></div><figure class="banner"><img src=x><figcaption>A view.</figcaption></figure><p>So <math><mi>a</mi><mo>=</mo><mn>1</mn><annotation>a=1</annotation></math> holds.</p>
+<div class="related-posts"><a href=/>Other post</a></div><div class="ad-slot">Buy now</div><p>{LONG} {LONG} {LONG}</p></article><div id="comments"><article class="comment-body"><p>{LONG} {LONG} {LONG}</p></article></div>"""
+    want = ["Related work", "Mind the gap.", f"{LONG} {LONG} {LONG}", "Title", "A view.", "So a=1 holds.", f"{LONG} {LONG} {LONG}"]
+    assert html_extract.extract(page, html_extract.DEFAULT) == "\n\n".join(want)
+
+
 # packing
 
 
