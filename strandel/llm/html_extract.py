@@ -9,7 +9,8 @@ names it a menu, advert, notice or the like is scored by its own words, and is o
 that holds a heading h1, the marked content or, where none is marked, most of the words never is.
 
 Defined results: a null or empty page, or one without words, gives the empty text; markup that
-never closes is read as far as it goes; without labelled pages the weights are DEFAULT; repeated
+never closes is read as far as it goes; kinds of tokens that no labelled page holds weigh as in
+DEFAULT; words of links then count only in a block with other words or in article or main; repeated
 rows each get a row; extra columns are ignored.
 """
 
@@ -29,11 +30,19 @@ from strandel.llm.words import slices
 
 #: Most labelled pages that the weights are counted on.
 TRAIN_PAGES = 2_000
-#: The cost of a tag that stands outside the content on every labelled page, in words.
-OUTSIDE_COST = 60.0
+#: The cost in words of a tag that is found outside the content on every labelled page; less in proportion.
+OUTSIDE_COST = 4.0
+#: That of a tag that only shapes a text, and of any tag inside an article or main.
+TEXT_COST = 0.5
 TAG_COST = 0.02
-DEFAULT = {"word:p": 1.0, "tag:p": 0.0, "tag:br": 0.0, "tag:h1": 0.0, "tag:h2": 0.0, "tag:h3": 0.0, "tag:article": 0.0, "tag:main": 0.0}
-UNSEEN_WORD, UNSEEN_TAG = 0.6, 0.05
+#: Tags that shape a text: inline ones, headings, lists, tables, quotes and formulas.
+TEXT_TAGS = set(
+    "p br hr h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption colgroup col thead tbody tfoot tr th td blockquote figure figcaption img picture pre a abbr b bdi bdo cite code data del dfn em i ins kbd "
+    "mark q rp rt ruby s samp small span strong sub sup time tt u var wbr math semantics mi mn mo ms mtext mrow mfrac msqrt mroot mstyle msub msup msubsup munder mover munderover mtable mtr mtd mspace mpadded".split()
+)
+#: Weights of kinds that the labelled pages do not hold: text tags are free, their words count in full.
+DEFAULT = {f"{kind}:{t}": x for t in sorted(TEXT_TAGS) for kind, x in (("tag", 0.0), ("word", 1.0)) if t != "a"} | {"tag:a": 0.0, "tag:article": 0.0, "tag:main": 0.0}
+UNSEEN_WORD, UNSEEN_TAG = 0.6, 0.75
 
 RAW = "script|style|noscript|template|svg|textarea|select|iframe|object"
 DROPPED = {"nav", "footer", "aside", "form", "button", "dialog", "menu", "head", "annotation", "annotation-xml"}
@@ -202,18 +211,30 @@ def learn(pages: DataFrame, most_pages: int = TRAIN_PAGES, html_col: str = "html
     drawn = rows.filter(F.pmod(F.xxhash64("html"), F.lit(1 << 20)) < share * (1 << 20))
     counts = drawn.mapInArrow(run, "kind string, inside boolean, n long").groupBy("kind").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("inside"), F.col("n")).otherwise(0)).alias("inside"))
     found = {r["kind"]: (r["inside"], r["n"]) for r in counts.orderBy(F.desc("n"), "kind").limit(500).collect() if r["n"]}
-    return {k: (a / n if k[:5] == "word:" else 1 - a / n) for k, (a, n) in found.items()} or DEFAULT
+    return DEFAULT | {k: (a / n if k[:5] == "word:" else 1 - a / n) for k, (a, n) in found.items()}
 
 
 def extract(page: str | None, weights: dict[str, float]) -> str:
     """The text of the region of the highest score."""
     row = tokens(page or "")
-    best, best_at, run, start = 0.0, (0, 0), 0.0, 0
+    best, best_at, run, start, depth, block = 0.0, (0, 0), 0.0, 0, 0, 0
+    prose, blocks_of = [False], []
+    for kind, value in row:
+        if kind in ("tag", "/tag"):
+            if value in BLOCK or value == "br":
+                block += 1
+                prose.append(False)
+        elif kind != "a" and not value.isspace():
+            prose[block] = True
+        blocks_of.append(block)
     for i, (kind, value) in enumerate(row):
         if kind in ("tag", "/tag"):
-            score = -TAG_COST - OUTSIDE_COST * weights.get(f"tag:{value}", UNSEEN_TAG)
+            score = -TAG_COST - (TEXT_COST if depth or value in TEXT_TAGS else OUTSIDE_COST) * weights.get(f"tag:{value}", UNSEEN_TAG)
+            if value in ("article", "main"):
+                depth = depth + 1 if kind == "tag" else max(0, depth - 1)
         else:
-            score = (0.01 + weights.get(f"word:{kind}", UNSEEN_WORD)) * len(value.split())
+            unseen = UNSEEN_WORD if kind != "a" or depth or prose[blocks_of[i]] else -0.01
+            score = (0.01 + weights.get(f"word:{kind}", unseen)) * len(value.split())
         if run <= 0:
             run, start = 0.0, i
         run += score

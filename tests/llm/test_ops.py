@@ -296,6 +296,24 @@ def test_html_parts_of_an_article_with_such_names_stay():
     assert html_extract.extract(page, html_extract.DEFAULT) == "\n\n".join(want)
 
 
+EDGES = {
+    "<h2>Short title</h2>": "Short title", "<ul><li>one two three</li><li>four five six</li><li>seven</li></ul>": "one two three\n\nfour five six\n\nseven",
+    "<ol><li>Read <a href=/>the source</a></li></ol>": "Read the source", "<table><tr><th>Year</th><td>1</td></tr><tr><th>Size</th><td>2</td></tr></table>": "Year\n\n1\n\nSize\n\n2", "<blockquote>So it goes.</blockquote>": "So it goes.",
+    "<figure><img src=x><figcaption>A view.</figcaption></figure>": "A view.", "<p><em>Fine</em> <code>print</code></p>": "Fine print",
+}
+
+
+@pytest.mark.parametrize("edge", sorted(EDGES))
+def test_html_articles_begin_and_end_with_headings_lists_and_tables(spark, edge):
+    seen = html_extract.learn(spark.createDataFrame([("<nav><a>x</a></nav><div>Buy this</div><article><h1>A</h1><p>Words <b>and</b><br>more</p></article><footer>Print</footer>",)], "html string"))
+    for weights in (html_extract.DEFAULT, seen):
+        menu = "<div><ul><li><a href=/>Home</a></li><li><a href=/a>All news</a></li></ul></div>"
+        for a, b in (("<article>", "</article>"), ("", "")):
+            page = f"<body>{menu}{a}{edge}<p>{LONG}</p>{edge}{b}{menu}</body>"
+            assert html_extract.extract(page, weights) == f"{EDGES[edge]}\n\n{LONG}\n\n{EDGES[edge]}"
+        assert html_extract.extract(f"<article><div class=article-header><h1>Title</h1></div>{edge}</article>", weights) == f"Title\n\n{EDGES[edge]}"
+
+
 # packing
 
 
