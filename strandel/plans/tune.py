@@ -64,6 +64,32 @@ def tile_scenes(pixels: DataFrame, scenes: DataFrame, truth: DataFrame, grid: tu
     return cut_px.join(kept, "scene_id", "left_semi"), cut_scenes, cut_gt.join(kept, "scene_id", "left_semi")
 
 
+def assigned(pieces: dict[int, set], layers: dict[int, set], least_share: float = 0.3, reach: int = 6) -> dict[int, int]:
+    """`agreement.assign_fragments` for one scene in memory: fragment -> instance, 0 for none."""
+    flat: dict = {}
+    for i in sorted(layers, key=lambda i: (-len(layers[i]), i)):
+        for p in layers[i]:
+            flat.setdefault(p, i)
+    around = sorted((y * y + x * x, y, x) for y in range(-reach, reach + 1) for x in range(-reach, reach + 1) if y * y + x * x <= reach * reach)
+    out = {}
+    for f, px in pieces.items():
+        hits = {i: len(px & layer) for i, layer in layers.items()}
+        top = min(hits, key=lambda i: (-hits[i], i), default=0)
+        if top and hits[top] >= least_share * len(px):
+            out[f] = top
+            continue
+        near = [next((flat[r + y, c + x] for _, y, x in around if (r + y, c + x) in flat), 0) for r, c in px]
+        near = [i for i in near if i]
+        out[f] = min(set(near), key=lambda i: (-near.count(i), i), default=0)
+    return out
+
+
+def trial_f1(counts: DataFrame) -> DataFrame:
+    """trial, f1 over the scenes together; 0 for a trial that failed on any."""
+    broken = counts.groupBy("trial").agg(F.max("failed").alias("broken"))
+    return micro_f1(counts, ["trial"]).join(broken, "trial").select("trial", F.when(F.col("broken"), 0.0).otherwise(F.col("f1")).alias("f1"))
+
+
 def trial_counts(pixels: DataFrame, scenes: DataFrame, votes: DataFrame, trials: list[dict]) -> DataFrame:
     """trial, scene_id, tp, fp, fn, failed: every trial on every scene, one task a pair.
 
@@ -83,21 +109,18 @@ def trial_counts(pixels: DataFrame, scenes: DataFrame, votes: DataFrame, trials:
                     mask[p["r"], p["c"]] = True
                 try:
                     scene, _, found = solved(mask, dataclasses.replace(GroupRule(), **trials[row.trial]))
-                    owner: dict = {}
-                    for i, chain in enumerate(found, 1):
-                        for p in skeleton.layer(scene, chain):
-                            owner.setdefault(p, []).append(i)
-                    own, truth = {}, {}
+                    pieces: dict = {}
+                    truth = {}
                     for v in row.votes:
                         truth[v["frag_id"]] = v["gt"]
-                        for i in owner.get((v["r"], v["c"]), []):
-                            own.setdefault(v["frag_id"], []).append(i)
-                    pred = {f: min(set(x), key=lambda i, x=x: (-x.count(i), i)) for f, x in own.items()}
+                        pieces.setdefault(v["frag_id"], set()).add((v["r"], v["c"]))
+                    layers = {i: skeleton.layer(scene, chain) for i, chain in enumerate(found, 1)}
+                    pred = {f: i for f, i in assigned(pieces, layers).items() if i}
                     tab = pd.DataFrame({"t": [truth[f] or -f for f in truth], "p": [pred.get(f, -f) for f in truth]})
                     pairs = lambda s: float((s * (s - 1) / 2).sum())
                     tp, st, sp = pairs(tab.groupby(["t", "p"]).size()), pairs(tab.groupby("t").size()), pairs(tab.groupby("p").size())
                     yield pd.DataFrame([(row.trial, row.scene_id, tp, sp - tp, st - tp, False)], columns=["trial", "scene_id", "tp", "fp", "fn", "failed"])
-                except (ValueError, IndexError):
+                except Exception:  # any failure counts against the trial
                     yield pd.DataFrame([(row.trial, row.scene_id, 0.0, 0.0, 0.0, True)], columns=["trial", "scene_id", "tp", "fp", "fn", "failed"])
 
     return work.mapInPandas(run, "trial int, scene_id string, tp double, fp double, fn double, failed boolean")
@@ -114,7 +137,7 @@ def tune(pixels: DataFrame, scenes: DataFrame, votes: DataFrame, rule: TuneRule
 
     def scored(trials: list[dict], own: bool) -> list[float]:
         counts = trial_counts(fold(pixels, own), fold(scenes, own), fold(votes, own), trials)
-        found = {r["trial"]: r["f1"] for r in micro_f1(counts, ["trial"]).collect()}  # one number a trial
+        found = {r["trial"]: r["f1"] for r in trial_f1(counts).collect()}  # one number a trial
         return [found.get(k, 0.0) for k in range(len(trials))]
 
     start = {n: getattr(base, n) for n in RANGES}

@@ -108,3 +108,18 @@ def test_command_line_tiles_and_reports(spark, tmp_path):
     b = measure.bundles(measure.cuts(px, images.read_greys(spark, str(tmp_path / "in"))))
     assert report.overlay_table(b, 1).filter("labelled").count() == 1 and report.width_table(b).count() == 3
     assert report.quality_counts(b).filter("scene_id is null").first().good == 3
+
+
+def test_trials_are_scored_as_scores_are(spark):
+    from strandel.operators.agreement import assign_fragments
+    from strandel.plans import tune
+
+    pieces = {1: {(0, c) for c in range(20)}, 2: {(9, c) for c in range(20)}, 3: {(30, c) for c in range(20)}, 4: {(40, c) for c in range(20)}, 5: {(60, c) for c in range(20)}}
+    layers = {1: {(r, 3) for r in range(-1, 2)} | {(25, c) for c in range(20)}, 2: {(9, c) for c in range(6)} | {(15, c) for c in range(20)}, 3: {(40, c) for c in range(3)}, 4: {(46, c) for c in range(10)} | {(67, 0)}}
+    rows = lambda of: [("s", k, r, c) for k, px in of.items() for r, c in sorted(px)]
+    want = assign_fragments(spark.createDataFrame(rows(pieces), "scene_id string, frag_id int, r int, c int"), spark.createDataFrame(rows(layers), "scene_id string, iid int, r int, c int"))
+    assert tune.assigned(pieces, layers) == {r.frag_id: r.iid for r in want.collect()}
+    assert tune.assigned(pieces, layers)[3] == 1 and tune.assigned(pieces, layers)[5] == 0 and tune.assigned(pieces, {}) == dict.fromkeys(pieces, 0)
+    counts = spark.createDataFrame([(0, "a", 9.0, 0.0, 0.0, False), (0, "b", 0.0, 0.0, 0.0, True), (1, "a", 4.0, 1.0, 1.0, False)], "trial int, scene_id string, tp double, fp double, fn double, failed boolean")
+    assert {r.trial: r.f1 for r in tune.trial_f1(counts).collect()} == {0: 0.0, 1: 0.8}
+
