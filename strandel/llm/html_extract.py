@@ -30,6 +30,9 @@ from strandel.llm.words import slices
 
 #: Most labelled pages that the weights are counted on.
 TRAIN_PAGES = 2_000
+#: Most kinds of tokens that have a weight of their own, the most frequent ones.
+MOST_KINDS = 20_000
+_MARKED = r"(?i)<(article|main)[\s/>]"
 #: The cost in words of a tag that is found outside the content on every labelled page; less in proportion.
 OUTSIDE_COST = 4.0
 #: That of a tag that only shapes a text, and of any tag inside an article or main.
@@ -197,7 +200,7 @@ def count_labelled(page: str) -> Counter:
 
 def learn(pages: DataFrame, most_pages: int = TRAIN_PAGES, html_col: str = "html") -> dict[str, float]:
     """Of each kind of word the share inside the content, of each tag the share outside it."""
-    rows = pages.filter(F.col(html_col).isNotNull()).select(F.col(html_col).cast("string").alias("html"))
+    rows = pages.select(F.col(html_col).cast("string").alias("html")).filter(F.col("html").rlike(_MARKED))
     share = min(1.0, most_pages / max(1, rows.count()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,7 +213,7 @@ def learn(pages: DataFrame, most_pages: int = TRAIN_PAGES, html_col: str = "html
     kinds = pa.schema([("kind", pa.string()), ("inside", pa.bool_()), ("n", pa.int64())])
     drawn = rows.filter(F.pmod(F.xxhash64("html"), F.lit(1 << 20)) < share * (1 << 20))
     counts = drawn.mapInArrow(run, "kind string, inside boolean, n long").groupBy("kind").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("inside"), F.col("n")).otherwise(0)).alias("inside"))
-    found = {r["kind"]: (r["inside"], r["n"]) for r in counts.orderBy(F.desc("n"), "kind").limit(500).collect() if r["n"]}
+    found = {r["kind"]: (r["inside"], r["n"]) for r in counts.orderBy(F.desc("n"), "kind").limit(MOST_KINDS).collect() if r["n"]}
     return DEFAULT | {k: (a / n if k[:5] == "word:" else 1 - a / n) for k, (a, n) in found.items()}
 
 

@@ -314,6 +314,14 @@ def test_html_articles_begin_and_end_with_headings_lists_and_tables(spark, edge)
         assert html_extract.extract(f"<article><div class=article-header><h1>Title</h1></div>{edge}</article>", weights) == f"Title\n\n{EDGES[edge]}"
 
 
+def test_html_weights_come_from_the_pages_that_mark_their_content(spark):
+    kinds = "".join(f"<x{k}>word</x{k}>" for k in range(600))
+    marked = spark.createDataFrame([(f"<div>Outside {k}</div><ARTICLE class=a><p>Inside {k}</p>{kinds}</ARTICLE>",) for k in range(3)], "html string")
+    most = marked.union(spark.createDataFrame([(f"<div><p>No mark on page {k}</p></div>",) for k in range(3000)] + [(None,)], "html string"))
+    found = html_extract.learn(most, most_pages=10)
+    assert found == html_extract.learn(marked) and found["word:div"] == 0.0 and all(found[f"word:x{k}"] == 1.0 for k in range(600))
+
+
 # packing
 
 
