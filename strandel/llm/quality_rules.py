@@ -3,7 +3,8 @@
 One pass measures every whole text. The measures go into mergeable KLL quantile sketches, one a
 (language, source); a language's sketches are merged for sources with few texts, and the whole
 corpus' where a language has few. Fences beyond the quartiles replace fixed cut-offs and are joined
-back to the measures (one narrow row a language and source).
+back to the measures (one narrow row a language and source). Repeated words keep the fixed cut-off of
+the base rule alone.
 
 Defined results: a null or empty text has no words and fails the base rule; null language or
 source is a group of its own; a group whose measures are all equal has fences set by the floors
@@ -28,7 +29,6 @@ FENCES = {
     "caps_ratio": ("upper", 0.025, 8.0),
     "mark_ratio": ("upper", 0.020, 6.0),
     "dup_line_ratio": ("upper", 0.080, 6.0),
-    "repeat_ratio": ("upper", 0.040, 6.0),
     "word_chars_mean": ("both", 0.500, 6.0),
 }
 MIN_GROUP = 200
@@ -88,7 +88,7 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
                 dup, lines = _dup_lines(data, offsets)
                 repeat = _repeated(words, first)
                 share = lambda x, y: x / np.maximum(y, 1)
-                cols = [batch.column(0)[a:b], n_words, chars, symbols, dup, repeat, share(symbols, chars), share(_per_text(_CAPS[data], offsets), chars), share(_per_text(_MARK[data], offsets), chars), share(np.array(dup), np.array(lines)), share(repeat, n_words), share(chars, n_words), batch.column(2)[a:b], batch.column(3)[a:b]]
+                cols = [batch.column(0)[a:b], n_words, chars, symbols, dup, repeat, share(symbols, chars), share(_per_text(_CAPS[data], offsets), chars), share(_per_text(_MARK[data], offsets), chars), share(np.array(dup), np.array(lines)), share(chars, n_words), batch.column(2)[a:b], batch.column(3)[a:b]]
                 yield pa.record_batch([x if isinstance(x, pa.Array) else pa.array(x) for x in cols], names=names)
 
     schema = BASE + "".join(f", {k} double" for k in FENCES) + ", lang string, source string"
