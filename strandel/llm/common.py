@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
+import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -18,33 +21,66 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a local one only where that is unset."""
+    """The shared folder named by spark.checkpoint.dir; a local one only where that is unset and all runs in one process."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
-    if named:
-        if not sc._jsc.sc().getCheckpointDir().isDefined():
-            sc.setCheckpointDir(named)
-        return named
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(os.path.join(tempfile.gettempdir(), "strandel-checkpoints"))
-    return sc._jsc.sc().getCheckpointDir().get()
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "strandel-checkpoints"))
+    return named or sc._jsc.sc().getCheckpointDir().get()
+
+
+def scratch_folder(spark: SparkSession, what: str) -> str:
+    """The name of a new folder under the shared one."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder in whatever store holds it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+_CUTS: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def passing_cuts(spark: SparkSession) -> Iterator[None]:
+    """Deletes the checkpoints made inside once what was read from them is written elsewhere."""
+    _CUTS.append([])
+    try:
+        yield
+    finally:
+        for folder in _CUTS.pop():
+            remove(spark, folder)
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Eager reliable checkpoint: survives lost executors and ends the lineage."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    done = df.checkpoint(eager=True)
+    if _CUTS:
+        held = done._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+        _CUTS[-1] += [held.get()] if held.isDefined() else []
+    return done
 
 
-def cut_small(df: DataFrame, rows: int = 100_000, parts: int | None = None) -> DataFrame:
-    """`cut` for results far smaller than the input: about `rows` rows a partition, so that rounds over
-    few rows start few tasks and leave few files.
+def cut_counted(df: DataFrame, rows: int = 100_000, parts: int | None = None) -> tuple[DataFrame, int]:
+    """`cut` for results far smaller than the input, and their number of rows, counted as they are written.
 
-    The checkpoint itself is written by `parts` tasks, by default four for every core of the cluster;
-    0 leaves them as they are, for rows that hold texts.
+    About `rows` rows a partition follow, so that rounds over few rows start few tasks and leave few
+    files. The checkpoint itself is written by `parts` tasks, by default four for every core of the
+    cluster; 0 leaves them as they are, for rows that hold texts.
     """
-    done = cut(df if parts == 0 else df.coalesce(parts or 4 * df.sparkSession.sparkContext.defaultParallelism))
-    return done.coalesce(max(1, -(-done.count() // rows)))
+    seen = Observation()
+    done = cut((df if parts == 0 else df.coalesce(parts or 4 * df.sparkSession.sparkContext.defaultParallelism)).observe(seen, F.count(F.lit(1)).alias("n")))
+    n = seen.get["n"]
+    return done.coalesce(max(1, -(-n // rows))), n
+
+
+def cut_small(df: DataFrame, rows: int = 100_000, parts: int | None = None) -> DataFrame:
+    return cut_counted(df, rows, parts)[0]
 
 
 def ascii_lower(text: Column) -> Column:
@@ -62,11 +98,36 @@ def salted_lookup(left: DataFrame, right: DataFrame, on: list[str], spread: Colu
     return left.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).join(many, [*on, "_salt"], how).drop("_salt")
 
 
-#: Most ids that are broadcast to pick rows of a table (8 bytes each); beyond that the join shuffles.
-BROADCAST_IDS = 100_000
+#: Most rows that are broadcast to be looked up (tens of bytes each); beyond that the join shuffles with salts.
+BROADCAST_ROWS = 20_000
+
+
+def lookup(left: DataFrame, right: DataFrame, n: int, on: list[str], spread: Column, how: str = "left") -> DataFrame:
+    """Equi-join of `left` with the `n` narrow rows of `right`, one a key."""
+    return left.join(F.broadcast(right), on, how) if n <= BROADCAST_ROWS else salted_lookup(left, right, on, spread, how)
 
 
-def rows_of(df: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
-    """The rows of `df` whose `id_col` is in `ids` (one column of that name, distinct values)."""
-    small = ids.count() <= BROADCAST_IDS
-    return df.join(F.broadcast(ids) if small else ids.hint("shuffle_hash"), id_col, "left_semi")
+def rows_of(df: DataFrame, ids: DataFrame, n: int, id_col: str) -> DataFrame:
+    """The rows of `df` whose `id_col` is in `ids` (one column of that name, `n` distinct values)."""
+    return df.join(F.broadcast(ids) if n <= BROADCAST_ROWS else ids.hint("shuffle_hash"), id_col, "left_semi")
+
+
+def with_keys(docs: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, str, bool]:
+    """`docs` with a column that tells its rows apart, and that column's name, and whether it is the id.
+
+    Where no id is null or repeated it is the id. Else the rows of such ids get numbers under all
+    ids, and the table is cut, so that the numbers stay the same however often it is read.
+    """
+    key = "_key"
+    while key.lower() in (c.lower() for c in docs.columns):
+        key += "_"
+    ids = docs.select(F.col(id_col).cast("long").alias("id"))
+    odd = ids.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("id is null or n > 1").select("id")
+    odd, n = cut_counted(odd)
+    own = F.col(id_col).cast("long")
+    if not n:
+        return docs.withColumn(key, own), key, True
+    floor = F.lit(min(ids.agg(F.min("id")).first()[0] or 0, 0)).cast("long")
+    marked = salted_lookup(docs.withColumn(key, own), odd.filter("id is not null").select(F.col("id").alias(key), F.lit(True).alias(f"{key}odd")), [key], F.monotonically_increasing_id())
+    number = floor - 1 - F.monotonically_increasing_id()
+    return cut(marked.withColumn(key, F.when(own.isNull() | F.col(f"{key}odd").isNotNull(), number).otherwise(own)).select(*docs.columns, key)), key, False

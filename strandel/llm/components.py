@@ -36,17 +36,16 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.record_batch([pa.array(nodes), pa.array([root(x) for x in nodes.tolist()], pa.int64())], names=["a", "b"])
 
 
-def components(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
-    """node, component (the smallest node reachable) of every node of `edges` (a, b: long).
+def components(edges: DataFrame, n: int, most_rounds: int = 200) -> DataFrame:
+    """node, component (the smallest node reachable) of every node of the `n` `edges` (a, b: long, a <> b).
 
     Each task contracts its own edges, a bounded number, into stars. Where one task holds all, that is
     the result. Else each round takes the smallest label among a node and its neighbours (combined
     map-side, so a hub is not gathered), then follows labels of labels, which halves what is left of
     long chains. Rounds are cut by a checkpoint. Running out of rounds raises.
     """
-    lines = cut_small(edges.select("a", "b").filter("a <> b"), EDGES_A_TASK)
-    parts = lines.rdd.getNumPartitions()
-    stars = cut_small(lines.mapInArrow(_stars, "a long, b long"), EDGES_A_TASK, parts)
+    parts = max(1, -(-n // EDGES_A_TASK))
+    stars = cut_small(edges.select("a", "b").coalesce(parts).mapInArrow(_stars, "a long, b long"), EDGES_A_TASK, parts)
     if parts == 1:
         return stars.select(F.col("a").alias("node"), F.col("b").alias("component"))
     both = cut_small(stars.union(stars.select("b", "a")).filter("a <> b").distinct(), parts=parts)

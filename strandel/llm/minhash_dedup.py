@@ -17,7 +17,8 @@
 
 Defined results: no words (or null) gives an empty set, size 0, linked with nothing; fewer words than
 the width are one shingle; repeated rows share a class; extra columns are ignored; an empty table
-gives no rows; a row without a doc_id takes the component of its class, and stays only where that is null. Sets are held as 64-bit hashes of shingles.
+gives no rows; rows that repeat a doc_id are linked each by its own text; a row without a doc_id takes
+the component of its class, and stays only where no row of it has one. Sets are held as 64-bit hashes of shingles.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandel.llm.common import cut, cut_small, rows_of, salted_lookup, table
+from strandel.llm.common import cut, cut_counted, cut_small, lookup, rows_of, salted_lookup, table, with_keys
 from strandel.llm.components import components
 from strandel.llm.words import groups, mix, slices, text_bytes, window_hashes, word_spans
 
@@ -169,12 +170,21 @@ def likely(pairs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
 
 
 def _with_both(pairs: DataFrame, nodes: DataFrame, columns: list[str]) -> DataFrame:
-    """pairs with the columns of both nodes; a hub `b` that stands in many pairs is dealt into shares."""
-    side = lambda x: nodes.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in columns])
-    shares = cut_small(pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / SHARE).cast("int").alias("shares")).filter("shares > 1"))
-    keyed = salted_lookup(pairs, shares, ["b"], F.col("a")).select("a", "b", F.pmod(F.xxhash64("a"), F.coalesce("shares", F.lit(1))).cast("int").alias("share"))
-    dealt = side("b").join(shares, "b", "left").withColumn("share", F.explode(F.sequence(F.lit(0), F.coalesce("shares", F.lit(1)) - 1))).drop("shares")
-    return keyed.join(side("a"), "a").join(dealt, ["b", "share"]).drop("share")
+    """pairs with the columns of both nodes; a hub that stands in many pairs, on either side, is dealt into shares."""
+    ends = F.array(*[F.struct(F.lit(x).alias("side"), F.col(x).alias("node")) for x in ("a", "b")])
+    stands = pairs.select(F.explode(ends).alias("e")).groupBy("e.side", "e.node").agg(F.count(F.lit(1)).alias("n"))
+    hubs, n = cut_counted(stands.filter(F.col("n") > SHARE).select("side", "node", F.ceil(F.col("n") / SHARE).cast("int").alias("shares")))
+    for x, other in (("b", "a"), ("a", "b")):
+        held = nodes.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in columns])
+        if not n:
+            pairs = pairs.join(held, x)
+            continue
+        shares = hubs.filter(F.col("side") == x).select(F.col("node").alias(x), "shares")
+        many = F.coalesce("shares", F.lit(1))
+        pairs = lookup(pairs, shares, n, [x], F.col(other)).withColumn("share", F.pmod(F.xxhash64(other), many).cast("int")).drop("shares")
+        dealt = lookup(held, shares, n, [x], F.col(x)).withColumn("share", F.explode(F.sequence(F.lit(0), many - 1))).drop("shares")
+        pairs = pairs.join(dealt, [x, "share"]).drop("share")
+    return pairs
 
 
 def _parts(df: DataFrame, rows: int) -> int:
@@ -182,17 +192,16 @@ def _parts(df: DataFrame, rows: int) -> int:
     return max(4 * df.sparkSession.sparkContext.defaultParallelism, -(-rows // SET_ROWS))
 
 
-def sets_of(docs: DataFrame, nodes: DataFrame, rule: Rule, id_col: str, text_col: str) -> DataFrame:
-    """node, set (sorted shingle hashes) of the texts whose doc_id is among `nodes`."""
+def sets_of(docs: DataFrame, nodes: DataFrame, rule: Rule, key: str, text_col: str) -> DataFrame:
+    """node, set (sorted shingle hashes) of the texts whose key is among `nodes`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 256):
             yield pa.record_batch([b.column(0), pa.array([s.tobytes() for s in shingle_sets(b.column(1), rule.width)], pa.binary())], names=["node", "set"])
 
-    ids = cut_small(nodes.distinct())
-    parts = _parts(docs, ids.count())
-    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text"))
-    return cut_small(rows_of(texts, ids, "node").mapInArrow(run, "node long, set binary").dropDuplicates(["node"]), SET_ROWS, parts)
+    ids, n = cut_counted(nodes.distinct())
+    texts = docs.select(F.col(key).alias("node"), F.col(text_col).cast("string").alias("text"))
+    return cut_small(rows_of(texts, ids, n, "node").mapInArrow(run, "node long, set binary"), SET_ROWS, _parts(docs, n))
 
 
 def _linked(x: np.ndarray, y: np.ndarray, rule: Rule) -> bool:
@@ -200,8 +209,8 @@ def _linked(x: np.ndarray, y: np.ndarray, rule: Rule) -> bool:
     return 100 * both >= rule.percent * (len(x) + len(y) - both)
 
 
-def verified(docs: DataFrame, pairs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The pairs that link, by the full sets of both texts."""
+def verified(docs: DataFrame, pairs: DataFrame, n: int, rule: Rule, key: str, text_col: str = "text") -> tuple[DataFrame, int]:
+    """Those of the `n` pairs that link, by the full sets of both texts, and their number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 256):
@@ -209,8 +218,8 @@ def verified(docs: DataFrame, pairs: DataFrame, rule: Rule, id_col: str = "doc_i
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node")))
-    found = sets_of(docs, nodes, rule, id_col, text_col)
-    return cut_small(_with_both(pairs, found, ["set"]).select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long"), parts=_parts(docs, pairs.count()))
+    found = sets_of(docs, nodes, rule, key, text_col)
+    return cut_counted(_with_both(pairs, found, ["set"]).select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long"), parts=_parts(docs, n))
 
 
 def open_rows(shared: DataFrame, labels: DataFrame) -> DataFrame:
@@ -263,14 +272,14 @@ def nearest_pairs(rows: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
     return dealt.groupBy("key", "x", "y").applyInPandas(run, "a long, b long").distinct()
 
 
-def remaining_links(docs: DataFrame, rows: DataFrame, classes: DataFrame, rule: Rule, id_col: str, text_col: str) -> DataFrame:
+def remaining_links(docs: DataFrame, rows: DataFrame, classes: DataFrame, rule: Rule, key: str, text_col: str) -> tuple[DataFrame, int]:
     """All links (a > b) across components of open buckets, checked on the full sets inside the blocks.
 
     A first round finds the rows that have a possible partner at all; only those carry their sets.
     """
 
-    def possible(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        hit = {k for i, j in _partners(part, key[1] == key[2], rule, None) for k in (i, *j)}
+    def possible(_: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        hit = {k for i, j in _partners(part, _[1] == _[2], rule, None) for k in (i, *j)}
         return part.iloc[sorted(hit)][["rep", "key", "band", "component"]]
 
     def check(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
@@ -281,38 +290,59 @@ def remaining_links(docs: DataFrame, rows: DataFrame, classes: DataFrame, rule:
     known = classes.select("rep", "n", "regs")
     likely_rows = _in_blocks(rows.join(known, "rep"), F.lit(1.0 / BLOCK)).groupBy("key", "x", "y").applyInPandas(possible, "rep long, key long, band int, component long")
     likely_rows = cut_small(likely_rows.distinct())
-    found = sets_of(docs, likely_rows.select(F.col("rep").alias("node")), rule, id_col, text_col)
+    found = sets_of(docs, likely_rows.select(F.col("rep").alias("node")), rule, key, text_col)
     weighed = likely_rows.join(known, "rep")
     dealt = _in_blocks(weighed, F.greatest(F.lit(1.0 / BLOCK), F.col("n") * 8.0 / BLOCK_BYTES))
-    return cut_small(dealt.join(found.select(F.col("node").alias("rep"), "set"), "rep").groupBy("key", "x", "y").applyInPandas(check, "a long, b long").distinct())
+    return cut_counted(dealt.join(found.select(F.col("node").alias("rep"), "set"), "rep").groupBy("key", "x", "y").applyInPandas(check, "a long, b long").distinct())
 
 
-def near_components(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row of `docs`."""
-    sig = cut(signatures(docs, rule, id_col, text_col))
-    classes = cut(sig.filter("n_shingles > 0").groupBy("k1", "k2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "regs")).alias("least"), F.max("n_shingles").alias("n"), F.count(F.lit(1)).alias("rows")).select("k1", "k2", "n", "rows", F.col("least.doc_id").alias("rep"), F.col("least.regs").alias("regs")))
+def near_classes(docs: DataFrame, rule: Rule, key: str, text_col: str = "text") -> DataFrame:
+    """key, n_shingles and class (the smallest key reachable; its own for an empty set) of every row; `key` tells rows apart."""
+    sig = cut(signatures(docs, rule, key, text_col))
+    least = F.min(F.struct("doc_id", "regs"))
+    classes = cut(sig.filter("n_shingles > 0").groupBy("k1", "k2").agg(least.alias("least"), F.max("n_shingles").alias("n"), F.count(F.lit(1)).alias("rows")).select("k1", "k2", "n", "rows", F.col("least.doc_id").alias("rep"), F.col("least.regs").alias("regs")))
     slices = F.array(*[F.xxhash64(F.lit(k), F.substring("regs", 2 * rule.rows * k + 1, 2 * rule.rows)) for k in range(rule.bands)])
     bands = classes.select("rep", F.posexplode(slices).alias("band", "key"))
     sizes = bands.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    shared = cut_small(bands.join(sizes, "key").select("rep", "band", "key", "size"))
+    shared = cut_small(salted_lookup(bands, sizes, ["key"], F.col("rep"), "inner").select("rep", "band", "key", "size"))
     near = shared.groupBy("rep").agg(F.sum("size").alias("near"))  # the middle of a family shares the most
     leaders = shared.join(near, "rep").groupBy("key").agg(F.max(F.struct("near", F.xxhash64("rep", "key").alias("h"), "rep")).alias("lead")).select("key", F.col("lead.rep").alias("leader"))
-    stars = shared.join(leaders, "key").filter("rep <> leader").select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct()
-    first = cut_small(likely(stars, classes, rule))
+    stars = salted_lookup(shared, leaders, ["key"], F.col("rep"), "inner").filter("rep <> leader").select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct()
+    first, n = cut_counted(likely(stars, classes, rule))
     tried = first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    links = verified(docs, first, rule, id_col, text_col)
-    labels = components(links)
-    more = cut_small(nearest_pairs(open_rows(shared, labels), classes, rule).join(tried, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        links = links.unionByName(verified(docs, more, rule, id_col, text_col))
-        labels = components(links)
-    last = remaining_links(docs, open_rows(shared, labels), classes, rule, id_col, text_col)
-    if not last.isEmpty():
-        labels = components(links.unionByName(last))
-    named = classes.join(labels, F.col("rep") == F.col("node"), "left").withColumn("component_id", F.coalesce("component", "rep")).filter("rows > 1 or component_id <> rep").select("k1", "k2", "component_id")
+    links, n_links = verified(docs, first, n, rule, key, text_col)
+    labels = components(links, n_links)
+    more, n = cut_counted(nearest_pairs(open_rows(shared, labels), classes, rule).join(tried, ["a", "b"], "left_anti"))
+    if n:
+        found, n = verified(docs, more, n, rule, key, text_col)
+        links, n_links = links.unionByName(found), n_links + n
+        labels = components(links, n_links) if n else labels
+    last, n = remaining_links(docs, open_rows(shared, labels), classes, rule, key, text_col)
+    if n:
+        labels = components(links.unionByName(last), n_links + n)
+    named = classes.join(labels, F.col("rep") == F.col("node"), "left").withColumn("class", F.coalesce("component", "rep")).filter("rows > 1 or class <> rep").select("k1", "k2", "class")
     out = salted_lookup(sig.select("doc_id", "n_shingles", "k1", "k2"), named, ["k1", "k2"], F.col("doc_id"))
-    mine = F.when(F.col("n_shingles") > 0, F.col("component_id"))
-    return out.select("doc_id", "n_shingles", F.coalesce(mine, "doc_id").alias("component_id"), F.coalesce(mine, "doc_id").eqNullSafe(F.col("doc_id")).alias("kept"))
+    mine = F.when(F.col("n_shingles") > 0, F.col("class"))
+    return out.select(F.col("doc_id").alias("key"), "n_shingles", F.coalesce(mine, "doc_id").alias("class"))
+
+
+def near_components(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row of `docs`."""
+    keyed, key, plain = with_keys(docs, id_col)
+    found = near_classes(keyed, rule, key, text_col)
+    if plain:
+        return found.select(F.col("key").alias("doc_id"), "n_shingles", F.col("class").alias("component_id"), (F.col("key") == F.col("class")).alias("kept"))
+    found = cut(found.join(keyed.select(F.col(key).alias("key"), F.col(id_col).cast("long").alias("doc_id")), "key"))
+    least = found.groupBy("class").agg(F.min("doc_id").alias("component_id"))
+    out = salted_lookup(found, least, ["class"], F.col("key"))
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs` without near duplicates: one row of each component stays, the one of the smallest key."""
+    keyed, key, _ = with_keys(docs, id_col)
+    dropped = near_classes(keyed, rule, key, text_col).filter("key <> class").select(F.col("key").alias(key))
+    return keyed.join(dropped.hint("shuffle_hash"), key, "left_anti").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -56,11 +56,39 @@ def test_exact_dedup(odd, old):
     assert sorted(map(tuple, exact_dedup.exact_dedup(odd, old).collect())) == want
 
 
-def test_bytes_are_checked(spark, odd):
-    members = spark.createDataFrame([(6, 9, 2), (9, 9, 2), (7, 9, 2)], "doc_id long, keep_id long, n long")
-    assert sorted(r.doc_id for r in exact_dedup.byte_mismatches(odd, members, "doc_id", "text").collect()) == [6, 7]
-    pair = spark.createDataFrame([(6, 7, 2), (7, 7, 2)], "doc_id long, keep_id long, n long")
-    assert exact_dedup.byte_mismatches(odd, pair, "doc_id", "text").count() == 0
+def test_exact_dedup_of_ids_with_several_texts(spark):
+    rows = [(1, "a"), (1, "b"), (2, "A"), (3, "b"), (None, "b"), (None, "B"), (4, None), (5, ""), (5, ""), (None, "alone")]
+    got = exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    digest = {t: hashlib.sha256(t.encode()).hexdigest() for t in ("a", "b", "", "alone")}
+    want = [(1, 2, 2, False, "a"), (1, 3, 4, False, "b"), (2, 2, 2, True, "a"), (3, 3, 4, True, "b"), (None, 3, 4, False, "b"), (None, 3, 4, False, "b"), (4, 5, 3, False, ""), (5, 5, 3, True, ""), (5, 5, 3, True, ""), (None, None, 1, True, "alone")]
+    assert sorted(map(str, (tuple(r) for r in got))) == sorted(str((*w[:4], digest[w[4]])) for w in want)
+
+
+def test_bytes_are_checked(spark, monkeypatch):
+    rows = [(1, "x1"), (2, "X1"), (3, "y"), (4, "y"), (5, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    groups = spark.createDataFrame([(bytearray(hashlib.sha256(b"x1").digest()), 2, 2, 0), (bytearray(hashlib.sha256(b"y").digest()), 4, 2, 0)], "digest binary, keep_id long, n long, n_null long")
+    assert exact_dedup.byte_mismatches(docs, groups, 2, "doc_id", "text").count() == 0
+    monkeypatch.setattr(exact_dedup.F, "sha2", lambda c, n, real=exact_dedup.F.sha2: real(F.lit("one"), 256) if n == 256 else real(c, n))
+    one = groups.limit(1).withColumn("digest", F.unhex(F.sha2(F.lit(""), 256)))
+    assert sorted(r.doc_id for r in exact_dedup.byte_mismatches(docs, one.withColumn("keep_id", F.lit(4).cast("long")), 1, "doc_id", "text").collect()) == [1, 2, 5]
+    monkeypatch.setattr(exact_dedup, "digests", lambda d, i, t: d.select("doc_id", F.unhex(F.sha2(F.lit(""), 256)).alias("digest")))
+    got = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.exact_dedup(docs).collect()}
+    assert got == {1: (2, 2), 2: (2, 2), 3: (4, 2), 4: (4, 2), 5: (5, 1)}
+
+
+def test_snapshot_is_stored_and_opened_again(spark, tmp_path, monkeypatch):
+    held = spark.createDataFrame([(k, f"text {k}") for k in range(300)], "doc_id long, text string")
+    new = spark.createDataFrame([(1000 + k, f"text {k}") for k in range(290, 310)] + [(2000, "text 305")], "doc_id long, text string")
+    monkeypatch.setattr(exact_dedup, "ROWS_PER_BUCKET", 50)
+    exact_dedup.Snapshot.write(exact_dedup.digests(held), str(tmp_path / "snap"))
+    snap = exact_dedup.Snapshot(spark, str(tmp_path / "snap"))
+    assert snap.filters.count() == 6 and snap.exact.count() == 300
+    batch = exact_dedup.digests(new)
+    seen = snap.screen(exact_dedup._grouped(batch)).collect()
+    assert len(seen) == 20 and sum(r.maybe for r in seen) >= 10 and sum(r.maybe for r in seen) < 16
+    groups = snap.groups(batch).collect()
+    assert len(groups) == 310 and Counter(r.n for r in groups) == {1: 299, 2: 11}
 
 
 # near dedup
@@ -114,6 +142,25 @@ def test_near_query_on_the_small_table(spark):
     assert sorted(map(tuple, QUERIES["op4_minhash_dedup"](spark, SMALL).collect())) == near_truth(rows, 3, 85)
 
 
+def test_near_components_of_ids_with_several_texts(spark, monkeypatch):
+    base = [f"w{k}" for k in range(60)]
+    a, b = " ".join(base), " ".join(base[::-1])
+    rows = [(1, a), (1, b), (2, a + " end"), (3, b + " end"), (4, "x y z"), (None, a), (None, "only here"), (7, None)]
+    got = minhash_dedup.near_components(spark.createDataFrame(rows, "doc_id long, text string"), minhash_dedup.Rule(3, 85)).collect()
+    want = [(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True), (None, 1, False), (None, None, True), (7, 7, True)]
+    assert sorted(map(str, ((r.doc_id, r.component_id, r.kept) for r in got))) == sorted(map(str, want))
+    left = minhash_dedup.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"), minhash_dedup.Rule(3, 85)).collect()
+    assert len(left) == 5 and sum(r.text is not None and len(r.text) > 50 for r in left) == 2
+
+
+@pytest.mark.parametrize("share", [2, 1_000])
+def test_hubs_are_dealt_on_either_side(spark, monkeypatch, share):
+    monkeypatch.setattr(minhash_dedup, "SHARE", share)
+    pairs = [(1, k) for k in range(2, 12)] + [(k, 20) for k in range(2, 12)] + [(1, 20)]
+    got = minhash_dedup._with_both(spark.createDataFrame(pairs, "a long, b long"), spark.range(30).select(F.col("id").alias("node"), (F.col("id") * 10).alias("x")), ["x"])
+    assert sorted((r.a, r.b, r.x_a, r.x_b) for r in got.collect()) == sorted((a, b, 10 * a, 10 * b) for a, b in pairs)
+
+
 def test_estimate_is_near_the_truth():
     rng = np.random.default_rng(8)
     for share in (0.3, 0.6, 0.9):
@@ -129,9 +176,9 @@ def test_components_with_one_and_many_tasks(spark, monkeypatch):
     edges = [(k, k + 1) for k in range(0, 60)] + [(100, 90), (90, 95), (200, 201)]
     want = {**dict.fromkeys(range(61), 0), 100: 90, 90: 90, 95: 90, 200: 200, 201: 200}
     df = spark.createDataFrame(edges, "a long, b long")
-    assert {r.node: r.component for r in components.components(df).collect()} == want
+    assert {r.node: r.component for r in components.components(df, len(edges)).collect()} == want
     monkeypatch.setattr(components, "EDGES_A_TASK", 20)
-    assert {r.node: r.component for r in components.components(df.repartition(6)).collect()} == want
+    assert {r.node: r.component for r in components.components(df.repartition(6), len(edges)).collect()} == want
 
 
 # lines
