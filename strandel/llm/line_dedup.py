@@ -1,14 +1,16 @@
 """Line dedup over levelled sorted runs of line hashes, in Spark SQL functions alone.
 
-The index keeps runs (line hash, number of documents): tables bucketed and sorted by the hash, so
-that merges and joins of runs neither shuffle nor sort. A new batch is counted by itself, combined
-map-side. Its hashes are merge-joined to the runs: those the runs do not hold (anti join) make the
-batch's own run, the others its increments. FAN_IN runs of a level are compacted into one of the
-next. Lines of hashes found in enough documents are then dropped from every document.
+The index keeps runs (line hash, number of documents): tables bucketed and sorted by the hash, in the
+shared folder, so that merges and joins of runs neither shuffle nor sort. Batches come one after the
+other; each is read and counted by itself, combined map-side. Its hashes are merge-joined to the
+runs: those the runs do not hold (anti join) make the batch's own run, the others its increments.
+FAN_IN runs of a level are compacted into one of the next. What the runs then count in enough
+documents is dropped from every document: in place where the hashes are few, else by the places
+that a join finds.
 
 Defined results: a null or empty text is one empty line; keys shorter than min_chars are never
-dropped; a text whose lines all go is empty; rows that repeat a doc_id count as documents of their
-own and lose the same lines; extra columns are ignored; an empty table gives no rows.
+dropped; a text whose lines all go is empty; rows that repeat a doc_id or have none count as
+documents of their own; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -18,13 +20,13 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandel.llm.common import ascii_lower, cut_small, salted_lookup, table
+from strandel.llm.common import ascii_lower, cut_counted, remove, salted_lookup, scratch_folder, table
 from strandel.llm.exprs import BLANKS, let
 
 BATCHES = 4
 FAN_IN = 3
-#: Most hot hashes that are broadcast (8 bytes each); beyond that the join shuffles with salts.
-BROADCAST_HASHES = 200_000
+#: Most hot hashes that are looked up in place, as a set of constants (8 bytes each); beyond that a join finds them.
+HASHES_IN_PLACE = 10_000
 
 
 def line_hashes(text: Column, min_chars: int) -> Column:
@@ -37,12 +39,12 @@ class LineRuns:
     """Levelled runs of line hashes; `add` a batch of (hash, n), read `counts`, `drop` when done."""
 
     def __init__(self, spark: SparkSession, fan_in: int = FAN_IN) -> None:
-        self.spark, self.fan_in, self.levels = spark, fan_in, [[]]
+        self.spark, self.fan_in, self.levels, self.folder = spark, fan_in, [[]], scratch_folder(spark, "line-runs")
         self.buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def _write(self, rows: DataFrame) -> str:
         name = f"line_run_{uuid.uuid4().hex}"
-        rows.select("hash", "n").repartition(self.buckets, "hash").write.bucketBy(self.buckets, "hash").sortBy("hash").saveAsTable(name)
+        rows.select("hash", "n").repartition(self.buckets, "hash").write.option("path", f"{self.folder}/{name}").bucketBy(self.buckets, "hash").sortBy("hash").saveAsTable(name)
         return name
 
     def _merged(self, names: list[str]) -> DataFrame:
@@ -88,23 +90,32 @@ class LineRuns:
     def _drop(self, names: list[str]) -> None:
         for name in names:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            remove(self.spark, f"{self.folder}/{name}")
 
     def drop(self) -> None:
         self._drop(self.names)
+        remove(self.spark, self.folder)
         self.levels = [[]]
 
 
-def hot_hashes(docs: DataFrame, hashes: Column, min_docs: int, batches: int = BATCHES) -> DataFrame:
-    """hash of every key found in at least `min_docs` documents, counted batch by batch."""
-    batch = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(batches))
-    lines = docs.select(batch.alias("batch"), F.explode(F.array_distinct(F.filter(hashes, lambda h: h.isNotNull()))).alias("hash"))
-    in_batch = [F.sum(F.when(F.col("batch") == k, 1).otherwise(0)).alias(f"n{k}") for k in range(batches)]
-    counted = cut_small(lines.groupBy("hash").agg(*in_batch), 250_000)
-    runs = LineRuns(docs.sparkSession)
+def line_counts(batch: DataFrame, hashes: Column) -> DataFrame:
+    """hash, n: in how many documents of a batch each key stands."""
+    return batch.select(F.explode(F.array_distinct(F.filter(hashes, lambda h: h.isNotNull()))).alias("hash")).groupBy("hash").agg(F.count(F.lit(1)).alias("n"))
+
+
+def batches_of(docs: DataFrame, batches: int = BATCHES) -> list[DataFrame]:
+    """The rows of `docs` dealt into batches by a hash."""
+    of = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(batches))
+    return [docs.filter(of == k) for k in range(batches)]
+
+
+def hot_hashes(batches: list[DataFrame], hashes: Column, min_docs: int) -> tuple[DataFrame, int]:
+    """hash of every key that the runs count in at least `min_docs` documents, and how many there are."""
+    runs = LineRuns(batches[0].sparkSession)
     try:
-        for k in range(batches):
-            runs.add(counted.filter(F.col(f"n{k}") > 0).select("hash", F.col(f"n{k}").alias("n")))
-        return cut_small(runs.counts().filter(F.col("n") >= min_docs).select("hash"))
+        for batch in batches:
+            runs.add(line_counts(batch, hashes))
+        return cut_counted(runs.counts().filter(F.col("n") >= min_docs).select("hash"))
     finally:
         runs.drop()
 
@@ -113,18 +124,39 @@ def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col:
     """doc_id, n_lines, n_dropped, kept_text of every row."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     hashes = line_hashes(F.col("text"), min_chars)
-    hot = hot_hashes(rows, hashes, min_docs)
-    held = rows.select("doc_id", F.explode(F.array_distinct(F.filter(hashes, lambda h: h.isNotNull()))).alias("hash"))
-    found = held.join(F.broadcast(hot), "hash") if hot.count() <= BROADCAST_HASHES else salted_lookup(held, hot, ["hash"], F.col("doc_id"), "inner")
-    by_doc = found.groupBy("doc_id").agg(F.collect_set("hash").alias("hot")).withColumnRenamed("doc_id", "hot_id")
-    joined = rows.join(by_doc, F.col("doc_id").eqNullSafe(F.col("hot_id")), "left")
-    lines = F.split("text", "\n", -1)
-    marked = let(F.struct(F.col("hot").alias("hot"), lines.alias("lines"), hashes.alias("hashes")), lambda s: F.filter(s["lines"], lambda _, k: ~F.coalesce(F.array_contains(s["hot"], s["hashes"][k]), F.lit(False))))
-    kept = F.when(F.col("hot").isNull(), lines).otherwise(marked)
-    out = joined.select("doc_id", F.size(lines).cast("long").alias("n_lines"), let(kept, lambda k: F.struct(F.size(k).cast("long").alias("n"), F.array_join(k, "\n").alias("text"))).alias("kept"))
+    hot, n = hot_hashes(batches_of(rows), hashes, min_docs)
+    return _in_place(rows, hashes, [r["hash"] for r in hot.collect()]) if n <= HASHES_IN_PLACE else _by_places(rows, hashes, hot)
+
+
+def _finished(rows: DataFrame, kept: Column) -> DataFrame:
+    lines = F.size(F.split("text", "\n", -1)).cast("long")
+    out = rows.select("doc_id", lines.alias("n_lines"), let(kept, lambda k: F.struct(F.size(k).cast("long").alias("n"), F.array_join(k, "\n").alias("text"))).alias("kept"))
     return out.select("doc_id", "n_lines", (F.col("n_lines") - F.col("kept.n")).alias("n_dropped"), F.col("kept.text").alias("kept_text"))
 
 
+def _in_place(rows: DataFrame, hashes: Column, hot: list[int]) -> DataFrame:
+    """The lines whose hash is not in a set of constants; no row moves."""
+    lines = F.split("text", "\n", -1)
+    if not hot:
+        return _finished(rows, lines)
+    marked = rows.select("doc_id", "text", hashes.alias("hashes"))
+    gone = F.expr(f"transform(hashes, h -> coalesce(h in ({', '.join(map(str, hot))}), false))")
+    return _finished(marked, let(F.struct(lines.alias("lines"), gone.alias("gone")), lambda s: F.filter(s["lines"], lambda _, k: ~s["gone"][k])))
+
+
+def _by_places(rows: DataFrame, hashes: Column, hot: DataFrame) -> DataFrame:
+    """The lines between the places of hot ones, which a join finds once for every distinct text."""
+    key = [F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(5), "text").alias("t2")]
+    spread = F.xxhash64("t1", "place")
+    held = rows.select(*key, F.posexplode(hashes).alias("place", "hash")).filter("hash is not null")
+    found = salted_lookup(held, hot, ["hash"], spread, "inner").groupBy("t1", "t2").agg(F.array_sort(F.collect_set("place")).alias("gone"))
+    joined = salted_lookup(rows.select("doc_id", "text", *key), found, ["t1", "t2"], F.col("doc_id"))
+    lines = F.split("text", "\n", -1)
+    ends = lambda s: F.concat(F.array(F.lit(-1)), s["gone"], F.array(F.size(s["lines"])))
+    between = lambda s: let(ends(s), lambda e: F.flatten(F.transform(F.sequence(F.lit(1), F.size(e) - 1), lambda k: F.slice(s["lines"], e[k - 1] + 2, e[k] - e[k - 1] - 1))))
+    return _finished(joined, F.when(F.col("gone").isNull(), lines).otherwise(let(F.struct(lines.alias("lines"), F.col("gone").alias("gone")), between)))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup(table(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))

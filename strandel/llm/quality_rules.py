@@ -1,10 +1,12 @@
 """Quality rules whose cut-offs adapt to each language and source.
 
-One pass measures every whole text. The measures go into mergeable KLL quantile sketches, one a
-(language, source); a language's sketches are merged for sources with few texts, and the whole
-corpus' where a language has few. Fences beyond the quartiles replace fixed cut-offs and are joined
-back to the measures (one narrow row a language and source). Repeated words keep the fixed cut-off of
-the base rule alone.
+One pass measures every whole text. The measures go into mergeable quantile sketches, one a (language,
+source): counts on a grid of buckets whose bounds grow by GROWTH, so that a quantile is known within
+ERROR of its value (the published DDSketch). Counts add up exactly, so neither the order of rows nor a
+repeated task changes a fence. A language's sketches are merged for sources with few texts, and the
+whole corpus' where a language has few. Fences beyond the quartiles replace fixed cut-offs and are
+joined back to the measures (one narrow row a language and source). Repeated words keep the fixed
+cut-off of the base rule alone.
 
 Defined results: a null or empty text has no words and fails the base rule; null language or
 source is a group of its own; a group whose measures are all equal has fences set by the floors
@@ -13,12 +15,14 @@ in FENCES; repeated rows each get a row; extra columns are ignored; an empty tab
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from strandel.llm.common import cut, cut_small, salted_lookup, table
 from strandel.llm.words import SPACE, groups, text_bytes, window_hashes, word_spans
@@ -32,6 +36,11 @@ FENCES = {
     "word_chars_mean": ("both", 0.500, 6.0),
 }
 MIN_GROUP = 200
+#: Relative error of a quantile, and the growth of the grid's bounds that gives it.
+ERROR = 0.01
+GROWTH = (1 + ERROR) / (1 - ERROR)
+#: The bucket of measures of 0 (none is negative) and the number added to the others.
+ZERO, RISE = 0, 1 << 16
 BASE = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -96,33 +105,53 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"), F.col(lang_col).cast("string"), F.col(source_col).cast("string")).mapInArrow(run, schema)
 
 
+def _bucket(value: Column) -> Column:
+    return F.when(value > 0, F.ceil(F.log(value) / math.log(GROWTH)).cast("int") + RISE).otherwise(ZERO)
+
+
+def _middle(bucket: Column) -> Column:
+    """The value that stands for a bucket."""
+    return F.when(bucket == ZERO, 0.0).otherwise(F.pow(F.lit(GROWTH), bucket - RISE) * (2 / (1 + GROWTH)))
+
+
 def sketches(measures: DataFrame) -> DataFrame:
-    """lang, source, n and one KLL sketch a measure: mergeable, so later batches can be added."""
-    return measures.filter("n_words > 0").groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), *[F.expr(f"kll_sketch_agg_double({k})").alias(k) for k in FENCES])
+    """lang, source, measure, bucket, n: one sketch a (language, source) and measure.
+
+    Sketches merge by adding n, so those of later batches can be added.
+    """
+    each = F.array(*[F.struct(F.lit(k).alias("measure"), _bucket(F.col(k)).alias("bucket")) for k in FENCES])
+    return measures.filter("n_words > 0").select("lang", "source", F.explode(each).alias("m")).groupBy("lang", "source", "m.measure", "m.bucket").agg(F.count(F.lit(1)).alias("n"))
+
+
+def quartiles(found: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, n, and q1_ and q3_ of every measure from the sketches merged by `keys`."""
+    merged = found.groupBy(*keys, "measure", "bucket").agg(F.sum("n").alias("n"))
+    within = Window.partitionBy(*keys, "measure").orderBy("bucket")  # as many rows as a sketch has buckets
+    whole = within.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ranked = merged.select(*keys, "measure", "bucket", F.sum("n").over(within).alias("upto"), F.sum("n").over(whole).alias("total"))
+    at = lambda k, q: _middle(F.min(F.when((F.col("measure") == k) & (F.col("upto") >= F.ceil(F.col("total") * q)), F.col("bucket"))))
+    return ranked.groupBy(*keys).agg(F.max("total").alias("n"), *[at(k, q).alias(f"{name}_{k}") for k in FENCES for name, q in (("q1", 0.25), ("q3", 0.75))])
 
 
 def thresholds(found: DataFrame) -> DataFrame:
     """lang, source, and for each measure low_ and high_ fences; merged sketches serve small groups."""
-    merge = [F.expr(f"kll_merge_agg_double({k})").alias(k) for k in FENCES]
-    quart = lambda k: F.expr(f"kll_sketch_get_quantile_double({k}, array(double(0.25), double(0.75)))")
-    fence = lambda d, tag: d.select(*[c for c in ("lang", "source") if c in d.columns], F.col("n").alias(f"n_{tag}"), *[quart(k).alias(f"{k}_{tag}") for k in FENCES])
-    by_lang = fence(found.groupBy("lang").agg(F.sum("n").alias("n"), *merge), "l").withColumnRenamed("lang", "lang_l")
-    overall = fence(found.agg(F.sum("n").alias("n"), *merge).filter("n > 0"), "a")
-    own = fence(found, "s").join(by_lang, F.col("lang").eqNullSafe(F.col("lang_l")), "left").join(overall, F.lit(True), "left")
+    tagged = lambda d, tag: d.select(*[F.col(c).alias(f"{c}_{tag}") for c in d.columns])
+    own, by_lang, overall = quartiles(found, ["lang", "source"]), tagged(quartiles(found, ["lang"]), "l"), tagged(quartiles(found, []).filter("n > 0"), "a")
+    joined = tagged(own, "s").join(by_lang, F.col("lang_s").eqNullSafe(F.col("lang_l")), "left").withColumn("one", F.lit(1)).join(overall.withColumn("one", F.lit(1)), "one", "left")
     pick = lambda k: F.when(F.col("n_s") >= MIN_GROUP, F.col(f"{k}_s")).when(F.col("n_l") >= MIN_GROUP, F.col(f"{k}_l")).otherwise(F.col(f"{k}_a"))
-    out = ["lang", "source"]
+    out = [F.col("lang_s").alias("lang"), F.col("source_s").alias("source")]
     for k, (side, floor, widths) in FENCES.items():
-        q1, q3 = pick(k)[0], pick(k)[1]
+        q1, q3 = pick(f"q1_{k}"), pick(f"q3_{k}")
         reach = F.greatest(q3 - q1, F.lit(floor)) * widths
         out += [(q3 + reach).alias(f"high_{k}"), ((q1 - reach) if side == "both" else F.lit(None).cast("double")).alias(f"low_{k}")]
-    return own.select(*out)
+    return joined.select(*out)
 
 
 def apply_rules(measures: DataFrame, limits: DataFrame) -> DataFrame:
     """Base counts, base_failed and kept for every measured text."""
     base_failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     keyed = measures.withColumn("_key", F.to_json(F.struct("lang", "source")))
-    joined = salted_lookup(keyed, limits.withColumn("_key", F.to_json(F.struct("lang", "source"))).drop("lang", "source"), ["_key"], F.col("doc_id"))
+    joined = salted_lookup(keyed, limits.withColumn("_key", F.to_json(F.struct("lang", "source"))).drop("lang", "source"), ["_key"], F.xxhash64("doc_id", "n_words", "word_chars"))
     within = F.lit(True)
     for k in FENCES:
         within &= F.coalesce(F.col(k) <= F.col(f"high_{k}"), F.lit(True)) & F.coalesce(F.col(k) >= F.col(f"low_{k}"), F.lit(True))

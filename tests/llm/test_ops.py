@@ -184,7 +184,9 @@ def test_components_with_one_and_many_tasks(spark, monkeypatch):
 # lines
 
 
-def test_line_dedup(odd):
+@pytest.mark.parametrize("in_place", [0, 10_000])
+def test_line_dedup(odd, monkeypatch, in_place):
+    monkeypatch.setattr(line_dedup, "HASHES_IN_PLACE", in_place)
     rows = texts(odd)
     keys = {id(t): [lower(x.strip(" \t\n\x0b\x0c\r")) for x in t.split("\n")] for _, t in rows}
     for least, chars in ((2, 1), (3, 2)):
@@ -205,6 +207,17 @@ def test_runs_count_over_many_batches(spark):
     runs.drop()
 
 
+def test_every_batch_goes_through_the_runs(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, f"only {k}\nshared\neven" if k % 2 == 0 else f"only {k}\nshared") for k in range(40)], "doc_id long, text string")
+    batches, seen = line_dedup.batches_of(docs), []
+    assert sum(b.count() for b in batches) == 40 and sum(b.count() > 0 for b in batches) == 4
+    monkeypatch.setattr(line_dedup.LineRuns, "add", lambda self, batch, real=line_dedup.LineRuns.add: (seen.append(batch.agg(F.max("n")).first()[0]), real(self, batch)))
+    hot, n = line_dedup.hot_hashes(batches, line_dedup.line_hashes(F.col("text"), 1), 20)
+    assert n == 2 and len(seen) == 4 and max(seen) < 20  # no batch holds the answer by itself
+    monkeypatch.setattr(line_dedup.LineRuns, "add", lambda self, batch: self.levels[0].append(self._write(batch)) if not self.names else None)
+    assert line_dedup.hot_hashes(batches, line_dedup.line_hashes(F.col("text"), 1), 20)[1] == 0
+
+
 # secrets
 
 
@@ -252,6 +265,27 @@ def test_quality_measures(odd):
     assert got == want
 
 
+def test_quality_fences_are_near_the_quartiles_and_repeat(spark):
+    docs = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text", "lang", "source")
+    m = quality_rules.measure(docs).cache()
+    found = {(r.lang, r.source): r for r in quality_rules.quartiles(quality_rules.sketches(m), ["lang", "source"]).collect()}
+    by = defaultdict(list)
+    for r in m.filter("n_words > 0").collect():
+        by[r.lang, r.source].append(r)
+    for key, rows in by.items():
+        assert found[key].n == len(rows)
+        for k in quality_rules.FENCES:
+            values = sorted(r[k] for r in rows)
+            for name, q in (("q1", 0.25), ("q3", 0.75)):
+                want = values[max(0, -(-len(values) * int(q * 4) // 4) - 1)]
+                assert abs(found[key][f"{name}_{k}"] - want) <= quality_rules.ERROR * want + 1e-9
+    once = sorted(map(str, quality_rules.thresholds(quality_rules.sketches(m)).collect()))
+    assert once == sorted(map(str, quality_rules.thresholds(quality_rules.sketches(quality_rules.measure(docs.repartition(13, "text")))).collect()))
+    parts = [quality_rules.sketches(m.filter(F.col("doc_id") % 3 == k)) for k in range(3)]
+    merged = parts[0].union(parts[1]).union(parts[2]).groupBy("lang", "source", "measure", "bucket").agg(F.sum("n").alias("n"))
+    assert once == sorted(map(str, quality_rules.thresholds(merged).collect()))
+
+
 def test_quality_rules_keep_clean_and_drop_junk(spark):
     r = QUERIES["op3_quality_rules"](spark, "/root/testdata/sf0.01").join(table(spark, "/root/testdata/sf0.01", "labels"), "doc_id").filter("not base_failed")
     n = {(x.quality, x.kept): x["count"] for x in r.groupBy("quality", "kept").count().collect()}
