@@ -5,7 +5,8 @@ whole texts in one pass without a shuffle. Neither labels nor language, source o
 
 Defined results: a null or empty text has no features and gets the score of the bias; rows without
 a label are scored alike; null labels are not learned from, and of several labels of one doc_id
-the largest counts; without any usable label every score is 1.0 if nothing is known (kept).
+the largest counts; without any usable label every score is 1.0 if nothing is known (kept); a column
+that has the name of the score is replaced; equal texts get equal scores, and repeated rows each get a row.
 """
 
 from __future__ import annotations
@@ -38,8 +39,11 @@ def _one(model: Model, texts: list[str]) -> np.ndarray:
 
 
 def score_column(docs: DataFrame, model: Model, name: str, text_col: str = "text") -> DataFrame:
-    """`docs` with every column it has and `name`, the probability of label 1."""
+    """`docs` with every column it has and `name`, the probability of label 1, instead of any of that name."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    text, docs = f"{name}_text", docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != name.lower() or c == text_col])
+    if text_col.lower() == name.lower():
+        docs, text_col = docs.withColumnRenamed(text_col, text), text
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,6 +7,10 @@ vectors of zero so that a text of few features stays near the bias, and a linear
 into class probabilities. Training is mini-batch stochastic gradient descent in numpy on a bounded sample
 of labelled rows. As the output is linear in the mean, scoring folds vectors and output weights
 into one table of logits a bucket, so a whole text costs one look-up a feature.
+
+Long texts run in slices of bounded size, and what a slice leaves open (an unfinished word, the last
+word before the edge) goes on into the next. Counts are integers and folded logits are fixed-point
+numbers, so a score does not depend on where slices end.
 """
 
 from __future__ import annotations
@@ -29,6 +33,8 @@ BUCKETS = 1 << 15
 SIZES = (2, 3, 4)
 SLICE = 1 << 19
 PRIOR = 24.0
+#: Folded logits are whole multiples of 1 / POINT, whose sums are exact in any order.
+POINT = 1 << 20
 _SHIFT = np.uint64(64 - 15)
 _STEP = np.uint32(0x01000193)
 
@@ -52,91 +58,112 @@ def _bucket(h: np.ndarray, kind: int) -> np.ndarray:
         return (mix(h.astype(np.uint64) + np.uint64(kind * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) >> _SHIFT).astype(np.int32)
 
 
-def _pieces(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
-    """Code points, text bounds and the numbers of the texts, in slices of bounded size.
+def _ngrams(chars: np.ndarray, bounds: np.ndarray, end: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(first of each text and the end, buckets) of the runs of each size that begin before `end` and lie in one text."""
+    h = chars.astype(np.uint32) * _STEP + np.uint32(17)
+    own = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    for n in range(2, max(SIZES) + 1):
+        h = h[:-1] * _STEP + chars[n - 1 :]
+        if n not in SIZES:
+            continue
+        whole = own[: len(h)] == own[n - 1 :]
+        whole[end:] = False
+        yield np.concatenate(([0], np.cumsum(whole)))[np.minimum(bounds, len(h))], _bucket(h[whole], n)
+
+
+def _spaces(chars: np.ndarray) -> np.ndarray:
+    out, low = np.zeros(len(chars), bool), chars < 128
+    out[low] = SPACE[chars[low]]
+    return out
 
-    The last value is how many code points stand at the end only to complete n-grams. A slice of a
-    very long text ends after white space where there is some, so that words stay whole.
+
+def _words(chars: np.ndarray, inside: np.ndarray, starts: np.ndarray, before: int = 0) -> np.ndarray:
+    """Hash of each stretch of `inside` that begins at `starts`; the first one has `before` characters ahead of it.
+
+    A word's hash is a sum over its characters and their places in it, so that parts of a word add up.
     """
-    sizes = np.array([len(t) for t in texts], np.int64)
-    for a, b in groups(sizes, SLICE):
-        if b - a > 1 or sizes[a] <= SLICE:
-            yield _points("".join(texts[a:b])), np.concatenate(([0], np.cumsum(sizes[a:b]))), np.arange(a, b), 0
-            continue
-        at, text, ahead = 0, texts[a], max(SIZES) - 1
-        while at < len(text):
-            to = min(len(text), at + SLICE)
-            if to < len(text):
-                gap = max(text.rfind(" ", at, to), text.rfind("\n", at, to))
-                to = gap + 1 if gap > at else to
-            more = min(ahead, len(text) - to)
-            yield _points(text[at : to + more]), np.array([0, to - at]), np.array([a]), more
-            at = to
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    at = np.arange(starts[0], len(chars)) - np.repeat(starts, np.diff(np.concatenate((starts, [len(chars)]))))
+    at[: starts[1] - starts[0] if len(starts) > 1 else len(at)] += before
+    value = mix(chars[starts[0] :].astype(np.uint64) + (at.astype(np.uint64) << np.uint64(32))) * inside[starts[0] :]
+    return np.add.reduceat(value, starts - starts[0])
+
+
+def _linked(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first of each text and the end, buckets) of the pairs of neighbouring words of a text."""
+    with np.errstate(over="ignore"):
+        step = words[1:] - words[:-1]
+    within = np.ones(len(step), bool)
+    edges = first[1:-1] - 1
+    within[edges[(edges >= 0) & (edges < len(within))]] = False
+    return np.concatenate(([0], np.cumsum(within)))[np.minimum(first, len(within))], _bucket(step[within], 10)
+
+
+def _short(texts: list[str], a: int, b: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Features of the whole texts a to b at once."""
+    chars, rows = _points("".join(texts[a:b])), np.arange(a, b)
+    bounds = np.concatenate(([0], np.cumsum([len(t) for t in texts[a:b]]))).astype(np.int64)
+    for starts, buckets in _ngrams(chars, bounds, len(chars)):
+        yield rows, starts, buckets
+    inside, fresh = ~_spaces(chars), np.zeros(len(chars) + 1, bool)
+    fresh[bounds] = True
+    s = np.flatnonzero(inside & (~np.concatenate(([False], inside[:-1])) | fresh[:-1])) if len(chars) else np.zeros(0, np.int64)
+    words, first = _words(chars, inside, s), np.searchsorted(s, bounds, "left")
+    yield rows, first, _bucket(words, 9)
+    yield rows, *_linked(words, first)
+
+
+def _long(text: str, row: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Features of one long text, slice by slice."""
+    rows, all_of = np.array([row]), lambda x: np.array([0, len(x)])
+    part, size = np.zeros(0, np.uint64), 0  # the sum and length of a word that the last slice left unfinished
+    last = np.zeros(0, np.uint64)  # the last finished word
+    for at in range(0, len(text), SLICE):
+        to = min(len(text), at + SLICE)
+        chars = _points(text[at : to + max(SIZES) - 1])
+        for _, buckets in _ngrams(chars, np.array([0, len(chars)]), to - at):
+            yield rows, all_of(buckets), buckets
+        body = chars[: to - at]
+        inside = ~_spaces(body)
+        s = np.flatnonzero(inside & ~np.concatenate(([False], inside[:-1])))
+        goes_on = size > 0 and bool(inside[0])
+        words = _words(body, inside, s, size if goes_on else 0)
+        with np.errstate(over="ignore"):
+            if goes_on:
+                words[0] += part[0]
+            elif size:
+                words = np.concatenate((part, words))
+        begun = len(body) - int(s[-1]) + (size if goes_on and len(s) == 1 else 0) if len(s) and inside[-1] else 0
+        if begun and to < len(text):
+            words, part, size = words[:-1], words[-1:], begun
+        else:
+            part, size = part[:0], 0
+        yield rows, all_of(words), _bucket(words, 9)
+        chain = np.concatenate((last, words))
+        _, buckets = _linked(chain, np.array([0, len(chain)]))
+        yield rows, all_of(buckets), buckets
+        last = chain[-1:]
 
 
 def features(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(numbers of the texts, first feature of each and the end, buckets), kind by kind, slice by slice."""
-    for chars, bounds, rows, more in _pieces(texts):
-        end = bounds[-1]
-        h = np.zeros(len(chars), np.uint32)
-        with np.errstate(over="ignore"):
-            for n in range(1, max(SIZES) + 1):
-                if n > 1:
-                    h = h[:-1]
-                h = h * _STEP + chars[n - 1 :] if n > 1 else chars.astype(np.uint32) * _STEP + np.uint32(17)
-                if n not in SIZES:
-                    continue
-                usable = np.maximum(0, np.diff(bounds) - (n - 1))
-                if len(rows) == 1:
-                    usable[0] = max(0, min(end, len(chars) - (n - 1)))
-                starts = np.concatenate(([0], np.cumsum(usable)))
-                if len(rows) == 1:
-                    yield rows, starts, _bucket(h[: usable[0]], n)
-                else:
-                    keep = np.ones(end, bool)
-                    for k in range(1, n):
-                        at = bounds[1:] - k
-                        keep[at[at >= bounds[:-1]]] = False
-                    yield rows, starts, _bucket(h[: end][keep[: len(h)]], n)
-            body = chars[:end]
-            space = np.ones(end, bool)
-            low = body < 128
-            space[:] = False
-            space[low] = SPACE[body[low]]
-            inside, edge = ~space, np.zeros(end + 1, bool)
-            edge[bounds] = True
-            before = np.concatenate(([False], inside[:-1]))
-            s = np.flatnonzero(inside & (~before | edge[:end]))
-            if len(s):
-                place = np.arange(end, dtype=np.uint32)
-                length = np.diff(np.concatenate((s, [end])))
-                within = place[s[0] :] - np.repeat(s, length).astype(np.uint32)
-                value = (mix(body[s[0] :].astype(np.uint64) + (within.astype(np.uint64) << np.uint64(32)))) * inside[s[0] :]
-                words = np.add.reduceat(value, s - s[0])
-            else:
-                words = np.zeros(0, np.uint64)
-            first = np.searchsorted(s, bounds, "left")
-            yield rows, first, _bucket(words, 9)
-            with np.errstate(over="ignore"):
-                step = words[1:] - words[:-1]
-            linked = np.ones(max(0, len(words) - 1), bool)
-            at = first[1:-1] - 1
-            linked[at[(at >= 0) & (at < len(linked))]] = False
-            kept = np.concatenate(([0], np.cumsum(linked)))
-            yield rows, kept[np.minimum(first, len(linked))], _bucket(step[linked], 10)
+    sizes = np.array([len(t) for t in texts], np.int64)
+    for a, b in groups(sizes, SLICE):
+        yield from _long(texts[a], a) if b - a == 1 and sizes[a] > SLICE else _short(texts, a, b)
 
 
 def scores(model: Model, texts: list[str]) -> np.ndarray:
     """Class probabilities of whole texts; a text without features gets those of the bias alone."""
     k = len(model.classes)
-    total, count = np.zeros((len(texts), k)), np.zeros(len(texts))
-    table = [np.ascontiguousarray(model.logits[:, c]) for c in range(k)]
+    total, count = np.zeros((len(texts), k), np.int64), np.zeros(len(texts), np.int64)
+    table = [np.round(model.logits[:, c].astype(float) * POINT).astype(np.int32) for c in range(k)]
     for rows, starts, buckets in features(texts):
         count[rows] += np.diff(starts)
         for c in range(k):
-            sums = np.concatenate(([0.0], np.cumsum(table[c][buckets], dtype=np.float64)))
+            sums = np.concatenate(([0], np.cumsum(table[c][buckets], dtype=np.int64)))
             total[rows, c] += np.diff(sums[starts])
-    z = (total / (count + PRIOR)[:, None] + model.bias) / model.temperature
+    z = (total / POINT / (count + PRIOR)[:, None] + model.bias) / model.temperature
     z = np.exp(z - z.max(1, keepdims=True))
     return z / z.sum(1, keepdims=True)
 
@@ -149,11 +176,11 @@ def bags(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
             found[i].append(np.unique(buckets[a:b], return_counts=True))
     out = []
     for parts in found:
-        total = np.zeros(BUCKETS, np.float32)
+        total = np.zeros(BUCKETS, np.int64)
         for x, n in parts:
             total[x] += n
         at = np.flatnonzero(total)
-        out.append((at.astype(np.int32), total[at] / np.float32(PRIOR + total.sum())))
+        out.append((at.astype(np.int32), (total[at] / (PRIOR + total.sum())).astype(np.float32)))
     return out
 
 

@@ -295,16 +295,45 @@ def test_quality_rules_keep_clean_and_drop_junk(spark):
 # learned models
 
 
-def test_features_of_a_long_text_do_not_depend_on_slices(monkeypatch):
-    text = " ".join(f"Ab{k}é" for k in range(400)) + "\n" + "z" * 50
-    whole = subword.bags([text, "", "ab"])
-    monkeypatch.setattr(subword, "SLICE", 300)
-    parts = subword.bags([text, "", "ab"])
-    for (a, s), (b, t) in zip(whole, parts, strict=True):
-        total = np.zeros(subword.BUCKETS)
-        total[a] += s
-        total[b] -= t
-        assert np.abs(total).sum() < 0.05  # word pairs across slices are all that differs
+def spelled(text):
+    """Counts of buckets, feature by feature."""
+    found, point = Counter(), [ord(c) for c in text]
+    step, low = int(subword._STEP), (1 << 32) - 1
+    for n in subword.SIZES:
+        for k in range(len(point) - n + 1):
+            h = (point[k] * step + 17) & low
+            for c in point[k + 1 : k + n]:
+                h = (h * step + c) & low
+            found[int(subword._bucket(np.array([h], np.uint64), n)[0])] += 1
+    words = [int(np.sum([subword.mix(np.array([ord(c) + (k << 32)], np.uint64)) for k, c in enumerate(w)], dtype=np.uint64)) for w in WORD.findall(text)]
+    for w in words:
+        found[int(subword._bucket(np.array([w], np.uint64), 9)[0])] += 1
+    for v, w in zip(words, words[1:], strict=False):
+        found[int(subword._bucket(np.array([(w - v) % (1 << 64)], np.uint64), 10)[0])] += 1
+    return found
+
+
+def test_features_are_those_of_whole_texts_wherever_slices_end(monkeypatch):
+    long = "\tAb0\u00e9\x0b" + "\t".join(f"Ab{k}\u00e9" for k in range(60)) + "\n" + "z" * 70 + "  end\n"
+    texts = [long, "", "ab", " x y\tx ", "\U0001f600 a", long[1:-5]]
+    want, logits = [spelled(t) for t in texts], np.random.default_rng(5).normal(0, 3, (subword.BUCKETS, 2)).astype(np.float32)
+    model, seen = subword.Model(("0", "1"), logits, np.array([0.1, -0.2])), set()
+    for size in (1, 2, 3, 7, 16, 63, 64, 65, 300, 1 << 19):
+        monkeypatch.setattr(subword, "SLICE", size)
+        got = [Counter() for _ in texts]
+        for rows, starts, buckets in subword.features(texts):
+            for i, a, b in zip(rows.tolist(), starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                got[i].update(buckets[a:b].tolist())
+        assert got == want, size
+        seen.add((subword.scores(model, texts).tobytes(), tuple((a.tobytes(), s.tobytes()) for a, s in subword.bags(texts))))
+    assert len(seen) == 1
+
+
+def test_score_replaces_a_column_of_its_name(odd):
+    model = subword.Model(("0", "1"), np.zeros((subword.BUCKETS, 2), np.float32), np.array([0.0, 1.0]))
+    for name in ("score", "Digest", "n_chars"):
+        got = quality_classifier.score_column(odd.withColumn("SCORE", F.lit("x")), model, name)
+        assert [c.lower() for c in got.columns].count(name.lower()) == 1 and got.filter(F.col(name) > 0.7).count() == odd.count()
 
 
 def test_quality_classifier_on_held_out_rows(spark):
