@@ -5,14 +5,15 @@ reshared. A source's documents lie in blocks by a hash; a pass over the source t
 once, and the last pass takes blocks in a permuted order until the target is met, the document at
 the edge in part. The exact number of block draws of every source is then split among the output
 shards: a binary tree halves a node's draws by a multivariate-hypergeometric draw of how many of
-each source go left. Shards take disjoint stretches of each source's permuted draws and shuffle
-their rows locally by a hash. All of it is Spark SQL functions, and every draw comes from hashes of
-the seed, so reruns agree.
+each source go left. Shards draw disjoint stretches of each source's permuted blocks, a document is
+taken by the shards that draw its block, and shards shuffle their rows locally by a hash. All of it
+is Spark SQL functions, and every draw comes from hashes of the seed and of what the rows hold, so
+reruns agree however the input is laid out.
 
 Defined results: a null text has size 0; a null source is a source of its own, ordered last; where
-all sizes are 0 nothing is taken; rows that repeat a doc_id are mixed as rows of their own; the
-number of sources, and of blocks a source, is bounded for the driverless windows over them; extra
-columns are ignored; an empty table gives no rows.
+all sizes are 0 nothing is taken; rows that repeat a doc_id or have none are mixed as rows of their
+own, equal ones told apart by a running number; extra columns are ignored; an empty table gives no
+rows. Blocks of a source are bounded; the sources' quotas must fit one row (a few hundred thousand).
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strandel.llm.common import cut, cut_small, salted_lookup, table
-from strandel.llm.exprs import let, word_count
+from strandel.llm.common import cut, cut_counted, cut_small, lookup, table, with_keys
+from strandel.llm.exprs import let, sum_of, word_count
 
 WEIGHTS = (5, 2, 1)
 CAP = 3.0
@@ -38,23 +39,37 @@ def _unit(*parts: Column) -> Column:
 
 
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """row, doc_id, src (a key without nulls) and size of every row."""
-    source = F.col(source_col).cast("string")
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.when(source.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), source)).alias("src"), word_count(F.col(text_col).cast("string")).alias("size")).withColumn("row", F.monotonically_increasing_id())
+    """doc_id, src (a key without nulls), size, h (the text's hash) and rank (among equal rows) of every row."""
+    source, text = F.col(source_col).cast("string"), F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.when(source.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), source)).alias("src"), word_count(text).alias("size"), F.xxhash64(text).alias("h"))
+    alike = rows.groupBy("doc_id", "src", "size", "h").agg(F.count(F.lit(1)).alias("n"))
+    return alike.select("doc_id", "src", "size", "h", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("rank"))
+
+
+def running(rows: DataFrame, order: list[str], **sums: Column) -> DataFrame:
+    """`rows` with each sum over all rows up to and with their own in `order`; one row a range meets in one task."""
+    dealt = cut(rows.select(*rows.columns, *[c.alias(f"_{k}") for k, c in sums.items()]).repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    ahead = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = dealt.groupBy("_range").agg(*[F.sum(f"_{k}").alias(f"_{k}") for k in sums]).select("_range", *[F.coalesce(F.sum(f"_{k}").over(ahead), F.lit(0)).alias(f"_{k}_ahead") for k in sums])
+    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return dealt.join(F.broadcast(ranges), "_range").select(*rows.columns, *[(F.col(f"_{k}_ahead") + F.sum(f"_{k}").over(inside)).alias(k) for k in sums])
 
 
 def targets(rows: DataFrame, weights: tuple = WEIGHTS, cap: float = CAP) -> DataFrame:
-    """src, source_size, docs, target: shares by weight, held at the cap, the excess reshared."""
+    """src, source_size, docs, target: shares by weight, held at the cap, the excess reshared.
+
+    Every source gets level * weight, or its cap where that is less. In the order of cap / weight the
+    level is that of the first source whose share of what the ones before leave over is within its cap.
+    """
     sources = rows.groupBy("src").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("docs"))
-    place = F.row_number().over(Window.orderBy("src")) - 1
-    weighed = sources.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (place % len(weights) + 1).cast("int"))).withColumn("most", F.lit(cap) * F.col("source_size"))
-    order = Window.orderBy(F.col("most") / F.col("weight"), "src")
-    before, whole = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    left = lambda c, total: F.sum(total).over(whole) - F.coalesce(F.sum(c).over(before), F.lit(0.0))
-    level = left("most", "source_size") / left("weight", "weight")
-    leveled = weighed.withColumn("level", level).withColumn("settled", F.col("level") <= F.col("most") / F.col("weight"))
-    first = F.min(F.when(F.col("settled"), F.struct((F.col("most") / F.col("weight")).alias("r"), "src", "level"))).over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return leveled.select("src", "source_size", "docs", F.least(F.col("most"), F.coalesce(first["level"], F.lit(float("inf"))) * F.col("weight")).alias("target"))
+    placed = running(sources, ["src"], place=F.lit(1).cast("long"))
+    weighed = placed.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.col("place") - 1) % len(weights) + 1).cast("int"))).withColumn("most", F.lit(cap) * F.col("source_size")).withColumn("ratio", F.col("most") / F.col("weight"))
+    upto = cut_small(running(weighed, ["ratio", "src"], most_upto=F.col("most"), weight_upto=F.col("weight")), parts=1)
+    total, all_weights = upto.agg(F.sum("source_size"), F.sum("weight")).first()
+    left = lambda whole, c: F.lit(float(whole or 0)) - F.col(f"{c}_upto") + F.col(c)
+    level = left(total, "most") / left(all_weights, "weight")
+    settled = upto.select("ratio", "src", level.alias("level")).filter("level <= ratio").agg(F.min(F.struct("ratio", "src", "level")).alias("first")).first()["first"]
+    return upto.select("src", "source_size", "docs", F.least(F.col("most"), F.lit(settled["level"] if settled else float("inf")) * F.col("weight")).alias("target"))
 
 
 def hypergeometric(good: Column, total: Column, drawn: Column, unit: Column) -> Column:
@@ -116,58 +131,84 @@ def split_quotas(quotas: DataFrame, levels: int) -> DataFrame:
     return nodes.select(F.col("node").alias("shard"), F.explode("own").alias("s")).select("s.src", "shard", F.col("s.n").alias("draws"))
 
 
-def draws(rows: DataFrame, aims: DataFrame) -> DataFrame:
-    """row, doc_id, size, words, shard, local_order: one row a document drawn, as often as it is."""
-    count = F.least(F.lit(MOST_BLOCKS), F.ceil(F.col("docs") / BLOCK_DOCS)).cast("long")
-    aims = (
-        aims.withColumn("blocks", count)
-        .withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
-        .withColumn("rest", F.greatest(F.lit(0).cast("long"), F.round(F.col("target") - F.col("passes") * F.col("source_size")).cast("long")))
-    )
-    blocked = cut_small(salted_lookup(rows, aims.select("src", "blocks"), ["src"], F.col("row")).withColumn("block", F.pmod(F.xxhash64(F.lit(SEED), "doc_id", "row"), F.col("blocks"))).drop("blocks"))
-    blocks = blocked.groupBy("src", "block").agg(F.sum("size").alias("words"))
-    permuted = Window.partitionBy("src").orderBy(F.xxhash64(F.lit(SEED), F.lit("order"), "src", "block"), "block")
+def drawn_blocks(blocks: DataFrame, aims: DataFrame) -> DataFrame:
+    """src, block and its draws (pass, shard, room): which shards draw a block, and of how many words where it is the last one.
+
+    blocks: src, block, words.
+    """
+    permuted = Window.partitionBy("src").orderBy(F.xxhash64(F.lit(SEED), F.lit("order"), "src", "block"), "block")  # MOST_BLOCKS rows at most
     lined = blocks.join(aims.select("src", "passes", "rest"), "src").withColumn("ends", F.sum("words").over(permuted.rowsBetween(Window.unboundedPreceding, 0)))
     room = F.col("rest") - (F.col("ends") - F.col("words"))
     last = F.when(room > 0, F.struct(F.col("passes").cast("int").alias("pass"), F.when(room < F.col("words"), room).alias("room")))
-    whole = F.when(F.col("passes") > 0, F.transform(F.sequence(F.lit(1).cast("int"), F.greatest(F.lit(1), F.col("passes").cast("int"))), lambda k: F.struct((k - 1).alias("pass"), F.lit(None).cast("long").alias("room")))).otherwise(F.array().cast("array<struct<pass:int,room:bigint>>"))
-    taken = lined.select("src", "block", F.explode(F.concat(whole, F.when(last.isNotNull(), F.array(last)).otherwise(F.array().cast("array<struct<pass:int,room:bigint>>")))).alias("d")).select("src", "block", "d.pass", "d.room")
-    numbered = cut_small(taken.withColumn("place", F.row_number().over(Window.partitionBy("src").orderBy("pass", F.xxhash64(F.lit(SEED), "pass", "src", "block"), "block")) - 1))
+    none = F.array().cast("array<struct<pass:int,room:bigint>>")
+    whole = F.when(F.col("passes") > 0, F.transform(F.sequence(F.lit(1).cast("int"), F.greatest(F.lit(1), F.col("passes").cast("int"))), lambda k: F.struct((k - 1).alias("pass"), F.lit(None).cast("long").alias("room")))).otherwise(none)
+    taken = lined.select("src", "block", F.explode(F.concat(whole, F.when(last.isNotNull(), F.array(last)).otherwise(none))).alias("d")).select("src", "block", "d.pass", "d.room")
+    turn = Window.partitionBy("src").orderBy("pass", F.xxhash64(F.lit(SEED), "pass", "src", "block"), "block")
+    numbered = cut_small(taken.withColumn("place", F.row_number().over(turn) - 1))
     quotas = cut_small(numbered.groupBy("src").agg(F.count(F.lit(1)).alias("n")), parts=1)
     total = quotas.agg(F.sum("n")).first()[0] or 0
-    levels = max(3, (max(1, total) // SHARD_DRAWS).bit_length())
     starts = F.sum("draws").over(Window.partitionBy("src").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)) - F.col("draws")
-    dealt = split_quotas(quotas, levels).withColumn("start", starts).select("src", "shard", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("draws") - 1)).alias("place"))
-    placed = numbered.join(dealt, ["src", "place"])
-    whole_rows = blocked.join(placed.filter("room is null"), ["src", "block"]).withColumn("words", F.col("size"))
-    edge = Window.partitionBy("src", "block").orderBy(F.xxhash64(F.lit(SEED), F.lit("edge"), "doc_id", "row"), "row").rowsBetween(Window.unboundedPreceding, -1)
-    part_rows = blocked.join(placed.filter("room is not null"), ["src", "block"]).withColumn("before", F.coalesce(F.sum("size").over(edge), F.lit(0))).withColumn("words", F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.col("room") - F.col("before"))))
-    columns = ["row", "doc_id", "size", "words", "shard", "pass"]
-    found = whole_rows.select(*columns).unionByName(part_rows.select(*columns)).filter("words > 0")
-    return found.withColumn("local_order", F.xxhash64(F.lit(SEED), F.lit("local"), "shard", "row", "pass"))
-
-
-def mix(docs: DataFrame, weights: tuple = WEIGHTS, cap: float = CAP, **columns: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The sized rows, the sources' targets and the draws."""
+    quota = split_quotas(quotas, max(3, (max(1, total) // SHARD_DRAWS).bit_length()))
+    dealt = quota.withColumn("start", starts).select("src", "shard", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("draws") - 1)).alias("place"))
+    return numbered.join(dealt, ["src", "place"]).groupBy("src", "block").agg(F.array_sort(F.collect_list(F.struct("pass", "shard", "room"))).alias("draws"))
+
+
+def mix(docs: DataFrame, weights: tuple = WEIGHTS, cap: float = CAP, **columns: str) -> tuple[DataFrame, DataFrame]:
+    """The sources' targets, and every row with its draws (pass, shard, words, local_order), in the order of passes."""
     rows = cut(sized(docs, **columns))
-    aims = cut_small(targets(rows, weights, cap), parts=1)
-    return rows, aims, draws(rows, aims)
+    aims, n = cut_counted(targets(rows, weights, cap), parts=1)
+    aims = (
+        aims.withColumn("blocks", F.least(F.lit(MOST_BLOCKS), F.ceil(F.col("docs") / BLOCK_DOCS)).cast("long"))
+        .withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
+        .withColumn("rest", F.greatest(F.lit(0).cast("long"), F.round(F.col("target") - F.col("passes") * F.col("source_size")).cast("long")))
+    )
+    block = F.pmod(F.xxhash64(F.lit(SEED), "doc_id", "h", "rank"), F.col("blocks"))
+    blocked = lookup(rows, aims.select("src", "source_size", "target", "blocks"), n, ["src"], F.xxhash64("doc_id", "h")).withColumn("block", block)
+    drawn = drawn_blocks(blocked.groupBy("src", "block").agg(F.sum("size").alias("words")), aims)
+    edge = Window.partitionBy("src", "block").orderBy(F.xxhash64(F.lit(SEED), F.lit("edge"), "doc_id", "h", "rank"), "doc_id", "h", "size", "rank").rowsBetween(Window.unboundedPreceding, -1)
+    placed = blocked.join(drawn, ["src", "block"], "left").withColumn("before", F.coalesce(F.sum("size").over(edge), F.lit(0)))
+
+    def one(d: Column) -> Column:
+        words = F.when(d["room"].isNull(), F.col("size")).otherwise(F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), d["room"] - F.col("before"))))
+        return F.struct(d["pass"].alias("pass"), d["shard"].alias("shard"), words.alias("words"), F.xxhash64(F.lit(SEED), F.lit("local"), d["shard"], "doc_id", "h", "rank", d["pass"]).alias("local_order"))
+
+    draws = F.filter(F.transform(F.coalesce("draws", F.array().cast("array<struct<pass:int,shard:bigint,room:bigint>>")), one), lambda d: d["words"] > 0)
+    return aims, placed.select("doc_id", "src", "size", "h", "rank", "source_size", "target", draws.alias("draws"))
+
+
+def words_of(draws: str = "draws") -> Column:
+    return sum_of(F.transform(draws, lambda d: d["words"]))
 
 
 def mixed_documents(docs: DataFrame, weights: tuple = WEIGHTS, cap: float = CAP) -> DataFrame:
     """`docs` as the mix holds them: each row as often as it is drawn, whole when at least half its words are."""
-    _, _, drawn = mix(docs, weights, cap)
-    copies = drawn.groupBy("row", "doc_id", "size").agg(F.sum("words").alias("words")).select("doc_id", F.round(F.col("words") / F.col("size")).cast("int").alias("copies")).filter("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies"))
-    names = docs.columns
-    count = "_copies"
-    while count in names:
-        count += "_"
-    joined = docs.join(copies.select(F.col("doc_id").alias(f"{count}_id"), F.col("copies").alias(count)).hint("shuffle_hash"), F.col("doc_id") == F.col(f"{count}_id"))
-    return joined.withColumn(f"{count}_n", F.explode(F.sequence(F.lit(1), F.col(count)))).select(*names)
+    keyed, key, _ = with_keys(docs)
+    _, rows = mix(keyed, weights, cap, id_col=key)
+    copies = rows.select(F.col("doc_id").alias(key), F.round(words_of() / F.greatest("size", F.lit(1))).cast("int").alias(f"{key}n")).filter(F.col(f"{key}n") > 0)
+    joined = keyed.join(copies.hint("shuffle_hash"), key)
+    return joined.withColumn(f"{key}k", F.explode(F.sequence(F.lit(1), F.col(f"{key}n")))).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, aims, drawn = mix(table(spark, sf_dir, "documents"))
-    taken = drawn.groupBy("row").agg(F.sum("words").alias("taken"))
-    named = salted_lookup(rows, aims.select("src", "source_size", "target"), ["src"], F.col("row"))
-    return named.join(taken, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    """The contract's columns, and the shards that take a document with its places in their order."""
+    _, rows = mix(table(spark, sf_dir, "documents"))
+    each = lambda field: F.transform("draws", lambda d: d[field])
+    return rows.select("doc_id", "size", "source_size", "target", words_of().alias("taken"), each("shard").alias("shards"), each("local_order").alias("local_orders"))
+
+
+def target_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes and targets of the sources, and the words that the mix takes of each, to the word."""
+    _, rows = mix(table(spark, sf_dir, "documents"))
+    return rows.groupBy("src", "source_size", "target").agg(F.count(F.lit(1)).alias("docs"), F.sum(words_of()).alias("taken")).select(F.expr("case when src like '0%' then substr(src, 2) end").alias("source"), "docs", "source_size", F.round("target", 3).alias("target"), "taken")
+
+
+TARGET_ORACLE = rf"""
+WITH RECURSIVE s AS (SELECT source, count(*) AS docs, CAST(sum(len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+'))) AS BIGINT) AS size FROM documents GROUP BY source),
+w AS (SELECT *, CASE (row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0 WHEN 1 THEN 2.0 ELSE 1.0 END AS weight FROM s),
+r(step, level) AS (
+  SELECT 0, (SELECT CAST(sum(size) AS DOUBLE) / sum(weight) FROM w)
+  UNION ALL SELECT step + 1, (SELECT ((SELECT sum(size) FROM w) - coalesce(sum({CAP} * size) FILTER (WHERE level * weight > {CAP} * size), 0)) / sum(weight) FILTER (WHERE level * weight <= {CAP} * size) FROM w)
+  FROM r WHERE step < (SELECT count(*) FROM w) AND level IS NOT NULL
+), l AS (SELECT coalesce(max(level), 0) AS level FROM r)
+SELECT source, docs, size AS source_size, round(CAST(least({CAP} * size, level * weight) AS DOUBLE), 3) AS target, CAST(round(least({CAP} * size, level * weight)) AS BIGINT) AS taken FROM w, l
+"""

@@ -166,3 +166,19 @@ def quality_rules(docs: DataFrame, **columns: str) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
+
+
+def base_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of the base rule alone, by the operator's measuring pass."""
+    return query(spark, sf_dir).drop("kept")
+
+
+BASE_ORACLE = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM d),
+l AS (SELECT doc_id, count(*) - count(DISTINCT line) AS dup FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+g AS (SELECT doc_id, unnest(range(1, len(w) - 3)) AS i, w FROM w WHERE len(w) >= 5), h AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS g FROM g),
+m AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS k FROM h), c AS (SELECT DISTINCT doc_id, i + j AS at FROM m, (SELECT unnest(range(0, 5)) AS j) WHERE k > 1), r AS (SELECT doc_id, count(*) AS n FROM c GROUP BY doc_id),
+f AS (SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(coalesce(dup, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words
+  FROM w LEFT JOIN l ON l.doc_id = w.doc_id LEFT JOIN r ON r.doc_id = w.doc_id)
+SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM f
+"""

@@ -15,10 +15,14 @@ QUERIES = {
     "op10_language_id": language_id.query,
     "op3_quality_rules": quality_rules.query,
     "op5_exact_dedup": exact_dedup.query,
+    "base3_quality_counts": quality_rules.base_query,
+    "base6_mixing_targets": mixing.target_query,
 }
 ORACLES = {
     "op2_secret_scan": secret_scan.ORACLE,
     "op4_minhash_dedup": minhash_dedup.ORACLE,
     "op7_line_dedup": line_dedup.ORACLE,
     "op5_exact_dedup": exact_dedup.ORACLE,
+    "base3_quality_counts": quality_rules.BASE_ORACLE,
+    "base6_mixing_targets": mixing.TARGET_ORACLE,
 }

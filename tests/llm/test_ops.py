@@ -489,14 +489,89 @@ def test_plan_uses_the_histogram_up():
 
 
 def test_mixing(odd):
-    rows, aims, drawn = mixing.mix(odd)
-    size = {i: len(WORD.findall(t)) for i, t in texts(odd)}
-    assert {r.doc_id: r["size"] for r in rows.collect()} == size
-    taken = {r.src: r.taken for r in drawn.join(rows.select("row", "src"), "row").groupBy("src").agg(F.sum("words").alias("taken")).collect()}
+    aims, rows = mixing.mix(odd)
+    got = rows.collect()
+    size = Counter((i, len(WORD.findall(t))) for i, t in texts(odd))
+    assert Counter((r.doc_id, r["size"]) for r in got) == size
+    taken = defaultdict(int)
+    for r in got:
+        words = [d.words for d in r.draws]
+        assert all(0 < w <= r["size"] for w in words) and sum(words) <= 3 * r["size"] and len({d["pass"] for d in r.draws}) == len(words)
+        taken[r.src] += sum(words)
     for r in aims.collect():
         assert r.target <= 3 * r.source_size + 1e-6 and abs(taken.get(r.src, 0) - r.target) <= 1
-    assert sorted(map(tuple, drawn.drop("row").collect())) == sorted(map(tuple, mixing.mix(odd)[2].drop("row").collect()))
-    assert {r.doc_id for r in mixing.mixed_documents(odd).collect()} <= set(size)
+    assert {r.doc_id for r in mixing.mixed_documents(odd).collect()} <= {i for i, _ in size}
+
+
+def test_mixes_agree_however_the_input_is_laid_out(spark):
+    docs = table(spark, SMALL, "documents")
+    docs = docs.union(docs.filter("doc_id % 7 = 0")).union(docs.filter("doc_id % 9 = 0").withColumn("doc_id", F.lit(None).cast("long")))
+    layouts = [docs, docs.repartition(7, "text"), docs.orderBy(F.xxhash64("text")).coalesce(2)]
+    seen = {tuple(sorted(map(str, mixing.mix(d)[1].collect()))) for d in layouts}
+    assert len(seen) == 1
+
+
+def test_shards_take_by_the_tree(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_DOCS", 2)
+    monkeypatch.setattr(mixing, "SHARD_DRAWS", 8)
+    docs = table(spark, SMALL, "documents")
+
+    def drawn():
+        by_shard = defaultdict(set)
+        for r in mixing.mix(docs)[1].collect():
+            for d in r.draws:
+                by_shard[d.shard].add((r.src, d["pass"], r.doc_id))
+        return by_shard
+
+    got = drawn()
+    quotas = spark.createDataFrame([(r.src, r.n) for r in mixing.drawn_blocks(*_blocks(docs)).groupBy("src").agg(F.sum(F.size("draws")).alias("n")).collect()], "src string, n long")
+    total = sum(r.n for r in quotas.collect())
+    want = {r.shard for r in mixing.split_quotas(quotas, max(3, (total // 8).bit_length())).collect()}
+    assert set(got) <= want and len(got) >= 8
+    sizes = sorted(len(v) for v in got.values())
+    assert sizes[-1] <= 2 * 3 * -(-total // len(want))
+    rows = [x for v in got.values() for x in v]
+    assert len(rows) == len(set(rows))  # what one shard draws, no other draws in the same pass
+    monkeypatch.setattr(mixing, "split_quotas", lambda q, levels: q.select("src", F.lit(0).cast("long").alias("shard"), F.col("n").alias("draws")))
+    assert set(drawn()) == {0}
+    monkeypatch.setattr(mixing, "split_quotas", lambda q, levels: q.limit(0).select("src", F.lit(0).cast("long").alias("shard"), F.col("n").alias("draws")))
+    assert not drawn()
+
+
+def _blocks(docs):
+    held = {}
+    real = mixing.drawn_blocks
+    mixing.drawn_blocks = lambda blocks, aims: held.update(x=(blocks, aims)) or real(blocks, aims)
+    try:
+        mixing.mix(docs)
+    finally:
+        mixing.drawn_blocks = real
+    return held["x"]
+
+
+def test_many_sources_are_weighed_in_their_order(spark, monkeypatch):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = spark.range(500).select(F.col("id").alias("doc_id"), F.concat(F.lit("0s"), F.lpad((F.col("id") % 120).cast("string"), 4, "0")).alias("src"), ((F.col("id") * 37) % 101).alias("size"))
+        got = {r.src: r.target for r in mixing.targets(rows).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sizes = Counter()
+    for k in range(500):
+        sizes[f"0s{k % 120:04}"] += k * 37 % 101
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(sorted(sizes))}
+    want, free, left = {}, set(sizes), float(sum(sizes.values()))
+    while True:
+        level = left / sum(weight[s] for s in free)
+        over = {s for s in free if level * weight[s] > 3 * sizes[s]}
+        if not over:
+            break
+        for s in over:
+            want[s] = 3.0 * sizes[s]
+        free -= over
+        left -= sum(want[s] for s in over)
+    want |= {s: level * weight[s] for s in free}
+    assert got.keys() == want.keys() and all(abs(got[s] - want[s]) < 1e-6 for s in want)
 
 
 def test_split_quotas_are_exact_and_near_their_means(spark):
@@ -569,6 +644,6 @@ def test_rows_without_an_id(spark, odd):
     assert len(n) == 6 and sorted((r.component_id or 0, r.kept) for r in n) == [(0, True), (0, True), (0, True), (3, False), (3, False), (3, True)]
     assert line_dedup.line_dedup(null, 2).count() == quality_rules.quality_rules(null).count() == packing.pack(null).count() == 6
     assert secret_scan.digest(secret_scan.scan(null, F.col("source"), F.col("source"))).count() == 6
-    assert mixing.mix(null)[0].count() == 6
+    assert mixing.mix(null)[1].count() == 6 and mixing.mixed_documents(null).count() > 0
     model = language_id.fit(null)
     assert language_id.predict(null, model).count() == 6
