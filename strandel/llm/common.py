@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -42,6 +44,15 @@ def remove(spark: SparkSession, folder: str) -> None:
     at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
+def give_back(spark: SparkSession) -> None:
+    """Returns memory of work that is done to the system: the driver's Python, where the C library can, and its JVM."""
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+    spark._jvm.java.lang.System.gc()
+
+
 _CUTS: list[list[str]] = []
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandel.llm import fuse_filter
-from strandel.llm.common import ascii_lower, cut, cut_counted, cut_small, lookup, remove, salted_lookup, scratch_folder, table
+from strandel.llm.common import ascii_lower, cut, cut_counted, cut_small, lookup, remove, salted_lookup, scratch_folder, table, with_keys
 from strandel.llm.words import slices
 
 ROWS_PER_BUCKET = 16_384
@@ -139,6 +139,13 @@ def exact_dedup(docs: DataFrame, snapshot_rows=None, id_col: str = "doc_id", tex
     return _verdicts(known.unionByName(nameless))
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs` without exact copies: one row of each group stays, the one of the largest key."""
+    keyed, key, _ = with_keys(docs, id_col)
+    dropped = exact_dedup(keyed, id_col=key, text_col=text_col).filter("not kept").select(F.col("doc_id").alias(key))
+    return keyed.join(dropped.hint("shuffle_hash"), key, "left_anti").select(*docs.columns)
+
+
 def _verdicts(rows: DataFrame) -> DataFrame:
     keep = F.coalesce("keep_id", "doc_id")
     return rows.select("doc_id", keep.alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))

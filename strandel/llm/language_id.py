@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandel.llm.common import table
-from strandel.llm.subword import Model, give_back, held_out, scores, train, training_bags
+from strandel.llm.common import give_back, table
+from strandel.llm.subword import Model, held_out, scores, train, training_bags
 from strandel.llm.words import slices
 
 #: Most rows that the model is fitted on, all languages together.
@@ -30,7 +30,7 @@ UNKNOWN = "und"
 def fit(docs: DataFrame, most_rows: int = TRAIN_ROWS) -> Model:
     known = docs.filter("lang is not null and doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").alias("label"))
     model = train(training_bags(docs, known.filter(~held_out(F.col("doc_id"))), most_rows), epochs=6)
-    give_back()
+    give_back(docs.sparkSession)
     return model
 
 

@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandel.llm.common import table
-from strandel.llm.subword import Model, give_back, held_out, scores, train, training_bags
+from strandel.llm.common import give_back, table
+from strandel.llm.subword import Model, held_out, scores, train, training_bags
 from strandel.llm.words import slices
 
 #: Most labelled rows that the model is fitted on, both labels together.
@@ -30,7 +30,7 @@ CUTOFF = 0.3
 def fit(docs: DataFrame, labels: DataFrame, most_rows: int = TRAIN_ROWS) -> Model:
     known = labels.filter("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("label"))
     model = train(training_bags(docs, known.filter(~held_out(F.col("doc_id"))), most_rows))
-    give_back()
+    give_back(docs.sparkSession)
     return model
 
 

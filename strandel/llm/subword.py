@@ -15,8 +15,6 @@ numbers, so a score does not depend on where slices end.
 
 from __future__ import annotations
 
-import ctypes
-import gc
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -217,14 +215,6 @@ def training_bags(docs: DataFrame, labels: DataFrame, most_rows: int) -> pd.Data
     return got.sort_values(["order", "label"], kind="stable", ignore_index=True).drop(columns="order")
 
 
-def give_back() -> None:
-    """Returns freed memory of the driver's Python to the system, where the C library can."""
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim is not None:
-        gc.collect()
-        trim(0)
-
-
 def train(rows: pd.DataFrame, width: int = 12, epochs: int = 12, rate: float = 1.0, batch: int = 16, seed: int = 7) -> Model:
     """Fits vectors and softmax by stochastic gradient descent, then a temperature on a tenth set aside."""
     classes = tuple(sorted(set(rows.label))) if len(rows) else ("",)
