@@ -6,7 +6,8 @@ negative by their name, with weights counted on labelled pages: pages that mark
 contiguous region of the highest score; its blocks are the text. Scripts, styles, comments, forms
 and elements hidden or by tag no content are taken out beforehand. An element whose class, id or role
 names it a menu, advert, notice or the like is scored by its own words, and is out at 0 or less; one
-that holds a heading h1, the marked content or, where none is marked, most of the words never is.
+that holds a heading h1, the marked content or most words of the mark around it (of the page, where
+none is marked) never is.
 
 Defined results: a null or empty page, or one without words, gives the empty text; markup that
 never closes is read as far as it goes; kinds of tokens that no labelled page holds weigh as in
@@ -115,10 +116,11 @@ class _Held:
             h1.append(h1[-1] + (kind == "tag" and i > gone and value == "h1"))
         self.words, self.links, self.marks, self.h1 = words, links, marks, h1
 
-    def content(self, a: int, b: int) -> bool:
-        """Whether it holds the marked content, a heading h1, or most words of a page that marks none."""
+    def content(self, a: int, b: int, mark: tuple[int, int] | None) -> bool:
+        """Whether it holds the marked content, a heading h1, or most words of the mark it stands in (of the page, where none is marked)."""
         within = lambda x: x[b] - x[a]
-        return bool(within(self.marks) or within(self.h1) or not self.marks[-1] and 2 * within(self.words) > self.words[-1])
+        whole = self.words[mark[1]] - self.words[mark[0]] if mark else 0 if self.marks[-1] else self.words[-1]
+        return bool(within(self.marks) or within(self.h1) or whole and 2 * within(self.words) > whole)
 
     def score(self, a: int, b: int, named: int, cost: int) -> int:
         words, links = self.words[b] - self.words[a], self.links[b] - self.links[a]
@@ -154,9 +156,10 @@ def tokens(page: str) -> list[tuple[str, str]]:
         held = held or _Held(raw, ends)
         if hidden:
             return not held.marks[ends[i]] - held.marks[i] and (name in BLOCK or all(raw[k][:2] != ("tag", "math") for k in range(i, ends[i])))
-        return not held.content(i, ends[i]) and (tagged or held.score(i, ends[i], named, 0 if content else HINT_COST) <= 0)
+        mark = next(((k, ends[k]) for k in reversed(marked) if ends.get(k, -1) > i), None)
+        return not held.content(i, ends[i], mark) and (tagged or held.score(i, ends[i], named, 0 if content else HINT_COST) <= 0)
 
-    out, inside, i, content = [], ["html"], 0, 0
+    out, inside, i, content, marked = [], ["html"], 0, 0, []
     while i < len(raw):
         kind, name, rest = raw[i]
         if kind == "text":
@@ -165,7 +168,9 @@ def tokens(page: str) -> list[tuple[str, str]]:
             if i in ends and aside(i, name, rest):
                 i = ends[i] + 1
                 continue
-            content += name in ("article", "main")
+            if name in ("article", "main"):
+                content += 1
+                marked.append(i)
             out.append((kind, name))
             if name not in VOID:
                 if name in BLOCK and inside[-1] == "p":
@@ -173,7 +178,9 @@ def tokens(page: str) -> list[tuple[str, str]]:
                 inside.append(name)
         else:
             out.append((kind, name))
-            content -= name in ("article", "main") and content > 0
+            if name in ("article", "main") and content:
+                content -= 1
+                marked.pop()
             if name in inside:
                 while inside.pop() != name:
                     pass

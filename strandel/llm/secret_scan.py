@@ -1,21 +1,23 @@
 """Secret scans with corpus-wide ownership frequency, in Spark SQL functions alone.
 
 Every whole text gives the base spans (assignments, access keys, long hex runs) and candidates:
-further runs of characters that look random. The hashes of all their values are counted by distinct
-repositories and owners over the corpus. A value that many owners hold is a widely copied example;
-one that few hold is owner-specific. Base spans always stay, with the counts of both sorts; a
-candidate becomes a span of kind `live` only if it is owner-specific.
+further runs of characters that look random and touch no base span. The hashes of all their values
+are counted by distinct repositories and owners over the corpus. A value that many owners or many
+repositories hold is a widely copied example; any other is owner-specific. Base spans always stay,
+with the counts of both sorts; a candidate becomes a span of kind `live` only if it is owner-specific.
 
 Defined results: a null text is empty and has no spans; a null repository or owner is one of its
-own; rows that repeat a doc_id each get their own spans; extra columns are ignored.
+own; rows that repeat a doc_id or have none each get their own spans; extra columns are ignored; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from strandel.llm.common import cut, salted_lookup, table
+from strandel.llm.common import cut, cut_small, salted_lookup, table
 from strandel.llm.exprs import let, matches
 
 # The base patterns as stated.
@@ -24,8 +26,8 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{32,}"
 KINDS = ("assign", "access", "hex", "live")
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}"
-#: A value that this many owners hold is a copied example.
-COPIED_OWNERS = 3
+#: A value that this many owners, or this many repositories of any owners, hold is a copied example.
+COPIED_OWNERS, COPIED_REPOSITORIES = 3, 5
 MIN_DISTINCT_CHARS = 10
 
 
@@ -48,38 +50,56 @@ def random_looking(value: Column) -> Column:
 
 
 def candidates(docs: DataFrame, repository: Column, owner: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """row, doc_id, repository, owner, base and more (candidate spans outside the base ones) of every row."""
+    """row, doc_id, repository, owner and found (base spans and candidates) of every row."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), repository.cast("string").alias("repository"), owner.cast("string").alias("owner"), let(text, base_spans).alias("base"), _kind(F.filter(matches(text, CANDIDATE), lambda s: random_looking(s["value"])), "live").alias("more"))
-    apart = F.filter("more", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    return rows.withColumn("more", apart).withColumn("row", F.monotonically_increasing_id())
+    more = _kind(F.filter(matches(text, CANDIDATE), lambda s: random_looking(s["value"])), "live")
+    return docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), repository.cast("string").alias("repository"), owner.cast("string").alias("owner"), F.concat(let(text, base_spans), more).alias("found"))
+
+
+def apart(rows: DataFrame) -> DataFrame:
+    """row, repository, owner and the span of every base span and of the candidates that touch none; sorted once a text."""
+    live = KINDS.index("live")
+    spans = rows.select("row", "repository", "owner", F.explode("found").alias("s")).select("row", "repository", "owner", "s.*")
+    order = Window.partitionBy("row").orderBy("start", "kind", "end")
+    base = lambda c: F.when(F.col("kind") < live, F.col(c))
+    before = F.max(base("end")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.min(base("start")).over(order.rowsBetween(1, Window.unboundedFollowing))
+    placed = spans.withColumn("before", before).withColumn("after", after)
+    free = (F.coalesce("before", F.lit(0)) <= F.col("start")) & (F.coalesce("after", F.col("end")) >= F.col("end"))
+    return placed.filter((F.col("kind") < live) | free).drop("before", "after")
 
 
 def ownership(held: DataFrame) -> DataFrame:
-    """hash, n_rows, n_repositories, n_owners over the corpus; each step combines before it shuffles."""
+    """hash, n_spans, n_repositories, n_owners over the corpus; each step combines before it shuffles."""
     by_repo = held.groupBy("hash", "owner", "repository").agg(F.count(F.lit(1)).alias("n"))
     by_owner = by_repo.groupBy("hash", "owner").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("repos"))
-    return by_owner.groupBy("hash").agg(F.sum("n").alias("n_rows"), F.sum("repos").alias("n_repositories"), F.count(F.lit(1)).alias("n_owners"))
+    return by_owner.groupBy("hash").agg(F.sum("n").alias("n_spans"), F.sum("repos").alias("n_repositories"), F.count(F.lit(1)).alias("n_owners"))
 
 
-def _joined(spans: Column) -> Column:
-    names = F.array(*[F.lit(k) for k in KINDS])
-    return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", names[s["kind"]], s["start"].cast("string"), s["end"].cast("string"))), ",")
+def scan(docs: DataFrame, repository: Column, owner: Column, copied_owners: int = COPIED_OWNERS, copied_repositories: int = COPIED_REPOSITORIES, **columns: str) -> DataFrame:
+    """doc_id and spans (start, kind, end, hash, n_repositories, n_owners, copied) of every row, in order: base and live ones."""
+    rows = cut(candidates(docs, repository, owner, **columns))
+    held = cut_small(apart(rows))
+    copied = (F.col("n_owners") >= copied_owners) | (F.col("n_repositories") >= copied_repositories)
+    known = salted_lookup(held, ownership(held).withColumn("copied", copied), ["hash"], F.col("row"), "inner").filter(~F.col("copied") | (F.col("kind") < KINDS.index("live")))
+    fields = ["start", "kind", "end", "hash", "n_repositories", "n_owners", "copied"]
+    by_row = known.groupBy("row").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("spans"))
+    none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint,hash:string,n_repositories:bigint,n_owners:bigint,copied:boolean>>")
+    return rows.select("row", "doc_id").join(by_row, "row", "left").select("doc_id", F.coalesce("spans", none).alias("spans"))
 
 
-def scan(docs: DataFrame, repository: Column, owner: Column, copied_owners: int = COPIED_OWNERS, **columns: str) -> DataFrame:
-    """doc_id, base and live spans, and of the base spans those held by many owners."""
-    rows = cut(candidates(docs, repository, owner, **columns))
-    held = rows.select("row", "repository", "owner", F.explode(F.array_distinct(F.transform(F.concat("base", "more"), lambda s: s["hash"]))).alias("hash"))
-    copied = ownership(held).filter(F.col("n_owners") >= copied_owners).select("hash", F.lit(True).alias("copied"))
-    by_row = salted_lookup(held.select("row", "hash"), copied, ["hash"], F.col("row"), "inner").groupBy("row").agg(F.collect_set("hash").alias("copied"))
-    none = F.array().cast("array<string>")
-    return rows.join(by_row, "row", "left").withColumn("copied", F.coalesce("copied", none)).select("doc_id", "base", F.filter("more", lambda s: ~F.array_contains("copied", s["hash"])).alias("live"), F.filter("base", lambda s: F.array_contains("copied", s["hash"])).alias("examples"))
+def _joined(spans: Column) -> Column:
+    names = F.array(*[F.lit(k) for k in KINDS])
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", names[s["kind"]], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
 def digest(found: DataFrame) -> DataFrame:
-    n = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == KINDS.index(kind))).cast("long").alias(f"n_{kind}")
-    return found.select("doc_id", n("assign"), n("access"), n("hex"), F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.concat("base", "live")).alias("spans"), F.size("live").cast("long").alias("n_live"), F.size("examples").cast("long").alias("n_copied_examples"))
+    """The contract's columns, how many live spans and copied examples there are, and repositories:owners of each span."""
+    live = KINDS.index("live")
+    n = lambda rule, name: F.size(F.filter("spans", rule)).cast("long").alias(name)
+    of = lambda k: lambda s: s["kind"] == k
+    counts = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["n_repositories"].cast("string"), s["n_owners"].cast("string"))), ",").alias("held_by")
+    return found.select("doc_id", *[n(of(k), f"n_{kind}") for k, kind in enumerate(KINDS)], F.sha2(_joined(F.filter("spans", lambda s: s["kind"] < live)), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"), n(lambda s: s["copied"], "n_copied_examples"), counts)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,25 +109,25 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _SQL_ASSIGN = ASSIGN.replace("'", "''")
 ORACLE = rf"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(source, chr(0)) AS owner FROM documents),
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(source, chr(0)) AS owner, concat_ws('/', source, lang) AS repo FROM documents),
 m AS (
-  SELECT doc_id, owner, 0 AS kind, regexp_extract_all(t, '{_SQL_ASSIGN}', 0) AS f, string_split_regex(t, '{_SQL_ASSIGN}') AS p FROM d
-  UNION ALL SELECT doc_id, owner, 1, regexp_extract_all(t, '{ACCESS}', 0), string_split_regex(t, '{ACCESS}') FROM d
-  UNION ALL SELECT doc_id, owner, 2, regexp_extract_all(t, '{HEX}', 0), string_split_regex(t, '{HEX}') FROM d
-  UNION ALL SELECT doc_id, owner, 3, regexp_extract_all(t, '{CANDIDATE}', 0), string_split_regex(t, '{CANDIDATE}') FROM d
-), x AS (SELECT doc_id, owner, kind, f, p, unnest(f) AS v, generate_subscripts(f, 1) AS k FROM m WHERE len(f) > 0),
+  SELECT doc_id, owner, repo, 0 AS kind, regexp_extract_all(t, '{_SQL_ASSIGN}', 0) AS f, string_split_regex(t, '{_SQL_ASSIGN}') AS p FROM d
+  UNION ALL SELECT doc_id, owner, repo, 1, regexp_extract_all(t, '{ACCESS}', 0), string_split_regex(t, '{ACCESS}') FROM d
+  UNION ALL SELECT doc_id, owner, repo, 2, regexp_extract_all(t, '{HEX}', 0), string_split_regex(t, '{HEX}') FROM d
+  UNION ALL SELECT doc_id, owner, repo, 3, regexp_extract_all(t, '{CANDIDATE}', 0), string_split_regex(t, '{CANDIDATE}') FROM d
+), x AS (SELECT doc_id, owner, repo, kind, f, p, unnest(f) AS v, generate_subscripts(f, 1) AS k FROM m WHERE len(f) > 0),
 y AS (
-  SELECT doc_id, owner, kind, v, CASE WHEN kind = 0 THEN regexp_extract(v, '{_SQL_ASSIGN}', 2) ELSE v END AS held,
+  SELECT doc_id, owner, repo, kind, v, CASE WHEN kind = 0 THEN regexp_extract(v, '{_SQL_ASSIGN}', 2) ELSE v END AS held,
          CAST(list_sum(list_transform(p[1:k], lambda z: length(z))) + coalesce(list_sum(list_transform(f[1:k - 1], lambda z: length(z))), 0) AS BIGINT) AS s FROM x
 ), b AS (SELECT * FROM y WHERE kind = 0 AND length(held) >= 8 OR kind = 1 AND length(v) >= 16 OR kind = 2),
 c AS (
   SELECT * FROM y WHERE kind = 3 AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]') AND len(list_distinct(string_split(v, ''))) >= {MIN_DISTINCT_CHARS}
     AND NOT EXISTS (SELECT 1 FROM b WHERE b.doc_id = y.doc_id AND b.s < y.s + length(y.v) AND y.s < b.s + length(b.v))
-), o AS (SELECT held FROM (SELECT held, owner FROM b UNION SELECT held, owner FROM c) GROUP BY held HAVING count(DISTINCT owner) >= {COPIED_OWNERS}),
-a AS (SELECT * FROM b UNION ALL SELECT * FROM c WHERE held NOT IN (SELECT held FROM o)),
-n AS (SELECT *, ['assign', 'access', 'hex', 'live'][kind + 1] || ':' || s || ':' || (s + length(v)) AS span, held IN (SELECT held FROM o) AS copied FROM a)
+), o AS (SELECT held, count(DISTINCT owner) AS n_owners, count(DISTINCT owner || chr(1) || repo) AS n_repos FROM (SELECT held, owner, repo FROM b UNION SELECT held, owner, repo FROM c) GROUP BY held),
+a AS (SELECT *, n_owners >= {COPIED_OWNERS} OR n_repos >= {COPIED_REPOSITORIES} AS copied FROM (SELECT * FROM b UNION ALL SELECT * FROM c) JOIN o USING (held)),
+n AS (SELECT *, ['assign', 'access', 'hex', 'live'][kind + 1] || ':' || s || ':' || (s + length(v)) AS span FROM a WHERE kind < 3 OR NOT copied)
 SELECT d.doc_id, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access, count(*) FILTER (WHERE kind = 2) AS n_hex,
        sha256(coalesce(string_agg(span, ',' ORDER BY s, kind) FILTER (WHERE kind < 3), '')) AS base_sha256, coalesce(string_agg(span, ',' ORDER BY s, kind), '') AS spans,
-       count(*) FILTER (WHERE kind = 3) AS n_live, count(*) FILTER (WHERE kind < 3 AND copied) AS n_copied_examples
+       count(*) FILTER (WHERE kind = 3) AS n_live, count(*) FILTER (WHERE kind < 3 AND copied) AS n_copied_examples, coalesce(string_agg(n_repos || ':' || n_owners, ',' ORDER BY s, kind), '') AS held_by
 FROM d LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id
 """

@@ -236,7 +236,7 @@ def test_secret_scan(odd):
         spans = base_of(t)
         joined = ",".join(f"{secret_scan.KINDS[k]}:{a}:{b}" for a, k, b in spans)
         want.append((i, *(sum(s[1] == k for s in spans) for k in range(3)), hashlib.sha256(joined.encode()).hexdigest()))
-    assert sorted(tuple(r[:5]) for r in got) == sorted(want)
+    assert sorted((r.doc_id, r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in got) == sorted(want)
 
 
 def test_ownership_parts_examples_from_live_values(spark):
@@ -245,7 +245,32 @@ def test_ownership_parts_examples_from_live_values(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = {r.doc_id: r for r in secret_scan.digest(secret_scan.scan(docs, F.col("source"), F.col("source"))).collect()}
     assert got[9].spans == f"live:3:{3 + len(live)}" and got[0].spans == "" and got[0].n_live == 0
-    assert got[10].n_assign == 1 and got[10].n_copied_examples == 1
+    assert got[10].n_assign == 1 and got[10].n_copied_examples == 1 and got[10].held_by == "5:5" and got[9].held_by == "1:1"
+
+
+def test_values_of_many_repositories_of_one_owner_are_examples(spark):
+    wide, own = "Xk9Qm2Lp7Rt4Vw8Zb3Nc", "Jh5Gf8Ds2Ap9Oi3Uy6Te"
+    rows = [(k, f"see {wide} here", None, f"repo{k}") for k in range(5)] + [(10 + k, f"my {own} here", None, f"repo{k % 4}") for k in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, repo string")
+    got = {r.doc_id: r for r in secret_scan.digest(secret_scan.scan(docs, F.col("repo"), F.col("source"))).collect()}
+    assert all(got[k].spans == "" for k in range(5)) and all(got[10 + k].n_live == 1 and got[10 + k].held_by == "4:1" for k in range(9))
+
+
+def test_candidates_that_touch_base_spans_are_left_out(spark):
+    import random
+
+    rng, rows = random.Random(6), []
+    for k in range(40):
+        parts = [rng.choice(["password=Ab3dEf6hIj9kLm2nOp5q", "AKIA" + "Z9" * 8, "Qw7Er3Ty9Ui2Op5As8Df", "0f" * 17, "x", "Qw7Er3Ty9Ui2" + "0f" * 16 + "AKIA" + "B7" * 7]) for _ in range(12)]
+        rows.append((k, "".join(p + rng.choice([" ", "", "/", ". "]) for p in parts), f"o{k}"))
+    many = " ".join(f"token=Ab{k}dEf6hIj9kLm2nOp5q Zx{k}Cv8Bn4Ml2Kj7Hg5Fd" for k in range(4_000))
+    docs = spark.createDataFrame([*rows, (99, many, "o99")], "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in secret_scan.digest(secret_scan.scan(docs, F.col("source"), F.col("source"), 1_000, 1_000)).collect()}
+    for i, t, _ in rows:
+        base = base_of(t)
+        want = [(m.start(), 3, m.end()) for m in re.finditer(secret_scan.CANDIDATE, t) if re.search("[0-9]", m[0]) and re.search("[a-z]", m[0]) and re.search("[A-Z]", m[0]) and len(set(m[0])) >= 10 and not any(a < m.end() and m.start() < b for a, _, b in base)]
+        assert got[i].spans == ",".join(f"{secret_scan.KINDS[k]}:{a}:{b}" for a, k, b in sorted(base + want))
+    assert got[99].n_assign == 4_000 and got[99].n_live == 4_000
 
 
 # quality rules
@@ -398,6 +423,28 @@ def test_html_wrappers_named_after_other_parts_stay(wrapper):
     assert html_extract.extract(f'<body><form id="aspnet"><p>Title</p><p>{LONG}</p></form></body>', html_extract.DEFAULT) == want
 
 
+WRAPPERS = """class="layout no-sidebar"|id="page" class="site right-sidebar"|class="post-content social"|class="related work"|class="widget"|class="page-with-sidebar"|class="has-comments"|class="ad-free"
+class="content share"|class="cookie-policy"|id="main-menu-open"|class="navbar-fixed site"|role="navigation"|id="sidebar"|class="promo" id="comments\"""".replace("\n", "|").split("|")
+
+
+@pytest.mark.parametrize("wrapper", WRAPPERS)
+def test_html_wrappers_never_empty_a_page(wrapper):
+    for before, after in (("<article>", "</article>"), ("<main>", "</main>"), ("<body>", "</body>"), ("<div><div>", "</div></div>")):
+        page = f"<nav>Menu one</nav>{before}<div {wrapper}><p>{LONG}</p><p>{LONG} end</p></div>{after}<footer>Small print</footer>"
+        assert html_extract.extract(page, html_extract.DEFAULT) == f"{LONG}\n\n{LONG} end"
+        inner = f"<nav>Menu one</nav><div {wrapper}>{before}<h1>Title</h1><p>{LONG}</p>{after}</div><aside>More</aside>"
+        assert html_extract.extract(inner, html_extract.DEFAULT) == f"Title\n\n{LONG}"
+
+
+def test_html_of_very_long_pages_clashing_columns_and_no_rows(spark):
+    many = "".join(f"<p>{LONG} {k}</p>" for k in range(6_000))
+    long = f"<nav>Menu</nav><article>{many}</article>" + "<div class=ad>x</div>" * 20_000
+    pages = spark.createDataFrame([(1, "u", long, "clash", 5), (1, "u", long, None, None)], "page_id long, url string, html string, text string, n_chars long")
+    for w in (html_extract.learn(pages), html_extract.learn(pages.limit(0))):
+        got = html_extract.main_text(pages, w).collect()
+        assert len(got) == 2 and all(r.text == "\n\n".join(f"{LONG} {k}" for k in range(6_000)) and r.n_chars == len(r.text) for r in got)
+
+
 def test_html_parts_of_an_article_with_such_names_stay():
     page = f"""<article><h2 id="related-work">Related work</h2><p class="notice">Mind the gap.</p><section class="social-policy"><p>{LONG} {LONG} {LONG}</p></section>
 <div class="banner"><h1>Title</h1></div><figure class="banner"><img src=x><figcaption>A view.</figcaption></figure><p>So <math><mi>a</mi><mo>=</mo><mn>1</mn><annotation>a=1</annotation></math> holds.</p>
