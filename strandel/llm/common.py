@@ -103,10 +103,11 @@ def salted_lookup(left: DataFrame, right: DataFrame, on: list[str], spread: Colu
     """Equi-join in which one key of `left` may hold a large share of the rows.
 
     Each left row takes one of `salts` values from the hash of `spread`; `right`, which has
-    one narrow row a key, is repeated once a salt. No row is dropped and none is doubled.
+    one narrow row a key, is repeated once a salt. No row is dropped and none is doubled. Nothing is
+    broadcast, however small a part looks; see `lookup` for sides of a known size.
     """
     many = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).join(many, [*on, "_salt"], how).drop("_salt")
+    return left.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).join(many.hint("shuffle_hash"), [*on, "_salt"], how).drop("_salt")
 
 
 #: Most rows that are broadcast to be looked up (tens of bytes each); beyond that the join shuffles with salts.

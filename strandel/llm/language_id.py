@@ -29,7 +29,9 @@ UNKNOWN = "und"
 
 def fit(docs: DataFrame, most_rows: int = TRAIN_ROWS) -> Model:
     known = docs.filter("lang is not null and doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").alias("label"))
-    model = train(training_bags(docs, known.filter(~held_out(F.col("doc_id"))), most_rows), epochs=6)
+    rows = training_bags(docs, known.filter(~held_out(F.col("doc_id"))), most_rows)
+    give_back(docs.sparkSession)
+    model = train(rows, epochs=6)
     give_back(docs.sparkSession)
     return model
 

@@ -306,7 +306,7 @@ def near_classes(docs: DataFrame, rule: Rule, key: str, text_col: str = "text")
     sizes = bands.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     shared = cut_small(salted_lookup(bands, sizes, ["key"], F.col("rep"), "inner").select("rep", "band", "key", "size"))
     near = shared.groupBy("rep").agg(F.sum("size").alias("near"))  # the middle of a family shares the most
-    leaders = shared.join(near, "rep").groupBy("key").agg(F.max(F.struct("near", F.xxhash64("rep", "key").alias("h"), "rep")).alias("lead")).select("key", F.col("lead.rep").alias("leader"))
+    leaders = shared.join(near.hint("shuffle_hash"), "rep").groupBy("key").agg(F.max(F.struct("near", F.xxhash64("rep", "key").alias("h"), "rep")).alias("lead")).select("key", F.col("lead.rep").alias("leader"))
     stars = salted_lookup(shared, leaders, ["key"], F.col("rep"), "inner").filter("rep <> leader").select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct()
     first, n = cut_counted(likely(stars, classes, rule))
     tried = first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))

@@ -29,7 +29,9 @@ CUTOFF = 0.3
 
 def fit(docs: DataFrame, labels: DataFrame, most_rows: int = TRAIN_ROWS) -> Model:
     known = labels.filter("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("label"))
-    model = train(training_bags(docs, known.filter(~held_out(F.col("doc_id"))), most_rows))
+    rows = training_bags(docs, known.filter(~held_out(F.col("doc_id"))), most_rows)
+    give_back(docs.sparkSession)
+    model = train(rows)
     give_back(docs.sparkSession)
     return model
 

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strandel.llm.common import cut, cut_small, salted_lookup, table
+from strandel.llm.common import cut, cut_counted, cut_small, lookup, table
 from strandel.llm.words import SPACE, groups, text_bytes, window_hashes, word_spans
 
 #: measure: (side, least width of a quartile range, widths allowed beyond the quartile)
@@ -147,11 +147,11 @@ def thresholds(found: DataFrame) -> DataFrame:
     return joined.select(*out)
 
 
-def apply_rules(measures: DataFrame, limits: DataFrame) -> DataFrame:
+def apply_rules(measures: DataFrame, limits: DataFrame, n_limits: int) -> DataFrame:
     """Base counts, base_failed and kept for every measured text."""
     base_failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     keyed = measures.withColumn("_key", F.to_json(F.struct("lang", "source")))
-    joined = salted_lookup(keyed, limits.withColumn("_key", F.to_json(F.struct("lang", "source"))).drop("lang", "source"), ["_key"], F.xxhash64("doc_id", "n_words", "word_chars"))
+    joined = lookup(keyed, limits.withColumn("_key", F.to_json(F.struct("lang", "source"))).drop("lang", "source"), n_limits, ["_key"], F.xxhash64("doc_id", "n_words", "word_chars"))
     within = F.lit(True)
     for k in FENCES:
         within &= F.coalesce(F.col(k) <= F.col(f"high_{k}"), F.lit(True)) & F.coalesce(F.col(k) >= F.col(f"low_{k}"), F.lit(True))
@@ -161,7 +161,7 @@ def apply_rules(measures: DataFrame, limits: DataFrame) -> DataFrame:
 
 def quality_rules(docs: DataFrame, **columns: str) -> DataFrame:
     measures = cut(measure(docs, **columns))
-    return apply_rules(measures, cut_small(thresholds(sketches(measures))))
+    return apply_rules(measures, *cut_counted(thresholds(cut_small(sketches(measures)))))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

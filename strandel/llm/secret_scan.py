@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strandel.llm.common import cut, cut_small, salted_lookup, table
+from strandel.llm.common import cut, cut_counted, cut_small, lookup, table
 from strandel.llm.exprs import let, matches
 
 # The base patterns as stated.
@@ -81,7 +81,8 @@ def scan(docs: DataFrame, repository: Column, owner: Column, copied_owners: int
     rows = cut(candidates(docs, repository, owner, **columns))
     held = cut_small(apart(rows))
     copied = (F.col("n_owners") >= copied_owners) | (F.col("n_repositories") >= copied_repositories)
-    known = salted_lookup(held, ownership(held).withColumn("copied", copied), ["hash"], F.col("row"), "inner").filter(~F.col("copied") | (F.col("kind") < KINDS.index("live")))
+    owned, n = cut_counted(ownership(held).withColumn("copied", copied))
+    known = lookup(held, owned, n, ["hash"], F.col("row"), "inner").filter(~F.col("copied") | (F.col("kind") < KINDS.index("live")))
     fields = ["start", "kind", "end", "hash", "n_repositories", "n_owners", "copied"]
     by_row = known.groupBy("row").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("spans"))
     none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint,hash:string,n_repositories:bigint,n_owners:bigint,copied:boolean>>")

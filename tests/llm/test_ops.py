@@ -485,7 +485,7 @@ def test_every_fence_of_the_quality_rules_can_act(spark):
     rows = [(k, common, "en", "s") for k in range(300)] + [(1000 + k, f"{common} {x}", "en", "s") for k, x in enumerate(odd.values())]
     limits = quality_rules.thresholds(quality_rules.sketches(m := quality_rules.measure(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")))).first()
     seen = {r.doc_id: r for r in m.filter("doc_id >= 1000").collect()}
-    passed = {r.doc_id for r in quality_rules.apply_rules(m, quality_rules.thresholds(quality_rules.sketches(m))).filter("not base_failed").collect()}
+    passed = {r.doc_id for r in quality_rules.apply_rules(m, quality_rules.thresholds(quality_rules.sketches(m)), 1).filter("not base_failed").collect()}
     assert set(odd) == set(quality_rules.FENCES)
     for k, name in enumerate(odd):
         assert seen[1000 + k][name] > limits[f"high_{name}"] and 1000 + k in passed, name
