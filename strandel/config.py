@@ -159,6 +159,25 @@ def load(path: str) -> dict[str, Any]:
     return {s: build(s, flatten(raw.get(s) or {})) for s in SECTIONS}
 
 
+# The published set of grouping parameters.
+PUBLISHED_GROUP = {
+    "spur_px": 3, "bridge_px": 5, "absorb_free_px": 2, "join_px": 14, "window_local": 24.0, "window_chain": 55.0, "min_quadratic": 18, "n_rounds": 8, "anneal_start": 0.85,
+    "j_w_direct": 0.6, "j_w_turn": 1.2, "j_chord_floor": 4.0, "j_w_kappa": 1.0, "j_unmatched": 0.62, "j_gap_relief": 0.0, "gap_max_len": 85.0, "g_w_direct": 0.2, "g_w_turn": 1.0,
+    "g_w_len": 0.15, "g_len_scale": 60.0, "g_chord_floor": 3.0, "g_w_kappa": 0.5, "g_unmatched": 0.3, "gap_max_theta": 0.4, "gap_max_phi": 0.28, "kappa_scale": 30.0, "break_rings": False,
+}
+#: What chooses the pixels that are given out, not how they are grouped.
+_OUTPUT = {"min_isolated_px", "include_nodes"}
+
+
+def check_published(rule: GroupRule | None = None) -> None:
+    """Raises with every grouping parameter that differs from the published set, or that only one of both has."""
+    live = dataclasses.asdict(rule or GroupRule())
+    moved = {k: (v, live.get(k)) for k, v in PUBLISHED_GROUP.items() if k not in live or float(live[k]) != float(v)}
+    extra = sorted(set(live) - set(PUBLISHED_GROUP) - _OUTPUT)
+    if moved or extra:
+        raise AssertionError(f"grouping parameters differ from the published ones: changed {moved}, new {extra}")
+
+
 def flatten(section: dict[str, Any]) -> dict[str, Any]:
     out: dict[str, Any] = {}
     for name, value in section.items():

@@ -90,3 +90,17 @@ def matching_objective(matching: DataFrame, prices: DataFrame, costs: DataFrame,
     linked = matching.join(costs, [*keys, "a", "b"], "left").groupBy(*keys).agg(F.sum(F.coalesce("cost", F.lit(4 * penalty)) - 2 * penalty).alias("_links"))
     alone = prices.groupBy(*keys).agg(F.sum("price").alias("_alone"))
     return alone.join(linked, keys, "left").select(*keys, (F.col("_alone") + F.coalesce("_links", F.lit(0.0))).alias("objective"))
+
+
+def free_stubs(frames: DataFrame, matching: DataFrame, keys: list[str], stub: str = "sid") -> DataFrame:
+    """The reliable frames whose stub no link (a, b) of the matching holds."""
+    held = matching.select(*keys, F.explode(F.array("a", "b")).alias(stub))
+    return frames.filter("reliable").join(held, [*keys, stub], "left_anti")
+
+
+def same_matching(one: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, same: whether two matchings (a, b) hold the same links, whichever end comes first."""
+    ends = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+    both = one.select(*keys, *ends, F.lit(1).alias("_w")).unionByName(other.select(*keys, *ends, F.lit(2).alias("_w")))
+    links = both.groupBy(*keys, "a", "b").agg(F.count_if(F.col("_w") == 1).alias("_one"), F.count_if(F.col("_w") == 2).alias("_other"))
+    return links.groupBy(*keys).agg(F.every((F.col("_one") > 0) == (F.col("_other") > 0)).alias("same"))

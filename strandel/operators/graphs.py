@@ -48,7 +48,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame, keys: list[str], mo
     Each task first contracts its own edges, a bounded number, into stars. Where one task holds all,
     that is the result; else labels go to neighbours and then to the label's own label until they rest.
     """
-    lines = cut(edges.select(*keys, F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).filter("u <> v").distinct())
+    lines = cut(edges.select(*keys, F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).filter("u <> v"))
     parts = max(1, -(-lines.count() // EDGES_A_TASK))
     kinds = {f.name: f.dataType.simpleString() for f in lines.schema}
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in (*keys, "u", "v"))
@@ -219,6 +219,17 @@ def break_cycles(arms: DataFrame, links: DataFrame, keys: list[str]) -> DataFram
         lines = cut(lines.join(rings, [*keys, "a", "b"], "left_anti"))
 
 
+def induced(edges: DataFrame, nodes: DataFrame, keys: list[str], u: str = "u", v: str = "v") -> DataFrame:
+    """The edges with both ends among `nodes` (keys, node)."""
+    own = nodes.select(*keys, "node").distinct()
+    return edges.join(own.withColumnRenamed("node", u), [*keys, u], "left_semi").join(own.withColumnRenamed("node", v), [*keys, v], "left_semi")
+
+
+def relation_weights(decided: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, over, under, weight: the summed strength of all decisions that put one above the other."""
+    return decided.groupBy(*keys, "over", "under").agg(F.sum(F.abs("score")).alias("weight"))
+
+
 def stacked_heights(nodes: DataFrame, relations: DataFrame, keys: list[str], gap: float = 0.0, least_radius: float = 0.5) -> DataFrame:
     """keys, node, z: the lowest heights that keep every pair (lo, hi) apart by both radii and `gap`.
 

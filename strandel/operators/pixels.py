@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from strandel.kernels.raster import label as kernel_label
 from strandel.operators.graphs import connected_components
 from strandel.session import cut
 
@@ -32,15 +35,35 @@ def dilate(pixels: DataFrame, keys: list[str], offsets: list[tuple[int, int]] |
     return shifted(pixels, keys, [(0, 0), *(NEIGHBOURS if offsets is None else offsets)]).select(*keys, "r", "c").distinct()
 
 
-def label(pixels: DataFrame, keys: list[str], width: int = 1 << 20) -> DataFrame:
-    """keys, r, c, label: 8-connected components, numbered from 1 by their first pixel in row-major order."""
-    flat = pixels.select(*keys, "r", "c", (F.col("r").cast("long") * width + F.col("c")).alias("node")).distinct()
-    half = [(0, 1), (1, -1), (1, 0), (1, 1)]
-    edges = shifted(flat, keys, half).join(flat.select(*keys, "r", "c"), [*keys, "r", "c"], "left_semi")
-    edges = edges.select(*keys, (F.col("r0").cast("long") * width + F.col("c0")).alias("u"), (F.col("r").cast("long") * width + F.col("c")).alias("v"))
-    found = connected_components(flat, edges, keys)
+def label(pixels: DataFrame, keys: list[str], width: int = 1 << 20, side: int = 256) -> DataFrame:
+    """keys, r, c, label: 8-connected components, numbered from 1 by their first pixel in row-major order.
+
+    Pixels are dealt into square tiles, each labelled inside a task by the first pixel of every part;
+    only parts that touch over a tile's border are joined by the graph operator.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in pixels.schema}
+    names = [*keys, "r", "c", "part"]
+
+    def run(tile: pd.DataFrame) -> pd.DataFrame:
+        r, c = tile.r.to_numpy(np.int64), tile.c.to_numpy(np.int64)
+        mask = np.zeros((side, side), bool)
+        mask[r % side, c % side] = True
+        of = kernel_label(mask)[r % side, c % side] - 1
+        first = np.full(of.max() + 1, np.iinfo(np.int64).max)
+        np.minimum.at(first, of, r * width + c)
+        return tile.assign(part=first[of])[names]
+
+    dealt = pixels.select(*keys, "r", "c", F.floor(F.col("r") / side).alias("_tr"), F.floor(F.col("c") / side).alias("_tc")).distinct()
+    local = cut(dealt.groupBy(*keys, "_tr", "_tc").applyInPandas(run, ", ".join(f"`{k}` {kinds[k]}" for k in (*keys, "r", "c")) + ", part long"))
+    edge = lambda x: F.pmod(F.col(x), F.lit(side)).isin(0, side - 1)
+    border = local.filter(edge("r") | edge("c"))
+    near = border.select(*keys, "part", F.explode(_offsets([(0, 1), (1, -1), (1, 0), (1, 1)])).alias("_o"), "r", "c").select(*keys, F.col("part").alias("u"), (F.col("r") + F.col("_o.dr")).alias("r"), (F.col("c") + F.col("_o.dc")).alias("c"))
+    seams = cut(near.join(border.withColumnRenamed("part", "v"), [*keys, "r", "c"]).filter("u <> v").select(*keys, "u", "v").distinct())
+    ends = seams.select(*keys, F.col("u").alias("node")).union(seams.select(*keys, "v"))
+    joined = connected_components(ends, seams, keys).select(*keys, F.col("node").alias("part"), "component")
+    found = local.join(joined, [*keys, "part"], "left").withColumn("component", F.coalesce("component", "part"))
     firsts = found.select(*keys, "component").distinct().withColumn("label", F.row_number().over(Window.partitionBy(*keys).orderBy("component")))
-    return found.join(firsts, [*keys, "component"]).join(flat, [*keys, "node"]).select(*keys, "r", "c", "label")
+    return found.join(firsts, [*keys, "component"]).select(*keys, "r", "c", "label")
 
 
 def prune_spurs(skeleton: DataFrame, keys: list[str], most: int = 3, rounds: int = 20) -> DataFrame:
@@ -80,3 +103,26 @@ def disc(points: DataFrame, keys: list[str], radius: float) -> DataFrame:
     n = int(radius)
     near = [(a, b) for a in range(-n, n + 1) for b in range(-n, n + 1) if a * a + b * b <= radius * radius]
     return shifted(points, keys, near).select(*keys, "r", "c").distinct()
+
+
+def touching(pieces: DataFrame, clusters: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, piece, cluster: which pieces (r, c, piece) have a pixel beside one of which clusters (r, c, cluster)."""
+    return shifted_to(pieces.select(*keys, "piece", "r", "c"), NEIGHBOURS).join(clusters, [*keys, "r", "c"]).select(*keys, "piece", "cluster").distinct()
+
+
+def held_by(tips: DataFrame, nodes: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, tip, node: the node (r, c, node) of most pixels around each tip (tip, r, c); the lowest among equals, null where there is none."""
+    votes = shifted_to(tips.select(*keys, "tip", "r", "c"), NEIGHBOURS).join(nodes, [*keys, "r", "c"]).groupBy(*keys, "tip", "node").agg(F.count(F.lit(1)).alias("_n"))
+    won = votes.groupBy(*keys, "tip").agg(F.min_by("node", F.struct(-F.col("_n"), "node")).alias("node"))
+    return tips.select(*keys, "tip").distinct().join(won, [*keys, "tip"], "left")
+
+
+def shifted_to(places: DataFrame, offsets: list[tuple[int, int]]) -> DataFrame:
+    """Each place once for every offset, moved by it, with its other columns."""
+    return places.withColumn("_o", F.explode(_offsets(offsets))).withColumn("r", F.col("r") + F.col("_o.dr")).withColumn("c", F.col("c") + F.col("_o.dc")).drop("_o")
+
+
+def by_area(instances: DataFrame, keys: list[str], iid: str = "iid") -> DataFrame:
+    """keys, iid, area, place: the order in which instances are worked on, the largest first, then by id."""
+    areas = instances.groupBy(*keys, iid).agg(F.count(F.lit(1)).alias("area"))
+    return areas.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("area"), iid)))

@@ -10,10 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandel.config import DepthRule
-from strandel.functions.geometry import decision_threshold
+from strandel.functions.geometry import abstain_threshold, decision_threshold
 from strandel.kernels import ordering
 from strandel.kernels.raster import gradient, robust_sigma, sample
 from strandel.operators import sequence, spatial
+from strandel.session import cut
 
 HITS = "scene_id string, i int, j int, x double, y double"
 EVIDENCE = HITS + ", score double, p_over double, feat_intensity double, feat_sharpness double, feat_floored double, reason int, raw_over int"
@@ -24,19 +25,8 @@ def crossings(centrelines: DataFrame, rule: DepthRule = DepthRule()) -> DataFram
     """scene_id, i, j, x, y: meetings of densified centrelines; hits of a pair within merge_px are one."""
     dense = sequence.densify(centrelines, ["scene_id", "iid"], 2.0)
     hits = spatial.crossing_segments(spatial.segments(dense, ["scene_id"], "iid"), ["scene_id"], "iid", 4.0)
-
-    def merge(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        groups: list[list[float]] = []
-        for x, y in part.sort_values(["ki", "kj"])[["x", "y"]].to_numpy():
-            for g in groups:
-                if math.hypot(x - g[0] / g[2], y - g[1] / g[2]) < rule.merge_px:
-                    g[0], g[1], g[2] = g[0] + x, g[1] + y, g[2] + 1
-                    break
-            else:
-                groups.append([x, y, 1])
-        return pd.DataFrame([(*key, g[0] / g[2], g[1] / g[2]) for g in groups], columns=["scene_id", "i", "j", "x", "y"])
-
-    return hits.select("scene_id", F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), "ki", "kj", "x", "y").groupBy("scene_id", "i", "j").applyInPandas(merge, HITS)
+    rows = hits.select("scene_id", F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), "ki", "kj", "x", "y")
+    return spatial.merged_hits(rows, ["scene_id", "i", "j"], ["ki", "kj"], rule.merge_px)
 
 
 def evidence_of(image: np.ndarray, a: np.ndarray, b: np.ndarray, at: tuple[float, float], rule: DepthRule, radii: tuple[float, float] = (5.0, 5.0), edges: np.ndarray | None = None) -> dict:
@@ -101,14 +91,24 @@ def with_evidence(found: DataFrame, centrelines: DataFrame, greys: DataFrame, ru
                 r["raw_over"] = r["i"] if r["score"] > 0 else r["j"]
         return pd.DataFrame(rows, columns=names)
 
-    return found.groupBy("scene_id").cogroup(scenes.groupBy("scene_id")).applyInPandas(run, EVIDENCE)
+    own = found.select(*[F.col(c).alias(c) for c in ("scene_id", "i", "j", "x", "y")])  # columns of its own, as both sides come from the centrelines
+    return own.groupBy("scene_id").cogroup(scenes.groupBy("scene_id")).applyInPandas(run, EVIDENCE)
+
 
+def abstain_again(found: DataFrame, band: float | None = None, rule: DepthRule | None = None) -> DataFrame:
+    """The same crossings decided anew, by a rule's own threshold or by a band around a probability of one half.
 
-def abstain_again(found: DataFrame, threshold: float) -> DataFrame:
-    """The same crossings decided anew at another threshold; without a score, by the held log-odds."""
-    p = F.least(F.greatest(F.col("p_over"), F.lit(1e-6)), F.lit(1 - 1e-6))
-    score = F.coalesce("score", F.log(p / (1 - p)))
-    return found.withColumn("raw_over", F.when(F.abs(score) >= threshold, F.when(score > 0, F.col("i")).otherwise(F.col("j"))))
+    The two differ in unit, so exactly one must be given. Without a score the held log-odds decide; a
+    place in the order and a flip from an earlier decision no longer hold and are cleared.
+    """
+    if (band is None) == (rule is None):
+        raise TypeError("give exactly one of band and rule")
+    threshold = abstain_threshold(band) if rule is None else decision_threshold(rule.scoring, rule.abstain_score, rule.abstain_band)
+    p = F.when(F.col("p_over").isNotNull(), F.least(F.greatest(F.col("p_over"), F.lit(1e-6)), F.lit(1 - 1e-6)))
+    known = lambda c: F.when(~F.isnan(c), c)
+    score = F.coalesce(known(F.col("score")), known(F.log(p / (1 - p))))
+    out = found.withColumn("raw_over", F.when(F.abs(score) >= threshold, F.when(score > 0, F.col("i")).otherwise(F.col("j"))))
+    return out.withColumn("over", F.lit(None).cast("int")).withColumn("flipped", F.lit(False))
 
 
 def stacked(found: DataFrame, shapes: DataFrame, rule: DepthRule = DepthRule()) -> DataFrame:
@@ -153,18 +153,18 @@ def measured_radii(centrelines: DataFrame, greys: DataFrame, found: DataFrame, r
     clear = spatial.away_from(axis, marks, ["scene_id", "iid"], 2.2 * rule.default_radius_px + margin)
 
     def run(key: tuple, part: pd.DataFrame, scene: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        if len(part) and len(scene):
-            h, w = int(scene.height.iloc[0]), int(scene.width.iloc[0])
-            image = np.asarray(scene.grey.iloc[0], float).reshape(h, w)
-            level, sure, noise = raster.background(image)
-            for p in part.itertuples():
-                r, c = int(round(p.y)), int(round(p.x))
-                if 0 <= r < h and 0 <= c < w:
-                    cut = profile.measure(image, float(level[r, c]), noise, (p.y, p.x), (p.ny, p.nx), trusted=bool(sure[r, c]))
-                    if cut.ok:
-                        rows.append((key[0], p.iid, cut.width))
-        return pd.DataFrame(rows, columns=["scene_id", "iid", "width"])
+        if not len(part) or not len(scene):
+            return pd.DataFrame(columns=["scene_id", "iid", "width"])
+        h, w = int(scene.height.iloc[0]), int(scene.width.iloc[0])
+        image = np.asarray(scene.grey.iloc[0], float).reshape(h, w)
+        level, sure, noise = raster.background(image)
+        place, normal = part[["y", "x"]].to_numpy(float), part[["ny", "nx"]].to_numpy(float)
+        near = np.round(place).astype(int)
+        inside = ((near >= 0) & (near < (h, w))).all(1)
+        r, c = near[inside].T
+        seen = profile.measure_all(image, level[r, c], noise, place[inside], normal[inside], trusted=sure[r, c])
+        ok = seen["reason"] == "ok"
+        return pd.DataFrame({"scene_id": key[0], "iid": part.iid.to_numpy()[inside][ok], "width": seen["width"][ok]})
 
     cuts = clear.groupBy("scene_id").cogroup(greys.groupBy("scene_id")).applyInPandas(run, "scene_id string, iid int, width double")
     stats = robust.spread(cuts, ["scene_id", "iid"], "width", least)
@@ -175,18 +175,20 @@ def measured_radii(centrelines: DataFrame, greys: DataFrame, found: DataFrame, r
     return out.select("scene_id", "iid", "radius", "n_cuts", "quality", "imputed")
 
 
-def run_scenes(centrelines: DataFrame, greys: DataFrame, rule: DepthRule = DepthRule(), radii: DataFrame | None = None) -> dict[str, DataFrame]:
+def run_scenes(centrelines: DataFrame, greys: DataFrame, rule: DepthRule = DepthRule(), radii: DataFrame | None = None, instance_map: DataFrame | None = None) -> dict[str, DataFrame]:
     """crossings, instances, violations and a report of every scene.
 
     Contacts (strokes that overlap without crossing) constrain heights where clear_grazing_overlaps is
-    set, or where grazing_evidence decides them."""
-    found = crossings(centrelines, rule)
-    shapes = measured_radii(centrelines, greys, found, rule) if radii is None else radii
-    seen = with_evidence(found, centrelines, greys, rule).withColumn("grazing", F.lit(False))
+    set, or where grazing_evidence decides them. What feeds several tables is cut, so that the kernels
+    run once whichever tables are written. instance_map(scene_id, iid, other) names the instances of
+    another numbering; instances then carry it as `mapped`."""
+    found = cut(crossings(centrelines, rule))
+    shapes = cut(measured_radii(centrelines, greys, found, rule)) if radii is None else radii
+    seen = cut(with_evidence(found, centrelines, greys, rule).withColumn("grazing", F.lit(False)))
     dense = sequence.densify(centrelines, ["scene_id", "iid"], 2.0).select("scene_id", "iid", "x", "y")
     widest = shapes.agg(F.max("radius")).first()[0] or rule.default_radius_px  # one number
     near = spatial.closest_contacts(dense, shapes.select("scene_id", "iid", "radius"), ["scene_id"], "iid", widest, rule.z_gap_px, rule.default_radius_px, found.select("scene_id", "i", "j").distinct())
-    contacts = near.select("scene_id", F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), "x", "y")
+    contacts = cut(near.select("scene_id", F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), "x", "y"))
     if rule.grazing_evidence:
         touched = with_evidence(contacts, centrelines, greys, rule)
     else:
@@ -194,7 +196,7 @@ def run_scenes(centrelines: DataFrame, greys: DataFrame, rule: DepthRule = Depth
         touched = contacts.select("*", *[F.lit(3 if n == "reason" else None).cast(t).alias(n) for n, t in blank])
     touched = touched.withColumn("grazing", F.lit(True))
     bound = seen.unionByName(touched if rule.clear_grazing_overlaps else touched.filter("raw_over is not null"))
-    solved = stacked(bound.drop("grazing"), shapes.select("scene_id", "iid", "radius"), rule)
+    solved = cut(stacked(bound.drop("grazing"), shapes.select("scene_id", "iid", "radius"), rule))
     place = lambda t: solved.select("scene_id", F.col("iid").alias(t), F.col("position").alias(f"_p{t}"))
     final = bound.join(place("i"), ["scene_id", "i"]).join(place("j"), ["scene_id", "j"])
     over = F.when(F.col("raw_over").isNotNull(), F.when(F.col("_pi") < F.col("_pj"), F.col("i")).otherwise(F.col("j")))
@@ -202,4 +204,5 @@ def run_scenes(centrelines: DataFrame, greys: DataFrame, rule: DepthRule = Depth
     pairs = seen.select("scene_id", "i", "j").union(contacts.select("scene_id", "i", "j")).distinct()
     broken = spatial.clearance_violations(pairs, solved.select("scene_id", "iid", "z", "radius"), ["scene_id"], rule.z_gap_px, default_radius=rule.default_radius_px)
     report = final.groupBy("scene_id").agg(F.count(F.lit(1)).alias("n_pairs"), F.count_if(F.col("raw_over").isNull()).alias("n_abstained"), F.count_if("flipped").alias("n_flipped")).join(broken.groupBy("scene_id").agg(F.count(F.lit(1)).alias("n_interpenetrating")), "scene_id", "left").fillna({"n_interpenetrating": 0})
-    return {"crossings": final, "instances": solved, "violations": broken, "report": report}
+    named = solved if instance_map is None else solved.join(instance_map.select("scene_id", "iid", F.col("other").alias("mapped")), ["scene_id", "iid"], "left")
+    return {"crossings": final, "instances": named, "violations": broken, "report": report}

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strandel.config import GroupRule, SampleRule
 from strandel.kernels import raster, skeleton
-from strandel.kernels.profile import CutRule, measure
+from strandel.kernels.profile import CutRule, measure_all
 from strandel.operators import robust, sequence
 from strandel.plans.group import solved
 
@@ -57,7 +57,7 @@ def scene_cuts(mask: np.ndarray, grey: np.ndarray, rule: GroupRule, sampling: Sa
         for p in pix:
             nodes[p] = True
     clear = raster.distance(nodes)[0] if nodes.any() else np.full(mask.shape, 1e6)
-    out = []
+    rows, places, normals = [], [], []
     for iid, chain in enumerate(found, 1):
         base, seq = 0.0, 0
         for run in _runs(np.asarray(skeleton.chain_axis(scene, links, chain), float), sampling.join_px):
@@ -65,18 +65,28 @@ def scene_cuts(mask: np.ndarray, grey: np.ndarray, rule: GroupRule, sampling: Sa
             if sampled is None:
                 continue
             at, normal, valid = sampled
-            for i in range(0, len(at), max(1, round(sampling.cut_step))):
-                r, c = (int(round(x)) for x in at[i])
-                if not valid[i] or not (0 <= r < mask.shape[0] and 0 <= c < mask.shape[1]):
-                    continue
-                if clear[r, c] < sampling.node_clear_px:
-                    out.append((iid, seq, base + i, None, None, None, *map(float, at[i]), "near_crossing"))
-                else:
-                    cut = measure(grey, float(level[r, c]), noise, tuple(at[i]), tuple(normal[i]), cutting, bool(sure[r, c]))
-                    out.append((iid, seq, base + i, cut.width if cut.ok else None, cut.amplitude, cut.offset, *map(float, at[i]), cut.reason))
-                seq += 1
+            tried = np.arange(0, len(at), max(1, round(sampling.cut_step)))
+            near = np.round(at[tried]).astype(int)
+            tried = tried[valid[tried] & ((near >= 0) & (near < mask.shape)).all(1)]
+            rows.append(np.stack([np.full(len(tried), iid), seq + np.arange(len(tried)), base + tried], 1))
+            places.append(at[tried])
+            normals.append(normal[tried])
+            seq += len(tried)
             base += len(at) - 1 + 10.0  # farther than neighbours are compared, so runs never mix
-    return out
+    if not rows:
+        return []
+    row, place, normal = np.concatenate(rows), np.concatenate(places), np.concatenate(normals)
+    r, c = np.round(place).astype(int).T
+    far = clear[r, c] >= sampling.node_clear_px
+    seen = measure_all(grey, level[r, c][far], noise, place[far], normal[far], cutting, sure[r, c][far])
+    value = {k: np.full(len(row), np.nan) for k in ("width", "amplitude", "offset")}
+    reason = np.full(len(row), "near_crossing", object)
+    reason[far] = seen["reason"]
+    for k, v in value.items():
+        v[far] = seen[k]
+    value["width"][reason != "ok"] = np.nan
+    known = lambda x: None if np.isnan(x) else float(x)
+    return [(int(i), int(q), float(t), *(known(value[k][n]) for k in value), *map(float, place[n]), reason[n]) for n, (i, q, t) in enumerate(row)]
 
 
 def cuts(pixels: DataFrame, greys: DataFrame, rule: GroupRule = GroupRule(), sampling: SampleRule = SampleRule(), cutting: CutRule = CutRule()) -> DataFrame:
@@ -109,7 +119,7 @@ def bundles(found: DataFrame, sampling: SampleRule = SampleRule()) -> DataFrame:
     peak = sequence.excursion(marked, keys, "width", "sigma_noise").select(*keys, F.col("z").alias("excursion_z"), F.col("width").alias("excursion_width"))
     jump = sequence.largest_step(kept, keys, "s", "width")
     interval = robust.median_interval(kept, keys, "width", "seq", sampling.block, sampling.n_boot, sampling.boot_min_cuts)
-    refused = found.filter("reason <> 'ok'").select(*keys, "reason").unionByName(good.filter("over_cap").select(*keys, F.lit("wider_than_scene").alias("reason"))).groupBy(*keys, "reason").agg(F.count(F.lit(1)).alias("k")).groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("reason", "k")))).alias("refusals"))
+    refused = robust.refusals(found.filter("reason <> 'ok'").select(*keys, "reason").unionByName(good.filter("over_cap").select(*keys, F.lit("wider_than_scene").alias("reason"))), keys)
     out = found.select(*keys).distinct().join(stats, keys, "left")
     for more in (light, noise.select(*keys, "sigma_noise", "sigma_real"), sized, peak, jump, interval, refused):
         out = out.join(more, keys, "left")

@@ -171,15 +171,6 @@ def q_smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequence.smooth(T.tracks(spark, sf_dir), ["user_id"], 9).select("user_id", "seq", _r("y"))
 
 
-@query(f"""
-WITH {T.TRACK_SQL}, d AS (SELECT *, coalesce(sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2)), 0) AS d FROM track WINDOW w AS (PARTITION BY user_id ORDER BY seq)),
-s AS (SELECT *, sum(d) OVER (PARTITION BY user_id ORDER BY seq) AS s FROM d), t AS (SELECT user_id, max(s) AS total, count(*) AS k FROM s GROUP BY user_id)
-SELECT user_id, CAST(CASE WHEN k < 2 OR total < 20.0 THEN k ELSE greatest(2, ceil(total / 20.0) + 1) END AS BIGINT) AS n_points FROM t
-""")
-def q_densify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sequence.densify(T.tracks(spark, sf_dir), ["user_id"], 20.0).groupBy("user_id").agg(F.count(F.lit(1)).alias("n_points"))
-
-
 @query(f"""
 WITH {T.TRACK_SQL}, d AS (SELECT *, coalesce(sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2)), 0) AS d FROM track WINDOW w AS (PARTITION BY user_id ORDER BY seq)),
 s AS (SELECT *, sum(d) OVER (PARTITION BY user_id ORDER BY seq) AS s FROM d),
@@ -401,11 +392,6 @@ def q_topk_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
     return agreement.best_trials(agreement.micro_f1(rows, ["trial"]), "f1", "trial", 8).select("trial", _r("f1", 9), "rank")
 
 
-@query("SELECT lang, avg(n_chars) AS mean_chars, count(*) AS n FROM documents GROUP BY ROLLUP (lang)".replace("avg(n_chars)", "round(avg(n_chars), 6) + 0.0"))
-def q_rollup_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.table(spark, sf_dir, "documents").rollup("lang").agg((F.round(F.avg("n_chars"), 6) + 0.0).alias("mean_chars"), F.count(F.lit(1)).alias("n"))
-
-
 @query(f"""
 WITH {T.DAG_SQL}, z AS (SELECT scene, node, CAST(node % 11 AS DOUBLE) AS z, 1.0 + node % 3 AS radius FROM (SELECT scene, lo AS node FROM dag UNION SELECT scene, hi FROM dag))
 SELECT d.scene, lo AS i, hi AS j, abs(a.z - b.z) AS separation, CAST(a.radius + b.radius AS DOUBLE) AS required FROM dag d JOIN z a ON a.scene = d.scene AND a.node = lo JOIN z b ON b.scene = d.scene AND b.node = hi WHERE abs(a.z - b.z) < a.radius + b.radius - 1e-6
@@ -434,23 +420,6 @@ def q_width_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_if("over_cap").alias("refused"))
 
 
-@query("""
-WITH h AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL) SELECT user_id, string_agg(event_type || '=' || n, ',' ORDER BY event_type) AS refusals FROM h GROUP BY user_id
-""")
-def q_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = T.table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
-    return h.groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_type", "n"))), lambda x: F.concat_ws("=", x["event_type"], x["n"].cast("string"))), ",").alias("refusals"))
-
-
-@query("""
-WITH p AS (SELECT DISTINCT l_orderkey, l_suppkey % 5 AS iid, l_linenumber FROM lineitem), a AS (SELECT l_orderkey, iid, count(*) AS area FROM p GROUP BY ALL)
-SELECT l_orderkey, iid, area, row_number() OVER (PARTITION BY l_orderkey ORDER BY area DESC, iid) AS place FROM a
-""")
-def q_area_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    areas = T.table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_suppkey") % 5).alias("iid"), "l_linenumber").distinct().groupBy("l_orderkey", "iid").agg(F.count(F.lit(1)).alias("area"))
-    return areas.withColumn("place", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(F.desc("area"), "iid")).cast("long"))
-
-
 @query(f"""
 WITH {T.TRACK_SQL}, p AS (SELECT CAST(floor(x / 24) AS BIGINT) AS day, event_type, x, y FROM track)
 SELECT day, count(*) AS kept FROM p a WHERE event_type <> 'signup' AND NOT EXISTS (SELECT 1 FROM p m WHERE m.event_type = 'signup' AND m.day = a.day AND sqrt(pow(a.x - m.x, 2) + pow(a.y - m.y, 2)) <= 2.0) GROUP BY day
@@ -469,3 +438,6 @@ def q_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = T.table(spark, sf_dir, "events")
     s = e.groupBy("user_id", F.session_window("ts", "6 hours")).agg(F.count(F.lit(1)).alias("n"))
     return s.groupBy("user_id").agg(F.count(F.lit(1)).alias("sessions"), F.max("n").alias("longest"))
+
+
+from strandel.plans import core_queries  # noqa: E402, F401 - adds its queries to QUERIES and ORACLES

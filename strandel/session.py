@@ -17,10 +17,17 @@ def session(name: str = "strandel", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; a local one only where that is unset and all runs in one process."""
+    named, sc = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "strandel-checkpoints"))
+    return named or sc._jsc.sc().getCheckpointDir().get()
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Eager reliable checkpoint into the folder of spark.checkpoint.dir (a local one only where unset)."""
-    spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "strandel-checkpoints"))
+    """Eager reliable checkpoint into the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

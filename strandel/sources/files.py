@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import io
 import json
+import urllib.parse
+import uuid
 from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from strandel.sources.images import _files, _scene, decode_png
 
@@ -35,16 +38,43 @@ def write_npz(encoded: DataFrame) -> DataFrame:
     return encoded.mapInPandas(run, "scene_id string, content binary")
 
 
-def save_npz(encoded: DataFrame, folder: str, name: str = "instances.npz") -> None:
-    """One NPZ file a scene below a local or mounted folder, written by the tasks that hold the scenes."""
+def save_files(files: DataFrame, folder: str, name: str) -> None:
+    """Each row's `content` as folder/scene_id/name, in whatever store holds the folder; one row is held at a time."""
+    spark = files.sparkSession
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    for row in files.select("scene_id", "content").toLocalIterator():
+        at = hadoop.Path(f"{folder}/{row['scene_id']}/{name}")
+        out = at.getFileSystem(conf).create(at, True)
+        try:
+            out.write(row["content"])
+        finally:
+            out.close()
 
-    def save(rows) -> None:
-        for row in rows:
-            at = Path(folder) / row["scene_id"]
-            at.mkdir(parents=True, exist_ok=True)
-            (at / name).write_bytes(row["content"])
 
-    write_npz(encoded).foreachPartition(save)
+def save_npz(encoded: DataFrame, folder: str, name: str = "instances.npz") -> None:
+    """One NPZ file a scene below a folder of any store."""
+    save_files(write_npz(encoded), folder, name)
+
+
+def save_lines(lines: DataFrame, folder: str, name: str) -> None:
+    """`lines` (scene_id, order, line) as the text files folder/scene_id/name: each scene by one task, in order."""
+    spark = lines.sparkSession
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsparkSession.sessionState().newHadoopConf()
+    staged = f"{folder.rstrip('/')}/_lines-{uuid.uuid4().hex}"
+    lines.repartition("scene_id").sortWithinPartitions("scene_id", "order").select("scene_id", F.col("line").alias("value")).write.partitionBy("scene_id").text(staged)
+    root = hadoop.Path(staged)
+    store = root.getFileSystem(conf)
+    for part in store.listStatus(root):
+        if not part.isDirectory():
+            continue
+        scene = urllib.parse.unquote(part.getPath().getName().split("=", 1)[1])
+        to = hadoop.Path(f"{folder}/{scene}/{name}")
+        store.mkdirs(to.getParent())
+        store.delete(to, False)
+        for held in store.listStatus(part.getPath()):
+            store.rename(held.getPath(), to)
+    store.delete(root, True)
 
 
 def read_truth(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -81,25 +111,54 @@ def depth_records(instances: DataFrame, crossings: DataFrame) -> DataFrame:
     return both.select("scene_id", F.to_json(F.struct("instances", "crossings"), {"ignoreNullFields": "false"}).alias("value"))
 
 
-def mesh_ply(meshes: list[tuple[int, np.ndarray, np.ndarray]]) -> str:
-    """ASCII PLY of (iid, vertices, quads); colours go round, faces are numbered on."""
-    points, faces, base = [], [], 0
-    for k, (_, v, f) in enumerate(meshes):
-        colour = " ".join(map(str, PALETTE[k % len(PALETTE)]))
-        points += ["%.3f %.3f %.3f " % tuple(p) + colour for p in v]
-        faces += ["4 " + " ".join(str(int(i) + base) for i in q) for q in f]
-        base += len(v)
-    head = ["ply", "format ascii 1.0", f"element vertex {len(points)}", *(f"property float {c}" for c in "xyz"), *(f"property uchar {c}" for c in ("red", "green", "blue")), f"element face {len(faces)}", "property list uchar int vertex_indices", "end_header"]
-    return "\n".join([*head, *points, *faces]) + "\n"
-
-
-def mesh_obj(meshes: list[tuple[int, np.ndarray, np.ndarray]]) -> str:
-    """OBJ with one object an instance; places count from 1."""
-    out, base = [], 1
-    for iid, v, f in meshes:
-        out += [f"o instance_{iid}", *("v %.3f %.3f %.3f" % tuple(p) for p in v), *("f " + " ".join(str(int(i) + base) for i in q) for q in f)]
-        base += len(v)
-    return "\n".join(out) + "\n"
+def _numbered(vertices: DataFrame, faces: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Vertices and faces with `k`, the instance's number in its scene from 0, and `base`, the vertices before it."""
+    sizes = vertices.groupBy("scene_id", "iid").agg(F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy("scene_id").orderBy("iid")
+    placed = sizes.select("scene_id", "iid", (F.row_number().over(order) - 1).alias("k"), (F.sum("n").over(order) - F.col("n")).alias("base"))
+    return vertices.join(placed, ["scene_id", "iid"]), faces.join(placed, ["scene_id", "iid"])
+
+
+def _point() -> Column:
+    return F.format_string("%.3f %.3f %.3f", "x", "y", "z")
+
+
+def _corners(first: int) -> Column:
+    return F.concat_ws(" ", *[(F.col(f"v{i}") + F.col("base") + first).cast("string") for i in range(4)])
+
+
+def _lines(df: DataFrame, order: list, line: Column) -> DataFrame:
+    names = ("a", "b", "c")
+    return df.select("scene_id", F.struct(*[(x if isinstance(x, Column) else F.lit(x)).cast("long").alias(n) for x, n in zip(order, names, strict=True)]).alias("order"), line.alias("line"))
+
+
+def ply_lines(vertices: DataFrame, faces: DataFrame) -> DataFrame:
+    """scene_id, order, line of an ASCII PLY a scene; vertices(scene_id, iid, vid, x, y, z), faces(scene_id, iid, v0..v3). Colours go round."""
+    v, f = _numbered(vertices, faces)
+    colours = F.array(*[F.lit(" ".join(map(str, c))) for c in PALETTE])
+    n_faces = f.groupBy("scene_id").agg(F.count(F.lit(1)).alias("f"))
+    counts = v.groupBy("scene_id").agg(F.count(F.lit(1)).alias("n")).join(n_faces, "scene_id", "left").fillna({"f": 0})
+    head = ["ply", "format ascii 1.0", None, "property float x", "property float y", "property float z", "property uchar red", "property uchar green", "property uchar blue", None, "property list uchar int vertex_indices", "end_header"]
+    sized = {2: F.format_string("element vertex %d", "n"), 9: F.format_string("element face %d", "f")}
+    top = counts.select("scene_id", F.posexplode(F.array(*[sized.get(i, F.lit(t)) for i, t in enumerate(head)])).alias("at", "line"))
+    points = _lines(v, [1, F.col("base") + F.col("vid"), 0], F.concat_ws(" ", _point(), F.element_at(colours, (F.col("k") % len(PALETTE) + 1).cast("int"))))
+    return _lines(top, [0, F.col("at"), 0], F.col("line")).unionByName(points).unionByName(_lines(f, [2, F.col("k"), F.col("v0")], F.concat(F.lit("4 "), _corners(0))))
+
+
+def obj_lines(vertices: DataFrame, faces: DataFrame) -> DataFrame:
+    """scene_id, order, line of an OBJ a scene with one object an instance; places count from 1."""
+    v, f = _numbered(vertices, faces)
+    names = _lines(v.select("scene_id", "iid", "k").distinct(), [F.col("k"), 0, 0], F.format_string("o instance_%d", "iid"))
+    points = _lines(v, [F.col("k"), 1, F.col("vid")], F.concat(F.lit("v "), _point()))
+    return names.unionByName(points).unionByName(_lines(f, [F.col("k"), 2, F.col("v0")], F.concat(F.lit("f "), _corners(1))))
+
+
+def save_ply(vertices: DataFrame, faces: DataFrame, folder: str, name: str = "mesh.ply") -> None:
+    save_lines(ply_lines(vertices, faces), folder, name)
+
+
+def save_obj(vertices: DataFrame, faces: DataFrame, folder: str, name: str = "mesh.obj") -> None:
+    save_lines(obj_lines(vertices, faces), folder, name)
 
 
 def write_meta(path: str, values: dict) -> None:

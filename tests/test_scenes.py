@@ -81,7 +81,7 @@ def test_crossing_evidence(spark, top, over):
     assert depth.with_evidence(found, lines, grey, DepthRule(use_image_evidence=False)).first().reason == 2
 
 
-def test_stack_of_a_chain_and_mesh(spark):
+def test_stack_of_a_chain_and_mesh(spark, tmp_path):
     found = spark.createDataFrame([("s", 1, 2, 2.2, 1), ("s", 2, 3, 2.2, 2)], "scene_id string, i int, j int, score double, raw_over int")
     shapes = spark.createDataFrame([("s", 1, 4.0), ("s", 2, 3.0), ("s", 3, 5.0)], "scene_id string, iid int, radius double")
     rows = {r.iid: r for r in depth.stacked(found, shapes).collect()}
@@ -90,8 +90,32 @@ def test_stack_of_a_chain_and_mesh(spark):
     v, f = meshes.tubes(line, spark.createDataFrame([("s", 1, 3.0, 2.0)], "scene_id string, iid int, z double, radius double"), sides=4)
     z = [r.z for r in v.collect()]
     assert min(z) == pytest.approx(1) and max(z) == pytest.approx(5) and f.count() == v.count() - 4
-    text = files.mesh_ply([(1, np.zeros((4, 3)), np.array([[0, 1, 2, 3]]))])
-    assert "element vertex 4" in text and files.mesh_obj([(1, np.zeros((4, 3)), np.array([[0, 1, 2, 3]]))]).count("f 1 2 3 4") == 1
+    files.save_ply(v, f, str(tmp_path / "out"))
+    files.save_obj(v, f, str(tmp_path / "out"))
+    ply, obj = ((tmp_path / "out" / "s" / n).read_text().splitlines() for n in ("mesh.ply", "mesh.obj"))
+    n = v.count()
+    assert ply[:4] == ["ply", "format ascii 1.0", f"element vertex {n}", "property float x"] and ply[9] == f"element face {n - 4}" and len(ply) == 12 + n + n - 4
+    assert ply[11] == "end_header" and ply[12].endswith("230 25 75") and ply[12 + n] == "4 0 1 5 4" and obj[0] == "o instance_1" and obj[1 + n] == "f 1 2 6 5" and len(obj) == 1 + 2 * n - 4
+
+
+def test_decisions_are_applied_anew(spark):
+    rows = [(1, 2, 0.5, None, 9, True), (3, 4, None, 0.9, 9, True), (5, 6, -3.0, 0.1, 9, True), (7, 8, None, None, 9, True), (9, 10, float("nan"), 0.2, 9, True)]
+    found = spark.createDataFrame(rows, "i int, j int, score double, p_over double, over int, flipped boolean")
+    get = lambda **k: {r.i: (r.raw_over, r.over, r.flipped) for r in depth.abstain_again(found, **k).collect()}
+    none = (None, False)
+    assert get(rule=DepthRule()) == {1: (1, *none), 3: (3, *none), 5: (6, *none), 7: (None, *none), 9: (10, *none)}
+    assert get(band=0.15) == {1: (None, *none), 3: (3, *none), 5: (6, *none), 7: (None, *none), 9: (10, *none)}
+    for wrong in ({}, {"band": 0.15, "rule": DepthRule()}):
+        with pytest.raises(TypeError):
+            depth.abstain_again(found, **wrong)
+
+
+def test_published_parameters_are_checked():
+    from strandel.config import GroupRule, check_published
+
+    check_published()
+    with pytest.raises(AssertionError, match="spur_px"):
+        check_published(GroupRule(spur_px=2))
 
 
 def test_contacts_and_clearance(spark):
