@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandel.functions.geometry import angle, link_cost
+from strandel.kernels.matching import best_pairs
+from strandel.operators.graphs import connected_components
 from strandel.operators.sequence import arclength
 from strandel.operators.spatial import close_pairs
+from strandel.session import cut
 
 
 def fit_frames(points: DataFrame, keys: list[str], window: float = 14.0, least_quadratic: float = 9.0, order: str = "seq", x: str = "x", y: str = "y") -> DataFrame:
@@ -104,3 +108,30 @@ def same_matching(one: DataFrame, other: DataFrame, keys: list[str]) -> DataFram
     both = one.select(*keys, *ends, F.lit(1).alias("_w")).unionByName(other.select(*keys, *ends, F.lit(2).alias("_w")))
     links = both.groupBy(*keys, "a", "b").agg(F.count_if(F.col("_w") == 1).alias("_one"), F.count_if(F.col("_w") == 2).alias("_other"))
     return links.groupBy(*keys).agg(F.every((F.col("_one") > 0) == (F.col("_other") > 0)).alias("same"))
+
+
+def matched(costs: DataFrame, keys: list[str], price: float, prices: DataFrame | None = None) -> DataFrame:
+    """keys, a, b: the links that save the most over leaving stubs alone, none of which shares a stub.
+
+    costs(keys, a, b, cost); every stub costs `price` alone, or its own in prices(keys, sid, price).
+    Pairs that could not pay are dropped first, and what is left falls apart into connected parts, each
+    solved exactly by itself, so parts run in parallel and the result equals one matching of all.
+    """
+    own = lambda x: F.coalesce(F.col(f"_p{x}"), F.lit(price))
+    rows = costs.withColumn("_pa", F.lit(None).cast("double")).withColumn("_pb", F.lit(None).cast("double"))
+    if prices is not None:
+        held = lambda x: prices.select(*keys, F.col("sid").alias(x), F.col("price").alias(f"_p{x}"))
+        rows = costs.join(held("a"), [*keys, "a"], "left").join(held("b"), [*keys, "b"], "left")
+    paying = cut(rows.select(*keys, "a", "b", F.col("cost").cast("double").alias("cost"), own("a").alias("price_a"), own("b").alias("price_b")).filter("cost < price_a + price_b"))
+    ends = paying.select(*keys, F.col("a").alias("node")).union(paying.select(*keys, "b"))
+    parts = connected_components(ends, paying.select(*keys, F.col("a").alias("u"), F.col("b").alias("v")), keys)
+    kinds = {f.name: f.dataType.simpleString() for f in paying.schema}
+    names = [*keys, "a", "b"]
+
+    def solve(part: pd.DataFrame) -> pd.DataFrame:
+        price_of = dict(zip(part.a, part.price_a, strict=True)) | dict(zip(part.b, part.price_b, strict=True))
+        links = best_pairs({(a, b): c for a, b, c in zip(part.a, part.b, part.cost, strict=True)}, price_of)
+        return pd.DataFrame([(*(part[k].iloc[0] for k in keys), a, b) for a, b in links], columns=names)
+
+    placed = paying.join(parts.withColumnRenamed("node", "a"), [*keys, "a"])
+    return placed.groupBy(*keys, "component").applyInPandas(solve, ", ".join(f"`{k}` {kinds[k]}" for k in names))

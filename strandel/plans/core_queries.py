@@ -37,14 +37,14 @@ def _frag(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {_ENDS_SQL}, c AS ({_COST_SQL}), p AS (SELECT scene, sid_a, sid_b, 0.2 * theta + least(1.0, len / 3.0) * (pa + pb) + 0.15 * len / 60.0 AS cost FROM c WHERE len <= 30.0 AND theta <= 2.4 AND greatest(pa, pb) <= 2.28)
-SELECT scene, sid, round(min(cost), 5) + 0.0 AS cost FROM (SELECT scene, sid_a AS sid, cost FROM p UNION ALL SELECT scene, sid_b, cost FROM p) GROUP BY scene, sid
+WITH {_ENDS_SQL}, c AS ({_COST_SQL}), p AS (SELECT scene, sid_a, sid_b, 0.2 * theta + least(1.0, len / 3.0) * (pa + pb) + 0.15 * len / 60.0 + 0.5 * bend AS cost FROM c WHERE len <= 30.0 AND theta <= 2.4 AND greatest(pa, pb) <= 2.28)
+SELECT scene, sid, round(min(cost), 3) + 0.0 AS cost FROM (SELECT scene, sid_a AS sid, cost FROM p UNION ALL SELECT scene, sid_b, cost FROM p) GROUP BY scene, sid
 """)
 def q_cheapest_partner(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandel.plans.queries import GAP
 
     pairs = frames.gap_pairs(_ends(spark, sf_dir), ["scene"], 30.0, 2.4, 2.28, **GAP)
-    return frames.cheapest_partner(pairs, ["scene"]).select("scene", "sid", _r("cost", 5))
+    return frames.cheapest_partner(pairs, ["scene"]).select("scene", "sid", _r("cost", 3))
 
 
 _LINKS_SQL = "link AS (SELECT DISTINCT o_orderpriority AS scene, least(o_custkey, o_orderkey % 1009) AS a, greatest(o_custkey, o_orderkey % 1009) AS b FROM orders WHERE o_custkey <> o_orderkey % 1009)"
@@ -155,6 +155,37 @@ def q_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.layers(arm, node, chain, held)
 
 
+@query("""
+WITH pair AS (SELECT CAST(c_custkey // 3 AS BIGINT) AS part, c_custkey AS a, c_custkey + 1 AS b, (c_custkey * 7919 % 1000) / 1000.0 AS cost FROM customer WHERE c_custkey % 3 < 2),
+w AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY cost, a) AS rn FROM pair WHERE cost < 0.62) SELECT CAST(part % 5 AS BIGINT) AS scene, a, b FROM w WHERE rn = 1
+""")
+def q_matched_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stubs 3k, 3k + 1 and 3k + 2 lie in a row, so the best matching of a part is its link of most gain."""
+    c = T.table(spark, sf_dir, "customer").filter("c_custkey % 3 < 2")
+    pairs = c.select((F.floor(F.col("c_custkey") / 3) % 5).alias("scene"), F.col("c_custkey").alias("a"), (F.col("c_custkey") + 1).alias("b"), (F.col("c_custkey") * 7919 % 1000 / 1000.0).alias("cost"))
+    return frames.matched(pairs, ["scene"], 0.31)
+
+
+@query("""
+WITH e AS (SELECT c_custkey // 4 AS n, 4 * (c_custkey // 4) + i AS a, 4 * (c_custkey // 4) + j AS b, ((c_custkey // 4) * 31 + i * 17 + j * 7) % 97 / 100.0 AS cost FROM (SELECT DISTINCT c_custkey // 4 * 4 AS c_custkey FROM customer), (SELECT unnest([0, 1, 2]) AS i), (SELECT unnest([1, 2, 3]) AS j) WHERE i < j),
+price AS (SELECT *, 0.2 + (a % 5) / 10.0 + 0.2 + (b % 5) / 10.0 - cost AS gain FROM e), m AS (
+  SELECT n, [a] AS l, [b] AS r, gain FROM price WHERE gain > 0
+  UNION ALL SELECT x.n, [x.a, y.a], [x.b, y.b], x.gain + y.gain FROM price x JOIN price y ON x.n = y.n AND x.a < y.a AND x.b <> y.a AND x.b <> y.b WHERE x.gain > 0 AND y.gain > 0),
+w AS (SELECT *, row_number() OVER (PARTITION BY n ORDER BY gain DESC) AS rn FROM m)
+SELECT CAST(n AS BIGINT) AS crossing, round(gain, 6) + 0.0 AS saved FROM w WHERE rn = 1
+""")
+def q_matched_junctions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the best matching of four stubs at a crossing saves, with a price for every stub, against all matchings."""
+    node = T.table(spark, sf_dir, "customer").select(F.floor(F.col("c_custkey") / 4).alias("n")).distinct()
+    ends = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(3) for j in range(i + 1, 4)]))
+    pairs = node.select("n", ends.alias("e")).select(F.col("n").alias("crossing"), (4 * F.col("n") + F.col("e.i")).alias("a"), (4 * F.col("n") + F.col("e.j")).alias("b"), ((F.col("n") * 31 + F.col("e.i") * 17 + F.col("e.j") * 7) % 97 / 100.0).alias("cost"))
+    prices = node.select(F.col("n").alias("crossing"), F.explode(F.sequence(4 * F.col("n"), 4 * F.col("n") + 3)).alias("sid")).withColumn("price", 0.2 + F.col("sid") % 5 / 10.0)
+    found = frames.matched(pairs, ["crossing"], 0.0, prices)
+    alone = lambda x: prices.select("crossing", F.col("sid").alias(x), F.col("price").alias(f"p{x}"))
+    kept = found.join(pairs, ["crossing", "a", "b"]).join(alone("a"), ["crossing", "a"]).join(alone("b"), ["crossing", "b"])
+    return kept.groupBy("crossing").agg(F.sum(F.col("pa") + F.col("pb") - F.col("cost")).alias("saved")).select("crossing", _r("saved"))
+
+
 # Votes and overlaps.
 
 
@@ -606,6 +637,57 @@ def q_depth_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.select("scene_id", F.size("v.instances").cast("long").alias("instances"), F.aggregate("v.instances", F.lit(0).cast("long"), lambda a, x: a + x["iid"]).alias("ids"), F.size(empty).cast("long").alias("crossings"), F.size(F.filter(empty, lambda x: x["score"].isNotNull())).cast("long").alias("known"))
 
 
+# Rasters: kernels on arrays made of the tables.
+
+
+def _once(spark: SparkSession, rows: DataFrame, run, schema: str) -> DataFrame:
+    """`run` (pandas in, pandas out) on each batch of `rows`."""
+
+    def each(parts):
+        for part in parts:
+            yield run(part)
+
+    return rows.mapInPandas(each, schema)
+
+
+@query("""
+WITH e AS (SELECT event_id, least(greatest((event_id * 37 % 700) / 10.0 - 2, 0.0), 63.0) AS r, least(greatest((user_id * 53 % 900) / 11.0 - 3, 0.0), 79.0) AS c FROM events)
+SELECT event_id, round(3 * r + 2 * c + r * c / 10, 5) + 0.0 AS value FROM e
+""")
+def q_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples of 3 r + 2 c + r c / 10, which bilinear interpolation gives exactly, with places held inside the image."""
+    from strandel.kernels.raster import sample
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        r, c = np.mgrid[0:64, 0:80].astype(float)
+        got = sample(3 * r + 2 * c + r * c / 10, part.r.to_numpy(float), part.c.to_numpy(float))
+        return pd.DataFrame({"event_id": part.event_id, "value": got})
+
+    e = T.table(spark, sf_dir, "events").select("event_id", (F.col("event_id") * 37 % 700 / 10.0 - 2).alias("r"), (F.col("user_id") * 53 % 900 / 11.0 - 3).alias("c"))
+    return _once(spark, e, run, "event_id long, value double").select("event_id", _r("value", 5))
+
+
+@query("""
+WITH m AS (SELECT DISTINCT l_returnflag AS scene, CAST(l_partkey % 60 AS INTEGER) AS r, CAST(l_orderkey % 70 AS INTEGER) AS c FROM lineitem WHERE (l_partkey % 60) * 7 % 11 = 3 AND (l_orderkey % 70) * 5 % 13 = 2), g AS (SELECT scene, CAST(r AS INTEGER) AS r, CAST(c AS INTEGER) AS c FROM (SELECT DISTINCT scene FROM m), (SELECT unnest(range(60)) AS r), (SELECT unnest(range(70)) AS c))
+SELECT g.scene, g.r, g.c, round(sqrt(min((g.r - m.r) * (g.r - m.r) + (g.c - m.c) * (g.c - m.c))), 6) + 0.0 AS distance FROM g JOIN m USING (scene) GROUP BY ALL
+""")
+def q_distance_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distance of every place of a 60 x 70 image to its nearest mark."""
+    from strandel.kernels.raster import distance
+
+    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        marks = np.zeros((60, 70), bool)
+        marks[part.r, part.c] = True
+        far, at_r, at_c = distance(marks)
+        r, c = np.mgrid[0:60, 0:70]
+        assert np.allclose(far, np.hypot(r - at_r, c - at_c)) and marks[at_r, at_c].all()
+        return pd.DataFrame({"scene": key[0], "r": r.ravel(), "c": c.ravel(), "distance": far.ravel()})
+
+    r, c = F.col("l_partkey") % 60, F.col("l_orderkey") % 70
+    marks = T.table(spark, sf_dir, "lineitem").filter((r * 7 % 11 == 3) & (c * 5 % 13 == 2)).select(F.col("l_returnflag").alias("scene"), r.cast("int").alias("r"), c.cast("int").alias("c")).distinct()
+    return marks.groupBy("scene").applyInPandas(run, "scene string, r int, c int, distance double").select("scene", "r", "c", _r("distance"))
+
+
 # Whole scenes with facts that follow from how they are drawn.
 
 
@@ -652,10 +734,10 @@ def q_score_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Decided pairs (scene, i, j, over, strength) of small scenes whose best order is plain.
-_DECIDED = [("chain", 1, 2, 1, 2.2), ("chain", 2, 3, 2, 2.2), ("ring", 1, 2, 1, 2.2), ("ring", 2, 3, 2, 2.2), ("ring", 3, 1, 3, 0.85), ("four", 1, 2, 1, 2.2), ("four", 2, 3, 2, 1.4), ("four", 1, 3, 1, 0.85), ("four", 3, 4, 3, 2.9)]
+_DECIDED = [("chain", 1, 2, 1, 2.2), ("chain", 2, 3, 2, 2.2), ("ring", 1, 2, 1, 2.2), ("ring", 2, 3, 2, 2.2), ("ring", 3, 1, 3, 0.85), ("four", 1, 2, 1, 2.2), ("four", 2, 3, 2, 1.4), ("four", 1, 3, 1, 0.85), ("four", 3, 4, 3, 2.9), *[("long", k, k + 1, k, 2.0) for k in range(1, 20)]]
 
 
-@query("SELECT * FROM (VALUES ('chain', 1, 0), ('chain', 2, 1), ('chain', 3, 2), ('ring', 1, 0), ('ring', 2, 1), ('ring', 3, 2), ('four', 1, 0), ('four', 2, 1), ('four', 3, 2), ('four', 4, 3)) AS t(scene_id, iid, position)")
+@query("SELECT * FROM (VALUES ('chain', 1, 0), ('chain', 2, 1), ('chain', 3, 2), ('ring', 1, 0), ('ring', 2, 1), ('ring', 3, 2), ('four', 1, 0), ('four', 2, 1), ('four', 3, 2), ('four', 4, 3)) AS t(scene_id, iid, position) UNION ALL SELECT 'long', CAST(k AS INTEGER), CAST(k - 1 AS INTEGER) FROM (SELECT unnest(range(1, 21)) AS k)")
 def q_global_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.createDataFrame(_DECIDED, "scene_id string, i int, j int, raw_over int, strength double")
     found = rows.select("scene_id", "i", "j", F.when(F.col("raw_over") == F.col("i"), F.col("strength")).otherwise(-F.col("strength")).alias("score"), "raw_over")
@@ -663,6 +745,15 @@ def q_global_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return depth.stacked(found, shapes, DepthRule(undecided_order="global")).select("scene_id", "iid", "position")
 
 
+#: A ring of three whose weakest decision gives way, over a tail that hangs below it.
+@query("SELECT * FROM (VALUES (1, 0), (2, 1), (3, 2), (4, 3), (5, 4)) AS t(iid, position)")
+def q_condensed_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([("s", 1, 2, 1, 2.2), ("s", 2, 3, 2, 2.2), ("s", 3, 1, 3, 0.85), ("s", 3, 4, 3, 0.5), ("s", 4, 5, 4, 3.0)], "scene_id string, i int, j int, raw_over int, strength double")
+    found = rows.select("scene_id", "i", "j", F.when(F.col("raw_over") == F.col("i"), F.col("strength")).otherwise(-F.col("strength")).alias("score"), "raw_over")
+    shapes = spark.range(1, 6).select(F.lit("s").alias("scene_id"), F.col("id").cast("int").alias("iid"), F.lit(4.0).alias("radius"))
+    return depth.stacked(found, shapes, DepthRule(ordering="exact", undecided_order="global")).select("iid", "position")
+
+
 @query("""
 SELECT 'raft' AS scene_id, CAST(k AS INTEGER) AS iid, CAST(k % 2 AS INTEGER) AS stack_level, CAST(6 * (k % 2) AS DOUBLE) AS z FROM (SELECT unnest(range(1, 7)) AS k)
 """)
@@ -690,6 +781,22 @@ def q_measured_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("scene_id", F.round("median", 1).alias("median"), "quality")
 
 
+#: Cuts across a bar of rows 12 to 20 of a 33 x 33 image: in the middle, off it, beyond it, at the edge, and where the background is unsure.
+@query("SELECT * FROM (VALUES ('middle', 'ok', CAST(9 AS DOUBLE), CAST(0 AS DOUBLE)), ('dark', 'low_contrast', NULL, NULL), ('edge', 'outside_image', NULL, NULL), ('unsure', 'background_not_confident', NULL, NULL)) AS t(cut, reason, width, shift)")
+def q_cut_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandel.kernels.profile import CutRule, measure_all
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        image = np.zeros((33, 33))
+        image[12:21] = 1.0
+        got = measure_all(image, np.zeros(len(part)), 0.0, part[["r", "c"]].to_numpy(float), part[["nr", "nc"]].to_numpy(float), CutRule(half_len=12.0, min_reach=5.0), part.sure.to_numpy(bool))
+        return pd.DataFrame({"cut": part.cut, "reason": got["reason"], "width": got["width"], "shift": got["offset"]})
+
+    cuts = spark.createDataFrame([("middle", 16.0, 16.0, 1.0, 0.0, True), ("dark", 27.0, 16.0, 0.0, 1.0, True), ("edge", 16.0, 2.0, 0.0, 1.0, True), ("unsure", 16.0, 16.0, 1.0, 0.0, False)], "cut string, r double, c double, nr double, nc double, sure boolean")
+    known = lambda c: F.when(~F.isnan(c), F.round(c, 6) + 0.0).alias(c)
+    return _once(spark, cuts, run, "cut string, reason string, width double, shift double").select("cut", "reason", known("width"), known("shift"))
+
+
 #: Where the vertical bar is at 60 and the horizontal one at 60, 0.35 and 0.85 bright: the one drawn last is on top.
 @query("SELECT scene_id, 1 AS i, 2 AS j, CAST(59.5 AS DOUBLE) AS x, CAST(59.5 AS DOUBLE) AS y, raw_over FROM (VALUES ('last', 2), ('same', CAST(NULL AS INTEGER))) AS t(scene_id, raw_over)")
 def q_crossing_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -726,3 +833,18 @@ def q_tubes(spark: SparkSession, sf_dir: str) -> DataFrame:
     v, f = meshes.tubes(lines, shapes, sides=4)
     n = v.groupBy("scene_id").agg(F.count(F.lit(1)).alias("vertices"), F.min("z").alias("low"), F.max("z").alias("high")).join(f.groupBy("scene_id").agg(F.count(F.lit(1)).alias("faces")), "scene_id")
     return n.select(F.col("scene_id").cast("int").alias("scene"), "vertices", "faces", _r("low"), _r("high"))
+
+
+#: Rods 1 and 3 overlap side by side, rod 2 lies over both: three pairs, one of them without a crossing, all kept apart.
+@query("SELECT CAST(3 AS BIGINT) AS n_pairs, CAST(1 AS BIGINT) AS n_abstained, CAST(0 AS BIGINT) AS n_flipped, CAST(0 AS BIGINT) AS n_interpenetrating, CAST(2 AS INTEGER) AS top")
+def q_depth_scene(spark: SparkSession, sf_dir: str) -> DataFrame:
+    image = np.full((200, 200), 0.1, np.float32)
+    image[94:107, :], image[103:116, :], image[:, 94:107] = 0.60, 0.40, 0.95
+    greys = spark.createDataFrame([("s", 200, 200, image.ravel().tolist())], "scene_id string, height int, width int, grey array<float>")
+    along = range(5, 196, 5)
+    rows = [("s", 1, k, float(v), 100.0) for k, v in enumerate(along)] + [("s", 2, k, 100.0, float(v)) for k, v in enumerate(along)] + [("s", 3, k, float(v), 109.0) for k, v in enumerate(along)]
+    lines = spark.createDataFrame(rows, "scene_id string, iid int, seq int, x double, y double")
+    radii = spark.createDataFrame([("s", k, 6.0) for k in (1, 2, 3)], "scene_id string, iid int, radius double")
+    out = depth.run_scenes(lines, greys, DepthRule(clear_grazing_overlaps=True), radii)
+    top = out["instances"].groupBy("scene_id").agg(F.max_by("iid", "z").alias("top"))
+    return out["report"].join(top, "scene_id").select("n_pairs", "n_abstained", "n_flipped", "n_interpenetrating", "top")

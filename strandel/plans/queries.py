@@ -112,27 +112,27 @@ def q_noise_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("user_id", "n", _r("sigma_noise"), _r("sigma_real"))
 
 
-_ROLL = ", ".join(f"abs(median(y) OVER (PARTITION BY user_id ORDER BY seq ROWS BETWEEN {w // 2} PRECEDING AND {w // 2} FOLLOWING) - level) / greatest(1.2533 * 5.0 / sqrt({w}.0), 1e-6) AS z{w}" for w in sequence.EXCURSION_WINDOWS)
-_PICK = " UNION ALL ".join(f"SELECT user_id, seq, {w} AS w, round(z{w}, 6) AS z FROM z WHERE n >= {w} AND seq >= {w // 2} AND seq < n - {w // 2}" for w in sequence.EXCURSION_WINDOWS)
+_ROLL = ", ".join(f"abs(median(y) OVER (PARTITION BY user_id ORDER BY seq ROWS BETWEEN {w // 2} PRECEDING AND {w // 2} FOLLOWING) - level) / greatest(1.2533 * sigma / sqrt({w}.0), 1e-6) AS z{w}" for w in sequence.EXCURSION_WINDOWS)
+_PICK = " UNION ALL ".join(f"SELECT user_id, seq, {w} AS w, z{w} AS z FROM z WHERE n >= {w} AND seq >= {w // 2} AND seq < n - {w // 2}" for w in sequence.EXCURSION_WINDOWS)
 
 
 @query(f"""
-WITH {T.TRACK_SQL}, b AS (SELECT *, median(y) OVER (PARTITION BY user_id) AS level, count(*) OVER (PARTITION BY user_id) AS n FROM track),
-z AS (SELECT user_id, seq, n, {_ROLL} FROM b), p AS ({_PICK})
-SELECT user_id, max(z) + 0.0 AS z FROM p WHERE z > 0 AND user_id IN (SELECT user_id FROM b WHERE n >= 6) GROUP BY user_id
+WITH {T.TRACK_SQL}, b AS (SELECT *, median(y) OVER (PARTITION BY user_id) AS level, count(*) OVER (PARTITION BY user_id) AS n, 1.0 + user_id % 7 AS sigma FROM track),
+z AS (SELECT user_id, seq, n, {_ROLL} FROM b), p AS ({_PICK}), k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY z DESC, w, seq) AS rn FROM p WHERE z > 0)
+SELECT user_id, round(z, 6) + 0.0 AS z, seq AS place, w AS width FROM k WHERE rn = 1 AND user_id IN (SELECT user_id FROM b WHERE n >= 6)
 """)
 def q_excursion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = T.tracks(spark, sf_dir).withColumn("sigma", F.lit(5.0))
-    return sequence.excursion(t, ["user_id"], "y", "sigma").select("user_id", _r("z"))
+    t = T.tracks(spark, sf_dir).withColumn("sigma", 1.0 + F.col("user_id") % 7)
+    return sequence.excursion(t, ["user_id"], "y", "sigma").select("user_id", _r("z"), "place", "width")
 
 
 @query(f"""
 WITH {T.TRACK_SQL}, b AS (SELECT *, count(*) OVER (PARTITION BY user_id) AS n, median(y) OVER (PARTITION BY user_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m0,
-  median(y) OVER (PARTITION BY user_id ORDER BY seq ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS m1 FROM track)
-SELECT user_id, round(max(abs(m0 - m1)), 6) + 0.0 AS step FROM b WHERE n >= 8 AND seq >= 4 AND seq <= n - 4 GROUP BY user_id
+  median(y) OVER (PARTITION BY user_id ORDER BY seq ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS m1 FROM track), k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY abs(m0 - m1) DESC, seq) AS rn FROM b WHERE n >= 8 AND seq >= 4 AND seq <= n - 4)
+SELECT user_id, round(abs(m0 - m1), 6) + 0.0 AS step, CASE WHEN abs(m0 - m1) > 0 THEN round(x, 6) + 0.0 END AS place FROM k WHERE rn = 1
 """)
 def q_largest_step(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sequence.largest_step(T.tracks(spark, sf_dir), ["user_id"], "x", "y").select("user_id", _r("step"))
+    return sequence.largest_step(T.tracks(spark, sf_dir), ["user_id"], "x", "y").withColumnRenamed("at", "place").select("user_id", _r("step"), _r("place"))
 
 
 @query(f"""
@@ -171,52 +171,59 @@ def q_smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequence.smooth(T.tracks(spark, sf_dir), ["user_id"], 9).select("user_id", "seq", _r("y"))
 
 
+#: A fit y = b0 + b1 s + b2 s^2 by parts: what of s^2 a line in s leaves over gives b2, and a line through y - b2 s^2 gives b1.
+def _fit_sql(name: str, near: str, keys: str, least: float) -> str:
+    return f"""
+{name}_n AS (SELECT *, count(*) OVER p AS n, max(s) OVER p AS span, regr_slope(s * s, s) OVER p AS q1, regr_intercept(s * s, s) OVER p AS q0 FROM {near} WINDOW p AS (PARTITION BY {keys})),
+{name}_u AS (SELECT *, CASE WHEN span >= {least} AND n >= 3 THEN s * s - q0 - q1 * s ELSE 0 END AS u FROM {name}_n),
+{name}_b AS (SELECT *, CASE WHEN span >= {least} AND n >= 3 THEN sum(u * x) OVER p / sum(u * u) OVER p ELSE 0 END AS x2, CASE WHEN span >= {least} AND n >= 3 THEN sum(u * y) OVER p / sum(u * u) OVER p ELSE 0 END AS y2 FROM {name}_u WINDOW p AS (PARTITION BY {keys})),
+{name}_l AS (SELECT {keys}, max(n) AS n, max(span) AS span, arg_min(x, seq) AS px, arg_min(y, seq) AS py, CASE WHEN max(n) > 1 AND max(s) > 0 THEN -regr_slope(x - x2 * s * s, s) END AS ox, CASE WHEN max(n) > 1 AND max(s) > 0 THEN -regr_slope(y - y2 * s * s, s) END AS oy, 2 * max(x2) AS bx, 2 * max(y2) AS by_ FROM {name}_b GROUP BY {keys}),
+{name} AS (SELECT *, coalesce(ox / sqrt(ox * ox + oy * oy), 0) AS tx, coalesce(oy / sqrt(ox * ox + oy * oy), 0) AS ty, coalesce((ox * by_ - oy * bx) / pow(sqrt(ox * ox + oy * oy), 3), 0) AS kp, ox IS NOT NULL AND span >= 3 AND n >= 3 AS reliable FROM {name}_l)"""
+
+
 @query(f"""
 WITH {T.TRACK_SQL}, d AS (SELECT *, coalesce(sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2)), 0) AS d FROM track WINDOW w AS (PARTITION BY user_id ORDER BY seq)),
-s AS (SELECT *, sum(d) OVER (PARTITION BY user_id ORDER BY seq) AS s FROM d),
-g AS (SELECT user_id, count(*) AS n, regr_slope(x, s) AS sx, regr_slope(y, s) AS sy FROM s WHERE s <= 40.0 OR seq <= 1 GROUP BY user_id)
-SELECT user_id, CAST(n AS INTEGER) AS support, round(coalesce(-sx / sqrt(sx * sx + sy * sy), 0), 5) + 0.0 AS tan_x, round(coalesce(-sy / sqrt(sx * sx + sy * sy), 0), 5) + 0.0 AS tan_y FROM g
+s AS (SELECT *, sum(d) OVER (PARTITION BY user_id ORDER BY seq) AS s FROM d), near AS (SELECT * FROM s WHERE s <= 150.0 OR seq <= 1), {_fit_sql("fit", "near", "user_id", 9.0)}
+SELECT user_id, CAST(n AS INTEGER) AS support, round(px, 5) + 0.0 AS tip_x, round(py, 5) + 0.0 AS tip_y, round(tx, 4) + 0.0 AS tan_x, round(ty, 4) + 0.0 AS tan_y, round(kp, 4) + 0.0 AS kappa, reliable FROM fit
 """)
 def q_frame_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = frames.fit_frames(T.tracks(spark, sf_dir), ["user_id"], window=40.0, least_quadratic=1e9)
-    return f.select("user_id", "support", _r("tan_x", 5), _r("tan_y", 5))
+    f = frames.fit_frames(T.tracks(spark, sf_dir), ["user_id"], window=150.0)
+    return f.select("user_id", "support", _r("tip_x", 5), _r("tip_y", 5), _r("tan_x", 4), _r("tan_y", 4), _r("kappa", 4), "reliable")
 
 
 _ENDS_SQL = f"""
-{T.SCENE_TRACK_SQL}, ends AS (
-  SELECT scene, iid, a.x AS px, a.y AS py, (a.x - b.x) / sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS tx, (a.y - b.y) / sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS ty
-  FROM (SELECT * FROM strack WHERE seq = 0) a JOIN (SELECT * FROM strack WHERE seq = 1) b USING (scene, iid) WHERE sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) >= 1e-9)
+{T.SCENE_TRACK_SQL}, sarc0 AS (SELECT *, coalesce(sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2)), 0) AS d FROM strack WINDOW w AS (PARTITION BY scene, iid ORDER BY seq)),
+sarc AS (SELECT *, sum(d) OVER (PARTITION BY scene, iid ORDER BY seq) AS s FROM sarc0), {_fit_sql("ends0", "sarc", "scene, iid", 9.0)}, ends AS (SELECT * FROM ends0 WHERE tx <> 0 OR ty <> 0)
 """
 
 
 def _ends(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frames of the first two points of each track of a scene: straight, so without curvature."""
-    t = T.scene_tracks(spark, sf_dir).filter("seq <= 1")
-    f = frames.fit_frames(t, ["scene", "iid"], window=1e9, least_quadratic=1e12).filter("tan_x <> 0 or tan_y <> 0")
+    """Frames of all points of each track of a scene, quadratic where it is long enough."""
+    f = frames.fit_frames(T.scene_tracks(spark, sf_dir), ["scene", "iid"], window=1e9).filter("tan_x <> 0 or tan_y <> 0")
     return f.select("scene", F.col("iid").alias("sid"), F.col("iid").alias("aid"), F.lit(None).cast("int").alias("node"), "tip_x", "tip_y", "tan_x", "tan_y", "kappa", F.lit(True).alias("reliable"))
 
 
 _COST_SQL = """
- SELECT a.scene, a.iid AS sid_a, b.iid AS sid_b, sqrt(pow(b.px - a.px, 2) + pow(b.py - a.py, 2)) AS len, acos(greatest(least(-(a.tx * b.tx + a.ty * b.ty), 1.0), -1.0)) AS theta,
+ SELECT a.scene, a.iid AS sid_a, b.iid AS sid_b, abs(a.kp + b.kp) * 30.0 AS bend, sqrt(pow(b.px - a.px, 2) + pow(b.py - a.py, 2)) AS len, acos(greatest(least(-(a.tx * b.tx + a.ty * b.ty), 1.0), -1.0)) AS theta,
   CASE WHEN sqrt(pow(b.px - a.px, 2) + pow(b.py - a.py, 2)) < 1e-6 THEN 0 ELSE acos(greatest(least((a.tx * (b.px - a.px) + a.ty * (b.py - a.py)) / sqrt(pow(b.px - a.px, 2) + pow(b.py - a.py, 2)), 1.0), -1.0)) END AS pa,
   CASE WHEN sqrt(pow(b.px - a.px, 2) + pow(b.py - a.py, 2)) < 1e-6 THEN 0 ELSE acos(greatest(least(-(b.tx * (b.px - a.px) + b.ty * (b.py - a.py)) / sqrt(pow(b.px - a.px, 2) + pow(b.py - a.py, 2)), 1.0), -1.0)) END AS pb
  FROM ends a JOIN ends b ON a.scene = b.scene AND a.iid < b.iid"""
 
 
 @query(f"""
-WITH {_ENDS_SQL}, c AS ({_COST_SQL}) SELECT scene, sid_a, sid_b, round(0.6 * theta + 1.2 * least(1.0, len / 4.0) * (pa + pb), 5) + 0.0 AS cost FROM c
+WITH {_ENDS_SQL}, c AS ({_COST_SQL}) SELECT scene, sid_a, sid_b, round(0.6 * theta + 1.2 * least(1.0, len / 4.0) * (pa + pb) + bend, 3) + 0.0 AS cost FROM c
 """)
 def q_link_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = frames.within_node_pairs(_ends(spark, sf_dir).withColumn("node", F.lit(1)), ["scene"])
-    return frames.costed(pairs, **JUNCTION).select("scene", "sid_a", "sid_b", _r("cost", 5))
+    return frames.costed(pairs, **JUNCTION).select("scene", "sid_a", "sid_b", _r("cost", 3))
 
 
 @query(f"""
-WITH {_ENDS_SQL}, c AS ({_COST_SQL}) SELECT scene, sid_a, sid_b, round(0.2 * theta + least(1.0, len / 3.0) * (pa + pb) + 0.15 * len / 60.0, 5) + 0.0 AS cost
+WITH {_ENDS_SQL}, c AS ({_COST_SQL}) SELECT scene, sid_a, sid_b, round(0.2 * theta + least(1.0, len / 3.0) * (pa + pb) + 0.15 * len / 60.0 + 0.5 * bend, 3) + 0.0 AS cost
 FROM c WHERE len <= 30.0 AND theta <= 2.4 AND greatest(pa, pb) <= 2.28
 """)
 def q_gap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frames.gap_pairs(_ends(spark, sf_dir), ["scene"], 30.0, 2.4, 2.28, **GAP).select("scene", "sid_a", "sid_b", _r("cost", 5))
+    return frames.gap_pairs(_ends(spark, sf_dir), ["scene"], 30.0, 2.4, 2.28, **GAP).select("scene", "sid_a", "sid_b", _r("cost", 3))
 
 
 @query(f"""
@@ -232,14 +239,16 @@ def q_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {T.SCENE_TRACK_SQL}, r AS (SELECT scene, iid, 1.0 + iid % 4 AS radius FROM strack GROUP BY ALL),
-p AS (SELECT a.scene, a.iid AS i, b.iid AS j, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS d, 1.0 + a.iid % 4 + 1.0 + b.iid % 4 AS need FROM strack a JOIN strack b ON a.scene = b.scene AND a.iid < b.iid)
-SELECT scene, i, j, round(min(d), 6) + 0.0 AS distance FROM p WHERE d < need GROUP BY scene, i, j
+WITH {T.SCENE_TRACK_SQL}, p AS (SELECT a.scene, a.iid AS i, b.iid AS j, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS d, (a.x + b.x) / 2 AS x, (a.y + b.y) / 2 AS y, 1.0 + a.iid % 4 + 1.0 + b.iid % 4 AS need FROM strack a JOIN strack b ON a.scene = b.scene AND a.iid < b.iid),
+k AS (SELECT *, row_number() OVER (PARTITION BY scene, i, j ORDER BY d, x, y) AS rn FROM p WHERE d < need AND (i + j) % 7 <> 0)
+SELECT scene, i, j, round(d, 6) + 0.0 AS distance, round(x, 5) + 0.0 AS x, round(y, 5) + 0.0 AS y FROM k WHERE rn = 1
 """)
 def q_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = T.scene_tracks(spark, sf_dir)
-    radii = t.select("scene", "iid").distinct().withColumn("radius", 1.0 + F.col("iid") % 4)
-    return spatial.closest_contacts(t.select("scene", "iid", "x", "y"), radii, ["scene"], "iid", widest=4.0).select("scene", "i", "j", _r("distance"))
+    own = t.select("scene", "iid").distinct()
+    radii = own.withColumn("radius", 1.0 + F.col("iid") % 4)
+    known = own.withColumnRenamed("iid", "i").join(own.withColumnRenamed("iid", "j"), "scene").filter("i < j and (i + j) % 7 = 0")
+    return spatial.closest_contacts(t.select("scene", "iid", "x", "y"), radii, ["scene"], "iid", widest=4.0, exclude=known).select("scene", "i", "j", _r("distance"), _r("x", 5), _r("y", 5))
 
 
 @query("""
@@ -341,11 +350,9 @@ def q_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pixels.label(T.pixels(spark, sf_dir), ["scene"]).select("scene", "r", "c", F.col("label").cast("int").alias("label"))
 
 
-@query(f"""
-WITH {T.PIXEL_SQL}, d AS (SELECT DISTINCT scene, r + i AS r, c + j AS c FROM pixel, (SELECT unnest([-1, 0, 1]) AS i), (SELECT unnest([-1, 0, 1]) AS j)) SELECT scene, count(*) AS n, CAST(sum(r * 499 + c) AS BIGINT) AS total FROM d GROUP BY scene
-""")
+@query(f"WITH {T.PIXEL_SQL} SELECT DISTINCT scene, CAST(r + i AS INTEGER) AS r, CAST(c + j AS INTEGER) AS c FROM pixel, (SELECT unnest([-1, 0, 1]) AS i), (SELECT unnest([-1, 0, 1]) AS j)")
 def q_dilate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pixels.dilate(T.pixels(spark, sf_dir), ["scene"]).groupBy("scene").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("r") * 499 + F.col("c")).alias("total"))
+    return pixels.dilate(T.pixels(spark, sf_dir), ["scene"])
 
 
 @query("""
@@ -363,12 +370,12 @@ def q_csr(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 WITH {T.PIXEL_SQL}, b AS (SELECT i, floor(i * 499 / 3.0) AS a, floor((i + 1) * 499 / 3.0) AS z FROM (SELECT unnest([0, 1, 2]) AS i))
-SELECT scene AS scene_id, CAST(y.i AS INTEGER) AS tile_r, CAST(x.i AS INTEGER) AS tile_c, count(*) AS n, CAST(sum(r - y.a) AS BIGINT) AS sum_r FROM pixel JOIN b y ON r >= y.a AND r < y.z JOIN b x ON c >= x.a AND c < x.z GROUP BY ALL HAVING count(*) >= 20
+SELECT scene AS scene_id, CAST(y.i AS INTEGER) AS tile_r, CAST(x.i AS INTEGER) AS tile_c, CAST(r - y.a AS INTEGER) AS r, CAST(c - x.a AS INTEGER) AS c FROM pixel JOIN b y ON r >= y.a AND r < y.z JOIN b x ON c >= x.a AND c < x.z
 """)
 def q_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = T.pixels(spark, sf_dir).withColumnRenamed("scene", "scene_id")
     scenes = p.select("scene_id").distinct().withColumns({"height": F.lit(499), "width": F.lit(499)})
-    return pixels.tile(p, scenes, (3, 3)).groupBy("scene_id", "tile_r", "tile_c").agg(F.count(F.lit(1)).alias("n"), F.sum("r").alias("sum_r")).filter("n >= 20")
+    return pixels.tile(p, scenes, (3, 3)).select("scene_id", "tile_r", "tile_c", "r", "c")
 
 
 @query("""
@@ -431,13 +438,14 @@ def q_away_from_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH s AS (SELECT user_id, min(ts) AS t0, max(ts) AS t1, count(*) AS n, CAST(sum(value) AS DOUBLE) AS v FROM (SELECT *, sum(j) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sess FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= INTERVAL 6 HOUR THEN 1 ELSE 0 END AS j FROM events)) GROUP BY user_id, sess)
-SELECT user_id, count(*) AS sessions, max(n) AS longest FROM s GROUP BY user_id
+WITH s AS (SELECT user_id, min(ts) AS t0, count(*) AS n, sum(value) AS v FROM (SELECT *, sum(j) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sess FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= INTERVAL 6 HOUR THEN 1 ELSE 0 END AS j FROM events)) GROUP BY user_id, sess)
+SELECT user_id, epoch_us(t0) AS started, n, round(v, 4) + 0.0 AS total FROM s
 """)
 def q_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = T.table(spark, sf_dir, "events")
-    s = e.groupBy("user_id", F.session_window("ts", "6 hours")).agg(F.count(F.lit(1)).alias("n"))
-    return s.groupBy("user_id").agg(F.count(F.lit(1)).alias("sessions"), F.max("n").alias("longest"))
+    from strandel.streaming.scenes import session_stream
+
+    own = session_stream(T.table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")))
+    return own.select("user_id", F.unix_micros("session_start").alias("started"), "n", _r("total", 4))
 
 
 from strandel.plans import core_queries  # noqa: E402, F401 - adds its queries to QUERIES and ORACLES
