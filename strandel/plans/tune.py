@@ -6,7 +6,7 @@ import dataclasses
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandel.config import GroupRule
@@ -90,38 +90,49 @@ def trial_f1(counts: DataFrame) -> DataFrame:
     return micro_f1(counts, ["trial"]).join(broken, "trial").select("trial", F.when(F.col("broken"), 0.0).otherwise(F.col("f1")).alias("f1"))
 
 
+#: Trials that one task runs on a scene that it holds.
+TRIALS_A_TASK = 16
+
+
 def trial_counts(pixels: DataFrame, scenes: DataFrame, votes: DataFrame, trials: list[dict]) -> DataFrame:
-    """trial, scene_id, tp, fp, fn, failed: every trial on every scene, one task a pair.
+    """trial, scene_id, tp, fp, fn, failed of every trial on every scene.
 
-    votes(scene_id, frag_id, r, c, gt): fragments with their true instance, worked out once and kept.
+    A task holds a scene and runs a share of the trials on it, so pixels move once a share, not once a
+    trial. votes(scene_id, frag_id, r, c, gt): fragments with their true instance, worked out once.
     """
-    facts = votes.groupBy("scene_id").agg(F.collect_list(F.struct("frag_id", "r", "c", "gt")).alias("votes"))
-    spark: SparkSession = pixels.sparkSession
-    numbered = spark.createDataFrame([(k,) for k in range(len(trials))], "trial int")
-    rows = pixels.join(scenes, "scene_id").groupBy("scene_id", "height", "width").agg(F.collect_list(F.struct("r", "c")).alias("px")).join(facts, "scene_id")
-    work = rows.join(F.broadcast(numbered)).repartition("trial", "scene_id")  # trials are a bounded list of settings
+    shares = -(-len(trials) // TRIALS_A_TASK)
+    columns = lambda df, names: df.groupBy("scene_id").agg(F.collect_list(F.struct(*names)).alias("x")).select("scene_id", *[F.col(f"x.{c}").alias(f"{names[0]}_{c}") for c in names])
+    held = columns(pixels.select("scene_id", "r", "c"), ["r", "c"]).join(scenes.select("scene_id", "height", "width"), "scene_id").join(columns(votes, ["gt", "frag_id", "r", "c"]), "scene_id")
+    work = held.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(max(0, shares - 1))))).repartition("scene_id", "share")
+    names = ["trial", "scene_id", "tp", "fp", "fn", "failed"]
+
+    def pairs(groups: np.ndarray) -> float:
+        n = np.unique(groups, axis=0, return_counts=True)[1].astype(float)
+        return float((n * (n - 1) / 2).sum())
+
+    def counted(mask: np.ndarray, pieces: dict, truth: dict, trial: dict) -> tuple[float, float, float]:
+        scene, _, found = solved(mask, dataclasses.replace(GroupRule(), **trial))
+        pred = assigned(pieces, {i: skeleton.layer(scene, chain) for i, chain in enumerate(found, 1)})
+        both = np.array([(truth[f] or -f, pred[f] or -f) for f in truth], int).reshape(-1, 2)
+        tp = pairs(both)
+        return tp, pairs(both[:, 1]) - tp, pairs(both[:, 0]) - tp
 
     def run(parts):
         for part in parts:
             for row in part.itertuples(index=False):
                 mask = np.zeros((row.height, row.width), bool)
-                for p in row.px:
-                    mask[p["r"], p["c"]] = True
-                try:
-                    scene, _, found = solved(mask, dataclasses.replace(GroupRule(), **trials[row.trial]))
-                    pieces: dict = {}
-                    truth = {}
-                    for v in row.votes:
-                        truth[v["frag_id"]] = v["gt"]
-                        pieces.setdefault(v["frag_id"], set()).add((v["r"], v["c"]))
-                    layers = {i: skeleton.layer(scene, chain) for i, chain in enumerate(found, 1)}
-                    pred = {f: i for f, i in assigned(pieces, layers).items() if i}
-                    tab = pd.DataFrame({"t": [truth[f] or -f for f in truth], "p": [pred.get(f, -f) for f in truth]})
-                    pairs = lambda s: float((s * (s - 1) / 2).sum())
-                    tp, st, sp = pairs(tab.groupby(["t", "p"]).size()), pairs(tab.groupby("t").size()), pairs(tab.groupby("p").size())
-                    yield pd.DataFrame([(row.trial, row.scene_id, tp, sp - tp, st - tp, False)], columns=["trial", "scene_id", "tp", "fp", "fn", "failed"])
-                except Exception:  # any failure counts against the trial
-                    yield pd.DataFrame([(row.trial, row.scene_id, 0.0, 0.0, 0.0, True)], columns=["trial", "scene_id", "tp", "fp", "fn", "failed"])
+                mask[np.asarray(row.r_r, int), np.asarray(row.r_c, int)] = True
+                truth = dict(zip(row.gt_frag_id, row.gt_gt, strict=True))
+                pieces: dict = {f: set() for f in truth}
+                for f, r, c in zip(row.gt_frag_id, row.gt_r, row.gt_c, strict=True):
+                    pieces[f].add((r, c))
+                out = []
+                for k in range(row.share, len(trials), shares):
+                    try:
+                        out.append((k, row.scene_id, *counted(mask, pieces, truth, trials[k]), False))
+                    except Exception:  # any failure counts against the trial
+                        out.append((k, row.scene_id, 0.0, 0.0, 0.0, True))
+                yield pd.DataFrame(out, columns=names)
 
     return work.mapInPandas(run, "trial int, scene_id string, tp double, fp double, fn double, failed boolean")
 
