@@ -29,24 +29,40 @@ def crossings(centrelines: DataFrame, rule: DepthRule = DepthRule()) -> DataFram
     return spatial.merged_hits(rows, ["scene_id", "i", "j"], ["ki", "kj"], rule.merge_px)
 
 
+def _normals(line: np.ndarray) -> np.ndarray:
+    d = np.gradient(line, axis=0)
+    return np.stack([-d[:, 1], d[:, 0]], 1) / np.maximum(np.hypot(*d.T), 1e-9)[:, None]
+
+
+def _edge_level(edges: np.ndarray, points: np.ndarray, normals: np.ndarray, radius: float) -> float:
+    """Median of the gradient on both edges of a rod; on its axis a ridge has none."""
+    sides = np.concatenate([points + radius * normals, points - radius * normals])
+    return float(np.median(sample(edges, sides[:, 1], sides[:, 0]))) if len(sides) else math.nan
+
+
 def evidence_of(image: np.ndarray, a: np.ndarray, b: np.ndarray, at: tuple[float, float], rule: DepthRule, radii: tuple[float, float] = (5.0, 5.0), edges: np.ndarray | None = None) -> dict:
-    """Features and signed score of one crossing (positive: the first is on top); x is the column."""
+    """Features and signed score of one crossing (positive: the first is on top); x is the column.
+
+    The edge channel asks of each rod how far its edges at the crossing differ from its own beside it:
+    those of the rod on top go on, those of the other are painted over.
+    """
     core = rule.core_px if rule.core_mode == "flat" else max(rule.core_px, 1.1 * sum(radii) / 2 + 2)
     window = max(rule.window_px, 3 * core)
     out: dict = {"score": None, "p_over": None, "feat_intensity": None, "feat_sharpness": None, "feat_floored": None, "reason": None}
-    cores, flanks, edge_means = [], [], []
-    for line, r in ((a, radii[0]), (b, radii[1])):
+    cores, flanks, changed, beside = [], [], [], []
+    for line, radius in ((a, radii[0]), (b, radii[1])):
         s = np.concatenate(([0.0], np.cumsum(np.hypot(*np.diff(line, axis=0).T))))
         away = np.abs(s - s[np.argmin(np.hypot(line[:, 0] - at[0], line[:, 1] - at[1]))])
         values = sample(image, line[:, 1], line[:, 0])
-        cores.append(values[away <= core])
-        flanks.append(values[(away > core) & (away <= window)])
-        if edges is not None:
-            d = np.gradient(line, axis=0)
-            n = np.stack([-d[:, 1], d[:, 0]], 1) / np.maximum(np.hypot(*d.T), 1e-9)[:, None]
-            near = away <= core
-            sides = [sample(edges, (line + k * r * n)[near, 1], (line + k * r * n)[near, 0]) for k in (-1, 1)]
-            edge_means.append(float(np.mean(sides)))
+        inside, outside = away <= core, (away > core) & (away <= window)
+        cores.append(values[inside])
+        flanks.append(values[outside])
+        if edges is not None and outside.any():
+            normals = _normals(line)
+            own = _edge_level(edges, line[outside], normals[outside], radius)
+            here = _edge_level(edges, line[inside], np.broadcast_to(normals[outside][0], (int(inside.sum()), 2)), radius)
+            beside.append(own)
+            changed.append(abs(here - own))
     if min(map(len, flanks)) < rule.min_flank_px or not sum(map(len, cores)):
         return out | {"reason": 1}
     middle = float(np.median(np.concatenate(cores)))
@@ -55,10 +71,11 @@ def evidence_of(image: np.ndarray, a: np.ndarray, b: np.ndarray, at: tuple[float
     top = abs(middle - m_j) - abs(middle - m_i)
     intensity = top / max(abs(m_i - m_j), 0.02)
     floored = top / max(abs(m_i - m_j), 2 * sigma, 1e-12)
-    sharp = (edge_means[0] - edge_means[1]) / max(sum(edge_means) / 2, 1e-6) if edge_means else None
+    known = len(changed) == 2 and np.isfinite(changed).all()
+    sharp = (changed[1] - changed[0]) / max(0.02, sum(beside)) if known else 0.0
     if rule.scoring == "noise_floored":
-        score = rule.w_intensity * floored
-    elif sharp is None:
+        score, sharp = rule.w_intensity * floored, None
+    elif edges is None:
         raise ValueError(f"{rule.scoring} needs the gradient image")
     elif rule.scoring == "winsorized_linear":
         score = rule.w_intensity * intensity + rule.w_sharpness * min(1.0, max(-1.0, sharp))
@@ -67,10 +84,14 @@ def evidence_of(image: np.ndarray, a: np.ndarray, b: np.ndarray, at: tuple[float
     return out | {"score": score, "p_over": 1 / (1 + math.exp(-score)), "feat_intensity": intensity, "feat_sharpness": sharp, "feat_floored": floored}
 
 
-def with_evidence(found: DataFrame, centrelines: DataFrame, greys: DataFrame, rule: DepthRule = DepthRule()) -> DataFrame:
-    """The crossings with features, score and the side that the image puts on top (null: it cannot tell)."""
+def with_evidence(found: DataFrame, centrelines: DataFrame, greys: DataFrame, rule: DepthRule = DepthRule(), radii: DataFrame | None = None) -> DataFrame:
+    """The crossings with features, score and the side that the image puts on top (null: it cannot tell).
+
+    radii(scene_id, iid, radius) serve the rules that look beside an axis; the default radius stands in."""
     dense = sequence.densify(centrelines, ["scene_id", "iid"], 2.0)
-    lines = dense.groupBy("scene_id", "iid").agg(F.array_sort(F.collect_list(F.struct("seq", "x", "y"))).alias("line")).groupBy("scene_id").agg(F.collect_list(F.struct("iid", "line")).alias("lines"))
+    lined = dense.groupBy("scene_id", "iid").agg(F.array_sort(F.collect_list(F.struct("seq", "x", "y"))).alias("line"))
+    sized = lined.withColumn("radius", F.lit(None).cast("double")) if radii is None else lined.join(radii.select("scene_id", "iid", F.col("radius").cast("double").alias("radius")), ["scene_id", "iid"], "left")
+    lines = sized.groupBy("scene_id").agg(F.collect_list(F.struct("iid", "line", F.coalesce("radius", F.lit(float(rule.default_radius_px))).alias("radius"))).alias("lines"))
     scenes = lines.join(greys, "scene_id")
     threshold = decision_threshold(rule.scoring, rule.abstain_score, rule.abstain_band)
     names = [x.split()[0] for x in EVIDENCE.split(", ")]
@@ -84,9 +105,10 @@ def with_evidence(found: DataFrame, centrelines: DataFrame, greys: DataFrame, ru
         row = scene.iloc[0]
         image = np.asarray(row.grey, float).reshape(int(row.height), int(row.width))
         line = {x["iid"]: np.array([(p["x"], p["y"]) for p in x["line"]]) for x in row.lines}
+        size = {x["iid"]: float(x["radius"]) for x in row.lines}
         edges = None if rule.scoring == "noise_floored" else gradient(image)
         for r in rows:
-            r |= evidence_of(image, line[r["i"]], line[r["j"]], (r["x"], r["y"]), rule, edges=edges)
+            r |= evidence_of(image, line[r["i"]], line[r["j"]], (r["x"], r["y"]), rule, (size[r["i"]], size[r["j"]]), edges)
             if r["score"] is not None and abs(r["score"]) >= threshold:
                 r["raw_over"] = r["i"] if r["score"] > 0 else r["j"]
         return pd.DataFrame(rows, columns=names)
@@ -184,13 +206,13 @@ def run_scenes(centrelines: DataFrame, greys: DataFrame, rule: DepthRule = Depth
     another numbering; instances then carry it as `mapped`."""
     found = cut(crossings(centrelines, rule))
     shapes = cut(measured_radii(centrelines, greys, found, rule)) if radii is None else radii
-    seen = cut(with_evidence(found, centrelines, greys, rule).withColumn("grazing", F.lit(False)))
+    seen = cut(with_evidence(found, centrelines, greys, rule, shapes).withColumn("grazing", F.lit(False)))
     dense = sequence.densify(centrelines, ["scene_id", "iid"], 2.0).select("scene_id", "iid", "x", "y")
     widest = shapes.agg(F.max("radius")).first()[0] or rule.default_radius_px  # one number
     near = spatial.closest_contacts(dense, shapes.select("scene_id", "iid", "radius"), ["scene_id"], "iid", widest, rule.z_gap_px, rule.default_radius_px, found.select("scene_id", "i", "j").distinct())
     contacts = cut(near.select("scene_id", F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), "x", "y"))
     if rule.grazing_evidence:
-        touched = with_evidence(contacts, centrelines, greys, rule)
+        touched = with_evidence(contacts, centrelines, greys, rule, shapes)
     else:
         blank = [x.split() for x in EVIDENCE.split(", ")[5:]]
         touched = contacts.select("*", *[F.lit(3 if n == "reason" else None).cast(t).alias(n) for n, t in blank])

@@ -81,6 +81,34 @@ def test_crossing_evidence(spark, top, over):
     assert depth.with_evidence(found, lines, grey, DepthRule(use_image_evidence=False)).first().reason == 2
 
 
+def shaded(spark):
+    """Rod 2 lies over rod 1, whose brightness rises along it."""
+    image = np.full((240, 240), 0.1, np.float32)
+    image[:, 112:128] = np.linspace(0.2, 0.5, 240, dtype=np.float32)[:, None]
+    image[114:126, :] = 0.9
+    image[126:130, :] = 0.3
+    lines = lines_of(spark, {1: [(119.5, v) for v in range(5, 236, 5)], 2: [(v, 119.5) for v in range(5, 236, 5)]})
+    return lines, spark.createDataFrame([("s", 240, 240, image.ravel().tolist())], SCENE + ", grey array<float>"), image
+
+
+def test_radii_matter_to_the_scaled_core_and_edges_to_the_older_rules(spark):
+    from strandel.kernels.raster import gradient
+
+    lines, grey, image = shaded(spark)
+    found = depth.crossings(lines)
+    sized = lambda r: spark.createDataFrame([("s", 1, r), ("s", 2, r)], "scene_id string, iid int, radius double")
+    seen = lambda r, **k: depth.with_evidence(found, lines, grey, DepthRule(**k), sized(r)).first()
+    assert seen(4.0).score == seen(20.0).score and seen(4.0).feat_sharpness is None and seen(4.0).raw_over == 2
+    assert seen(4.0, core_mode="radius_scaled").feat_floored != seen(20.0, core_mode="radius_scaled").feat_floored
+    assert seen(4.0, scoring="winsorized_linear").feat_sharpness != seen(8.0, scoring="winsorized_linear").feat_sharpness
+    a, b = np.array([(119.5, v) for v in np.arange(5, 236, 2.0)]), np.array([(v, 119.5) for v in np.arange(5, 236, 2.0)])
+    for rule in ("winsorized_linear", "weight_of_evidence"):
+        one, other = (depth.evidence_of(image, x, y, (119.5, 119.5), DepthRule(scoring=rule), (7.0, 7.0), gradient(image)) for x, y in ((a, b), (b, a)))
+        assert one["feat_sharpness"] == pytest.approx(-other["feat_sharpness"]) != 0 and one["score"] == pytest.approx(-other["score"]) and one["score"] < 0
+        with pytest.raises(ValueError, match="gradient"):
+            depth.evidence_of(image, a, b, (119.5, 119.5), DepthRule(scoring=rule))
+
+
 def test_stack_of_a_chain_and_mesh(spark, tmp_path):
     found = spark.createDataFrame([("s", 1, 2, 2.2, 1), ("s", 2, 3, 2.2, 2)], "scene_id string, i int, j int, score double, raw_over int")
     shapes = spark.createDataFrame([("s", 1, 4.0), ("s", 2, 3.0), ("s", 3, 5.0)], "scene_id string, iid int, radius double")
