@@ -85,7 +85,7 @@ def shaded(spark):
     """Rod 2 lies over rod 1, whose brightness rises along it."""
     image = np.full((240, 240), 0.1, np.float32)
     image[:, 112:128] = np.linspace(0.2, 0.5, 240, dtype=np.float32)[:, None]
-    image[114:126, :] = 0.9
+    image[114:126, :] = (0.6 + 0.4 * np.linspace(0, 1, 240, dtype=np.float32) ** 2)[None, :]
     image[126:130, :] = 0.3
     lines = lines_of(spark, {1: [(119.5, v) for v in range(5, 236, 5)], 2: [(v, 119.5) for v in range(5, 236, 5)]})
     return lines, spark.createDataFrame([("s", 240, 240, image.ravel().tolist())], SCENE + ", grey array<float>"), image
@@ -99,7 +99,7 @@ def test_radii_matter_to_the_scaled_core_and_edges_to_the_older_rules(spark):
     sized = lambda r: spark.createDataFrame([("s", 1, r), ("s", 2, r)], "scene_id string, iid int, radius double")
     seen = lambda r, **k: depth.with_evidence(found, lines, grey, DepthRule(**k), sized(r)).first()
     assert seen(4.0).score == seen(20.0).score and seen(4.0).feat_sharpness is None and seen(4.0).raw_over == 2
-    assert seen(4.0, core_mode="radius_scaled").feat_floored != seen(20.0, core_mode="radius_scaled").feat_floored
+    assert seen(4.0, core_mode="radius_scaled").score != seen(30.0, core_mode="radius_scaled").score
     assert seen(4.0, scoring="winsorized_linear").feat_sharpness != seen(8.0, scoring="winsorized_linear").feat_sharpness
     a, b = np.array([(119.5, v) for v in np.arange(5, 236, 2.0)]), np.array([(v, 119.5) for v in np.arange(5, 236, 2.0)])
     for rule in ("winsorized_linear", "weight_of_evidence"):
