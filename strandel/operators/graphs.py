@@ -6,11 +6,13 @@ tables keyed by scene, in which all of them converge together. Rounds are cut by
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandel.kernels.ordering import strong_parts
+from strandel.kernels.raster import least_of_parts
 from strandel.session import cut
 
 
@@ -19,27 +21,20 @@ EDGES_A_TASK = 200_000
 
 
 def _contracted(batches, keys: list[str]):
-    """Union-find over one partition's edges: every node with the smallest node of its part."""
-    parent: dict[tuple, int] = {}
-
-    def root(x: tuple) -> int:
-        top = x
-        while parent.get(top, top[-1]) != top[-1]:
-            top = (*top[:-1], parent[top])
-        while parent.get(x, x[-1]) != top[-1]:
-            parent[x], x = top[-1], (*x[:-1], parent[x])
-        return top[-1]
-
-    for part in batches:
-        for *key, u, v in part[[*keys, "u", "v"]].itertuples(index=False, name=None):
-            a, b = root((*key, u)), root((*key, v))
-            parent.setdefault((*key, u), min(a, b))
-            parent.setdefault((*key, v), min(a, b))
-            if a != b:
-                parent[(*key, max(a, b))] = min(a, b)
-                parent.setdefault((*key, min(a, b)), min(a, b))
-    rows = [(*x, root(x)) for x in list(parent)]
-    yield pd.DataFrame(rows, columns=[*keys, "u", "v"])
+    """One partition's edges contracted: every node with the smallest node of its part and keys."""
+    parts = [p for p in batches if len(p)]
+    if not parts:
+        return
+    rows = pd.concat(parts, ignore_index=True)
+    scene = rows.groupby(keys, sort=False, dropna=False).ngroup().to_numpy()
+    values, at = np.unique(rows[["u", "v"]].to_numpy(np.int64), return_inverse=True)
+    own, ends = np.unique(scene[:, None] * len(values) + at.reshape(-1, 2), return_inverse=True)  # nodes in the order of scene, then value
+    ends = ends.reshape(-1, 2)
+    root = least_of_parts(len(own), ends[:, 0], ends[:, 1])
+    first = np.zeros(scene.max() + 1, int)
+    first[scene[::-1]] = np.arange(len(scene))[::-1]
+    out = rows[keys].iloc[first[own // len(values)]].reset_index(drop=True)
+    yield out.assign(u=values[own % len(values)], v=values[own[root] % len(values)])[[*keys, "u", "v"]]
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame, keys: list[str], most_rounds: int = 1_000) -> DataFrame:
