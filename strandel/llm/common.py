@@ -119,9 +119,22 @@ def lookup(left: DataFrame, right: DataFrame, n: int, on: list[str], spread: Col
     return left.join(F.broadcast(right), on, how) if n <= BROADCAST_ROWS else salted_lookup(left, right, on, spread, how)
 
 
-def rows_of(df: DataFrame, ids: DataFrame, n: int, id_col: str) -> DataFrame:
-    """The rows of `df` whose `id_col` is in `ids` (one column of that name, `n` distinct values)."""
-    return df.join(F.broadcast(ids) if n <= BROADCAST_ROWS else ids.hint("shuffle_hash"), id_col, "left_semi")
+class Bucketed:
+    """Rows written once, bucketed and sorted by a key, so that later joins on the key neither shuffle nor sort them."""
+
+    def __init__(self, rows: DataFrame, key: str) -> None:
+        self.spark = rows.sparkSession
+        self.folder, self.name = scratch_folder(self.spark, "bucketed"), f"bucketed_{uuid.uuid4().hex}"
+        buckets = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        rows.repartition(buckets, key).write.option("path", self.folder).bucketBy(buckets, key).sortBy(key).saveAsTable(self.name)
+
+    @property
+    def rows(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        remove(self.spark, self.folder)
 
 
 def with_keys(docs: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, str, bool]:

@@ -15,12 +15,10 @@ documents of their own; extra columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandel.llm.common import ascii_lower, cut_counted, remove, salted_lookup, scratch_folder, table
+from strandel.llm.common import Bucketed, ascii_lower, cut_counted, salted_lookup, table
 from strandel.llm.exprs import BLANKS, let
 
 BATCHES = 4
@@ -38,38 +36,34 @@ def line_hashes(text: Column, min_chars: int) -> Column:
 class LineRuns:
     """Levelled runs of line hashes; `add` a batch of (hash, n), read `counts`, `drop` when done."""
 
-    def __init__(self, spark: SparkSession, fan_in: int = FAN_IN) -> None:
-        self.spark, self.fan_in, self.levels, self.folder = spark, fan_in, [[]], scratch_folder(spark, "line-runs")
-        self.buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    def __init__(self, fan_in: int = FAN_IN) -> None:
+        self.fan_in, self.levels = fan_in, [[]]
 
-    def _write(self, rows: DataFrame) -> str:
-        name = f"line_run_{uuid.uuid4().hex}"
-        rows.select("hash", "n").repartition(self.buckets, "hash").write.option("path", f"{self.folder}/{name}").bucketBy(self.buckets, "hash").sortBy("hash").saveAsTable(name)
-        return name
+    def _write(self, rows: DataFrame) -> Bucketed:
+        return Bucketed(rows.select("hash", "n"), "hash")
 
-    def _merged(self, names: list[str]) -> DataFrame:
+    def _merged(self, runs: list[Bucketed]) -> DataFrame:
         """Runs merged pair by pair. (A union of bucketed tables must not be grouped: Spark 4.1 then skips the exchange though the parts of a union are not dealt alike.)"""
-        out = self.spark.table(names[0])
-        for name in names[1:]:
-            more = self.spark.table(name).withColumnRenamed("n", "more")
+        out = runs[0].rows
+        for run in runs[1:]:
+            more = run.rows.withColumnRenamed("n", "more")
             out = out.join(more, "hash", "full_outer").select("hash", (F.coalesce("n", F.lit(0)) + F.coalesce("more", F.lit(0))).cast("long").alias("n"))
         return out
 
     @property
-    def names(self) -> list[str]:
-        return [n for level in self.levels for n in level]
+    def runs(self) -> list[Bucketed]:
+        return [run for level in self.levels for run in level]
 
     def add(self, batch: DataFrame) -> None:
         """Adds the hashes the runs do not hold as a run of their own, and counts for the others."""
         own = self._write(batch)
-        rows, made = self.spark.table(own), []
-        fresh = rows
-        for name in self.names:
-            fresh = fresh.join(self.spark.table(name).select("hash"), "hash", "left_anti")
-        if self.names:
+        made, fresh = [], own.rows
+        for run in self.runs:
+            fresh = fresh.join(run.rows.select("hash"), "hash", "left_anti")
+        if self.runs:
             made = [self._write(fresh)]
-            made.append(self._write(rows.join(self.spark.table(made[0]).select("hash"), "hash", "left_anti")))
-            self._drop([own])
+            made.append(self._write(own.rows.join(made[0].rows.select("hash"), "hash", "left_anti")))
+            own.drop()
         self.levels[0] += made or [own]
         self._compact()
 
@@ -78,23 +72,19 @@ class LineRuns:
             if k >= len(self.levels) or len(self.levels[k]) < self.fan_in:
                 return
             merged = self._write(self._merged(self.levels[k]))
-            self._drop(self.levels[k])
+            for run in self.levels[k]:
+                run.drop()
             self.levels[k] = []
             if k + 1 == len(self.levels):
                 self.levels.append([])
             self.levels[k + 1].append(merged)
 
     def counts(self) -> DataFrame:
-        return self._merged(self.names)
-
-    def _drop(self, names: list[str]) -> None:
-        for name in names:
-            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-            remove(self.spark, f"{self.folder}/{name}")
+        return self._merged(self.runs)
 
     def drop(self) -> None:
-        self._drop(self.names)
-        remove(self.spark, self.folder)
+        for run in self.runs:
+            run.drop()
         self.levels = [[]]
 
 
@@ -111,7 +101,7 @@ def batches_of(docs: DataFrame, batches: int = BATCHES) -> list[DataFrame]:
 
 def hot_hashes(batches: list[DataFrame], hashes: Column, min_docs: int) -> tuple[DataFrame, int]:
     """hash of every key that the runs count in at least `min_docs` documents, and how many there are."""
-    runs = LineRuns(batches[0].sparkSession)
+    runs = LineRuns()
     try:
         for batch in batches:
             runs.add(line_counts(batch, hashes))

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandel.llm.common import cut, cut_counted, cut_small, lookup, rows_of, salted_lookup, table, with_keys
+from strandel.llm.common import Bucketed, cut, cut_counted, cut_small, lookup, salted_lookup, table, with_keys
 from strandel.llm.components import components
 from strandel.llm.words import groups, mix, slices, text_bytes, window_hashes, word_spans
 
@@ -46,7 +46,7 @@ ALWAYS_CHECK = 100
 BLOCK, SHARE = 1_024, 1_000
 #: Bytes of full sets in one block.
 BLOCK_BYTES = 16 << 20
-#: Full sets a partition.
+#: Pairs a partition when their full sets are compared.
 SET_ROWS = 10_000
 #: Partners of the highest estimate that each class of an open bucket is checked against first.
 NEAREST = 3
@@ -177,7 +177,7 @@ def _with_both(pairs: DataFrame, nodes: DataFrame, columns: list[str]) -> DataFr
     for x, other in (("b", "a"), ("a", "b")):
         held = nodes.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in columns])
         if not n:
-            pairs = pairs.join(held, x)
+            pairs = pairs.join(held.hint("merge"), x)
             continue
         shares = hubs.filter(F.col("side") == x).select(F.col("node").alias(x), "shares")
         many = F.coalesce("shares", F.lit(1))
@@ -188,20 +188,20 @@ def _with_both(pairs: DataFrame, nodes: DataFrame, columns: list[str]) -> DataFr
 
 
 def _parts(df: DataFrame, rows: int) -> int:
-    """Partitions for rows that hold sets: four a core, more where these would hold over SET_ROWS each."""
+    """Partitions for rows whose sets are compared: four a core, more where these would hold over SET_ROWS each."""
     return max(4 * df.sparkSession.sparkContext.defaultParallelism, -(-rows // SET_ROWS))
 
 
-def sets_of(docs: DataFrame, nodes: DataFrame, rule: Rule, key: str, text_col: str) -> DataFrame:
-    """node, set (sorted shingle hashes) of the texts whose key is among `nodes`."""
+def sets_of(docs: DataFrame, nodes: DataFrame, rule: Rule, key: str, text_col: str) -> Bucketed:
+    """node, set (sorted shingle hashes) of the texts whose key is among `nodes`; written once for all rounds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 256):
             yield pa.record_batch([b.column(0), pa.array([s.tobytes() for s in shingle_sets(b.column(1), rule.width)], pa.binary())], names=["node", "set"])
 
-    ids, n = cut_counted(nodes.distinct())
     texts = docs.select(F.col(key).alias("node"), F.col(text_col).cast("string").alias("text"))
-    return cut_small(rows_of(texts, ids, n, "node").mapInArrow(run, "node long, set binary"), SET_ROWS, _parts(docs, n))
+    held = texts.join(nodes.distinct().hint("shuffle_hash"), "node", "left_semi")
+    return Bucketed(held.mapInArrow(run, "node long, set binary"), "node")
 
 
 def _linked(x: np.ndarray, y: np.ndarray, rule: Rule) -> bool:
@@ -209,7 +209,7 @@ def _linked(x: np.ndarray, y: np.ndarray, rule: Rule) -> bool:
     return 100 * both >= rule.percent * (len(x) + len(y) - both)
 
 
-def verified(docs: DataFrame, pairs: DataFrame, n: int, rule: Rule, key: str, text_col: str = "text") -> tuple[DataFrame, int]:
+def verified(pairs: DataFrame, n: int, sets: DataFrame, rule: Rule) -> tuple[DataFrame, int]:
     """Those of the `n` pairs that link, by the full sets of both texts, and their number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,9 +217,7 @@ def verified(docs: DataFrame, pairs: DataFrame, n: int, rule: Rule, key: str, te
             ok = [_linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), rule) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node")))
-    found = sets_of(docs, nodes, rule, key, text_col)
-    return cut_counted(_with_both(pairs, found, ["set"]).select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long"), parts=_parts(docs, n))
+    return cut_counted(_with_both(pairs, sets, ["set"]).select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long"), parts=_parts(pairs, n))
 
 
 def open_rows(shared: DataFrame, labels: DataFrame) -> DataFrame:
@@ -272,7 +270,7 @@ def nearest_pairs(rows: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
     return dealt.groupBy("key", "x", "y").applyInPandas(run, "a long, b long").distinct()
 
 
-def remaining_links(docs: DataFrame, rows: DataFrame, classes: DataFrame, rule: Rule, key: str, text_col: str) -> tuple[DataFrame, int]:
+def remaining_links(rows: DataFrame, classes: DataFrame, sets: DataFrame, rule: Rule) -> tuple[DataFrame, int]:
     """All links (a > b) across components of open buckets, checked on the full sets inside the blocks.
 
     A first round finds the rows that have a possible partner at all; only those carry their sets.
@@ -290,10 +288,9 @@ def remaining_links(docs: DataFrame, rows: DataFrame, classes: DataFrame, rule:
     known = classes.select("rep", "n", "regs")
     likely_rows = _in_blocks(rows.join(known, "rep"), F.lit(1.0 / BLOCK)).groupBy("key", "x", "y").applyInPandas(possible, "rep long, key long, band int, component long")
     likely_rows = cut_small(likely_rows.distinct())
-    found = sets_of(docs, likely_rows.select(F.col("rep").alias("node")), rule, key, text_col)
     weighed = likely_rows.join(known, "rep")
     dealt = _in_blocks(weighed, F.greatest(F.lit(1.0 / BLOCK), F.col("n") * 8.0 / BLOCK_BYTES))
-    return cut_counted(dealt.join(found.select(F.col("node").alias("rep"), "set"), "rep").groupBy("key", "x", "y").applyInPandas(check, "a long, b long").distinct())
+    return cut_counted(dealt.join(sets.select(F.col("node").alias("rep"), "set").hint("merge"), "rep").groupBy("key", "x", "y").applyInPandas(check, "a long, b long").distinct())
 
 
 def near_classes(docs: DataFrame, rule: Rule, key: str, text_col: str = "text") -> DataFrame:
@@ -310,14 +307,16 @@ def near_classes(docs: DataFrame, rule: Rule, key: str, text_col: str = "text")
     stars = salted_lookup(shared, leaders, ["key"], F.col("rep"), "inner").filter("rep <> leader").select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct()
     first, n = cut_counted(likely(stars, classes, rule))
     tried = first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    links, n_links = verified(docs, first, n, rule, key, text_col)
+    held = sets_of(docs, shared.select(F.col("rep").alias("node")), rule, key, text_col)
+    links, n_links = verified(first, n, held.rows, rule)
     labels = components(links, n_links)
     more, n = cut_counted(nearest_pairs(open_rows(shared, labels), classes, rule).join(tried, ["a", "b"], "left_anti"))
     if n:
-        found, n = verified(docs, more, n, rule, key, text_col)
+        found, n = verified(more, n, held.rows, rule)
         links, n_links = links.unionByName(found), n_links + n
         labels = components(links, n_links) if n else labels
-    last, n = remaining_links(docs, open_rows(shared, labels), classes, rule, key, text_col)
+    last, n = remaining_links(open_rows(shared, labels), classes, held.rows, rule)
+    held.drop()
     if n:
         labels = components(links.unionByName(last), n_links + n)
     named = classes.join(labels, F.col("rep") == F.col("node"), "left").withColumn("class", F.coalesce("component", "rep")).filter("rows > 1 or class <> rep").select("k1", "k2", "class")

@@ -197,7 +197,7 @@ def test_line_dedup(odd, monkeypatch, in_place):
 
 
 def test_runs_count_over_many_batches(spark):
-    runs, want = line_dedup.LineRuns(spark, fan_in=2), Counter()
+    runs, want = line_dedup.LineRuns(fan_in=2), Counter()
     for k in range(5):
         part = Counter({h: 1 + (h + k) % 3 for h in range(k * 10, k * 10 + 40)})
         runs.add(spark.createDataFrame(list(part.items()), "hash long, n long"))
@@ -214,7 +214,7 @@ def test_every_batch_goes_through_the_runs(spark, monkeypatch):
     monkeypatch.setattr(line_dedup.LineRuns, "add", lambda self, batch, real=line_dedup.LineRuns.add: (seen.append(batch.agg(F.max("n")).first()[0]), real(self, batch)))
     hot, n = line_dedup.hot_hashes(batches, line_dedup.line_hashes(F.col("text"), 1), 20)
     assert n == 2 and len(seen) == 4 and max(seen) < 20  # no batch holds the answer by itself
-    monkeypatch.setattr(line_dedup.LineRuns, "add", lambda self, batch: self.levels[0].append(self._write(batch)) if not self.names else None)
+    monkeypatch.setattr(line_dedup.LineRuns, "add", lambda self, batch: self.levels[0].append(self._write(batch)) if not self.runs else None)
     assert line_dedup.hot_hashes(batches, line_dedup.line_hashes(F.col("text"), 1), 20)[1] == 0
 
 
@@ -373,6 +373,16 @@ def test_language_id_on_held_out_rows(spark):
     assert r.filter("lang = lang_pred").count() >= 0.97 * r.count()
 
 
+def test_equal_texts_get_equal_scores(spark):
+    rows = [(1, "some plain words of text"), (1, "some plain words of text"), (1, "other words"), (2, "some plain words of text"), (None, "some plain words of text"), (3, ""), (4, None)] + [(10 + k, f"learned text number {k % 3}") for k in range(30)]
+    docs = spark.createDataFrame([(i, t, "en" if t and "number" not in t else "fr" if i else None) for i, t in rows], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(10 + k, k % 3 % 2) for k in range(30)] + [(1, 1), (1, 1)], "doc_id long, quality int")
+    scored = quality_classifier.score_column(docs, quality_classifier.fit(docs, labels), "score").collect()
+    found = language_id.predict(docs, language_id.fit(docs)).collect()
+    assert len(scored) == len(found) == len(rows) and len({r.score for r in scored if r.text == rows[0][1]}) == 1 and len({r.score for r in scored if not r.text}) == 1
+    assert len({(r.lang_pred, r.score) for r in found if r.doc_id in (2, None)}) == 1
+
+
 def test_models_take_odd_texts(odd, empty, spark):
     labels = spark.createDataFrame([(6, 1), (7, 0), (9, 1), (13, None), (None, 1), (6, 0)], "doc_id long, quality int")
     docs = odd.select("doc_id", "text", "lang")
