@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandel.kernels.raster import least_of_parts
 from strandel.llm.common import cut_small
 
 #: Edges that one task contracts by itself.
@@ -16,24 +17,12 @@ EDGES_A_TASK = 200_000
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Union-find over one partition's edges: each node with the smallest node of its part."""
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        top = x
-        while parent.setdefault(top, top) != top:
-            top = parent[top]
-        while parent[x] != top:
-            parent[x], x = top, parent[x]
-        return top
-
-    for b in batches:
-        for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            p, q = root(u), root(v)
-            if p != q:
-                parent[max(p, q)] = min(p, q)
-    nodes = np.fromiter(parent, np.int64, len(parent))
-    yield pa.record_batch([pa.array(nodes), pa.array([root(x) for x in nodes.tolist()], pa.int64())], names=["a", "b"])
+    """One partition's edges contracted: each node with the smallest node of its part."""
+    parts = [np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()], 1) for b in batches]
+    edges = np.concatenate(parts) if parts else np.zeros((0, 2), np.int64)
+    nodes, at = np.unique(edges, return_inverse=True)
+    at = at.reshape(-1, 2)
+    yield pa.record_batch([pa.array(nodes), pa.array(nodes[least_of_parts(len(nodes), at[:, 0], at[:, 1])])], names=["a", "b"])
 
 
 def components(edges: DataFrame, n: int, most_rounds: int = 200) -> DataFrame:
