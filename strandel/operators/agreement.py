@@ -59,9 +59,9 @@ def assign_fragments(fragments: DataFrame, instances: DataFrame, least_share: fl
 
     fragments(scene_id, frag_id, r, c), instances(scene_id, iid, r, c): instances may overlap. For the
     fallback a pixel under several instances counts for the largest, and each fragment pixel takes its
-    nearest instance pixel by a grid-bucketed join.
+    nearest instance pixel, tile by tile.
     """
-    from strandel.operators.spatial import within_distance
+    from strandel.operators.pixels import nearest_label
 
     at = ["scene_id", "r", "c"]
     sizes = fragments.groupBy("scene_id", "frag_id").agg(F.count(F.lit(1)).alias("n"))
@@ -69,11 +69,10 @@ def assign_fragments(fragments: DataFrame, instances: DataFrame, least_share: fl
     top = hits.groupBy("scene_id", "frag_id").agg(F.max(F.struct("hits", (-F.col("iid")).alias("_o"))).alias("b")).select("scene_id", "frag_id", F.col("b.hits").alias("hits"), (-F.col("b._o")).alias("iid"))
     voted = sizes.join(top, ["scene_id", "frag_id"], "left").withColumn("iid", F.when(F.col("hits") >= least_share * F.col("n"), F.col("iid")))
     area = instances.groupBy("scene_id", "iid").agg(F.count(F.lit(1)).alias("area"))
-    owner = instances.join(area, ["scene_id", "iid"]).groupBy(*at).agg(F.max(F.struct("area", (-F.col("iid")).alias("_o"))).alias("b")).select(*at, (-F.col("b._o")).alias("near"))
+    owner = instances.join(area, ["scene_id", "iid"]).groupBy(*at).agg(F.max(F.struct("area", (-F.col("iid")).alias("_o"))).alias("b")).select(*at, (-F.col("b._o")).alias("label"))
     lost = fragments.join(voted.filter("iid is null").select("scene_id", "frag_id"), ["scene_id", "frag_id"], "left_semi")
-    near = within_distance(lost.select("scene_id", "frag_id", F.col("r").alias("ar"), F.col("c").alias("ac")), owner.select("scene_id", "near", F.col("r").alias("br"), F.col("c").alias("bc")), ["scene_id"], ("ar", "ac"), ("br", "bc"), reach)
-    nearest = near.groupBy("scene_id", "frag_id", "ar", "ac").agg(F.min(F.struct("distance", "br", "bc", "near")).alias("b")).select("scene_id", "frag_id", F.col("b.near").alias("near"))
-    fallback = vote(nearest, ["scene_id", "frag_id"], "near", 0.0).select("scene_id", "frag_id", F.col("assigned").alias("fallback"))
+    nearest = nearest_label(lost, owner, ["scene_id"], reach).filter("near is not null")
+    fallback = vote(nearest, ["scene_id", "frag_id"], "near", 0.0).select("scene_id", "frag_id", F.col("assigned").cast("int").alias("fallback"))
     return voted.join(fallback, ["scene_id", "frag_id"], "left").select("scene_id", "frag_id", F.coalesce("iid", "fallback", F.lit(0)).alias("iid"))
 
 

@@ -126,3 +126,33 @@ def by_area(instances: DataFrame, keys: list[str], iid: str = "iid") -> DataFram
     """keys, iid, area, place: the order in which instances are worked on, the largest first, then by id."""
     areas = instances.groupBy(*keys, iid).agg(F.count(F.lit(1)).alias("area"))
     return areas.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("area"), iid)))
+
+
+def nearest_label(places: DataFrame, owners: DataFrame, keys: list[str], reach: float, side: int = 256) -> DataFrame:
+    """`places` (keys, r, c, ...) with `near`: the label above 0 of the nearest of `owners` (keys, r, c, label) within `reach`, else null.
+
+    Among equally near pixels the first in row-major order counts. Both sides are dealt into square tiles,
+    owners also into those that they are in reach of, and a tile looks along the offsets in their order.
+    """
+    n = int(reach)
+    offsets = sorted((a * a + b * b, a, b) for a in range(-n, n + 1) for b in range(-n, n + 1) if a * a + b * b <= reach * reach)
+    own = places.withColumn("_tr", F.floor(F.col("r") / side)).withColumn("_tc", F.floor(F.col("c") / side))
+    around = lambda x: F.explode(F.sequence(F.floor((F.col(x) - n) / side), F.floor((F.col(x) + n) / side)))
+    held = owners.select(*keys, "r", "c", F.col("label").cast("long").alias("label")).withColumn("_tr", around("r")).withColumn("_tc", around("c"))
+    kinds = {f.name: f.dataType.simpleString() for f in places.schema}
+
+    def run(key: tuple, part: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        r0, c0 = (int(key[k]) * side - n for k in (-2, -1))
+        grid = np.zeros((side + 2 * n, side + 2 * n), np.int64)
+        grid[known.r.to_numpy(int) - r0, known.c.to_numpy(int) - c0] = known.label
+        r, c = part.r.to_numpy(int) - r0, part.c.to_numpy(int) - c0
+        near, left = np.zeros(len(part), np.int64), np.arange(len(part))
+        for _, a, b in offsets:
+            near[left] = grid[r[left] + a, c[left] + b]
+            left = left[near[left] == 0]
+            if not len(left):
+                break
+        return part[list(kinds)].assign(near=pd.array(near, "Int64")).replace({"near": {0: pd.NA}})
+
+    tile = [*keys, "_tr", "_tc"]
+    return own.groupBy(*tile).cogroup(held.groupBy(*tile)).applyInPandas(run, ", ".join(f"`{k}` {t}" for k, t in kinds.items()) + ", near long")
