@@ -235,6 +235,13 @@ def _in_blocks(rows: DataFrame, weight) -> DataFrame:
     return dealt.withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other")).drop("other", "blocks")
 
 
+def _by_block(dealt: DataFrame):
+    """Groups of blocks in a counted number of parts: a block of registers costs far more time than its bytes tell."""
+    spark = dealt.sparkSession
+    parts = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return dealt.repartition(parts, "key", "x", "y").groupBy("key", "x", "y")
+
+
 def _partners(part: pd.DataFrame, same_block: bool, rule: Rule, most: int | None) -> Iterator[tuple[int, np.ndarray]]:
     """For each row of a block the rows of other components that may link to it by the estimate.
 
@@ -267,7 +274,7 @@ def nearest_pairs(rows: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     dealt = _in_blocks(rows.join(classes.select("rep", "n", "regs"), "rep"), F.lit(1.0 / BLOCK))
-    return dealt.groupBy("key", "x", "y").applyInPandas(run, "a long, b long").distinct()
+    return _by_block(dealt).applyInPandas(run, "a long, b long").distinct()
 
 
 def remaining_links(rows: DataFrame, classes: DataFrame, sets: DataFrame, rule: Rule) -> tuple[DataFrame, int]:
@@ -276,8 +283,8 @@ def remaining_links(rows: DataFrame, classes: DataFrame, sets: DataFrame, rule:
     A first round finds the rows that have a possible partner at all; only those carry their sets.
     """
 
-    def possible(_: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        hit = {k for i, j in _partners(part, _[1] == _[2], rule, None) for k in (i, *j)}
+    def possible(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        hit = {k for i, j in _partners(part, key[1] == key[2], rule, None) for k in (i, *j)}
         return part.iloc[sorted(hit)][["rep", "key", "band", "component"]]
 
     def check(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
@@ -286,7 +293,7 @@ def remaining_links(rows: DataFrame, classes: DataFrame, sets: DataFrame, rule:
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     known = classes.select("rep", "n", "regs")
-    likely_rows = _in_blocks(rows.join(known, "rep"), F.lit(1.0 / BLOCK)).groupBy("key", "x", "y").applyInPandas(possible, "rep long, key long, band int, component long")
+    likely_rows = _by_block(_in_blocks(rows.join(known, "rep"), F.lit(1.0 / BLOCK))).applyInPandas(possible, "rep long, key long, band int, component long")
     likely_rows = cut_small(likely_rows.distinct())
     weighed = likely_rows.join(known, "rep")
     dealt = _in_blocks(weighed, F.greatest(F.lit(1.0 / BLOCK), F.col("n") * 8.0 / BLOCK_BYTES))
