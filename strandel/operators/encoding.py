@@ -38,7 +38,8 @@ def layers(arm_pixels: DataFrame, node_pixels: DataFrame, chains: DataFrame, nod
     arm_pixels(scene_id, aid, r, c), node_pixels(scene_id, nid, r, c), chains(scene_id, iid, aid), node_arms(scene_id, nid, aid).
     """
     own = chains.join(arm_pixels, ["scene_id", "aid"]).select("scene_id", "iid", "r", "c")
-    shared = chains.join(node_arms, ["scene_id", "aid"]).join(node_pixels, ["scene_id", "nid"]).select("scene_id", "iid", "r", "c")
+    touched = chains.join(node_arms, ["scene_id", "aid"]).select("scene_id", "iid", "nid").distinct()  # arms of a chain share crossings
+    shared = touched.join(node_pixels, ["scene_id", "nid"]).select("scene_id", "iid", "r", "c")
     return own.unionByName(shared).distinct()
 
 
