@@ -118,17 +118,20 @@ def gaussian(df: DataFrame, keys: list[str], sigma: float, columns: list[str], o
 
 
 def resample(df: DataFrame, keys: list[str], sigma: float, order: str = "seq", x: str = "x", y: str = "y") -> DataFrame:
-    """Unit-step resampling of runs of length 2 or more, with normals of the smoothed axis."""
+    """Unit-step resampling of runs of length 2 or more, with normals of the smoothed axis; rows without a key are left out.
+
+    The smoothed axis stands beside the points, so the grid is made once and never joined to itself.
+    """
     w = ordered(keys, order)
-    a = arclength(df, keys, order, x, y).withColumn("_s1", F.lead("s").over(w)).withColumn("_x1", F.lead(x).over(w)).withColumn("_y1", F.lead(y).over(w)).withColumn("_total", F.max("s").over(Window.partitionBy(*keys)))
+    a = arclength(df.dropna(subset=keys), keys, order, x, y).withColumn("_s1", F.lead("s").over(w)).withColumn("_x1", F.lead(x).over(w)).withColumn("_y1", F.lead(y).over(w)).withColumn("_total", F.max("s").over(Window.partitionBy(*keys)))
     last = F.lead("_s1").over(w).isNull()
     a = a.withColumn("_last", last).filter("_s1 is not null and _total >= 2")
     top = F.when(F.col("_last"), F.floor(F.col("_total") + 1e-9)).otherwise(F.ceil("_s1") - 1).cast("int")
     rows = a.withColumn("_g", F.explode(F.when(F.ceil("s").cast("int") <= top, F.sequence(F.ceil("s").cast("int"), top)).otherwise(F.array().cast("array<int>"))))
     at = (F.col("_g") - F.col("s")) / F.greatest(F.col("_s1") - F.col("s"), F.lit(1e-300))
-    grid = rows.select(*keys, F.col("_g").alias(order), (F.col(x) + (F.col("_x1") - F.col(x)) * at).alias(x), (F.col(y) + (F.col("_y1") - F.col(y)) * at).alias(y))
-    smoothed = unit_normals(gaussian(grid, keys, max(0.6, sigma), [x, y], order), keys, order, x, y).select(*keys, order, "nx", "ny")
-    return grid.join(smoothed, [*keys, order])
+    along = lambda c, c1: F.col(c) + (F.col(c1) - F.col(c)) * at
+    grid = rows.select(*keys, F.col("_g").alias(order), along(x, "_x1").alias(x), along(y, "_y1").alias(y), along(x, "_x1").alias("_ax"), along(y, "_y1").alias("_ay"))
+    return unit_normals(gaussian(grid, keys, max(0.6, sigma), ["_ax", "_ay"], order), keys, order, "_ax", "_ay").select(*keys, order, x, y, "nx", "ny")
 
 
 def effective_size(df: DataFrame, keys: list[str], value: str, order: str = "seq", most_lag: int = 40) -> DataFrame:

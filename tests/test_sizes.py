@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from strandel.operators import encoding
+from strandel.operators import encoding, sequence
 
 
 def nodes_of(frame):
@@ -35,3 +35,12 @@ def test_arms_of_a_chain_at_one_crossing_bring_its_pixels_once(spark):
     out = encoding.layers(arm_pixels, pixels, arms.select("scene_id", "iid", "aid"), arms.select("scene_id", F.lit(7).alias("nid"), "aid"))
     assert most_joined(out) <= 1_000  # 60,000 with the pixels once an arm
     assert {(x.iid, x.r) for x in out.collect()} == {(1, r) for r in [*range(300), *range(1000, 1200)]} and out.count() == 500
+
+
+def test_resampling_is_never_joined_to_itself(spark):
+    points = spark.createDataFrame([(1, 0, 0.0, 0.0), (1, 1, 3.0, 0.0), (1, 2, 3.0, 4.0), (None, 0, 0.0, 0.0), (None, 1, 9.0, 0.0)], "t long, seq int, x double, y double")
+    out = sequence.resample(points, ["t"], 1.5)
+    assert not [name for name, _ in nodes_of(out) if "Join" in name]
+    rows = {r.seq: r for r in out.collect()}
+    assert sorted(rows) == list(range(8)) and (rows[3].x, rows[3].y, rows[7].x, rows[7].y) == (3.0, 0.0, 3.0, 4.0)
+    assert all(abs(r.nx**2 + r.ny**2 - 1) < 1e-9 and r.t == 1 for r in rows.values()) and abs(rows[0].ny - 1) < 0.1 and abs(rows[7].nx + 1) < 0.1
