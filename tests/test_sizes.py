@@ -5,7 +5,8 @@ import threading
 import pytest
 from pyspark.sql import functions as F
 
-from strandel.operators import encoding, sequence
+from strandel.operators import encoding, sequence, spatial
+from strandel.plans.queries import QUERIES
 from strandel.sources import files
 
 
@@ -91,3 +92,19 @@ def test_centrelines_are_read_without_a_pass_for_their_schema(spark, tmp_path):
     out = files.read_centrelines(spark, str(tmp_path))
     assert set(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) == set(before)
     assert sorted(tuple(r) for r in out.collect()) == [("set__u1", 3, 0, 1.0, 2.5, 4.0), ("set__u1", 3, 1, 2.0, 3.0, 4.0), ("set__u2", 4, 0, 10.0, 0.1, None)]
+
+
+def test_excluded_contacts_need_no_table_of_all_pairs(spark, tmp_path):
+    rows = spark.range(300).select(F.col("id").alias("event_id"), F.lit("2024-01-02 03:04:05").cast("timestamp").alias("ts"), F.col("id").alias("user_id"), F.lit("view").alias("event_type"), (F.floor(F.col("id") / 2) * 100.0).alias("value"))
+    rows.write.parquet(f"{tmp_path}/events.parquet")
+    out = QUERIES["q_contacts"](spark, str(tmp_path))
+    assert most_joined(out) <= 1_000  # 6,407 excluded pairs
+    assert sorted((r.i, r.j) for r in out.collect()) == [(i, i + 1) for i in range(0, 300, 2) if (2 * i + 1) % 7]
+
+
+def test_contacts_leave_out_a_table_or_a_condition(spark):
+    points = spark.createDataFrame([("s", k, float(k), 0.0) for k in range(6)], "scene string, iid long, x double, y double")
+    radii = points.select("scene", "iid", F.lit(0.8).alias("radius"))
+    known = spark.createDataFrame([("s", 1, 2), ("s", 4, 5)], "scene string, i long, j long")
+    found = [{(r.i, r.j) for r in spatial.closest_contacts(points, radii, ["scene"], "iid", 0.8, exclude=x).collect()} for x in (known, F.col("i").isin(1, 4), F.lit(None).cast("boolean"))]
+    assert found == [{(0, 1), (2, 3), (3, 4)}] * 2 + [{(k, k + 1) for k in range(5)}]
