@@ -78,7 +78,10 @@ def gap_pairs(frames: DataFrame, keys: list[str], most_length: float, most_theta
     """Costed stub pairs across gaps: near, of different arms and nodes, and nearly in line."""
     pairs = close_pairs(frames.filter("reliable"), keys, stub, "tip_x", "tip_y", most_length)
     apart = (F.col(f"{arm}_a") != F.col(f"{arm}_b")) & ~F.coalesce(F.col(f"{node}_a") == F.col(f"{node}_b"), F.lit(False))
-    return costed(pairs.filter(apart), **weights).filter((F.col("cost").isNotNull()) & (F.col("theta") <= most_theta) & (F.greatest("phi_a", "phi_b") <= most_phi))
+    priced, facts = costed(pairs.filter(apart), **weights), ["length", "theta", "phi_a", "phi_b", "cost"]
+    # Exploded, so that the filter reads what was computed and does not compute all of it again in one method too long to be compiled.
+    once = priced.select(*[c for c in priced.columns if c not in facts], F.explode(F.array(F.struct(*facts))).alias("_f")).select("*", "_f.*").drop("_f")
+    return once.filter((F.col("cost").isNotNull()) & (F.col("theta") <= most_theta) & (F.greatest("phi_a", "phi_b") <= most_phi))
 
 
 def cheapest_partner(pairs: DataFrame, keys: list[str], stub: str = "sid") -> DataFrame:

@@ -5,8 +5,8 @@ import threading
 import pytest
 from pyspark.sql import functions as F
 
-from strandel.operators import encoding, sequence, spatial
-from strandel.plans.queries import QUERIES
+from strandel.operators import encoding, frames, sequence, spatial
+from strandel.plans.queries import GAP, QUERIES
 from strandel.sources import files
 
 
@@ -108,3 +108,16 @@ def test_contacts_leave_out_a_table_or_a_condition(spark):
     known = spark.createDataFrame([("s", 1, 2), ("s", 4, 5)], "scene string, i long, j long")
     found = [{(r.i, r.j) for r in spatial.closest_contacts(points, radii, ["scene"], "iid", 0.8, exclude=x).collect()} for x in (known, F.col("i").isin(1, 4), F.lit(None).cast("boolean"))]
     assert found == [{(0, 1), (2, 3), (3, 4)}] * 2 + [{(k, k + 1) for k in range(5)}]
+
+
+ENDS = "scene string, sid long, aid long, node int, tip_x double, tip_y double, tan_x double, tan_y double, kappa double, reliable boolean"
+
+
+def in_a_row(spark):
+    return spark.createDataFrame([("s", k, k, None, 9.0 * k, 0.0, 1.0 if k % 2 == 0 else -1.0, 0.0, 0.0, True) for k in range(6)], ENDS)
+
+
+def test_angles_of_a_gap_are_computed_once(spark):
+    out = frames.gap_pairs(in_a_row(spark), ["scene"], 30.0, 2.4, 2.28, **GAP)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("ACOS") == 3  # one each of theta, phi_a and phi_b
+    assert {(r.sid_a, r.sid_b) for r in out.collect()} == {(0, 1), (0, 3), (2, 3), (2, 5), (4, 5)}
