@@ -85,8 +85,8 @@ def gap_pairs(frames: DataFrame, keys: list[str], most_length: float, most_theta
 
 
 def cheapest_partner(pairs: DataFrame, keys: list[str], stub: str = "sid") -> DataFrame:
-    """Each stub's least cost among its pairs."""
-    ends = pairs.select(*keys, F.col(f"{stub}_a").alias(stub), "cost").union(pairs.select(*keys, F.col(f"{stub}_b").alias(stub), "cost"))
+    """Each stub's least cost among its pairs; the pairs are made once for both of their ends."""
+    ends = pairs.select(*keys, F.explode(F.array(f"{stub}_a", f"{stub}_b")).alias(stub), "cost")
     return ends.groupBy(*keys, stub).agg(F.min("cost").alias("cost"))
 
 

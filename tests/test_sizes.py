@@ -121,3 +121,11 @@ def test_angles_of_a_gap_are_computed_once(spark):
     out = frames.gap_pairs(in_a_row(spark), ["scene"], 30.0, 2.4, 2.28, **GAP)
     assert out._jdf.queryExecution().optimizedPlan().toString().count("ACOS") == 3  # one each of theta, phi_a and phi_b
     assert {(r.sid_a, r.sid_b) for r in out.collect()} == {(0, 1), (0, 3), (2, 3), (2, 5), (4, 5)}
+
+
+def test_partners_join_frames_once(spark):
+    pairs = frames.gap_pairs(in_a_row(spark), ["scene"], 30.0, 2.4, 2.28, **GAP)
+    out = frames.cheapest_partner(pairs, ["scene"])
+    assert sum("Join" in name for name, _ in nodes_of(out)) == 1
+    held = [(r.sid_a, r.sid_b, r.cost) for r in pairs.collect()]
+    assert held and {r.sid: r.cost for r in out.collect()} == {s: min(c for a, b, c in held if s in (a, b)) for s in {x for a, b, _ in held for x in (a, b)}}
