@@ -13,13 +13,12 @@ def angle(ux: Column, uy: Column, vx: Column, vy: Column) -> Column:
     return F.acos(F.greatest(F.least(ux * vx + uy * vy, F.lit(1.0)), F.lit(-1.0)))
 
 
-def segment_crossing(ax0: Column, ay0: Column, ax1: Column, ay1: Column, bx0: Column, by0: Column, bx1: Column, by1: Column) -> Column:
-    """struct<x, y> where two segments meet, ends included; null if they do not or are parallel."""
-    rx, ry, sx, sy, qx, qy = ax1 - ax0, ay1 - ay0, bx1 - bx0, by1 - by0, bx0 - ax0, by0 - ay0
-    cross = rx * sy - ry * sx
+def segment_meeting(ax: Column, ay: Column, rx: Column, ry: Column, bx: Column, by: Column, sx: Column, sy: Column) -> tuple[Column, Column, Column, Column]:
+    """How far along each of two segments, from (ax, ay) by (rx, ry) and from (bx, by) by (sx, sy), their lines meet, and where; null if they are parallel."""
+    cross, qx, qy = rx * sy - ry * sx, bx - ax, by - ay
     det = F.when(F.abs(cross) >= 1e-12, cross)
     t, u = (qx * sy - qy * sx) / det, (qx * ry - qy * rx) / det
-    return F.when(t.between(0.0, 1.0) & u.between(0.0, 1.0), F.struct((ax0 + t * rx).alias("x"), (ay0 + t * ry).alias("y")))
+    return t, u, ax + t * rx, ay + t * ry
 
 
 def link_cost(length: Column, theta: Column, phi_a: Column, phi_b: Column, kappa_a: Column, kappa_b: Column, *, w_direct: float, w_turn: float, w_len: float, len_scale: float, chord_floor: float, w_kappa: float, kappa_scale: float) -> Column:

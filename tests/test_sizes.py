@@ -1,12 +1,14 @@
 """What grows with the product of two tables, or goes one after the other, where the result does not."""
 
+import math
+import random
 import threading
 
 import pytest
 from pyspark.sql import functions as F
 
 from strandel.operators import encoding, frames, sequence, spatial
-from strandel.plans.queries import GAP, QUERIES
+from strandel.plans.queries import GAP, QUERIES, _near
 from strandel.sources import files
 
 
@@ -110,6 +112,41 @@ def test_contacts_leave_out_a_table_or_a_condition(spark):
     assert found == [{(0, 1), (2, 3), (3, 4)}] * 2 + [{(k, k + 1) for k in range(5)}]
 
 
+def steps_of(spark, lines):
+    return spark.createDataFrame([("s", t, 0, *map(float, line)) for t, line in enumerate(lines)], "scene string, iid long, k int, x0 double, y0 double, x1 double, y1 double")
+
+
+def test_crossings_are_found_once_without_a_shuffle_of_them(spark):
+    rng = random.Random(5)
+    lines = [[rng.uniform(-40, 40) for _ in range(4)] for _ in range(60)] + [[rng.randrange(-3, 4) * 4 for _ in range(4)] for _ in range(60)]  # corners of cells too
+    lines += [[-30, 4 * k + d, 30, 4 * k - d] for k in range(-2, 3) for d in (1e-9, 1e-5, 0.1, 3.9)] + [[8, -20, 8, 20], [8 - 1e-9, -20, 8 + 1e-9, 20], [8, -4, 8, 4]]
+    want = set()
+    for i, (ax0, ay0, ax1, ay1) in enumerate(lines):
+        for j, (bx0, by0, bx1, by1) in enumerate(lines[i + 1 :], i + 1):
+            rx, ry, sx, sy, qx, qy = ax1 - ax0, ay1 - ay0, bx1 - bx0, by1 - by0, bx0 - ax0, by0 - ay0
+            if abs(det := rx * sy - ry * sx) >= 1e-12 and 0 <= (t := (qx * sy - qy * sx) / det) <= 1 and 0 <= (qx * ry - qy * rx) / det <= 1:
+                want.add((i, j, ax0 + t * rx, ay0 + t * ry))
+    out = spatial.crossing_segments(steps_of(spark, lines), ["scene"], "iid", 4.0)
+    rows = [(r.i, r.j, r.x, r.y) for r in out.collect()]
+    assert len(rows) == len(want) > 500 and set(rows) == want
+    todo, above = [out._jdf.queryExecution().optimizedPlan()], []
+    while todo and (p := todo.pop()).nodeName() != "Join":
+        above.append(p.nodeName())
+        todo += [p.children().apply(k) for k in range(p.children().size())]
+    assert "Aggregate" not in above  # which had all crossings shuffled, several times each
+
+
+def test_arithmetic_rounding_is_that_of_sql(spark):
+    values = [0.0, -0.0, -1e-9, 0.49999999999999994e-3, 0.0005, 0.0015, -0.0015, 2.5, -2.5, 1.0005, 123456.7895, 1e15 + 0.5, 1e300, -1e300, math.inf, math.nan, None]
+    rows = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, v double").select("k", _near("v", 3)).collect()
+    got = {r.k: r.v for r in rows}
+    duckdb = pytest.importorskip("duckdb")
+    for k, v in enumerate(values):
+        want = duckdb.execute("SELECT round(?::DOUBLE, 3) + 0.0", [v]).fetchone()[0]
+        assert got[k] == want or v is not None and math.isnan(v) and math.isnan(got[k]), (v, got[k], want)
+        assert want is None or want != 0 or math.copysign(1, got[k]) == 1
+
+
 ENDS = "scene string, sid long, aid long, node int, tip_x double, tip_y double, tan_x double, tan_y double, kappa double, reliable boolean"
 
 
