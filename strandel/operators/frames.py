@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from strandel.functions.geometry import angle, link_cost
 from strandel.kernels.matching import best_pairs
@@ -54,24 +57,65 @@ def fit_frames(points: DataFrame, keys: list[str], window: float = 14.0, least_q
     )
 
 
-def costed(pairs: DataFrame, **weights: float) -> DataFrame:
-    """theta, phi_a, phi_b, length and cost of frame pairs (columns suffixed _a and _b); cost is null without both tangents."""
+#: fdlibm's rational function of the arc sine, highest power first.
+_ASIN_P = (3.47933107596021167570e-05, 7.91534994289814532176e-04, -4.00555345006794114027e-02, 2.01212532134862925881e-01, -3.25565818622400915405e-01, 1.66666666666666657415e-01, 0.0)
+_ASIN_Q = (7.70381505559019352791e-02, -6.88283971605453293030e-01, 2.02094576023350569471e00, -2.40339491173441421878e00, 1.0)
+
+
+def arc_cosines(rows: DataFrame, names: dict[str, str]) -> DataFrame:
+    """Adds the arc cosine of each column of cosines in [-1, 1], by arithmetic to a few units in the last place.
+
+    names: cosine to angle. acos leaves the JVM for every row, which takes most of the time of very many pairs.
+    """
+
+    def horner(z: str, factors: tuple[float, ...]) -> Column:
+        out = F.lit(factors[0])
+        for f in factors[1:]:
+            out = out * F.col(z) + f
+        return out
+
+    def angle_of(c: str) -> Column:
+        x, r, half = F.col(c), F.col(f"_r{c}"), F.sqrt(f"_z{c}")
+        tip = 2 * (half + half * r)
+        return F.when(F.abs(x) < 0.5, math.pi / 2 - (x + x * r)).when(x > 0, tip).when(x <= 0, math.pi - tip)
+
+    # Never null, as code without tests for nulls is shorter, and the JVM compiles no long method.
+    z = rows.withColumns({f"_z{c}": F.coalesce(F.when(F.abs(c) < 0.5, F.col(c) * F.col(c)).otherwise((1 - F.abs(c)) * 0.5), F.lit(0.0)) for c in names})
+    r = z.withColumns({f"_r{c}": horner(f"_z{c}", _ASIN_P) / horner(f"_z{c}", _ASIN_Q) for c in names})
+    return r.withColumns({to: angle_of(c) for c, to in names.items()}).drop(*[f"_{k}{c}" for k in "zr" for c in names])
+
+
+def costed(pairs: DataFrame, many: bool = False, **weights: float) -> DataFrame:
+    """theta, phi_a, phi_b, length and cost of frame pairs (columns suffixed _a and _b); cost is null without both tangents.
+
+    many: lengths and angles by arithmetic alone, some units in the last place away, for very many pairs."""
     dx, dy = F.col("tip_x_b") - F.col("tip_x_a"), F.col("tip_y_b") - F.col("tip_y_a")
-    p = pairs.withColumn("length", F.hypot(dx, dy))
+    p = pairs.withColumn("length", F.sqrt(dx * dx + dy * dy) if many else F.hypot(dx, dy))
     ux, uy = F.try_divide(dx, F.col("length")), F.try_divide(dy, F.col("length"))
     ax, ay, bx, by = (F.col(c) for c in ("tan_x_a", "tan_y_a", "tan_x_b", "tan_y_b"))
     far = F.col("length") >= 1e-6
-    p = p.withColumn("theta", angle(ax, ay, -bx, -by)).withColumn("phi_a", F.when(far, angle(ax, ay, ux, uy)).otherwise(0.0)).withColumn("phi_b", F.when(far, angle(bx, by, -ux, -uy)).otherwise(0.0))
+    if many:
+        held = lambda c: F.greatest(F.least(c, F.lit(1.0)), F.lit(-1.0))
+        p = p.withColumns({"_t": held(-(ax * bx + ay * by)), "_a": F.when(far, held(ax * ux + ay * uy)).otherwise(1.0), "_b": F.when(far, held(-(bx * ux + by * uy))).otherwise(1.0)})
+        p = arc_cosines(p, {"_t": "theta", "_a": "phi_a", "_b": "phi_b"}).drop("_t", "_a", "_b")
+    else:
+        p = p.withColumn("theta", angle(ax, ay, -bx, -by)).withColumn("phi_a", F.when(far, angle(ax, ay, ux, uy)).otherwise(0.0)).withColumn("phi_b", F.when(far, angle(bx, by, -ux, -uy)).otherwise(0.0))
     known = ((ax != 0) | (ay != 0)) & ((bx != 0) | (by != 0))
     return p.withColumn("cost", F.when(known, link_cost(F.col("length"), F.col("theta"), F.col("phi_a"), F.col("phi_b"), F.col("kappa_a"), F.col("kappa_b"), **weights)))
 
 
-def within_node_pairs(frames: DataFrame, keys: list[str], stub: str = "sid", arm: str = "aid", node: str = "node") -> DataFrame:
-    """Stub pairs a < b of one node and different arms."""
+def within_node_pairs(frames: DataFrame, keys: list[str], stub: str = "sid", arm: str = "aid", node: str = "node", block: int = 1024) -> DataFrame:
+    """Stub pairs a < b of one node and different arms.
+
+    A node's stubs are dealt in order into blocks; each pair of blocks meets by itself, so a large node is many tasks' work.
+    """
     held = frames.filter(F.col(node).isNotNull())
     others = [c for c in frames.columns if c not in (*keys, node)]
-    side = lambda t: held.select(*keys, node, *[F.col(c).alias(f"{c}_{t}") for c in others])
-    return side("a").join(side("b"), [*keys, node]).filter((F.col(f"{stub}_a") < F.col(f"{stub}_b")) & (F.col(f"{arm}_a") != F.col(f"{arm}_b")))
+    w = Window.partitionBy(*keys, node)
+    dealt = held.withColumn("_p", F.floor((F.row_number().over(w.orderBy(stub)) - 1) / block)).withColumn("_n", F.max("_p").over(w))
+    side = lambda t, own, met, those: dealt.select(*keys, node, *[F.col(c).alias(f"{c}_{t}") for c in others], F.col("_p").alias(own), F.explode(those).alias(met))
+    first, second = side("a", "_i", "_j", F.sequence("_p", "_n")), side("b", "_j", "_i", F.sequence(F.lit(0).cast("long"), F.col("_p")))
+    return first.join(second, [*keys, node, "_i", "_j"]).drop("_i", "_j").filter((F.col(f"{stub}_a") < F.col(f"{stub}_b")) & (F.col(f"{arm}_a") != F.col(f"{arm}_b")))
 
 
 def gap_pairs(frames: DataFrame, keys: list[str], most_length: float, most_theta: float, most_phi: float, stub: str = "sid", arm: str = "aid", node: str = "node", **weights: float) -> DataFrame:

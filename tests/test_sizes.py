@@ -166,3 +166,38 @@ def test_partners_join_frames_once(spark):
     assert sum("Join" in name for name, _ in nodes_of(out)) == 1
     held = [(r.sid_a, r.sid_b, r.cost) for r in pairs.collect()]
     assert held and {r.sid: r.cost for r in out.collect()} == {s: min(c for a, b, c in held if s in (a, b)) for s in {x for a, b, _ in held for x in (a, b)}}
+
+
+def test_a_large_node_is_dealt_into_blocks(spark):
+    rng = random.Random(3)
+    rows = [("s", k, rng.randrange(8), rng.choice([1, 1, 1, 2, None])) for k in rng.sample(range(100), 40)] + [("t", k, k, 1) for k in range(3)]
+    out = frames.within_node_pairs(spark.createDataFrame(rows, "scene string, sid long, aid long, node int"), ["scene"], block=5)
+    assert out.columns == ["scene", "node", "sid_a", "aid_a", "sid_b", "aid_b"]
+    want = [(p[0], p[3], p[1], p[2], q[1], q[2]) for p in rows for q in rows if p[0] == q[0] and p[3] is not None and p[3] == q[3] and p[1] < q[1] and p[2] != q[2]]
+    assert sorted(map(tuple, out.collect())) == sorted(want)
+    join = next(p for name, p in nodes_of(out) if "Join" in name)
+    assert join.leftKeys().size() == 4  # scene, node and the two blocks
+
+
+def test_arc_cosines_by_arithmetic(spark):
+    rng = random.Random(4)
+    values = [1.0, -1.0, 0.0, -0.0, 0.5, -0.5, *(s * (1 - 2.0**-k) for k in range(1, 54) for s in (1, -1)), *(rng.uniform(-1, 1) for _ in range(2000)), None]
+    rows = frames.arc_cosines(spark.createDataFrame([(v,) for v in values], "v double"), {"v": "a"})
+    assert rows.columns == ["v", "a"]
+    for r in rows.collect():
+        assert r.a is None if r.v is None else abs(r.a - math.acos(r.v)) <= 4 * math.ulp(math.acos(r.v))
+
+
+def test_costs_of_very_many_pairs_are_the_same(spark, tmp_path):
+    rng = random.Random(6)
+    end = lambda: (rng.uniform(-9, 9), rng.uniform(-9, 9), *(lambda w: (math.cos(w), math.sin(w)))(rng.uniform(-4, 4)), rng.uniform(-1, 1))
+    rows = [(*end(), *end()) for _ in range(500)] + [(1.0, 2.0, *t, 0.1, 1.0, 2.0, *u, 0.2) for t in ((1.0, 0.0), (0.0, 0.0), (None, None)) for u in ((1.0, 0.0), (-1.0, 0.0), (0.0, 1.0))]
+    pairs = spark.createDataFrame(rows, ", ".join(f"{c}_{t} double" for t in "ab" for c in ("tip_x", "tip_y", "tan_x", "tan_y", "kappa")))
+    names = ["length", "theta", "phi_a", "phi_b", "cost"]
+    one, many = (frames.costed(pairs, many=m, **GAP).select(*names).collect() for m in (False, True))
+    assert all(x is y is None or abs(x - y) < 1e-7 for r, s in zip(one, many, strict=True) for x, y in zip(r, s, strict=True))
+    assert sum(r.cost is None for r in many) == 6
+    events = [(k, k // 2, "view", 3.0 * (k % 5), 60 * k) for k in range(12)]
+    spark.createDataFrame(events, "event_id long, user_id long, event_type string, value double, t long").selectExpr("*", "cast(1704100000 + t as timestamp) AS ts").drop("t").write.parquet(f"{tmp_path}/events.parquet")
+    out = QUERIES["q_link_cost"](spark, str(tmp_path))
+    assert out.count() == 15 and "ACOS" not in out._jdf.queryExecution().optimizedPlan().toString()  # a call of native code a row
