@@ -112,6 +112,33 @@ def test_contacts_leave_out_a_table_or_a_condition(spark):
     assert found == [{(0, 1), (2, 3), (3, 4)}] * 2 + [{(k, k + 1) for k in range(5)}]
 
 
+def test_near_pairs_of_short_tracks_are_not_shuffled(spark):
+    points = spark.range(400).select(F.lit("s").alias("scene"), (F.col("id") % 300).alias("iid"), (F.col("id") % 7 / 10).alias("x"), (F.col("id") % 11 / 10).alias("y"))
+    out = spatial.closest_contacts(points, points.select("scene", "iid", F.lit(4.0).alias("radius")).distinct(), ["scene"], "iid", 4.0)
+    shuffled = [p.metrics().apply("shuffleRecordsWritten").value() for name, p in nodes_of(out) if name == "ShuffleExchangeExec"]
+    assert shuffled and max(shuffled) <= 5_000 and out.count() == 300 * 299 // 2  # 44,850 pairs were shuffled
+
+
+def test_closest_contacts_of_tracks_of_any_size(spark):
+    rng = random.Random(8)
+    spot = lambda: (rng.uniform(-9, 9), rng.uniform(-9, 9)) if rng.random() < 0.5 else (rng.randrange(-9, 10) * 1.0, rng.randrange(-9, 10) * 1.0)
+    tracks = {t: [spot() for _ in range(rng.choice([1, 1, 2, 2, 3, 4, 5, 9]))] for t in range(90)}
+    tracks |= {90 + t: [*tracks[t]] * (1 + t % 2) for t in range(20)}  # equal tracks, and points that a track has twice
+    tracks |= {110: [(0.0, 0.0), (2.0**-60, 0.0)], 111: [(-2.0, 0.0), (2.0, 0.0), (-2.0, 2.0**-60)], 112: [(3.0, math.nan), (-0.0, 1.0)]}
+    radius = {t: (1.0, 0.5, None, 0.25)[t % 4] for t in tracks if t % 5}  # others have the default, above the widest
+    points = [("s", t, *p) for t, ps in tracks.items() for p in ps] + [("s", None, 0.0, 0.0), ("s", 1, None, 0.0), (None, 2, 0.0, 0.0)]
+    rng.shuffle(points)
+    want = set()
+    for i, j in ((i, j) for i in tracks for j in tracks if i < j and (i + j) % 7):
+        need = sum(radius.get(t) or 1.5 for t in (i, j)) + 0.5
+        near = [(d, (p[0] + q[0]) / 2 + 0.0, (p[1] + q[1]) / 2 + 0.0) for p in tracks[i] for q in tracks[j] if (d := math.sqrt((p[0] - q[0]) ** 2 + (p[1] - q[1]) ** 2)) < need and d <= 2.5]
+        want |= {(i, j, *min(near))} if near else set()
+    radii = spark.createDataFrame([("s", t, r) for t, r in radius.items()], "scene string, iid long, radius double")
+    out = spatial.closest_contacts(spark.createDataFrame(points, "scene string, iid long, x double, y double"), radii, ["scene"], "iid", 1.0, 0.5, 1.5, (F.col("i") + F.col("j")) % 7 == 0)
+    rows = [(r.i, r.j, r.distance, r.x + 0.0, r.y + 0.0) for r in out.collect()]
+    assert len(rows) == len(want) > 500 and set(rows) == want
+
+
 def steps_of(spark, lines):
     return spark.createDataFrame([("s", t, 0, *map(float, line)) for t, line in enumerate(lines)], "scene string, iid long, k int, x0 double, y0 double, x1 double, y1 double")
 
